@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, simhash, warc
+from . import chat, decontaminate, html, packing, recompression, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,22 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("units").alias("n_bytes"), F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.recompression_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("units").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_packing, op4_decontaminate, op6_warc, op7_chat, op9_html)}
+    return {f.__name__: f for f in (op2_simhash, op3_packing, op4_decontaminate, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
