@@ -86,14 +86,14 @@ def _joined(column, dtype) -> np.ndarray:
 
 
 def _send_names(kernel, buckets):
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key, table):
         names, _ = _names(kernel, table)
         return _rows("bucket", _bucket(names, buckets), names, p=key[0].as_py())
 
     return work
 
 
-def _answer_names(key, table: pa.Table) -> pa.Table:
+def _answer_names(key, table):
     table = table.sort_by("p")
     parts = [np.frombuffer(x, NAME) for x in table.column("data").to_pylist()]
     names, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -103,7 +103,7 @@ def _answer_names(key, table: pa.Table) -> pa.Table:
 
 
 def _send_stretches(kernel, buckets):
-    def work(key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def work(key, table, answers):
         group, table = key[0].as_py(), _ordered(table)
         names, counts = _names(kernel, table)
         often, bucket = counts > 1, _bucket(names, buckets)
@@ -138,7 +138,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def _sort_stretches(within: bool):
     """within: an earlier place in the same text counts too."""
 
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key, table):
         rows = _joined(table.column("data"), STRETCH)
         rows = rows[np.lexsort((rows["w0"] + rows["rel"], rows["tie"], rows["doc"], rows["seg"], rows["sym"]))]
         new = _starts(rows["sym"], rows["seg"])
@@ -162,7 +162,7 @@ def _sort_stretches(within: bool):
 
 
 def _send_content(kernel):
-    def work(key, table: pa.Table, asked: pa.Table) -> pa.Table:
+    def work(key, table, asked):
         wanted = [(b, np.frombuffer(x, STRETCH)) for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True) if b >= 0]
         out = {"bucket": [], "data": [], "content": []}
         if wanted:
@@ -193,7 +193,7 @@ def _send_content(kernel):
 
 
 def _match_content(kernel):
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key, table):
         rows = _joined(table.column("data"), STRETCH)
         piece, window = kernel.match(rows, b"".join(table.column("content").to_pylist()))
         # runs of windows that go, by piece
@@ -213,7 +213,7 @@ def _match_content(kernel):
 
 
 def _apply(kernel, id_kind: pa.DataType):
-    def work(key, table: pa.Table, found: pa.Table) -> pa.Table:
+    def work(key, table, found):
         rows = np.concatenate([np.zeros(0, FOUND), *(np.frombuffer(x, FOUND) for b, x in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True) if b < 0)])
         rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
         new = _starts(rows["doc"], rows["tie"])
@@ -250,7 +250,7 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     removed runs as [start, end) of units, and the UTF-8 bytes that stay."""
     groups = max(1, -(-bytes_of(documents, text_column) // group_bytes))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(text).cast("int").alias("tie"), text.alias("text"))
+    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
     base = base.withColumn("p", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
     names = base.groupBy("p").applyInArrow(_send_names(kernel, groups), "bucket bigint, data binary, p bigint")
     answers = names.groupBy("bucket").applyInArrow(_answer_names, "p bigint, bucket bigint, data binary")

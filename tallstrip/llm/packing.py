@@ -125,7 +125,7 @@ def _first_round(params: Params):
 
 
 def _merge(params: Params, level: int):
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key, table):
         bins = sorted(table.column("members").to_pylist(), key=lambda m: (-sum(x["length"] for x in m), m[0]["doc_id"] is not None, m[0]["doc_id"] or 0, m[0]["piece"]))
         packer, group = BestFit(params.capacity), key[0].as_py()
         for members in bins:

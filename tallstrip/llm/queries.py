@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, recompression, simhash, suffix_dedup, warc
+from . import chat, decontaminate, html, packing, quality, recompression, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,7 +87,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_packing, op4_decontaminate, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_packing, op4_decontaminate, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
