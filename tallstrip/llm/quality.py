@@ -25,12 +25,13 @@ GROUP_BYTES = 16 << 20
 @dataclass(frozen=True)
 class Params:
     """order: bytes in a gram, 7 at most. quantile: of the trusted documents' log-perplexity in a language; margin: nats
-    per byte above it that still pass. prior_bytes: a text's mean counts as if so many bytes of the language's median
+    per byte above it that still pass: text the model has not seen lies a little above its training text, and text of
+    another kind lies far above. prior_bytes: a text's mean counts as if so many bytes of the language's median
     stood beside it, so a few words alone decide little. unseen_byte: probability of a byte that trusted text lacks."""
 
     order: int = 5
     quantile: float = 0.99
-    margin: float = 0.05
+    margin: float = 0.5
     prior_bytes: int = 200
     unseen_byte: float = 1e-6
 
