@@ -212,7 +212,7 @@ def _match_content(kernel):
     return work
 
 
-def _apply(kernel, id_kind: pa.DataType):
+def _apply(kernel, carry: tuple[str, ...]):
     def work(key, table, found):
         rows = np.concatenate([np.zeros(0, FOUND), *(np.frombuffer(x, FOUND) for b, x in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True) if b < 0)])
         rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
@@ -228,8 +228,9 @@ def _apply(kernel, id_kind: pa.DataType):
             out["removed"].append(int((cuts[:, 1] - cuts[:, 0]).sum()))
             out["spans"].append(cuts.tolist())
             out["kept"].append(kept)
+        more = {c: table.column(f"carry_{c}") for c in carry}
         ids = [None if d == LEAST else d for d in table.column("doc").to_pylist()]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "units": pa.array(out["units"], pa.int64()), "removed": pa.array(out["removed"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(out["kept"], pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "units": pa.array(out["units"], pa.int64()), "removed": pa.array(out["removed"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(out["kept"], pa.binary())} | more)
 
     return work
 
@@ -245,12 +246,12 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[at], reach[np.append(at[1:], len(starts)) - 1]], axis=1)
 
 
-def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, units, removed, spans, kept) per row: how many units (bytes or words) the text has and loses, the
-    removed runs as [start, end) of units, and the UTF-8 bytes that stay."""
+    removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too."""
     groups = max(1, -(-bytes_of(documents, text_column) // group_bytes))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
+    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     base = base.withColumn("p", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
     names = base.groupBy("p").applyInArrow(_send_names(kernel, groups), "bucket bigint, data binary, p bigint")
     answers = names.groupBy("bucket").applyInArrow(_answer_names, "p bigint, bucket bigint, data binary")
@@ -259,4 +260,4 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(_send_content(kernel), "bucket bigint, data binary, content binary")
     matched = content.groupBy("bucket").applyInArrow(_match_content(kernel), "p bigint, data binary, bucket bigint")
     found = sorted_out.unionByName(matched)
-    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(_apply(kernel, None), "doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary")
+    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(_apply(kernel, carry), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))

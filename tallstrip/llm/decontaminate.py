@@ -152,3 +152,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
         found = found.groupBy(id_column, "row_key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.lit(None).cast("string").alias("kept_text"))
     n_hit = F.size("hits").cast("long")
     return found.select(id_column, "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), ((n_hit > 0) & (n_hit * rule.share >= F.col("n_words"))).alias("contaminated"), "kept_text")
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, id_column: str = "doc_id") -> DataFrame:
+    """The documents that aren't contaminated; a row with a null id stays."""
+    found = decontaminate(documents, benchmark, rule, id_column=id_column).where("contaminated").select(id_column).distinct()
+    return documents.join(found, id_column, "left_anti").select(*documents.columns)

@@ -264,4 +264,4 @@ def classify(documents: DataFrame, labels: DataFrame, params: Params = Params(),
 def keep_accepted(documents: DataFrame, labels: DataFrame, params: Params = Params(), *, id_column: str = "doc_id") -> DataFrame:
     """The documents without those rejected; a row with a null id stays."""
     rejected = classify(documents, labels, params, id_column=id_column).where("NOT accepted").select(id_column).distinct()
-    return documents.join(rejected, id_column, "left_anti")
+    return documents.join(rejected, id_column, "left_anti").select(*documents.columns)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, quality, recompression, simhash, suffix_dedup, warc
+from . import chat, decontaminate, ego, html, packing, quality, recompression, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ego.similarity_classes(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -87,7 +92,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_packing, op4_decontaminate, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_packing, op4_decontaminate, op5_ego, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,10 +135,118 @@ def near_duplicates(documents: DataFrame, params: Params = Params(), *, id_colum
     return prints.join(labels, prints["fp"] == labels["class_fp"], "left").select(id_column, "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, params: Params = Params(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each component its smallest id stays, once if that id is repeated."""
-    found = near_duplicates(documents, params, id_column=id_column, text_column=text_column)
-    heads = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id")).distinct()
-    ranked = documents.join(heads, documents[id_column] == heads["kept_id"], "left_semi")
+@dataclass(frozen=True)
+class CopyParams:
+    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. radius: differing bits of word-set
+    fingerprints that are looked into. sketch: least shingle hashes kept per text; smaller sets are kept whole and
+    compared exactly, larger ones by the least of both."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    radius: int = 6
+    sketch: int = 256
+
+
+def _ragged_unique(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each run, sorted within it, and the runs' new lengths."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=len(counts))
+
+
+def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, list[bytes]]:
+    """Fingerprint of each text's set of words, and the least hashes of its set of shingles."""
+    raw, offsets = B.buffers(texts)
+    raw = B.LOWER[raw]
+    starts, ends, first = B.words(raw, offsets, B.SPACED)
+    names, n = B.span_hash(B.prefix_sums(raw), starts, ends), np.diff(first)
+    own, count = _ragged_unique(names, n)
+    fp, some = np.zeros(len(n), np.uint64), count > 0
+    if some.any():
+        place = (np.cumsum(count) - count)[some]
+        for bit in range(64):
+            ones = np.add.reduceat((own >> np.uint64(bit)) & np.uint64(1), place)
+            fp[some] |= (2 * ones > count[some]).astype(np.uint64) << np.uint64(bit)
+    size = np.minimum(n, params.shingle)
+    spans = np.where(n > 0, n - size + 1, 0)
+    at = B.expand(first[:-1], spans)
+    shingles = B.span_hash(B.prefix_sums(names), at, at + np.repeat(size, spans))
+    shingles, spans = _ragged_unique((shingles >> np.uint64(32)).astype(np.uint32), spans)
+    end = np.cumsum(spans)
+    return fp, [shingles[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), spans.tolist(), strict=True)]
+
+
+def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
+    """Jaccard similarity of two sets given by their least hashes; two empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    if len(x) >= sketch or len(y) >= sketch:
+        both = both[:sketch]
+    shared = np.intersect1d(x, y, assume_unique=True)
+    return float(np.isin(both, shared, assume_unique=True).mean()) if len(both) else 1.0
+
+
+def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, component_id) per row with a non-null id: groups of texts whose shingle sets have the given similarity.
+
+    Candidates come from covering tables over fingerprints of the texts' sets of words, which a few edited words hardly
+    move: an edit touches one word but as many shingles as they have words. In each bucket the texts are compared with
+    its smallest id; those that aren't like it are compared with the smallest among themselves, and so on until each
+    has joined another or is alone, so a bucket of any size costs each text one comparison a round. A text that has
+    joined is not compared further in that bucket. Texts of equal sketch and fingerprint are one class throughout.
+    Texts without words are copies of each other. Rows with equal ids are one text with the smaller sketch.
+    """
+    kind = documents.schema[id_column].dataType.simpleString()
+
+    def sketching(batches):
+        for piece in B.slices(batches, text_column, 2 << 20):
+            fp, sketch = _sketches(piece.column(1), params)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64)), pa.array(sketch, pa.binary())], names=[id_column, "fp", "sketch"])
+
+    made = settle(documents.where(F.col(id_column).isNotNull()).select(id_column, text_column).mapInArrow(sketching, f"`{id_column}` {kind}, fp bigint, sketch binary"), "sketches")
+    by_class = made.groupBy("fp", F.sha2("sketch", 256).alias("digest"))
+    classes = settle(by_class.agg(F.min(id_column).alias("rep"), F.min("sketch").alias("sketch")), "classes")
+    members = made.select(id_column, "fp", F.sha2("sketch", 256).alias("digest")).join(classes.select("fp", "digest", "rep"), ["fp", "digest"]).select(id_column, "rep")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(params.radius))])
+    rows = classes.select("rep", "fp", F.explode(keys).alias("key"))
+
+    def led(rows: DataFrame) -> DataFrame:
+        bucket = Window.partitionBy("key")
+        head = F.min(F.struct("rep", "fp")).over(bucket)
+        return rows.select("key", "rep", "fp", head.alias("head"), F.count("*").over(bucket).alias("n")).where("n > 1 AND rep != head.rep").select("key", "rep", "fp", F.col("head.rep").alias("leader"), F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("bits"))
+
+    def like(batches):
+        for batch in batches:
+            got = [similarity_of(a, b, params.sketch) >= params.similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(got, pa.bool_()))
+
+    edges = None
+    while True:
+        rows = settle(led(rows), "buckets")
+        pairs = rows.where(F.col("bits") <= params.radius).select("rep", "leader").distinct()
+        left = classes.select(F.col("rep"), F.col("sketch").alias("a"))
+        right = classes.select(F.col("rep").alias("leader"), F.col("sketch").alias("b"))
+        joined = pairs.join(left, "rep").join(right, "leader").select("rep", "leader", "a", "b")
+        found = settle(joined.mapInArrow(like, f"rep {kind}, leader {kind}"), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        rows = rows.join(found, ["rep", "leader"], "left_anti").select("rep", "fp", "key")
+        if rows.isEmpty():
+            break
+    grouped = components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    return members.join(grouped, F.col("rep") == F.col("node"), "left").select(id_column, F.coalesce("component", "rep").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without near copies: of each group the smallest id stays, once if that id repeats; the rest of the
+    columns stay as they are. Rows with a null id are all kept: they can't be told apart."""
+    found = near_copies(documents, params, id_column=id_column, text_column=text_column)
+    lost = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    twice = documents.groupBy(id_column).agg(F.count("*").alias("n")).where(f"n > 1 AND `{id_column}` IS NOT NULL").select(id_column)
+    kept = documents.join(lost, id_column, "left_anti").select(*documents.columns)
+    once = kept.join(twice, id_column, "left_anti").select(*documents.columns)
     order = Window.partitionBy(id_column).orderBy(F.xxhash64(text_column))
-    return ranked.withColumn("tallstrip_row", F.row_number().over(order)).where("tallstrip_row = 1").drop("tallstrip_row")
+    repeated = kept.join(twice, id_column, "left_semi").select(*documents.columns).withColumn("tallstrip_row", F.row_number().over(order)).where("tallstrip_row = 1").drop("tallstrip_row")
+    return once.unionByName(repeated)
