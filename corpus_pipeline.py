@@ -27,8 +27,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without the strings of 100 bytes that start earlier in the corpus; characters cut in two go."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = suffix_dedup(docs, carry=rest)
-    text = F.when(F.col("removed") == 0, F.col("kept").cast("string")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
-    return found.withColumn("text", F.replace(text, F.lit("�"), F.lit(""))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return found.withColumn("text", whole_characters("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, over bytes within words.
 
-Counts are joined with what documents need by shards of the predicted byte, so neither the model nor a document's grams
-are ever in one place. A document is rejected if its perplexity is above a quantile of the trusted documents' in its
+Counts are joined with what chunks of documents need by shards of the predicted byte, so the model is never in one
+place. A document is rejected if its perplexity is above a quantile of the trusted documents' in its
 language.
 """
 
@@ -11,15 +11,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._work import bytes_of
+from ._work import settle
 
 #: Bytes that stand before and behind each word.
 BEFORE, BEHIND = 0x02, 0x03
-GROUP_BYTES = 16 << 20
+#: Bytes of text whose words are looked at together.
+CHUNK_BYTES = 6 << 20
+#: Ids of trusted documents up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -55,8 +60,8 @@ def prefix(keys: np.ndarray) -> np.ndarray:
 class Types:
     """The distinct words of some texts, and the grams that predict their bytes."""
 
-    def __init__(self, table: pa.Table, order: int):
-        raw, offsets = B.buffers(table.column("text"))
+    def __init__(self, texts: tuple[np.ndarray, np.ndarray], order: int):
+        raw, offsets = texts
         starts, ends, self.first = B.words(raw, offsets, B.SPACED)
         _, at, self.of_token = np.unique(B.span_hash(B.prefix_sums(raw), starts, ends), return_index=True, return_inverse=True)
         length = ends[at] - starts[at]
@@ -75,26 +80,29 @@ class Types:
         self.of_type = np.repeat(np.arange(len(at)), length + 2)[self.predicted]
         self.top = self.top[self.predicted]
 
-    def grams(self, weights: np.ndarray | None, order: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, weights: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """All grams of all orders, sorted, and how often the words (with these weights) have them as their longest
-        ones; without weights, of every word."""
-        top, of = self.top, self.of_type
-        if weights is not None:
-            some = weights[of] > 0
-            top, of = top[some], of[some]
-        keys, inverse = np.unique(top, return_inverse=True)
-        counts = np.bincount(inverse, weights=None if weights is None else weights[of], minlength=len(keys)).astype(np.int64)
-        out_keys, out_counts, upper = [], [], np.zeros(0, np.int64)
+        ones."""
+        keys, inverse = np.unique(self.top, return_inverse=True)
+        counts = np.bincount(inverse, weights=weights[self.of_type], minlength=len(keys)).astype(np.int64)
+        every = self._shorter(keys, order)
+        out = np.zeros(len(every), np.int64)
+        out[np.searchsorted(every, keys)] = counts
+        return every, out
+
+    def needs(self, order: int) -> np.ndarray:
+        """All grams of all orders, sorted."""
+        return self._shorter(np.unique(self.top), order)
+
+    @staticmethod
+    def _shorter(keys: np.ndarray, order: int) -> np.ndarray:
+        """The grams and all that they end in."""
+        levels, upper = [], np.zeros(0, np.int64)
         for n in range(order, 0, -1):
-            own = keys >> 56 == n
-            lower = np.setdiff1d(suffix(upper), keys[own]) if len(upper) else upper
-            level, level_counts = np.concatenate([keys[own], lower]), np.concatenate([counts[own], np.zeros(len(lower), np.int64)])
-            out_keys.append(level)
-            out_counts.append(level_counts)
-            upper = level
-        keys, counts = np.concatenate(out_keys), np.concatenate(out_counts)
-        place = np.argsort(keys, kind="stable")
-        return keys[place], counts[place]
+            a, b = np.searchsorted(keys, [n << 56, (n + 1) << 56])
+            upper = np.unique(np.concatenate([keys[a:b], suffix(upper)]))
+            levels.append(upper)
+        return np.concatenate(levels[::-1])
 
 
 START = np.int64(1 << 56 | BEFORE)
@@ -108,30 +116,58 @@ def _shards(keys: np.ndarray):
     return list(zip(values.tolist(), np.split(order, at[1:]), strict=True)) if len(values) else []
 
 
-_SENT = "kind int, p bigint, shard int, keys binary, counts binary"
+def _count(order: int):
+    """From a task's trusted texts: their words' grams with counts, by shards."""
+
+    def work(batches):
+        keys, counts = [], []
+
+        def summed():
+            both, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            return [both], [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(both)).astype(np.int64)]
+
+        for piece in B.slices(batches, "text", CHUNK_BYTES):
+            types = Types(B.buffers(piece.column(0)), order)
+            found = types.grams(np.bincount(types.of_token, minlength=len(types.length)), order)
+            keys.append(found[0])
+            counts.append(found[1])
+            if len(keys) == 8:
+                keys, counts = summed()
+        if keys:
+            (keys,), (counts,) = summed()
+            rows = [(shard, keys[own].tobytes(), counts[own].tobytes()) for shard, own in _shards(keys)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
+
+    return work
+
+
+def _chunks(batches):
+    """Texts packed and compressed in chunks; a chunk is what is scored at once."""
+    import zstandard
 
+    pack, part, at = zstandard.ZstdCompressor(3).compress, TaskContext.get().partitionId(), 0
+    for piece in B.slices(batches, "text", CHUNK_BYTES):
+        raw, offsets = B.buffers(piece.column(2))
+        row = (part << 24 | at, pack(piece.select([0, 1]).serialize().to_pybytes()), offsets.tobytes(), pack(raw.tobytes()))
+        at += 1
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "ids", "offsets", "text"])
 
-def _send(order: int):
-    """From a group: counts of its trusted words' grams, and the grams that scoring it will need."""
 
-    def work(key, docs, labels):
-        out = {k: [] for k in ("kind", "p", "shard", "keys", "counts")}
-        if len(docs):
-            types = Types(docs, order)
-            trusted = np.isin(docs.column("doc").to_numpy(), labels.column("doc").to_numpy())
-            token = np.repeat(trusted, np.diff(types.first))
-            weights = np.bincount(types.of_token[token], minlength=len(types.length))
-            keys, counts = types.grams(weights, order)
-            for shard, rows in _shards(keys):
-                for name, value in zip(out, (0, key[0].as_py(), shard, keys[rows].tobytes(), counts[rows].tobytes()), strict=True):
-                    out[name].append(value)
-            keys, _ = types.grams(None, order)
-            keys = np.append(keys, START)
-            for shard, rows in _shards(keys):
-                for name, value in zip(out, (1, key[0].as_py(), shard, keys[rows].tobytes(), b""), strict=True):
-                    out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+def _texts(table, row: int):
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(table.column("text")[row].as_py())
+    return np.frombuffer(raw, np.uint8), np.frombuffer(table.column("offsets")[row].as_py(), np.int64)
+
+
+def _need(order: int):
+    """The grams that scoring a chunk will ask for, by shards."""
+
+    def work(key, table):
+        keys = np.append(Types(_texts(table, 0), order).needs(order), START)
+        shards = _shards(keys)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(shards), pa.int64()), "shard": pa.array([x for x, _ in shards], pa.int32()), "keys": pa.array([keys[own].tobytes() for _, own in shards], pa.binary())})
 
     return work
 
@@ -151,7 +187,7 @@ def model(sent: DataFrame, order: int) -> DataFrame:
     seen before them. Discounts for counts of one, two and more come from counts of counts, for each order.
     """
     n = F.shiftright("key", 56)
-    raw = sent.where("kind = 0").groupBy("shard").applyInArrow(_sum_shard, "key bigint, raw bigint, shard int")
+    raw = sent.groupBy("shard").applyInArrow(_sum_shard, "key bigint, raw bigint, shard int")
     begins = F.expr(f"(shiftright(key, CAST(8 * (shiftright(key, 56) - 1) AS INT)) & 255) = {BEFORE}")
     raw = raw.withColumns({"n": n.cast("int"), "begins": begins})
     wider = raw.where("n > 1").groupBy(F.expr("(key & (shiftleft(1L, CAST(8 * (n - 1) AS INT)) - 1)) | shiftleft(CAST(n - 1 AS BIGINT), 56)").alias("key")).agg(F.count("*").alias("kinds"))
@@ -195,16 +231,19 @@ def _answer(params: Params):
                 known = keys[place] == wanted
                 answer[known] = table[place[known]]
             out.append(answer.tobytes())
-        return pa.table({"p": needs.column("p"), "keys": needs.column("keys"), "answers": pa.array(out, pa.binary())})
+        return pa.table({"chunk": needs.column("chunk"), "shard": needs.column("shard"), "answers": pa.array(out, pa.binary())})
 
     return work
 
 
 def _score(params: Params):
-    def work(key, docs, answers):
-        types = Types(docs, params.order)
-        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in answers.column("keys").to_pylist())])
-        values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in answers.column("answers").to_pylist())]).reshape(-1, 2).astype(np.float64)
+    def work(key, table, answers):
+        types = Types(_texts(table, 0), params.order)
+        keys = np.append(types.needs(params.order), START)
+        told = dict(zip(answers.column("shard").to_pylist(), answers.column("answers").to_pylist(), strict=True))
+        values = np.full((len(keys), 2), np.nan)
+        for shard, own in _shards(keys):
+            values[own] = np.frombuffer(told[shard], np.float32).reshape(-1, 2)
         order = np.argsort(keys, kind="stable")
         keys, logp, keep = keys[order], values[order, 0].copy(), np.nan_to_num(values[order, 1], nan=0.0)
         for n in range(1, params.order + 1):
@@ -218,21 +257,30 @@ def _score(params: Params):
         each = np.bincount(types.of_type, weights=logp[np.searchsorted(keys, types.top)] if len(types.top) else None, minlength=len(types.length))
         sums = np.concatenate([[0.0], np.cumsum(each[types.of_token])])
         sizes = np.concatenate([[0], np.cumsum(types.length[types.of_token])])
-        return pa.table({"doc": docs.column("doc"), "lang": docs.column("lang"), "n_bytes": pa.array(np.diff(sizes[types.first]), pa.int64()), "log_p": pa.array(np.diff(sums[types.first]), pa.float64())})
+        ids = _ids(table, 0)
+        return pa.table({"doc": ids.column(0), "lang": ids.column(1), "n_bytes": pa.array(np.diff(sizes[types.first]), pa.int64()), "log_p": pa.array(np.diff(sums[types.first]), pa.float64())})
 
     return work
 
 
+def _ids(table, row: int) -> pa.RecordBatch:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(table.column("ids")[row].as_py())
+    return pa.ipc.read_record_batch(plain, pa.schema([("doc", pa.int64()), ("lang", pa.string())]))
+
+
 def score(documents: DataFrame, trusted: DataFrame, params: Params = Params(), *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """(doc, lang, n_bytes, log_p) per document; trusted holds the ids (id_column) of documents to learn from."""
-    groups = max(1, -(-bytes_of(documents, text_column) // GROUP_BYTES))
     docs = documents.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(groups)))
-    ids = trusted.select(F.col(id_column).cast("long").alias("doc")).where("doc is not null").withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(groups)))
-    sent = docs.groupBy("p").cogroup(ids.groupBy("p")).applyInArrow(_send(params.order), _SENT)
-    needs = sent.where("kind = 1").select("p", "shard", "keys")
-    answers = needs.groupBy("shard").cogroup(model(sent, params.order).groupBy("shard")).applyInArrow(_answer(params), "p bigint, keys binary, answers binary")
-    return docs.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_score(params), "doc bigint, lang string, n_bytes bigint, log_p double")
+    ids = trusted.select(F.col(id_column).cast("long").alias("doc")).where("doc is not null").distinct()
+    learned = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi").select("text")
+    counts = learned.mapInArrow(_count(params.order), "shard int, keys binary, counts binary")
+    shards = settle(model(counts, params.order), "model")
+    chunks = docs.mapInArrow(_chunks, "chunk bigint, ids binary, offsets binary, text binary")
+    needs = chunks.groupBy("chunk").applyInArrow(_need(params.order), "chunk bigint, shard int, keys binary")
+    answers = needs.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_answer(params), "chunk bigint, shard int, answers binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(params), "doc bigint, lang string, n_bytes bigint, log_p double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, params: Params = Params(), *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -244,8 +292,6 @@ def classify(documents: DataFrame, labels: DataFrame, params: Params = Params(),
     log-perplexity, and are accepted: there is nothing against them. A null language is "". Repeated rows stay and
     count as often as they come; extra columns are not read.
     """
-    from ._work import settle
-
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(id_column).distinct()
     scores = settle(score(documents, trusted, params, id_column=id_column, text_column=text_column, lang_column=lang_column), "scores")
     mean = F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import _bytes as B
 from ._repeats import Look, merged, remove_repeats
@@ -144,7 +145,10 @@ def suffix_dedup(documents: DataFrame, window: int = 100, *, id_column: str = "d
     return remove_repeats(documents, ByteWindows(window), within=True, id_column=id_column, text_column=text_column, carry=carry)
 
 
-@F.pandas_udf("string")
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """Text of UTF-8 bytes; of a character that a removed run cut in two, the remaining bytes go as well."""
-    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+def whole_characters(kept: str) -> Column:
+    """Text of a column of UTF-8 bytes; of a character that a removed run cut in two, the remaining bytes go as well."""
+
+    def work(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return F.pandas_udf(work, StringType())(kept)
