@@ -74,9 +74,14 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def masks(radius: int) -> list[int]:
-    """One mask per table: 2**(radius+1) - 1 of them over 64 bits."""
+    """One mask per table: 2**(radius+1) - 1 of them over 64 bits.
+
+    While all non-zero vectors can be used evenly, they are; for more tables than bits the vectors with the top bit set
+    are taken, so that no mask has fewer than 32 bits.
+    """
     width = radius + 1
-    vectors = [1 + i % ((1 << width) - 1) for i in range(64)]
+    every = (1 << width) - 1
+    vectors = [1 + i % every if every <= 64 else 1 << radius | i % (1 << radius) for i in range(64)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 1 << width)]
 
 
