@@ -2,7 +2,7 @@
 
 Each task tokenises its documents, cuts what is too long, packs its pieces best-fit and closes the nearly full
 sequences. The underfull ones become items of the next round, where the leavings of several tasks meet, and so on up a
-tree until one group is left.
+tree until one group is left. One that is less than three quarters full is taken apart first.
 """
 
 from __future__ import annotations
@@ -128,7 +128,11 @@ def _merge(params: Params, level: int):
     def work(key, table):
         bins = sorted(table.column("members").to_pylist(), key=lambda m: (-sum(x["length"] for x in m), m[0]["doc_id"] is not None, m[0]["doc_id"] or 0, m[0]["piece"]))
         packer, group = BestFit(params.capacity), key[0].as_py()
+        items = []
         for members in bins:
+            whole = 4 * sum(x["length"] for x in members) >= 3 * params.capacity
+            items += [members] if whole else [[x] for x in members]
+        for members in sorted(items, key=lambda m: -sum(x["length"] for x in m)):
             packer.add(sum(x["length"] for x in members), members)
         return pa.Table.from_batches([_batch([(s, closed, group, m) for s, closed, m in _rows(packer, params.open_bins, group, level)])])
 
