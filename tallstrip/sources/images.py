@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import names
 
@@ -112,7 +111,7 @@ def with_red_overlay(px: DataFrame, limit: int = 128) -> DataFrame:
     return px.withColumns({"r": F.when(gone, 255).otherwise(F.col("r")), "g": F.when(gone, 0).otherwise(F.col("g")), "b": F.when(gone, 0).otherwise(F.col("b"))})
 
 
-def model_configs(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+def model_configs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Model configurations, one JSON file each, with defaults for what older ones lack."""
     rows = spark.read.schema(schema).option("multiLine", "true").json(folder)
     return rows.withColumns({"sdt_head": F.coalesce("sdt_head", F.lit(False)), "sdt_clamp_radius": F.coalesce("sdt_clamp_radius", F.lit(0))})

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 
-def arriving(spark: SparkSession, folder: str, schema: StructType, per_trigger: int = 100) -> DataFrame:
+def arriving(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
     """A stream of rows from Parquet files as they come."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
