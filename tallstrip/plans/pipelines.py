@@ -47,16 +47,15 @@ def repair_frames(pixels: DataFrame, delete: str, p: CleanParams = CleanParams()
     dark = pixels.withColumn("_dark", F.when(F.col("gray") <= p.darkness, 1).otherwise(0))
     closed = stencil.close(dark, "_dark", "_stroke", stencil.ellipse(2))
     holes = topology.frame_interiors(runs(closed, F.col("_stroke") == 1), p.least_interior)
-    inside = pixels_of(holes.select("img", "comp", "y", "x0", "x1").withColumn("one", F.lit(1)).select(F.struct("img", "comp").alias("img"), "y", "x0", "x1"))
-    inside = inside.select(F.col("img.img").alias("raster"), F.col("img.comp").alias("comp"), "y", "x")
+    inside = holes.select("img", "comp", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
     if p.inset > 0:
         moved = None
         for dy, h in stencil.ellipse(p.inset).items():
-            part = inside.select("raster", "comp", (F.col("y") + dy).cast("int").alias("y"), F.explode(F.sequence(F.col("x") - h, F.col("x") + h)).alias("x"))
+            part = inside.select("img", "comp", (F.col("y") + dy).cast("int").alias("y"), F.explode(F.sequence(F.col("x") - h, F.col("x") + h)).alias("x"))
             moved = part if moved is None else moved.unionByName(part)
         size = sum(2 * h + 1 for h in stencil.ellipse(p.inset).values())
-        inside = moved.groupBy("raster", "comp", "y", "x").agg(F.count("*").alias("n")).where(F.col("n") == size)
-    keep = inside.select(F.col("raster").alias("img"), "y", "x").distinct().withColumn("_inside", F.lit(True))
+        inside = moved.groupBy("img", "comp", "y", "x").agg(F.count("*").alias("n")).where(F.col("n") == size)
+    keep = inside.select("img", "y", "x").distinct().withColumn("_inside", F.lit(True))
     return pixels.join(keep, ["img", "y", "x"], "left").withColumn(delete, F.when(F.col("_inside"), 0).otherwise(F.col(delete))).drop("_inside")
 
 
