@@ -130,3 +130,25 @@ def resampled(points: DataFrame, stride: float, *keys: str) -> DataFrame:
     low = F.when(F.col("last") < 0, F.lit(0)).otherwise(F.floor(F.col("last") / gap) + 1)
     got = along.withColumns({"low": low.cast("long"), "high": high.cast("long")}).where("low <= high")
     return got.select(*keys, F.explode(F.sequence("low", "high")).alias("k"), "x", "y")
+
+
+def crops(pixels: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pixels of each segment (img, idx, y0, y1), y counted from its top. Rows are matched by blocks of 1024."""
+    wide = segments.select("img", "idx", "y0", "y1", F.explode(F.sequence(F.floor(F.col("y0") / 1024), F.floor((F.col("y1") - 1) / 1024))).alias("block"))
+    found = pixels.withColumn("block", F.floor(F.col("y") / 1024)).join(wide, ["img", "block"]).where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    return found.withColumn("y", (F.col("y") - F.col("y0")).cast("int")).drop("block", "y0", "y1")
+
+
+def patches(centres: DataFrame, pixels: DataFrame, size: int, fill: dict[str, int]) -> DataFrame:
+    """Square patches around centres (img, patch, y, x): (img, patch, dy, dx, inside, ...), pixels beyond the image filled."""
+    half = size // 2
+    grid = centres.select("img", "patch", (F.col("y") - half).alias("top"), (F.col("x") - half).alias("left"))
+    grid = grid.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    grid = grid.select("img", "patch", "dy", "dx", (F.col("top") + F.col("dy")).cast("int").alias("y"), (F.col("left") + F.col("dx")).cast("int").alias("x"))
+    got = grid.join(pixels.select("img", "y", "x", *fill).withColumn("inside", F.lit(True)), ["img", "y", "x"], "left")
+    return got.select("img", "patch", "dy", "dx", F.coalesce("inside", F.lit(False)).alias("inside"), *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in fill.items()])
+
+
+def output_mode(parts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mode): RGBA if any part (n_channels) has alpha."""
+    return parts.groupBy(*keys).agg(F.when(F.bool_or(F.col("n_channels") == 4), "RGBA").otherwise("RGB").alias("mode"))

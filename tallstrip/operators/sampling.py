@@ -49,3 +49,17 @@ def augment(pixels: DataFrame, seed: int = 7, width: int = 64) -> DataFrame:
     contrast, brightness = 0.92 + 0.16 * draw(F.col("img"), seed + 2), (draw(F.col("img"), seed + 3) - 0.5) * 0.08 * 255
     tone = lambda c: F.when(change, F.greatest(F.lit(0), F.least(F.lit(255), F.round((F.col(c) - 127.5) * contrast + 127.5 + brightness).cast("int")))).otherwise(F.col(c))
     return pixels.withColumns({c: tone(c) for c in ("r", "g", "b")}).withColumn("x", F.when(flip, width - 1 - F.col("x")).otherwise(F.col("x")))
+
+
+def zoomed(pixels: DataFrame, width: int, height: int, most: float = 1.5, seed: int = 7) -> DataFrame:
+    """Each image enlarged about its centre by a factor from 1 to `most`, to its own size, by nearest neighbours."""
+    grid = pixels.select("img").distinct().withColumn("factor", 1 + (most - 1) * draw(F.col("img"), seed))
+    grid = grid.withColumn("ny", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("nx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    back = lambda c, n: F.floor((F.col(c) + 0.5 - n / 2) / F.col("factor") + n / 2).cast("int")
+    grid = grid.select("img", "ny", "nx", back("ny", height).alias("y"), back("nx", width).alias("x"))
+    return grid.join(pixels, ["img", "y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
+
+
+def accepted(positives: Column, wanted: Column, least: int = 256) -> Column:
+    """Whether a patch that is to hold positives holds enough."""
+    return ~wanted | (positives >= least)

@@ -758,12 +758,45 @@ def stratum_picks(spark, d):
     return sampling.stratum_picks(_table(spark, d, "documents"), "doc_id", {"uniform": 0.3, "boundary": 0.4, "flat": 0.3}).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@_query(f"""WITH {FINE}, m AS (SELECT img, y, x, a < 128 AS p, patch, {_DRAW.format('patch * 1009 + img', 7)} < 0.7 AS wanted, {_DRAW.format('(y * 65536 + x + patch * 7919)', 7)} AS d FROM fine, range(0, 4) AS s(patch)) SELECT img, patch, y, x FROM (SELECT *, row_number() OVER (PARTITION BY img, patch ORDER BY CASE WHEN wanted AND NOT p THEN 1 ELSE 0 END, d, y, x) AS k FROM m) WHERE k = 1""")
+_CENTRES = f"""m AS (SELECT img, y, x, a < 128 AS p, patch, {_DRAW.format('patch * 1009 + img', 7)} < 0.7 AS wanted, {_DRAW.format('(y * 65536 + x + patch * 7919)', 7)} AS d FROM fine, range(0, 4) AS s(patch)),
+centres AS (SELECT img, patch, y, x FROM (SELECT *, row_number() OVER (PARTITION BY img, patch ORDER BY CASE WHEN wanted AND NOT p THEN 1 ELSE 0 END, d, y, x) AS k FROM m) WHERE k = 1)"""
+
+
+@_query(f"WITH {FINE}, {_CENTRES} SELECT * FROM centres")
 def patch_centres(spark, d):
     """N1, D17."""
     return sampling.patch_centres(raster.fine(spark, d), F.col("a") < 128, 4)
 
 
+@_query(f"""WITH {FINE}, {_CENTRES}, g AS (SELECT img, patch, y - 8 + dy AS y, x - 8 + dx AS x FROM centres, range(0, 16) AS s(dy), range(0, 16) AS t(dx)), j AS (SELECT g.img, patch, coalesce(f.r, 255) AS r, coalesce(f.a, 255) AS a, f.r IS NOT NULL AS inside FROM g LEFT JOIN fine f USING (img, y, x)) SELECT img, patch, CAST(sum(r) AS BIGINT) AS total, count(*) FILTER (NOT inside) AS padded, count(*) FILTER (a < 128) AS positives, count(*) FILTER (a < 128) >= 100 OR patch % 2 = 1 AS accepted FROM j GROUP BY 1, 2""")
+def patch_crops(spark, d):
+    """Patches around their centres, padded beyond the image with white that is kept."""
+    px = raster.fine(spark, d)
+    centres = sampling.patch_centres(px, F.col("a") < 128, 4)
+    got = layout.patches(centres, px, 16, {"r": 255, "a": 255}).groupBy("img", "patch").agg(F.sum("r").alias("total"), F.count_if(~F.col("inside")).alias("padded"), F.count_if(F.col("a") < 128).alias("positives"))
+    return got.withColumn("accepted", sampling.accepted(F.col("positives"), F.col("patch") % 2 == 0, 100))
+
+
+@_query(f"""WITH {FINE}, i AS (SELECT img, 1 + 0.5::DOUBLE * ({_DRAW.format('img', 7)}) AS factor FROM (SELECT DISTINCT img FROM fine)), g AS (SELECT img, ny, nx, CAST(floor((ny + 0.5::DOUBLE - 32) / factor + 32) AS BIGINT) AS y, CAST(floor((nx + 0.5::DOUBLE - 32) / factor + 32) AS BIGINT) AS x FROM i, range(0, 64) AS a(ny), range(0, 64) AS b(nx)) SELECT img, ny AS y, nx AS x, r FROM g JOIN fine USING (img, y, x)""")
+def zoom_jitter(spark, d):
+    """N3."""
+    return sampling.zoomed(raster.fine(spark, d).select("img", "y", "x", "r"), 64, 64)
+
+
+@_query(f"WITH RECURSIVE {_POST} SELECT p.img, CAST(p.idx AS BIGINT) AS idx, count(*) AS n, CAST(sum(b.r * (b.y - p.y0 + 1)) AS BIGINT) AS total FROM post p JOIN block b ON b.img = p.img AND b.y >= p.y0 AND b.y < p.y1 GROUP BY 1, 2")
+def segment_crops(spark, d):
+    """What each segment cuts out of its strip."""
+    got = layout.crops(raster.block(spark, d), post_merge(spark, d).select("img", "idx", "y0", "y1"))
+    return got.groupBy("img", "idx").agg(F.count("*").alias("n"), F.sum(F.col("r") * (F.col("y") + 1)).alias("total"))
+
+
+@_query("SELECT conv_id, CASE WHEN bool_or(turn % 4 = 3) THEN 'RGBA' ELSE 'RGB' END AS mode FROM conversations GROUP BY conv_id")
+def output_modes(spark, d):
+    """F17."""
+    parts = _table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 4 == 3, 4).otherwise(3).alias("n_channels"))
+    return layout.output_mode(parts, "conv_id")
+
+
 @_query(None)
 def augmented(spark, d):
     """Mirrored and toned images; tested for range and for which images change."""
