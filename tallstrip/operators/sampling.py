@@ -28,10 +28,15 @@ def stratified(rows: DataFrame, stratum: str, key: str, shares: dict[str, float]
 def patch_centres(pixels: DataFrame, positive: Column, patches: int, share: float = 0.7, seed: int = 7) -> DataFrame:
     """(img, patch, y, x): for each patch of an image the pixel with the least draw, among positive ones for `share` of
     the patches and among all for the others; an image without positives has uniform ones only."""
-    marked = pixels.select("img", "y", "x", positive.alias("p"), (F.col("y") * 65536 + F.col("x")).alias("key")).withColumn("patch", F.explode(F.sequence(F.lit(0), F.lit(patches - 1))))
-    wanted = draw(F.col("patch") * 1009 + F.col("img"), seed) < share
-    order = F.struct(F.when(wanted & ~F.col("p"), 1).otherwise(0).alias("late"), draw(F.col("key") + F.col("patch") * 7919, seed).alias("d"), "y", "x")
-    return marked.groupBy("img", "patch").agg(F.min(order).alias("m")).select("img", "patch", "m.y", "m.x")
+    marked = pixels.select("img", "y", "x", positive.alias("p"), (F.col("y") * 65536 + F.col("x")).alias("key"))
+
+    def least(patch: int) -> Column:
+        wanted = draw(F.lit(patch * 1009) + F.col("img"), seed) < share
+        order = F.struct(F.when(wanted & ~F.col("p"), 1).otherwise(0).alias("late"), draw(F.col("key") + patch * 7919, seed).alias("d"), "y", "x")
+        return F.min(order).alias(f"m{patch}")
+
+    picked = marked.groupBy("img").agg(*[least(i) for i in range(patches)])
+    return picked.select("img", F.posexplode(F.array(*[f"m{i}" for i in range(patches)])).alias("patch", "m")).select("img", "patch", "m.y", "m.x")
 
 
 def stratum_picks(rows: DataFrame, key: str, weights: dict[str, float], seed: int = 7) -> DataFrame:

@@ -338,12 +338,12 @@ def tile_grid(spark, d):
     return layout.tiles(_pages(spark, d), 768, 96, "chapter", "page")
 
 
-@_query(f"""WITH {BLOCK}, t AS (SELECT img, y, x, r, ty, tx FROM block, (SELECT unnest(range(0, 256, 24)) AS ty) a, (SELECT unnest(range(0, 64, 24)) AS tx) b WHERE img < 2 AND y >= ty AND y < ty + 32 AND x >= tx AND x < tx + 32),
+@_query(f"""WITH {BLOCK}, t AS (SELECT img, y, x, r, ty, tx FROM block, (SELECT unnest(range(0, 256, 24)) AS ty) a, (SELECT unnest(range(0, 64, 24)) AS tx) b WHERE y >= ty AND y < ty + 32 AND x >= tx AND x < tx + 32),
 w AS (SELECT *, greatest(0.5 - 0.5 * cos(2 * pi() * (y - ty) / 31), 0.05::DOUBLE) * greatest(0.5 - 0.5 * cos(2 * pi() * (x - tx) / 31), 0.05::DOUBLE) AS w FROM t)
 SELECT img, y, x, round(sum((r + ty % 7) * w) / greatest(sum(w), 1e-6), 6) AS p FROM w GROUP BY img, y, x""")
 def overlap_add(spark, d):
-    """Overlapping scores of the first two images under Hann weights (two images are the stated query set)."""
-    px = raster.block(spark, d).where("img < 2")
+    """Overlapping scores under Hann weights."""
+    px = raster.block(spark, d)
     tiled = px.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(255), F.lit(24)))).where((F.col("y") >= F.col("ty")) & (F.col("y") < F.col("ty") + 32))
     tiled = tiled.withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(24)))).where((F.col("x") >= F.col("tx")) & (F.col("x") < F.col("tx") + 32))
     return kernels.overlap_add(tiled.withColumn("s", (F.col("r") + F.col("ty") % 7).cast("double")), 32)
