@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 
 from ..functions import names, scalars
 from ..operators import discovery, kernels, layout, masks, metrics, sampling, segment, stencil, topology
-from ..sources import raster
+from ..sources import raster, sinks
 from . import pipelines
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -797,6 +797,44 @@ def output_modes(spark, d):
     return layout.output_mode(parts, "conv_id")
 
 
+@_query(f"WITH {FINE} SELECT img, count(*) FILTER (r / 255.0::DOUBLE >= 0.5) AS by_threshold, count(*) FILTER (b <= 127) AS by_refinement FROM fine GROUP BY img")
+def refined_masks(spark, d):
+    """D11, D18."""
+    return raster.fine(spark, d).groupBy("img").agg(F.count_if(F.col("r") / 255.0 >= 0.5).alias("by_threshold"), F.count_if(F.col("b") <= 127).alias("by_refinement"))
+
+
+@_query(f"WITH {FINE} SELECT img, CAST(sum(CASE WHEN a < 128 THEN 0 ELSE 255 END) AS BIGINT) AS alpha, CAST(sum(CASE WHEN a < 128 THEN 255 ELSE r END * (x + 1)) AS BIGINT) AS red, CAST(sum(CASE WHEN a < 128 THEN 0 ELSE g + b END) AS BIGINT) AS rest FROM fine GROUP BY img")
+def written_pixels(spark, d):
+    """B1, B2, A5: alpha of the cleaned strip, and the preview in red."""
+    px = raster.fine(spark, d)
+    gone = F.col("a") < 128
+    red = sinks.red_preview(px, gone).groupBy("img").agg(F.sum(F.col("r") * (F.col("x") + 1)).alias("red"), F.sum(F.col("g") + F.col("b")).alias("rest"))
+    return sinks.cleaned(px, gone).groupBy("img").agg(F.sum("a").alias("alpha")).join(red, "img")
+
+
+@_query(f"WITH RECURSIVE {_LABELS} SELECT b.img, max(b.x) + 1 AS w, max(b.y) + 1 AS h, coalesce(any_value(p.points), '') AS low_texture FROM block b LEFT JOIN (SELECT img, string_agg('[' || x || ',' || y || ']', ',' ORDER BY x, y) AS points FROM (SELECT img, CAST(round_even(cx, 0) AS BIGINT) AS x, CAST(round_even(cy, 0) AS BIGINT) AS y FROM cc WHERE area >= 100) GROUP BY img) p ON p.img = b.img GROUP BY b.img")
+def strata_sidecar(spark, d):
+    """The strata of an image as its sidecar lists them."""
+    sizes = raster.block(spark, d).groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    points = low_texture_regions(spark, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda q: F.concat(F.lit("["), q["x"].cast("string"), F.lit(","), q["y"].cast("string"), F.lit("]"))), ",")
+    return sizes.join(points, "img", "left").select("img", "w", "h", F.coalesce(text, F.lit("")).alias("low_texture"))
+
+
+@_query(f"WITH {_FILES} SELECT min(chapter) AS chapter FROM ordered")
+def first_chapter(spark, d):
+    """H5."""
+    return discovery.versions(_version_files(spark, d)).agg(F.min("chapter").alias("chapter"))
+
+
+@_query("SELECT b.item_id FROM benchmark b WHERE item_id NOT IN (SELECT doc_id FROM labels)")
+def outputs_to_write(spark, d):
+    """What has no output yet."""
+    wanted = _table(spark, d, "benchmark").select(F.col("item_id").alias("name"))
+    done = _table(spark, d, "labels").select(F.col("doc_id").alias("name"))
+    return sinks.missing_outputs(wanted, done).select(F.col("name").alias("item_id"))
+
+
 @_query(None)
 def augmented(spark, d):
     """Mirrored and toned images; tested for range and for which images change."""
