@@ -6,6 +6,9 @@ Hashes are polynomials modulo 2**64 taken from prefix sums, each passed through
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,19 +17,62 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Texts are handled in slices of about so many bytes; one longer text makes a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 
+#: Powers kept from one call to the next.
+KEPT_POWERS = 1 << 20
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
-    if len(_powers["up"]) < n:
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    if len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n <= KEPT_POWERS:
+        _powers["up"], _powers["down"] = made
+    return made[0], made[1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay alive between tasks, and more of them than run at a time."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(work):
+    """The task function `work` (of batches, of a group, or of two groups), giving memory back at its end."""
+    if inspect.isgeneratorfunction(work):
+
+        def of_batches(batches):
+            try:
+                yield from work(batches)
+            finally:
+                give_back()
+
+        return of_batches
+    if len(inspect.signature(work).parameters) == 2:
+
+        def of_group(key, table):
+            try:
+                return work(key, table)
+            finally:
+                give_back()
+
+        return of_group
+
+    def of_groups(key, left, right):
+        try:
+            return work(key, left, right)
+        finally:
+            give_back()
+
+    return of_groups
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,6 +99,17 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = KEPT_POWERS - 1) -> np.ndarray:
+    """span_hash of words in order, with prefix sums over no more than about `step` bytes at a time."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
+        a = starts[i]
+        out[i:j] = span_hash(prefix_sums(raw[a : ends[j - 1]]), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string or binary array; a null has no bytes."""
     if isinstance(array, pa.ChunkedArray):

@@ -29,7 +29,7 @@ from ._work import bytes_of
 #: Bytes of text in a group, and of text whose anchors meet in a bucket.
 GROUP_BYTES = 12 << 20
 #: Bytes of text a kernel looks at together.
-LOOK_BYTES = 2 << 20
+LOOK_BYTES = 1 << 20
 LEAST = -(1 << 63)
 
 NAME = np.dtype("u8")
@@ -253,11 +253,11 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     base = base.withColumn("p", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
-    names = base.groupBy("p").applyInArrow(_send_names(kernel, groups), "bucket bigint, data binary, p bigint")
-    answers = names.groupBy("bucket").applyInArrow(_answer_names, "p bigint, bucket bigint, data binary")
-    stretches = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_send_stretches(kernel, groups), "bucket bigint, data binary")
-    sorted_out = stretches.groupBy("bucket").applyInArrow(_sort_stretches(within), "p bigint, data binary, bucket bigint")
-    content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(_send_content(kernel), "bucket bigint, data binary, content binary")
-    matched = content.groupBy("bucket").applyInArrow(_match_content(kernel), "p bigint, data binary, bucket bigint")
+    names = base.groupBy("p").applyInArrow(B.frugal(_send_names(kernel, groups)), "bucket bigint, data binary, p bigint")
+    answers = names.groupBy("bucket").applyInArrow(B.frugal(_answer_names), "p bigint, bucket bigint, data binary")
+    stretches = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(B.frugal(_send_stretches(kernel, groups)), "bucket bigint, data binary")
+    sorted_out = stretches.groupBy("bucket").applyInArrow(B.frugal(_sort_stretches(within)), "p bigint, data binary, bucket bigint")
+    content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(B.frugal(_send_content(kernel)), "bucket bigint, data binary, content binary")
+    matched = content.groupBy("bucket").applyInArrow(B.frugal(_match_content(kernel)), "p bigint, data binary, bucket bigint")
     found = sorted_out.unionByName(matched)
-    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(_apply(kernel, carry), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))
+    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(B.frugal(_apply(kernel, carry)), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))

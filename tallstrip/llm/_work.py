@@ -1,50 +1,13 @@
-"""Shared plumbing: the shared work folder, settled tables, and row identity."""
+"""Shared plumbing: settled tables in the shared work folder, and sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tallstrip-"))
-    return _own_folder[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write df to a Parquet table in the shared folder and read it back: lineage ends here, and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.tallstrip_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete the table behind a settled frame that nothing needs any more."""
-    path = getattr(df, "tallstrip_path", None)
-    if path:
-        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
+from ..work import discard, new_path, settle, work_folder
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+__all__ = ["bytes_of", "discard", "new_path", "settle", "work_folder"]
 
 
 def bytes_of(df: DataFrame, column: str) -> int:

@@ -31,7 +31,7 @@ class NgramSet:
         raw, offsets = B.buffers(pa.array(texts, pa.string()))
         raw = B.LOWER[raw]
         starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
-        sums = B.prefix_sums(B.span_hash(B.prefix_sums(raw), starts, ends))
+        sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
         found: dict[int, dict[int, dict[tuple[str, bytes], None]]] = {}
         for i, item in enumerate(ids):
             n = int(first[i + 1] - first[i])
@@ -53,7 +53,7 @@ class NgramSet:
         raw, offsets = B.buffers(array)
         raw = B.LOWER[raw]
         starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
-        sums = B.prefix_sums(B.span_hash(B.prefix_sums(raw), starts, ends))
+        sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
         hit, items = np.zeros(len(starts) + 1, np.int32), [set() for _ in range(len(array))]
         for size, (hashes, sieve, behind) in self.lengths.items():
             at = np.arange(max(0, len(starts) - size + 1))
@@ -141,7 +141,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         schema = f"`{id_column}` {kind}, n_words bigint, hits array<int>, item_ids array<string>, kept_text string" + ", row_key bigint" * keyed
-        return docs.mapInArrow(scan, schema)
+        return docs.mapInArrow(B.frugal(scan), schema)
 
     found = scanning(blocks[0])
     if keyed:

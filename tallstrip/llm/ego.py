@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bytes as B
 from ._graph import components
 from ._work import settle
 
@@ -67,7 +68,7 @@ def principal(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             i, j = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "v"])
 
-    found = classes.select("embedding").mapInArrow(sums, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    found = classes.select("embedding").mapInArrow(B.frugal(sums), "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     size = int(found["i"].max()) + 1 if len(found) else 1
     moments = np.zeros((size, size))
     moments[found["i"], found["j"]] = found["v"]
@@ -227,17 +228,17 @@ def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cell[:, i]) for i in range(grid))], names=[*batch.schema.names, *(f"c{i}" for i in range(grid))])
 
     order = [f"c{i}" for i in range(grid)] + ["rep"]
-    celled = classes.mapInArrow(cells, "embedding array<double>, rep bigint, n bigint, " + ", ".join(f"c{i} bigint" for i in range(grid)))
+    celled = classes.mapInArrow(B.frugal(cells), "embedding array<double>, rep bigint, n bigint, " + ", ".join(f"c{i} bigint" for i in range(grid)))
     parts = max(1, -(-total // params.interval))
     sequence = celled.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("embedding", "rep", "n")
-    blocks = settle(sequence.mapInArrow(_blocks(params, mean, axes), _BLOCK), "blocks")
+    blocks = settle(sequence.mapInArrow(B.frugal(_blocks(params, mean, axes)), _BLOCK), "blocks")
     top = blocks.agg(F.max("part")).first()[0] + 1
     pairs = leaf_pairs(blocks.select("part", "leaf", "low", "high"), top, params)
     held = ["reps", "counts", "sizes", "vectors", "rows", "narrow"]
     left = blocks.select(F.col("leaf").alias("a"), *[F.col(c).alias(f"a_{c}") for c in held])
     right = blocks.select(F.col("leaf").alias("b"), *[F.col(c).alias(f"b_{c}") for c in held])
     met = pairs.join(left, "a").join(right, "b").select("a", "b", *[f"a_{c}" for c in held], *[f"b_{c}" for c in held])
-    found = settle(met.mapInArrow(_compare(params), "edge boolean, u bigint, v bigint"), "links")
+    found = settle(met.mapInArrow(B.frugal(_compare(params)), "edge boolean, u bigint, v bigint"), "links")
     gained = found.where("NOT edge").groupBy("u").agg(F.sum("v").alias("gained"))
     grouped = components(found.where("edge").select("u", "v"))
     labels = classes.join(gained, F.col("rep") == F.col("u"), "left").join(grouped, F.col("rep") == F.col("node"), "left")

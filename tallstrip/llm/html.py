@@ -18,16 +18,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._work import settle
+
 #: Element names and class words, as HTML and common style sheets use them.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "dialog", "menu", "audio", "video", "map"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CONTAINERS = {"body", "div", "section", "main", "article", "header", "table", "ul", "ol", "dl", "center", "td", "tr", "tbody", "figure", "details"}
-BOILERPLATE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+BOILERPLATE_WORDS = {"ad", "ads", "advert", "advertising", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Of these, the ones that say what the element is even where an article stands inside it.
+FIRM_WORDS = {"comment", "comments", "disqus", "related", "respond"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "dialog", "menu", "menubar", "toolbar", "form"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "address", "fieldset", "details"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
+#: Paths of low importance up to which the trees are broadcast; more are joined by host and salt.
+BROADCAST_PATHS, SALTS = 200_000, 64
+
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _attribute = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _word = re.compile(r"[a-z]+|[0-9]+")
@@ -42,60 +49,64 @@ class Params:
     importance: float = 0.1
 
 
-def _prior(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether the presentation alone says boilerplate, and the element's name in paths."""
-    name = tag
-    if tag in NEVER or tag == "header" and not in_article:
-        return True, name
+#: How surely an element's presentation says boilerplate: not at all; unless an article stands inside; in any case.
+OPEN, SOFT, FIRM = 0, 1, 2
+
+
+def _prior(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """How surely the presentation alone says boilerplate, and the element's name in paths."""
+    if tag in NEVER:
+        return FIRM, tag
+    mark, name = SOFT if tag == "header" and not in_article else OPEN, tag
     if attributes and not attributes.isspace():
         values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes)}
         name = f"{tag}.{values['class']}" if values.get("class") else f"{tag}#{values['id']}" if values.get("id") else tag
-        if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role") in ROLES or "display:none" in values.get("style", "").replace(" ", ""):
-            return True, name
-        if tag not in ("html", "body", "article", "main") and BOILERPLATE_WORDS & set(_word.findall(f"{values.get('class', '')} {values.get('id', '')}")):
-            return True, name
-        if tag in ("article", "section", "li", "div") and {"comment", "comments"} & set(_word.findall(f"{values.get('class', '')} {values.get('id', '')}")):
-            return True, name
-    return False, name
+        if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
+            return FIRM, name
+        said = set(_word.findall(f"{values.get('class', '')} {values.get('id', '')}"))
+        if tag not in ("html", "body"):
+            if FIRM_WORDS & said and (tag not in ("article", "main") or said & {"comment", "comments"}):
+                return FIRM, name
+            if values.get("role") in ROLES or tag not in ("article", "main") and (BOILERPLATE_WORDS & said or "header" in said and not in_article):
+                return max(mark, SOFT), name
+    return mark, name
 
 
 def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's end gives
-    a text of one space."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boilerplate, in article
-    path, bad, inside, at, size = "", False, False, 0, len(page)
+    """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's start and
+    end give a text of one space."""
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, boilerplate, in article
+    path, bad, inside, at, size = "", OPEN, False, 0, len(page)
     while at < size:
         m = _tag.search(page, at)
         if m is None:
-            yield path, bad, inside, page[at:]
+            yield path, bad > OPEN, inside, page[at:]
             break
         if m.start() > at:
-            yield path, bad, inside, page[at : m.start()]
+            yield path, bad > OPEN, inside, page[at : m.start()]
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
-            yield path, bad, inside, " "
+        if tag in BLOCKS:
+            yield path, bad > OPEN, inside, " "
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            _, path, bad, inside = stack[-1] if stack else ("", "", False, False)
+            _, path, bad, inside = stack[-1] if stack else ("", "", OPEN, False)
             continue
-        while stack and stack[-1][0] in CLOSED_BY and tag in CLOSED_BY[stack[-1][0]]:
-            stack.pop()
-        if tag not in INLINE:  # an unclosed inline element doesn't keep a paragraph open
+        if tag in BLOCKS:  # an unclosed inline element doesn't keep a paragraph or item open
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSED_BY:
                     if tag in CLOSED_BY[stack[i][0]]:
                         del stack[i:]
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i][0] in BLOCKS:
                     break
-        _, path, bad, inside = stack[-1] if stack else ("", "", False, False)
-        if tag in VOID or m[3].endswith("/") and tag not in CONTAINERS and tag not in RAW:
+        _, path, bad, inside = stack[-1] if stack else ("", "", OPEN, False)
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -103,7 +114,9 @@ def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
             continue
         mark, name = _prior(tag, m[3], inside)
         path = f"{path}/{name}" if tag in CONTAINERS and path.count("/") < 12 else path
-        bad, inside = bad or mark, inside or tag in ("article", "main")
+        if tag in ("article", "main"):
+            inside, bad = True, OPEN if bad == SOFT else bad
+        bad = max(bad, mark)
         stack.append((tag, path, bad, inside))
 
 
@@ -170,7 +183,7 @@ def main_text(pages: DataFrame, params: Params = Params()) -> DataFrame:
     count as pages of their host. Truncated or badly nested mark-up is read as far as it goes. No pages: no rows.
     """
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"))
-    trees = style_tree(rows, params)
+    trees = settle(style_tree(rows, params), "trees")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def work(frames):
@@ -179,6 +192,11 @@ def main_text(pages: DataFrame, params: Params = Params()) -> DataFrame:
             texts = [extract(page if isinstance(page, str) else "", x) for page, x in zip(frame["html"], low, strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    joined = rows.join(trees, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low")
+    if trees.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_PATHS:
+        met = rows.join(F.broadcast(trees), "host", "left")
+    else:  # a host's pages are dealt by salt, and its tree goes to each
+        salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = met.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low")
     out = joined.mapInPandas(work, "page_id string, url string, text string, n_chars bigint")
     return out.withColumn("page_id", F.col("page_id").cast(kind))

@@ -148,14 +148,14 @@ def pack(documents: DataFrame, params: Params = Params(), *, id_column: str = "d
     piece, never the ids. Rounds hand on at most `open_bins` sequences a group, so no group grows with the input.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    level, bins = 0, settle(docs.mapInArrow(_first_round(params), _SCHEMA), "bins")
+    level, bins = 0, settle(docs.mapInArrow(B.frugal(_first_round(params)), _SCHEMA), "bins")
     done = []
     groups = bins.agg(F.coalesce(F.max("group") + 1, F.lit(0)).alias("n")).first()["n"]
     while groups > 1:
         level, groups = level + 1, -(-groups // params.fan)
         done.append(bins.where("closed"))
         upper = bins.where("not closed").select((F.col("group") / params.fan).cast("bigint").alias("group"), "members")
-        bins = settle(upper.groupBy("group").applyInArrow(_merge(params, level), _SCHEMA), "bins")
+        bins = settle(upper.groupBy("group").applyInArrow(B.frugal(_merge(params, level)), _SCHEMA), "bins")
     for part in done:
         bins = bins.unionByName(part)
     placed = bins.select("sequence_id", "members", F.expr("transform(members, (m, i) -> aggregate(slice(members, 1, i), 0L, (a, x) -> a + x.length))").alias("offsets"))

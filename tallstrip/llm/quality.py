@@ -22,7 +22,7 @@ from ._work import settle
 #: Bytes that stand before and behind each word.
 BEFORE, BEHIND = 0x02, 0x03
 #: Bytes of text whose words are looked at together.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Ids of trusted documents up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -63,22 +63,23 @@ class Types:
     def __init__(self, texts: tuple[np.ndarray, np.ndarray], order: int):
         raw, offsets = texts
         starts, ends, self.first = B.words(raw, offsets, B.SPACED)
-        _, at, self.of_token = np.unique(B.span_hash(B.prefix_sums(raw), starts, ends), return_index=True, return_inverse=True)
+        _, at, self.of_token = np.unique(B.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         length = ends[at] - starts[at]
         self.length = length + 1
         place = np.cumsum(length + 2) - (length + 2)
-        text = np.full(int((length + 2).sum()), BEFORE, np.int64)
+        text = np.full(int((length + 2).sum()), BEFORE, np.uint8)
         text[B.expand(place + 1, length)] = raw[B.expand(starts[at], length)]
         text[place + length + 1] = BEHIND
-        index = np.arange(len(text)) - np.repeat(place, length + 2)
-        packed, self.top = text.copy(), np.zeros(len(text), np.int64)
+        index = (np.arange(len(text)) - np.repeat(place, length + 2)).astype(np.int32)
+        packed, top = text.astype(np.int64), np.zeros(len(text), np.int64)
         for n in range(2, order + 1):
-            packed[n - 1 :] |= text[: len(text) - n + 1] << np.int64(8 * (n - 1))
+            packed[n - 1 :] |= text[: len(text) - n + 1].astype(np.int64) << np.int64(8 * (n - 1))
             own = index == n - 1 if n < order else index >= n - 1
-            self.top[own] = _key(n, packed[own])
-        self.predicted = index >= 1
-        self.of_type = np.repeat(np.arange(len(at)), length + 2)[self.predicted]
-        self.top = self.top[self.predicted]
+            top[own] = _key(n, packed[own])
+        del packed, text
+        predicted = index >= 1
+        self.of_type = np.repeat(np.arange(len(at), dtype=np.int32), length + 2)[predicted]
+        self.top = top[predicted]
 
     def grams(self, weights: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """All grams of all orders, sorted, and how often the words (with these weights) have them as their longest
@@ -187,7 +188,7 @@ def model(sent: DataFrame, order: int) -> DataFrame:
     seen before them. Discounts for counts of one, two and more come from counts of counts, for each order.
     """
     n = F.shiftright("key", 56)
-    raw = sent.groupBy("shard").applyInArrow(_sum_shard, "key bigint, raw bigint, shard int")
+    raw = sent.groupBy("shard").applyInArrow(B.frugal(_sum_shard), "key bigint, raw bigint, shard int")
     begins = F.expr(f"(shiftright(key, CAST(8 * (shiftright(key, 56) - 1) AS INT)) & 255) = {BEFORE}")
     raw = raw.withColumns({"n": n.cast("int"), "begins": begins})
     wider = raw.where("n > 1").groupBy(F.expr("(key & (shiftleft(1L, CAST(8 * (n - 1) AS INT)) - 1)) | shiftleft(CAST(n - 1 AS BIGINT), 56)").alias("key")).agg(F.count("*").alias("kinds"))
@@ -275,12 +276,12 @@ def score(documents: DataFrame, trusted: DataFrame, params: Params = Params(), *
     docs = documents.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     ids = trusted.select(F.col(id_column).cast("long").alias("doc")).where("doc is not null").distinct()
     learned = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi").select("text")
-    counts = learned.mapInArrow(_count(params.order), "shard int, keys binary, counts binary")
+    counts = learned.mapInArrow(B.frugal(_count(params.order)), "shard int, keys binary, counts binary")
     shards = settle(model(counts, params.order), "model")
-    chunks = docs.mapInArrow(_chunks, "chunk bigint, ids binary, offsets binary, text binary")
-    needs = chunks.groupBy("chunk").applyInArrow(_need(params.order), "chunk bigint, shard int, keys binary")
-    answers = needs.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_answer(params), "chunk bigint, shard int, answers binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(params), "doc bigint, lang string, n_bytes bigint, log_p double")
+    chunks = docs.mapInArrow(B.frugal(_chunks), "chunk bigint, ids binary, offsets binary, text binary")
+    needs = chunks.groupBy("chunk").applyInArrow(B.frugal(_need(params.order)), "chunk bigint, shard int, keys binary")
+    answers = needs.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(B.frugal(_answer(params)), "chunk bigint, shard int, answers binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(B.frugal(_score(params)), "doc bigint, lang string, n_bytes bigint, log_p double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, params: Params = Params(), *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

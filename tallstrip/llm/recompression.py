@@ -66,7 +66,7 @@ class WordWindows:
 
     def _words(self, raw: np.ndarray, offsets: np.ndarray):
         starts, ends, first = B.words(raw, offsets, B.SPACED)
-        names = B.span_hash(B.prefix_sums(raw), starts, ends)
+        names = B.word_hashes(raw, starts, ends)
         return names, first, B.prefix_sums(names)
 
     def look(self, raw: np.ndarray, offsets: np.ndarray) -> Look:

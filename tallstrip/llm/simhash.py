@@ -67,10 +67,10 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
     kind = documents.schema[id_column].dataType.simpleString()
 
     def work(batches):
-        for piece in B.slices(batches, text_column, 2 << 20):
+        for piece in B.slices(batches, text_column, 1 << 20):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprint_array(piece.column(1), shingle).view(np.int64))], names=[id_column, "fp"])
 
-    return documents.select(id_column, text_column).mapInArrow(work, f"`{id_column}` {kind}, fp bigint")
+    return documents.select(id_column, text_column).mapInArrow(B.frugal(work), f"`{id_column}` {kind}, fp bigint")
 
 
 def masks(radius: int) -> list[int]:
@@ -105,8 +105,8 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     classes holds (fp, id), each fingerprint once. In each table only keys with two fingerprints or more go on. There,
     each fingerprint is listed under itself and under its neighbours at half the radius, within the bits its mask
     leaves free: those listed under one neighbour are all within the radius of each other, so each is linked to the
-    smallest id there. No bucket is enumerated in pairs and none is capped; lists have at most 1 + free bits members.
-    An odd radius checks its lists' last step pair by pair (lists stay that short).
+    smallest id there. No bucket is enumerated in pairs and none is capped; lists have at most 1 + free bits members
+    at radius 2. The radius must be even.
     """
     if radius % 2:
         raise ValueError("radius must be even")
@@ -142,13 +142,14 @@ def near_duplicates(documents: DataFrame, params: Params = Params(), *, id_colum
 
 @dataclass(frozen=True)
 class CopyParams:
-    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. radius: differing bits of word-set
-    fingerprints that are looked into. sketch: least shingle hashes kept per text; smaller sets are kept whole and
+    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. radius, second: differing bits of
+    two independent word-set fingerprints that are looked into. sketch: least shingle hashes kept per text; smaller sets are kept whole and
     compared exactly, larger ones by the least of both."""
 
     shingle: int = 5
     similarity: float = 0.8
     radius: int = 6
+    second: int = 4
     sketch: int = 256
 
 
@@ -162,26 +163,32 @@ def _ragged_unique(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return values[new], np.bincount(owner[new], minlength=len(counts))
 
 
-def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, list[bytes]]:
-    """Fingerprint of each text's set of words, and the least hashes of its set of shingles."""
-    raw, offsets = B.buffers(texts)
-    raw = B.LOWER[raw]
-    starts, ends, first = B.words(raw, offsets, B.SPACED)
-    names, n = B.span_hash(B.prefix_sums(raw), starts, ends), np.diff(first)
-    own, count = _ragged_unique(names, n)
-    fp, some = np.zeros(len(n), np.uint64), count > 0
+def _majority(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per run of hashes: the bits that over half of them have."""
+    fp, some = np.zeros(len(count), np.uint64), count > 0
     if some.any():
         place = (np.cumsum(count) - count)[some]
         for bit in range(64):
-            ones = np.add.reduceat((own >> np.uint64(bit)) & np.uint64(1), place)
+            ones = np.add.reduceat((values >> np.uint64(bit)) & np.uint64(1), place)
             fp[some] |= (2 * ones > count[some]).astype(np.uint64) << np.uint64(bit)
+    return fp
+
+
+def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Two fingerprints of each text's set of words, and the least hashes of its set of shingles."""
+    raw, offsets = B.buffers(texts)
+    raw = B.LOWER[raw]
+    starts, ends, first = B.words(raw, offsets, B.SPACED)
+    names, n = B.word_hashes(raw, starts, ends), np.diff(first)
+    own, count = _ragged_unique(names, n)
+    fp, fp2 = _majority(own, count), _majority(B.mix(own), count)
     size = np.minimum(n, params.shingle)
     spans = np.where(n > 0, n - size + 1, 0)
     at = B.expand(first[:-1], spans)
     shingles = B.span_hash(B.prefix_sums(names), at, at + np.repeat(size, spans))
     shingles, spans = _ragged_unique((shingles >> np.uint64(32)).astype(np.uint32), spans)
     end = np.cumsum(spans)
-    return fp, [shingles[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), spans.tolist(), strict=True)]
+    return fp, fp2, [shingles[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), spans.tolist(), strict=True)]
 
 
 def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
@@ -194,53 +201,106 @@ def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
     return float(np.isin(both, shared, assume_unique=True).mean()) if len(both) else 1.0
 
 
+PAIR = np.dtype([("key", "u8"), ("rep", "i8")])
+#: Bytes of packed keys that meet in a bucket, and texts whose keys are made at a time.
+BUCKET_BYTES, KEYED_ROWS = 12 << 20, 2000
+#: Texts of a bucket that all others of it are compared with in the first round, and how many times as many in each
+#: further one.
+LEADERS, MORE = 1, 8
+
+
+def _send_keys(params: CopyParams, buckets: int):
+    """From each class its masked fingerprints, packed by buckets of their hashes."""
+    first, second = (np.array(masks(r), np.uint64) for r in (params.radius, params.second))
+    salt = B.mix(np.arange(1, len(first) + len(second) + 1, dtype=np.uint64))
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, len(batch), KEYED_ROWS):
+                part = batch.slice(at, KEYED_ROWS)
+                rep, fp, fp2 = (part.column(i).to_numpy() for i in range(3))
+                keys = np.hstack([fp.view(np.uint64)[:, None] & first, fp2.view(np.uint64)[:, None] & second])
+                rows = np.empty(keys.size, PAIR)
+                rows["key"], rows["rep"] = B.mix(keys + salt).ravel(), np.repeat(rep, keys.shape[1])
+                bucket = ((rows["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                values, starts = np.unique(bucket[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([x.tobytes() for x in np.split(rows[order], starts[1:])], pa.binary())], names=["bucket", "data"])
+
+    return work
+
+
+def _shared(key, table):
+    """Keys that several classes have: (key, rep, n), n being how many."""
+    rows = np.concatenate([np.frombuffer(x, PAIR) for x in table.column("data").to_pylist()])
+    rows = rows[np.lexsort((rows["rep"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["key"][1:] != rows["key"][:-1]
+    at = np.flatnonzero(new)
+    n = np.repeat(np.diff(np.append(at, len(rows))), np.diff(np.append(at, len(rows))))
+    rows, n = rows[n > 1], n[n > 1]
+    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "n": n})
+
+
 def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) per row with a non-null id: groups of texts whose shingle sets have the given similarity.
 
     Candidates come from covering tables over fingerprints of the texts' sets of words, which a few edited words hardly
-    move: an edit touches one word but as many shingles as they have words. In each bucket the texts are compared with
-    its smallest id; those that aren't like it are compared with the smallest among themselves, and so on until each
-    has joined another or is alone, so a bucket of any size costs each text one comparison a round. A text that has
-    joined is not compared further in that bucket. Texts of equal sketch and fingerprint are one class throughout.
+    move: an edit touches one word but as many shingles as they have words. In each
+    round the texts of a bucket are compared with the one, then the few that share most buckets with others (edited copies have their
+    original in common), which then leave it. Texts that a round has joined need no comparison, so a bucket whose texts
+    are one group is done; in others more leave in each further round. Every pair that shares a bucket has then
+    been compared or joined, in rounds that grow as the logarithm of the largest bucket.
+    Texts of equal sketch and fingerprint are one class throughout.
     Texts without words are copies of each other. Rows with equal ids are one text with the smaller sketch.
     """
-    kind = documents.schema[id_column].dataType.simpleString()
+    kind = "bigint"
 
     def sketching(batches):
-        for piece in B.slices(batches, text_column, 2 << 20):
-            fp, sketch = _sketches(piece.column(1), params)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64)), pa.array(sketch, pa.binary())], names=[id_column, "fp", "sketch"])
+        for piece in B.slices(batches, text_column, 1 << 20):
+            fp, fp2, sketch = _sketches(piece.column(1), params)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(sketch, pa.binary())], names=[id_column, "fp", "fp2", "sketch"])
 
-    made = settle(documents.where(F.col(id_column).isNotNull()).select(id_column, text_column).mapInArrow(sketching, f"`{id_column}` {kind}, fp bigint, sketch binary"), "sketches")
+    made = settle(documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(B.frugal(sketching), f"`{id_column}` {kind}, fp bigint, fp2 bigint, sketch binary"), "sketches")
     by_class = made.groupBy("fp", F.sha2("sketch", 256).alias("digest"))
-    classes = settle(by_class.agg(F.min(id_column).alias("rep"), F.min("sketch").alias("sketch")), "classes")
+    classes = settle(by_class.agg(F.min(id_column).alias("rep"), F.min("fp2").alias("fp2"), F.min("sketch").alias("sketch")), "classes")
     members = made.select(id_column, "fp", F.sha2("sketch", 256).alias("digest")).join(classes.select("fp", "digest", "rep"), ["fp", "digest"]).select(id_column, "rep")
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(params.radius))])
-    rows = classes.select("rep", "fp", F.explode(keys).alias("key"))
-
-    def led(rows: DataFrame) -> DataFrame:
-        bucket = Window.partitionBy("key")
-        head = F.min(F.struct("rep", "fp")).over(bucket)
-        return rows.select("key", "rep", "fp", head.alias("head"), F.count("*").over(bucket).alias("n")).where("n > 1 AND rep != head.rep").select("key", "rep", "fp", F.col("head.rep").alias("leader"), F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))).alias("bits"))
+    tables = len(masks(params.radius)) + len(masks(params.second))
+    buckets = max(1, -(-classes.count() * tables * PAIR.itemsize // BUCKET_BYTES))
+    sent = classes.select("rep", "fp", "fp2").mapInArrow(B.frugal(_send_keys(params, buckets)), "bucket bigint, data binary")
+    rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, n bigint"), "buckets")
+    central = settle(rows.groupBy("rep").agg(F.sum("n").alias("central")), "central")
+    rows = rows.select("key", "rep").join(central, "rep")
+    bucket = Window.partitionBy("key")
 
     def like(batches):
         for batch in batches:
             got = [similarity_of(a, b, params.sketch) >= params.similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(got, pa.bool_()))
 
-    edges = None
+    edges, grouped, width = None, None, LEADERS
     while True:
-        rows = settle(led(rows), "buckets")
-        pairs = rows.where(F.col("bits") <= params.radius).select("rep", "leader").distinct()
+        if grouped is not None:
+            rows = rows.join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", "central", F.coalesce("component", "rep").alias("part"))
+        else:
+            rows = rows.withColumn("part", F.col("rep"))
+        rank = F.row_number().over(bucket.orderBy(F.desc("central"), "rep"))
+        rows = rows.select("*", rank.alias("rank"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low != high")
+        rows = settle(rows.select("key", "rep", "central", "part", "rank"), "buckets")
+        if edges is not None and rows.isEmpty():
+            break
+        heads = rows.where(F.col("rank") <= width).select("key", F.col("rep").alias("leader"), F.col("part").alias("other"), F.col("rank").alias("before"))
+        pairs = rows.join(heads, "key").where("before < rank AND part != other").select("rep", "leader").distinct()
+        prints = classes.select("rep", "fp", "fp2")
+        pairs = pairs.join(prints, "rep").join(prints.select(F.col("rep").alias("leader"), F.col("fp").alias("gp"), F.col("fp2").alias("gp2")), "leader")
+        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= params.radius) | (F.bit_count(F.col("fp2").bitwiseXOR(F.col("gp2"))) <= params.second)
         left = classes.select(F.col("rep"), F.col("sketch").alias("a"))
         right = classes.select(F.col("rep").alias("leader"), F.col("sketch").alias("b"))
-        joined = pairs.join(left, "rep").join(right, "leader").select("rep", "leader", "a", "b")
-        found = settle(joined.mapInArrow(like, f"rep {kind}, leader {kind}"), "links")
+        joined = pairs.where(near).select("rep", "leader").join(left, "rep").join(right, "leader").select("rep", "leader", "a", "b")
+        found = settle(joined.mapInArrow(B.frugal(like), f"rep {kind}, leader {kind}"), "links")
         edges = found if edges is None else edges.unionByName(found)
-        rows = rows.join(found, ["rep", "leader"], "left_anti").select("rep", "fp", "key")
-        if rows.isEmpty():
-            break
-    grouped = components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+        grouped = settle(components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "groups")
+        rows, width = rows.where(F.col("rank") > width).select("key", "rep", "central"), width * MORE
     return members.join(grouped, F.col("rep") == F.col("node"), "left").select(id_column, F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -28,6 +28,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 512 << 20
 #: Neighbouring records are read with one request up to so many bytes.
 READ_BYTES = 4 << 20
+#: Compressed bytes that a task reads, and tasks that read indexes at most.
+TASK_BYTES, MOST_TASKS = 16 << 20, 2000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -125,7 +127,7 @@ class _Package:
         self.at += len(data)
         self.count += 1
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.member.close()
         self.lines.append(self.index.flush())
         plain = zlib.decompressobj()
@@ -135,11 +137,11 @@ class _Package:
             index.write(plain.flush())
         self.zip.close()
         self.out.close()
-        return self.uri, self.count
+        return self.uri, self.count, self.at
 
 
 def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 1000, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Write one record per (page_id, url, html) row; returns a settled table (uri, records) of the finished packages.
+    """Write one record per (page_id, url, html) row; returns a settled table (uri, records, bytes) of the finished packages.
 
     A null html is an empty payload. Of equal payloads of least_bytes or more, the one with the largest page_id is the
     response and the others revisit it; rows that share that page_id are all responses, as is a row with a null id.
@@ -163,9 +165,9 @@ def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 1000, pa
                     package = None
         if package:
             finished.append(package.close())
-        yield pd.DataFrame(finished, columns=["uri", "records"])
+        yield pd.DataFrame(finished, columns=["uri", "records", "bytes"])
 
-    return settle(ids.mapInPandas(work, "uri string, records bigint"), "packages")
+    return settle(ids.mapInPandas(work, "uri string, records bigint, bytes bigint"), "packages")
 
 
 def read_index(packages: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def read_index(packages: DataFrame) -> DataFrame:
                         found = [json.loads(x) for x in lines]
                         yield pd.DataFrame({"uri": [uri] * len(found), "page_id": [None if x["page_id"] is None else str(x["page_id"]) for x in found], "refers_to": [None if x["refers_to"] is None else str(x["refers_to"]) for x in found], "offset": [base + x["offset"] for x in found], "length": [x["length"] for x in found]})
 
-    rows = packages.select("uri").repartition("uri").mapInPandas(work, "uri string, page_id string, refers_to string, offset bigint, length bigint")
+    rows = packages.select("uri").repartition(max(1, min(packages.count(), MOST_TASKS)), "uri").mapInPandas(work, "uri string, page_id string, refers_to string, offset bigint, length bigint")
     return rows.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
@@ -202,8 +204,11 @@ def _ranges(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]
         i = j
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload) of the records that the index names, read by range."""
+def read_records(index: DataFrame, tasks: int = 64) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload) of the records that the index names, read by range.
+
+    tasks: index rows are few bytes but stand for large records, so how many tasks read them is said outright.
+    """
 
     def work(frames):
         for frame in frames:
@@ -220,7 +225,7 @@ def read_records(index: DataFrame) -> DataFrame:
                             rows.append((None if own == "None" else own, headers["warc-target-uri"], headers["warc-type"], other, payload))
                         yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload"])
 
-    dealt = index.withColumn("part", F.floor(F.col("offset") / READ_BYTES)).repartition("uri", "part").sortWithinPartitions("uri", "offset").drop("part")
+    dealt = index.withColumn("part", F.floor(F.col("offset") / READ_BYTES)).repartition(tasks, "uri", "part").sortWithinPartitions("uri", "offset").drop("part")
     rows = dealt.mapInPandas(work, "page_id string, url string, record_type string, refers_to string, payload binary")
     return rows.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
@@ -231,7 +236,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, *, least_bytes: int = 1000
     A revisit's payload is that of the response it refers to.
     """
     packages = write_packages(pages, new_path(spark, "archives"), least_bytes=least_bytes)
-    seen = read_records(read_index(packages)).select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    size = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    seen = read_records(read_index(packages), max(8, -(-size // TASK_BYTES))).select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     seen = settle(seen, "records")
     heads = seen.where("record_type = 'response'").select(F.col("page_id").alias("head"), F.col("payload_bytes").alias("head_bytes"), F.col("payload_digest").alias("head_digest")).distinct()
     revisits = seen.where("record_type = 'revisit'").join(heads, F.col("refers_to") == F.col("head"), "left").select("page_id", F.col("head_bytes").alias("payload_bytes"), F.col("head_digest").alias("payload_digest"), "record_type", "refers_to")

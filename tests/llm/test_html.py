@@ -11,6 +11,13 @@ def test_presentation_alone():
     assert extract("") == "" and extract("plain 1 < 2 &lt; 3") == "plain 1 < 2 < 3"
     assert extract("<div>a</div><div>b<span>c</span></div>") == "a bc"
     assert extract("<p>a<!-- unclosed") == "a"
+    assert extract("x<script>1</script>y<my-tag>z</my-tag><ul><li>1<li>2</ul>") == "xyz 1 2"
+
+
+def test_a_wrapper_s_name_does_not_hide_its_article():
+    assert extract("<div class='page with-sidebar'><div class='sidebar'>s</div><article>text<div class='notice'>n</div><div class='article-header'>h</div></article></div>") == "text h"
+    assert extract("<article>text</article><section class='comments'><article>first!</article></section><article class='comment'>me too</article>") == "text"
+    assert extract("<header><h1>Site</h1></header><main><header><h1>Title</h1></header>body</main>") == "Title body"
 
 
 def page(i):
