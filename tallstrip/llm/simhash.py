@@ -142,14 +142,11 @@ def near_duplicates(documents: DataFrame, params: Params = Params(), *, id_colum
 
 @dataclass(frozen=True)
 class CopyParams:
-    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. radius, second: differing bits of
-    two independent word-set fingerprints that are looked into. sketch: least shingle hashes kept per text; smaller sets are kept whole and
-    compared exactly, larger ones by the least of both."""
+    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. sketch: least shingle hashes
+    kept per text; smaller sets are kept whole and compared exactly, larger ones by the least of both."""
 
     shingle: int = 5
     similarity: float = 0.8
-    radius: int = 6
-    second: int = 4
     sketch: int = 256
 
 
@@ -163,37 +160,29 @@ def _ragged_unique(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return values[new], np.bincount(owner[new], minlength=len(counts))
 
 
-def _majority(values: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Per run of hashes: the bits that over half of them have."""
-    fp, some = np.zeros(len(count), np.uint64), count > 0
-    if some.any():
-        place = (np.cumsum(count) - count)[some]
-        for bit in range(64):
-            ones = np.add.reduceat((values >> np.uint64(bit)) & np.uint64(1), place)
-            fp[some] |= (2 * ones > count[some]).astype(np.uint64) << np.uint64(bit)
-    return fp
-
-
-def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Two fingerprints of each text's set of words, and the least hashes of its set of shingles."""
+def _shingles(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes of each text's set of shingles, sorted within it, how many they are, and a digest of its words."""
     raw, offsets = B.buffers(texts)
     raw = B.LOWER[raw]
     starts, ends, first = B.words(raw, offsets, B.SPACED)
     names, n = B.word_hashes(raw, starts, ends), np.diff(first)
-    own, count = _ragged_unique(names, n)
-    fp, fp2 = _majority(own, count), _majority(B.mix(own), count)
     size = np.minimum(n, params.shingle)
     spans = np.where(n > 0, n - size + 1, 0)
     at = B.expand(first[:-1], spans)
-    shingles = B.span_hash(B.prefix_sums(names), at, at + np.repeat(size, spans))
-    shingles, spans = _ragged_unique((shingles >> np.uint64(32)).astype(np.uint32), spans)
-    end = np.cumsum(spans)
-    return fp, fp2, [shingles[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), spans.tolist(), strict=True)]
+    values, counts = _ragged_unique(B.span_hash(B.prefix_sums(names), at, at + np.repeat(size, spans)), spans)
+    return values, counts, [xxhash.xxh3_128_digest(names[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Size of each text's set of shingles, a digest of its words, and the least hashes of the set."""
+    values, counts, digests = _shingles(texts, params)
+    end = np.cumsum(counts)
+    return counts, digests, [values[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), counts.tolist(), strict=True)]
 
 
 def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
     """Jaccard similarity of two sets given by their least hashes; two empty sets are equal."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.union1d(x, y)
     if len(x) >= sketch or len(y) >= sketch:
         both = both[:sketch]
@@ -201,76 +190,131 @@ def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
     return float(np.isin(both, shared, assume_unique=True).mean()) if len(both) else 1.0
 
 
-PAIR = np.dtype([("key", "u8"), ("rep", "i8")])
-#: Bytes of packed keys that meet in a bucket, and texts whose keys are made at a time.
-BUCKET_BYTES, KEYED_ROWS = 12 << 20, 2000
+PAIR = np.dtype([("key", "u8"), ("rep", "i8"), ("size", "i8")])
+#: Bytes of packed keys that meet in a bucket.
+BUCKET_BYTES = 12 << 20
+#: Shingles that stand last in the order of keys: those in so many texts at least, and the most frequent of them.
+#: Any order finds the same pairs; one with frequent shingles last makes small buckets.
+OFTEN, LAST = 16, 100_000
+#: Shingles of a task that are counted at a time.
+COUNTED = 4 << 20
 #: Texts of a bucket that all others of it are compared with in the first round, and how many times as many in each
 #: further one.
 LEADERS, MORE = 1, 8
 
 
-def _send_keys(params: CopyParams, buckets: int):
-    """From each class its masked fingerprints, packed by buckets of their hashes."""
-    first, second = (np.array(masks(r), np.uint64) for r in (params.radius, params.second))
-    salt = B.mix(np.arange(1, len(first) + len(second) + 1, dtype=np.uint64))
+def _repeated(params: CopyParams):
+    """Shingles that several texts of a task have, with how many."""
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, len(batch), KEYED_ROWS):
-                part = batch.slice(at, KEYED_ROWS)
-                rep, fp, fp2 = (part.column(i).to_numpy() for i in range(3))
-                keys = np.hstack([fp.view(np.uint64)[:, None] & first, fp2.view(np.uint64)[:, None] & second])
-                rows = np.empty(keys.size, PAIR)
-                rows["key"], rows["rep"] = B.mix(keys + salt).ravel(), np.repeat(rep, keys.shape[1])
-                bucket = ((rows["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                values, starts = np.unique(bucket[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([x.tobytes() for x in np.split(rows[order], starts[1:])], pa.binary())], names=["bucket", "data"])
+        held, n = [], 0
+
+        def summed():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, counts = values[counts > 1], counts[counts > 1]
+            for i in range(0, len(values), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000], pa.int64())], names=["shingle", "n"])
+
+        for piece in B.slices(batches, "text"):
+            values, _, _ = _shingles(piece.column(1), params)
+            held.append(values)
+            n += len(values)
+            if n >= COUNTED:
+                yield from summed()
+                held, n = [], 0
+        if n:
+            yield from summed()
+
+    return work
+
+
+def prefix_sizes(counts: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first elements, in one order of all elements, sets must show for any two of the similarity to have one
+    of these in common: |a & b| >= similarity * |a|, so not all the shared ones can stand behind them."""
+    return counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + (counts > 0)
+
+
+def _send_keys(params: CopyParams, frequent: np.ndarray, classes: np.ndarray, buckets: int):
+    """From each text the first shingles of its set, packed by buckets; frequent ones (sorted, with classes of their
+    frequency) come last."""
+
+    def work(batches):
+        for piece in B.slices(batches, "text"):
+            values, counts, _ = _shingles(piece.column(1), params)
+            if not len(values):
+                continue
+            often = np.zeros(len(values), np.int8)
+            if len(frequent):
+                place = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+                known = frequent[place] == values
+                often[known] = classes[place[known]]
+            owner = np.repeat(np.arange(len(counts)), counts)
+            values = values[np.lexsort((values, often, owner))]
+            shown = prefix_sizes(counts, params.similarity)
+            rows = np.empty(int(shown.sum()), PAIR)
+            rows["key"] = values[B.expand(np.cumsum(counts) - counts, shown)]
+            rows["rep"], rows["size"] = np.repeat(piece.column(0).to_numpy(), shown), np.repeat(counts, shown)
+            bucket = ((rows["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.tobytes() for x in np.split(rows[order], starts[1:])], pa.binary())], names=["bucket", "data"])
 
     return work
 
 
 def _shared(key, table):
-    """Keys that several classes have: (key, rep, n), n being how many."""
+    """Keys that several texts have: (key, rep, size, n), n being how many."""
     rows = np.concatenate([np.frombuffer(x, PAIR) for x in table.column("data").to_pylist()])
-    rows = rows[np.lexsort((rows["rep"], rows["key"]))]
+    rows = rows[np.lexsort((rows["size"], rows["rep"], rows["key"]))]
     new = np.ones(len(rows), bool)
     new[1:] = rows["key"][1:] != rows["key"][:-1]
     at = np.flatnonzero(new)
     n = np.repeat(np.diff(np.append(at, len(rows))), np.diff(np.append(at, len(rows))))
     rows, n = rows[n > 1], n[n > 1]
-    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "n": n})
+    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "size": rows["size"], "n": n})
 
 
 def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) per row with a non-null id: groups of texts whose shingle sets have the given similarity.
 
-    Candidates come from covering tables over fingerprints of the texts' sets of words, which a few edited words hardly
-    move: an edit touches one word but as many shingles as they have words. In each
+    Candidates share one of the first shingles of their sets (`prefix_sizes`), in an order that has frequent ones last:
+    no pair of the similarity lacks one, wherever and however the texts differ. In each
     round the texts of a bucket are compared with the one, then the few that share most buckets with others (edited copies have their
     original in common), which then leave it. Texts that a round has joined need no comparison, so a bucket whose texts
     are one group is done; in others more leave in each further round. Every pair that shares a bucket has then
-    been compared or joined, in rounds that grow as the logarithm of the largest bucket.
-    Texts of equal sketch and fingerprint are one class throughout.
-    Texts without words are copies of each other. Rows with equal ids are one text with the smaller sketch.
+    been compared or joined, unless the sizes of its sets alone rule the similarity out, in rounds that grow as the
+    logarithm of the largest bucket.
+    Texts of equal words are one class throughout.
+    Texts without words are copies of each other. Rows with equal ids are one text: what is similar to one of them is
+    similar to it.
     """
     kind = "bigint"
+    docs = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+
+    def digesting(batches):
+        for piece in B.slices(batches, "text"):
+            _, _, digests = _shingles(piece.column(1), params)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary())], names=["id", "digest"])
+
+    made = settle(docs.mapInArrow(B.frugal(digesting), f"id {kind}, digest binary"), "digests")
+    classes = settle(made.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    members = made.join(classes, "digest").select(F.col("id").alias(id_column), "rep")
+    texts = settle(docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "text"), "texts")
 
     def sketching(batches):
-        for piece in B.slices(batches, text_column, 1 << 20):
-            fp, fp2, sketch = _sketches(piece.column(1), params)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(sketch, pa.binary())], names=[id_column, "fp", "fp2", "sketch"])
-
-    made = settle(documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(B.frugal(sketching), f"`{id_column}` {kind}, fp bigint, fp2 bigint, sketch binary"), "sketches")
-    by_class = made.groupBy("fp", F.sha2("sketch", 256).alias("digest"))
-    classes = settle(by_class.agg(F.min(id_column).alias("rep"), F.min("fp2").alias("fp2"), F.min("sketch").alias("sketch")), "classes")
-    members = made.select(id_column, "fp", F.sha2("sketch", 256).alias("digest")).join(classes.select("fp", "digest", "rep"), ["fp", "digest"]).select(id_column, "rep")
-    tables = len(masks(params.radius)) + len(masks(params.second))
-    buckets = max(1, -(-classes.count() * tables * PAIR.itemsize // BUCKET_BYTES))
-    sent = classes.select("rep", "fp", "fp2").mapInArrow(B.frugal(_send_keys(params, buckets)), "bucket bigint, data binary")
-    rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, n bigint"), "buckets")
+        for piece in B.slices(batches, "text"):
+            _, _, sketch = _sketches(piece.column(1), params)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sketch, pa.binary())], names=["rep", "sketch"])
+
+    counted = texts.mapInArrow(B.frugal(_repeated(params)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    last = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(LAST).toPandas().sort_values("shingle", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    frequent, often = last["shingle"].to_numpy(np.int64).view(np.uint64), np.log2(last["n"].to_numpy(np.float64)).astype(np.int8)
+    words = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 6
+    buckets = max(1, -(-int(words * (1 - params.similarity)) * PAIR.itemsize // BUCKET_BYTES))
+    sent = texts.mapInArrow(B.frugal(_send_keys(params, frequent, often, buckets)), "bucket bigint, data binary")
+    rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, size bigint, n bigint"), "buckets")
     central = settle(rows.groupBy("rep").agg(F.sum("n").alias("central")), "central")
-    rows = rows.select("key", "rep").join(central, "rep")
+    rows = rows.select("key", "rep", "size").join(central, "rep")
     bucket = Window.partitionBy("key")
 
     def like(batches):
@@ -281,26 +325,24 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     edges, grouped, width = None, None, LEADERS
     while True:
         if grouped is not None:
-            rows = rows.join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", "central", F.coalesce("component", "rep").alias("part"))
+            rows = rows.join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "central", F.coalesce("component", "rep").alias("part"))
         else:
             rows = rows.withColumn("part", F.col("rep"))
-        rank = F.row_number().over(bucket.orderBy(F.desc("central"), "rep"))
+        rank = F.row_number().over(bucket.orderBy(F.desc("central"), "rep", "size"))
         rows = rows.select("*", rank.alias("rank"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low != high")
-        rows = settle(rows.select("key", "rep", "central", "part", "rank"), "buckets")
+        rows = settle(rows.select("key", "rep", "size", "central", "part", "rank"), "buckets")
         if edges is not None and rows.isEmpty():
             break
-        heads = rows.where(F.col("rank") <= width).select("key", F.col("rep").alias("leader"), F.col("part").alias("other"), F.col("rank").alias("before"))
-        pairs = rows.join(heads, "key").where("before < rank AND part != other").select("rep", "leader").distinct()
-        prints = classes.select("rep", "fp", "fp2")
-        pairs = pairs.join(prints, "rep").join(prints.select(F.col("rep").alias("leader"), F.col("fp").alias("gp"), F.col("fp2").alias("gp2")), "leader")
-        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= params.radius) | (F.bit_count(F.col("fp2").bitwiseXOR(F.col("gp2"))) <= params.second)
-        left = classes.select(F.col("rep"), F.col("sketch").alias("a"))
-        right = classes.select(F.col("rep").alias("leader"), F.col("sketch").alias("b"))
-        joined = pairs.where(near).select("rep", "leader").join(left, "rep").join(right, "leader").select("rep", "leader", "a", "b")
+        heads = rows.where(F.col("rank") <= width).select("key", F.col("rep").alias("leader"), F.col("size").alias("of"), F.col("part").alias("other"), F.col("rank").alias("before"))
+        fits = F.least("size", "of") >= params.similarity * F.greatest("size", "of") - 1e-9
+        pairs = settle(rows.join(heads, "key").where("before < rank AND part != other").where(fits).select("rep", "leader").distinct(), "pairs")
+        needed = pairs.select("rep").union(pairs.select("leader")).distinct()
+        sets = texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(sketching), f"rep {kind}, sketch binary")
+        joined = pairs.join(sets.select("rep", F.col("sketch").alias("a")), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("sketch").alias("b")), "leader").select("rep", "leader", "a", "b")
         found = settle(joined.mapInArrow(B.frugal(like), f"rep {kind}, leader {kind}"), "links")
         edges = found if edges is None else edges.unionByName(found)
         grouped = settle(components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "groups")
-        rows, width = rows.where(F.col("rank") > width).select("key", "rep", "central"), width * MORE
+        rows, width = rows.where(F.col("rank") > width).select("key", "rep", "size", "central"), width * MORE
     return members.join(grouped, F.col("rep") == F.col("node"), "left").select(id_column, F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -103,3 +103,16 @@ def test_sketch_similarity_is_exact_for_small_sets():
     _, _, (a, b) = simhash._sketches(pa.array([" ".join(map(str, range(60))), " ".join(map(str, range(50)))]), simhash.CopyParams())
     x, y = ({tuple(range(i, i + 5)) for i in range(n - 4)} for n in (60, 50))
     assert np.isclose(simhash.similarity_of(a, b, 256), len(x & y) / len(x | y))
+
+
+def test_block_edits_and_appended_passages_are_found(spark):
+    rng = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    fresh = lambda n: [f"new{rng.randrange(10**9)}" for _ in range(n)]
+    line, docs = "a line that very many of the texts here have in common".split(), []
+    for g in range(40):
+        said = [rng.choice(vocabulary) for _ in range(220)] + line
+        at = rng.randrange(180)
+        docs += [(g * 10, said), (g * 10 + 1, said[:at] + fresh(18) + said[at + 18 :]), (g * 10 + 2, said + fresh(45))]
+    rows = simhash.near_copies(frame(spark, [(d, " ".join(x)) for d, x in docs]).repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {d: d // 10 * 10 for d, _ in docs}
