@@ -142,12 +142,10 @@ def near_duplicates(documents: DataFrame, params: Params = Params(), *, id_colum
 
 @dataclass(frozen=True)
 class CopyParams:
-    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets. sketch: least shingle hashes
-    kept per text; smaller sets are kept whole and compared exactly, larger ones by the least of both."""
+    """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets."""
 
     shingle: int = 5
     similarity: float = 0.8
-    sketch: int = 256
 
 
 def _ragged_unique(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,20 +172,20 @@ def _shingles(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarr
 
 
 def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Size of each text's set of shingles, a digest of its words, and the least hashes of the set."""
+    """Size of each text's set of shingles, a digest of its words, and the whole set."""
     values, counts, digests = _shingles(texts, params)
     end = np.cumsum(counts)
-    return counts, digests, [values[b - k : b - k + min(k, params.sketch)].tobytes() for b, k in zip(end.tolist(), counts.tolist(), strict=True)]
+    return counts, digests, [values[b - k : b].tobytes() for b, k in zip(end.tolist(), counts.tolist(), strict=True)]
 
 
-def similarity_of(a: bytes, b: bytes, sketch: int) -> float:
-    """Jaccard similarity of two sets given by their least hashes; two empty sets are equal."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def similarity_of(a: bytes, b: bytes, least: int | None = None) -> float:
+    """Jaccard similarity of two sets; of their `least` least hashes only, if that is given. Two empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint64)[:least], np.frombuffer(b, np.uint64)[:least]
     both = np.union1d(x, y)
-    if len(x) >= sketch or len(y) >= sketch:
-        both = both[:sketch]
+    if least and max(len(x), len(y)) >= least:
+        both = both[:least]
     shared = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, shared, assume_unique=True).mean()) if len(both) else 1.0
+    return np.isin(both, shared, assume_unique=True).sum() / len(both) if len(both) else 1.0
 
 
 PAIR = np.dtype([("key", "u8"), ("rep", "i8"), ("size", "i8")])
@@ -284,7 +282,7 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     are one group is done; in others more leave in each further round. Every pair that shares a bucket has then
     been compared or joined, unless the sizes of its sets alone rule the similarity out, in rounds that grow as the
     logarithm of the largest bucket.
-    Texts of equal words are one class throughout.
+    Whole shingle sets decide, however long the texts are. Texts of equal words are one class throughout.
     Texts without words are copies of each other. Rows with equal ids are one text: what is similar to one of them is
     similar to it.
     """
@@ -301,10 +299,10 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     members = made.join(classes, "digest").select(F.col("id").alias(id_column), "rep")
     texts = settle(docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "text"), "texts")
 
-    def sketching(batches):
+    def listing(batches):
         for piece in B.slices(batches, "text"):
-            _, _, sketch = _sketches(piece.column(1), params)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sketch, pa.binary())], names=["rep", "sketch"])
+            _, _, whole = _sketches(piece.column(1), params)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(whole, pa.binary())], names=["rep", "whole"])
 
     counted = texts.mapInArrow(B.frugal(_repeated(params)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     last = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(LAST).toPandas().sort_values("shingle", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
@@ -319,7 +317,7 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
 
     def like(batches):
         for batch in batches:
-            got = [similarity_of(a, b, params.sketch) >= params.similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            got = [similarity_of(a, b) >= params.similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(got, pa.bool_()))
 
     edges, grouped, width = None, None, LEADERS
@@ -337,8 +335,8 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
         fits = F.least("size", "of") >= params.similarity * F.greatest("size", "of") - 1e-9
         pairs = settle(rows.join(heads, "key").where("before < rank AND part != other").where(fits).select("rep", "leader").distinct(), "pairs")
         needed = pairs.select("rep").union(pairs.select("leader")).distinct()
-        sets = texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(sketching), f"rep {kind}, sketch binary")
-        joined = pairs.join(sets.select("rep", F.col("sketch").alias("a")), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("sketch").alias("b")), "leader").select("rep", "leader", "a", "b")
+        sets = texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(listing), f"rep {kind}, whole binary")
+        joined = pairs.join(sets.select("rep", F.col("whole").alias("a")), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("whole").alias("b")), "leader").select("rep", "leader", "a", "b")
         found = settle(joined.mapInArrow(B.frugal(like), f"rep {kind}, leader {kind}"), "links")
         edges = found if edges is None else edges.unionByName(found)
         grouped = settle(components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "groups")

@@ -116,3 +116,15 @@ def test_block_edits_and_appended_passages_are_found(spark):
         docs += [(g * 10, said), (g * 10 + 1, said[:at] + fresh(18) + said[at + 18 :]), (g * 10 + 2, said + fresh(45))]
     rows = simhash.near_copies(frame(spark, [(d, " ".join(x)) for d, x in docs]).repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in rows} == {d: d // 10 * 10 for d, _ in docs}
+
+
+def test_long_texts_are_decided_by_whole_sets(spark):
+    rng = random.Random(3)
+    docs, want = [], {}
+    for g in range(60):
+        said = [f"w{rng.randrange(10**9)}" for _ in range(1204)]
+        changed = 130 if g % 2 else 136  # of 1200 shingles: similarity 0.805 or 0.796
+        other = said[:500] + [f"x{rng.randrange(10**9)}" for _ in range(changed - 4)] + said[500 + changed - 4 :]
+        docs += [(g * 10, " ".join(said)), (g * 10 + 1, " ".join(other))]
+        want |= {g * 10: g * 10, g * 10 + 1: g * 10 if g % 2 else g * 10 + 1}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, docs)).collect()} == want
