@@ -1,8 +1,10 @@
 """Best-fit packing by hierarchical residual packing.
 
 Each task tokenises its documents, cuts what is too long, packs its pieces best-fit and closes the nearly full
-sequences. The underfull ones become items of the next round, where the leavings of several tasks meet, and so on up a
-tree until one group is left. One that is less than three quarters full is taken apart first.
+sequences. All underfull ones become items of the next rounds, where they are dealt at random to as many groups as they
+fill, so that each group has all lengths; this goes on while a round saves a sequence a group. What few sequences that
+could still be joined meet up a tree until one group is left. One that is less than three quarters full is taken apart
+first.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from ._work import settle
 @dataclass(frozen=True)
 class Params:
     """capacity: tokens in a sequence. vocabulary: file of the byte-level BPE in ranks form, special: its text of a
-    special token and that token's id; end: id put after each document. fan: groups that meet in a round. open_bins:
-    underfull sequences a group hands on. Over half full ones can only take less than half full ones, of which best-fit
-    leaves one a group at most, so handing on more than fan of them gains nothing."""
+    special token and that token's id; end: id put after each document. fan: groups that meet in a round of the tree.
+    open_bins: emptiest sequences a group hands on there, after rounds of all underfull ones have stopped saving any.
+    dealt: pieces of a group in those rounds."""
 
     capacity: int = 2048
     vocabulary: str | None = None
@@ -35,6 +37,7 @@ class Params:
     end: int = 0
     fan: int = 8
     open_bins: int = 64
+    dealt: int = 50_000
 
 
 def _encoder(params: Params):
@@ -87,9 +90,14 @@ class BestFit:
 ITEM = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _rows(packer: BestFit, count: int, group: int, level: int):
-    """Per bin: sequence_id, whether it is closed, and its members."""
-    going = {id(b) for b in packer.emptiest(count)}
+#: A sequence with less room than this share of it is closed.
+SLACK = 1 / 64
+
+
+def _rows(packer: BestFit, count: int | None, group: int, level: int):
+    """Per bin: sequence_id, whether it is closed, and its members. All underfull ones stay open, or the `count` emptiest."""
+    full = packer.capacity * (1 - SLACK)
+    going = {id(b) for b in packer.bins if sum(x["length"] for x in b) <= full} if count is None else {id(b) for b in packer.emptiest(count)}
     for i, members in enumerate(packer.bins):
         yield (level << 58) | (group << 30) | i, id(members) not in going, members
 
@@ -117,14 +125,14 @@ def _first_round(params: Params):
         packer, group = BestFit(params.capacity), TaskContext.get().partitionId()
         for item in items:
             packer.add(item[3], [dict(zip(_NAMES, item, strict=True))])
-        rows = [(sequence, closed, group, members) for sequence, closed, members in _rows(packer, params.open_bins, group, 0)]
+        rows = [(sequence, closed, group, members) for sequence, closed, members in _rows(packer, None, group, 0)]
         for i in range(0, len(rows), 5000):
             yield _batch(rows[i : i + 5000])
 
     return work
 
 
-def _merge(params: Params, level: int):
+def _merge(params: Params, level: int, count: int | None):
     def work(key, table):
         bins = sorted(table.column("members").to_pylist(), key=lambda m: (-sum(x["length"] for x in m), m[0]["doc_id"] is not None, m[0]["doc_id"] or 0, m[0]["piece"]))
         packer, group = BestFit(params.capacity), key[0].as_py()
@@ -134,7 +142,7 @@ def _merge(params: Params, level: int):
             items += [members] if whole else [[x] for x in members]
         for members in sorted(items, key=lambda m: -sum(x["length"] for x in m)):
             packer.add(sum(x["length"] for x in members), members)
-        return pa.Table.from_batches([_batch([(s, closed, group, m) for s, closed, m in _rows(packer, params.open_bins, group, level)])])
+        return pa.Table.from_batches([_batch([(s, closed, group, m) for s, closed, m in _rows(packer, count, group, level)])])
 
     return work
 
@@ -145,17 +153,26 @@ def pack(documents: DataFrame, params: Params = Params(), *, id_column: str = "d
     A document is its ids and then `params.end`; a null or empty text is that end alone. One longer than the capacity
     is cut into full pieces, the first one shorter. Repeated documents and repeated ids are packed as often as they
     come, a null id stays null; no documents give no rows; other columns are not read. A task holds five numbers per
-    piece, never the ids. Rounds hand on at most `open_bins` sequences a group, so no group grows with the input.
+    piece, never the ids. Groups have about `dealt` pieces in rounds of all underfull sequences, and `open_bins` sequences
+    from each of `fan` groups in the tree above, so no group grows with the input.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     level, bins = 0, settle(docs.mapInArrow(B.frugal(_first_round(params)), _SCHEMA), "bins")
-    done = []
-    groups = bins.agg(F.coalesce(F.max("group") + 1, F.lit(0)).alias("n")).first()["n"]
+    done, groups = [], 1
+    n = bins.agg(F.count(F.when(~F.col("closed"), 1)).alias("open"), F.sum(F.when(~F.col("closed"), F.size("members"))).alias("pieces"), F.countDistinct("group").alias("groups")).first()
+    while n["groups"] > 1 and n["open"]:
+        level, groups, before = level + 1, -(-n["pieces"] // params.dealt), n["open"]
+        done.append(bins.where("closed"))
+        dealt = bins.where("not closed").select(F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).alias("group"), "members")
+        bins = settle(dealt.groupBy("group").applyInArrow(B.frugal(_merge(params, level, None)), _SCHEMA), "bins")
+        n = bins.agg(F.count("*").alias("bins"), F.count(F.when(~F.col("closed"), 1)).alias("open"), F.sum(F.when(~F.col("closed"), F.size("members"))).alias("pieces"), F.lit(groups).alias("groups")).first()
+        if before - n["bins"] < groups:
+            break
     while groups > 1:
         level, groups = level + 1, -(-groups // params.fan)
         done.append(bins.where("closed"))
         upper = bins.where("not closed").select((F.col("group") / params.fan).cast("bigint").alias("group"), "members")
-        bins = settle(upper.groupBy("group").applyInArrow(B.frugal(_merge(params, level)), _SCHEMA), "bins")
+        bins = settle(upper.groupBy("group").applyInArrow(B.frugal(_merge(params, level, params.open_bins)), _SCHEMA), "bins")
     for part in done:
         bins = bins.unionByName(part)
     placed = bins.select("sequence_id", "members", F.expr("transform(members, (m, i) -> aggregate(slice(members, 1, i), 0L, (a, x) -> a + x.length))").alias("offsets"))

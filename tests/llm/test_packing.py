@@ -42,3 +42,11 @@ def test_rounds_join_what_tasks_leave(spark):
 
 def test_no_documents(spark):
     assert pack(frame(spark, [])).count() == 0
+
+
+def test_lengths_that_differ_by_task_are_joined(spark):
+    docs = [(i, "word " * (1100 if i < 300 else 700)) for i in range(600)]
+    for params in (Params(), Params(dealt=250)):
+        rows = pack(frame(spark, docs).repartitionByRange(2, "doc_id"), params).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(600))
+        assert len({r.sequence_id for r in rows}) <= (300 if params.dealt > 600 else 330)
