@@ -1,4 +1,7 @@
-"""Benchmark decontamination: a broadcast set of normalised test n-grams, token windows scanned against it, hits verified."""
+"""Benchmark decontamination: normalised test n-grams, token windows of the documents looked up in them, hits verified.
+
+A small benchmark is broadcast as a set. A larger one stays in Spark: its windows are joined with those of the documents.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._work import settle
 
-#: Bytes of benchmark text broadcast at a time; a larger benchmark is taken in several blocks, each scanned over all documents.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text up to which its set is broadcast.
+BLOCK_BYTES = 2 << 20
+#: Bits, as a power of two, of the sieve that says which windows of documents are worth a join; a fuller one lets more through.
+LEAST_BITS, MOST_BITS = 20, 29
+#: The sieve is put together in pieces of so many bits, as a power of two.
+PIECE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -73,19 +81,103 @@ class NgramSet:
         return first, np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int):
-    """The benchmark in id order, in lists of at most `limit` bytes of text (or one item)."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
-        n = len(row["t"].encode())
-        if ids and size + n > limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row["i"])
-        texts.append(row["t"])
-        size += n
-    if ids:
-        yield ids, texts
+def _kept(text, raw, span, starts, ends, own: np.ndarray, n: int, rule: Rule, remove: str):
+    """What removal leaves of a text whose words `own` are hit; raw, span, starts and ends are its bytes and its words'."""
+    if remove == "documents":
+        return None if len(own) and rule.share * len(own) >= n else text.as_py()
+    if remove != "spans" or not len(own):
+        return text.as_py() if remove == "spans" else None
+    cut = np.ones(span[1] - span[0], bool)
+    for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+        cut[starts[run[0]] - span[0] : ends[run[-1]] - span[0]] = False
+    return raw[span[0] : span[1]][cut].tobytes().decode()
+
+
+def _item_windows(rule: Rule):
+    """(size, said, item) of each window of the benchmark's items; said is its words."""
+
+    def work(batches):
+        for piece in B.slices(batches, "text"):
+            raw, offsets = B.buffers(piece.column(1))
+            raw = B.LOWER[raw]
+            starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
+            n = np.diff(first)
+            size = np.minimum(n, rule.words)
+            spans = np.where(n > 0, n - size + 1, 0)
+            at, sizes, owner = B.expand(first[:-1], spans), np.repeat(size, spans), np.repeat(np.arange(len(n)), spans)
+            h = B.span_hash(B.prefix_sums(B.word_hashes(raw, starts, ends)), at, at + sizes).view(np.int64)
+            for i in range(0, len(at), 10_000):
+                own = slice(i, i + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes[own], pa.int32()), pa.array(h[own]), pa.array(_said(raw, starts, ends, at[own], sizes[own]), pa.binary()), piece.column(0).take(pa.array(owner[own]))], names=["size", "h", "said", "item"])
+
+    return work
+
+
+def _said(raw, starts, ends, at, sizes) -> list[bytes]:
+    return [b" ".join(raw[s:e].tobytes() for s, e in zip(starts[j : j + k], ends[j : j + k], strict=True)) for j, k in zip(at.tolist(), sizes.tolist(), strict=True)]
+
+
+def _sieve_piece(key, table):
+    bits = np.zeros(1 << PIECE_BITS, bool)
+    bits[table.column("slot").to_numpy() & ((1 << PIECE_BITS) - 1)] = True
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _document_windows(rule: Rule, sizes: list[int], shared, bits: int):
+    """(row, at, size, said) of the windows that pass the sieve."""
+
+    def work(batches):
+        for piece in B.slices(batches, "text"):
+            raw, offsets = B.buffers(piece.column(1))
+            raw = B.LOWER[raw]
+            starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
+            sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
+            for size in sizes:
+                n = np.diff(first)
+                spans = np.maximum(n - size + 1, 0)
+                at, owner = B.expand(first[:-1], spans), np.repeat(np.arange(len(n)), spans)
+                h = B.span_hash(sums, at, at + size)
+                slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+                maybe = np.flatnonzero(shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                for i in range(0, len(maybe), 10_000):
+                    own = maybe[i : i + 10_000]
+                    said = _said(raw, starts, ends, at[own], np.full(len(own), size))
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner[own])), pa.array(at[own] - first[owner[own]], pa.int64()), pa.array([size] * len(own), pa.int32()), pa.array(h[own].view(np.int64)), pa.array(said, pa.binary())], names=["row", "at", "size", "h", "said"])
+
+    return work
+
+
+def _joined(docs: DataFrame, items: DataFrame, rule: Rule, remove: str) -> DataFrame:
+    """What scanning gives, for items (item, text) of any size; docs has an id and a text."""
+    spark, (id_column, text_column) = docs.sparkSession, docs.columns
+    kind = docs.schema[id_column].dataType.simpleString()
+    keyed = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"), F.col(id_column).alias("id")), "rows")
+    windows = settle(items.mapInArrow(B.frugal(_item_windows(rule)), "size int, h bigint, said binary, item string").groupBy("size", "h", "said").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
+    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * sum(sizes.values())).bit_length()))
+    slots = windows.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")).distinct().withColumn("piece", F.shiftright("slot", PIECE_BITS))
+    sieve = np.zeros(1 << bits - 3, np.uint8)
+    for r in slots.groupBy("piece").applyInArrow(B.frugal(_sieve_piece), "piece bigint, bits binary").toLocalIterator():
+        sieve[r["piece"] << PIECE_BITS - 3 : r["piece"] + 1 << PIECE_BITS - 3] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(sieve)
+    asked = keyed.select("row", "text").mapInArrow(B.frugal(_document_windows(rule, sorted(sizes), shared, bits)), "row bigint, at bigint, size int, h bigint, said binary")
+    hits = asked.join(windows, ["size", "h", "said"]).select("row", "at", "size", "items")
+    hits = hits.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def judge(batches):
+        for piece in B.slices(batches, "text"):
+            text = piece.column(1)
+            raw, offsets = B.buffers(text)
+            starts, ends, first = B.words(B.LOWER[raw], offsets, B.ALPHANUMERIC)
+            n, kept, hit = np.diff(first), [], []
+            for i, (at, size) in enumerate(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)):
+                own = np.unique(B.expand(np.array(at, np.int64), np.array(size, np.int64))) if at else np.zeros(0, np.int64)
+                hit.append(own)
+                kept.append(_kept(text[i], raw, offsets[i : i + 2], starts[first[i] :], ends[first[i] :], own, n[i], rule, remove))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in hit], pa.int64()), piece.column(4), pa.array(kept, pa.string())], names=[id_column, "n_words", "n_hit", "item_ids", "kept_text"])
+
+    met = keyed.join(hits, "row", "left").select("id", "text", "at", "size", F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
+    return met.mapInArrow(B.frugal(judge), f"`{id_column}` {kind}, n_words bigint, n_hit bigint, item_ids array<string>, kept_text string")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", remove: str = "none", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -96,18 +188,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
     hit. remove: "none" leaves kept_text null; "spans" returns the text without the bytes from the first to the last
     word of each hit run; "documents" returns the text of clean documents and null for contaminated ones.
 
-    The set is broadcast in blocks of at most `block_bytes` of benchmark text, however large the benchmark is; each
-    block is scanned against all documents, and the blocks' hits are united per document. Null and empty texts have no
+    Up to `block_bytes` of benchmark text are broadcast as a set. Windows of a larger benchmark are joined with those
+    windows of the documents that pass a sieve of bounded size, with the same results. Null and empty texts have no
     words; repeated documents and items are judged row by row; an empty benchmark hits nothing; ids pass through as
     they are; other columns are not read.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_column].dataType.simpleString()
-    blocks = list(_blocks(benchmark, item_column, item_text, block_bytes)) or [([], [])]
     docs = documents.select(id_column, text_column)
-    if len(blocks) > 1:
-        docs = docs.withColumn("row_key", F.xxhash64(id_column, text_column))
-    keyed = "row_key" in docs.columns
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    contaminated = ((F.col("n_hit") > 0) & (F.col("n_hit") * rule.share >= F.col("n_words"))).alias("contaminated")
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] > block_bytes:
+        return _joined(docs, items, rule, remove).select(id_column, "n_words", "n_hit", "item_ids", contaminated, "kept_text")
+    rows = items.orderBy("item", "text").collect()
 
     def scanning(block):
         shared = spark.sparkContext.broadcast(NgramSet(*block, rule))
@@ -122,36 +215,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
                 for i in range(len(piece)):
                     own = np.flatnonzero(hit[first[i] : first[i + 1]])
                     rows["hits"].append(own)
-                    kept = None
-                    if remove == "documents":
-                        kept = None if len(own) and rule.share * len(own) >= rows["n"][i] else text[i].as_py()
-                    elif remove == "spans":
-                        kept = text[i].as_py()
-                        if len(own):
-                            cut = np.ones(offsets[i + 1] - offsets[i], bool)
-                            runs = np.split(own, np.flatnonzero(np.diff(own) > 1) + 1)
-                            for run in runs:
-                                cut[starts[first[i] + run[0]] - offsets[i] : ends[first[i] + run[-1]] - offsets[i]] = False
-                            kept = raw[offsets[i] : offsets[i + 1]][cut].tobytes().decode()
+                    kept = _kept(text[i], raw, offsets[i : i + 2], starts[first[i] :], ends[first[i] :], own, rows["n"][i], rule, remove)
                     rows["kept"].append(kept)
                 arrays = [rows["ids"], pa.array(rows["n"], pa.int64()), pa.array(rows["hits"], pa.list_(pa.int32())), pa.array(rows["items"], pa.list_(pa.string())), pa.array(rows["kept"], pa.string())]
                 names = [id_column, "n_words", "hits", "item_ids", "kept_text"]
-                if keyed:
-                    arrays, names = [*arrays, piece.column(2)], [*names, "row_key"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        schema = f"`{id_column}` {kind}, n_words bigint, hits array<int>, item_ids array<string>, kept_text string" + ", row_key bigint" * keyed
+        schema = f"`{id_column}` {kind}, n_words bigint, hits array<int>, item_ids array<string>, kept_text string"
         return docs.mapInArrow(B.frugal(scan), schema)
 
-    found = scanning(blocks[0])
-    if keyed:
-        if remove != "none":
-            raise ValueError("removal takes a benchmark of one block; raise block_bytes, or remove by the returned hits")
-        for block in blocks[1:]:
-            found = found.unionByName(scanning(block))
-        found = found.groupBy(id_column, "row_key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.lit(None).cast("string").alias("kept_text"))
-    n_hit = F.size("hits").cast("long")
-    return found.select(id_column, "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), ((n_hit > 0) & (n_hit * rule.share >= F.col("n_words"))).alias("contaminated"), "kept_text")
+    found = scanning(([r["item"] for r in rows], [r["text"] for r in rows])).withColumn("n_hit", F.size("hits").cast("long"))
+    return found.select(id_column, "n_words", "n_hit", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), contaminated, "kept_text")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), *, id_column: str = "doc_id") -> DataFrame:

@@ -55,3 +55,11 @@ def test_removal_and_edges(spark):
     assert decontaminate(frame(spark, []), bench).count() == 0
     none = decontaminate(frame(spark, docs), bench.where("item_id < 0"), Rule()).collect()
     assert [r.n_hit for r in none] == [0, 0, 0]
+
+
+def test_rows_and_removal_do_not_depend_on_the_benchmark_s_size(spark):
+    docs = texts() + [(1001, "say short one twice"), (1001, "say short one twice")]
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    for remove in ("none", "spans", "documents"):
+        small, large = (sorted(map(repr, decontaminate(frame(spark, docs), bench, remove=remove, block_bytes=n).collect())) for n in (1 << 20, 10))
+        assert small == large and len(small) == len(docs)
