@@ -72,11 +72,22 @@ def _prior(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
     return mark, name
 
 
-def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
+class Path:
+    """A container's place in its page. The key is its tag and a hash chained over its own and its ancestors' names, as
+    short at any depth."""
+
+    __slots__ = ("above", "key")
+
+    def __init__(self, above: Path | None, tag: str, name: str):
+        self.above = above
+        self.key = f"{tag}:{hashlib.blake2b(f'{above.key if above else ""}/{name}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
+
+
+def walk(page: str) -> Iterator[tuple[Path | None, bool, bool, str]]:
     """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's start and
     end give a text of one space."""
-    stack: list[tuple[str, str, int, bool]] = []  # tag, path, boilerplate, in article
-    path, bad, inside, at, size = "", OPEN, False, 0, len(page)
+    stack: list[tuple[str, Path | None, int, bool]] = []  # tag, path, boilerplate, in article
+    path, bad, inside, at, size = None, OPEN, False, 0, len(page)
     while at < size:
         m = _tag.search(page, at)
         if m is None:
@@ -95,7 +106,7 @@ def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            _, path, bad, inside = stack[-1] if stack else ("", "", OPEN, False)
+            _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
             continue
         if tag in BLOCKS:  # an unclosed inline element doesn't keep a paragraph or item open
             for i in range(len(stack) - 1, -1, -1):
@@ -105,7 +116,7 @@ def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, path, bad, inside = stack[-1] if stack else ("", "", OPEN, False)
+        _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
@@ -113,36 +124,44 @@ def walk(page: str) -> Iterator[tuple[str, bool, bool, str]]:
             at = end.end() if end else size
             continue
         mark, name = _prior(tag, m[3], inside)
-        path = f"{path}/{name}" if tag in CONTAINERS and path.count("/") < 12 else path
+        path = Path(path, tag, name) if tag in CONTAINERS else path
         if tag in ("article", "main"):
             inside, bad = True, OPEN if bad == SOFT else bad
         bad = max(bad, mark)
         stack.append((tag, path, bad, inside))
 
 
-def _above(path: str) -> list[str]:
-    """The path and the paths above it."""
-    parts = path.split("/")
-    return ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
-
-
 def nodes(page: str) -> dict[str, str]:
     """Digest of the text under each container path that the presentation leaves open."""
     digests: dict[str, hashlib.blake2b] = {}
     for path, bad, _, text in walk(page):
         if path and not bad and not text.isspace():
-            for p in _above(path):
-                if p not in digests:
-                    digests[p] = hashlib.blake2b(digest_size=8)
-                digests[p].update(" ".join(text.split()).encode("utf-8", "replace"))
+            said = " ".join(text.split()).encode("utf-8", "replace")
+            while path:
+                if path.key not in digests:
+                    digests[path.key] = hashlib.blake2b(digest_size=8)
+                digests[path.key].update(said)
+                path = path.above
     return {p: d.hexdigest() for p, d in digests.items()}
 
 
+def _under(path: Path | None, low: frozenset[str], known: dict[Path, bool]) -> bool:
+    """Whether the path or one above it is low."""
+    new = []
+    while path and path not in known:
+        new.append(path)
+        path = path.above
+    found = bool(path) and known[path]
+    for p in reversed(new):
+        known[p] = found = found or p.key in low
+    return found
+
+
 def extract(page: str, low: frozenset[str] = frozenset()) -> str:
     """The page's main text: its articles' if it has any, else all its body's, without what is boilerplate."""
-    every, articles = [], []
+    every, articles, known = [], [], {}
     for path, bad, inside, text in walk(page):
-        if bad or low and not low.isdisjoint(_above(path)):
+        if bad or low and _under(path, low, known):
             continue
         every.append(text)
         if inside:
@@ -171,7 +190,7 @@ def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
     sums = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = sums.where(F.col("m") >= params.pages).withColumn("entropy", F.log("m") - F.col("s") / F.col("m"))
     whole = entropy.withColumn("whole", F.max("entropy").over(Window.partitionBy("host")))
-    tag = F.regexp_extract("path", r"([a-z0-9]+)[^/]*$", 1)
+    tag = F.regexp_extract("path", r"^([a-z0-9]+)", 1)
     low = whole.where((F.col("whole") > 0) & (F.col("entropy") < params.importance * F.col("whole")) & ~tag.isin("body", "article", "main"))
     return low.groupBy("host").agg(F.collect_list("path").alias("low"))
 

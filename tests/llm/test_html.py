@@ -38,3 +38,10 @@ def test_copies_of_one_page_stay(spark):
     rows = [(i, f"http://h.example/{i}", page(1)) for i in range(20)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert {r.text for r in main_text(table).collect()} == {"Same on all pages Story 1 tells 1. Call us"}
+
+
+def test_a_repeated_branch_goes_at_any_depth(spark):
+    deep = lambda inner, n: "<div>" * n + inner + "</div>" * n
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{deep(f'<div class=q1>Same on all pages</div><div class=q2>Story {i} tells {i * i}.</div>', 15)}</body></html>") for i in range(12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Story {i} tells {i * i}." for i in range(12)}
