@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._graph import components
-from ._work import settle
+from ._work import discard, settle
 
 SEED = 42
 
@@ -188,6 +188,37 @@ def similarity_of(a: bytes, b: bytes, least: int | None = None) -> float:
     return np.isin(both, shared, assume_unique=True).sum() / len(both) if len(both) else 1.0
 
 
+#: Bits of a set's parities.
+PARITIES = 2048
+
+
+def parities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per set and slot, whether an odd number of its elements falls into the slot, as packed bits. Two sets differ by
+    at least as many elements as their parities differ by bits."""
+    out, at = np.zeros((len(counts), PARITIES // 8), np.uint8), np.concatenate([[0], np.cumsum(counts)])
+    slot = (values & np.uint64(PARITIES - 1)).astype(np.int64)
+    for i in range(0, len(counts), 500):
+        n = counts[i : i + 500]
+        owner = np.repeat(np.arange(len(n)), n)
+        odd = np.bincount(owner * PARITIES + slot[at[i] : at[i + len(n)]], minlength=len(n) * PARITIES).reshape(len(n), PARITIES) & 1
+        out[i : i + 500] = np.packbits(odd.astype(np.uint8), axis=1)
+    return out
+
+
+def _may_be_like(similarity: float):
+    """Drops the pairs whose parities and sizes rule the similarity out: sets that reach it differ by at most
+    (1 - similarity) / (1 + similarity) of their sizes' sum."""
+
+    def work(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), PARITIES // 64) for i in (2, 3))
+            most = (1 - similarity) / (1 + similarity) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
+            fits = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(fits))
+
+    return work
+
+
 PAIR = np.dtype([("key", "u8"), ("rep", "i8"), ("size", "i8")])
 #: Bytes of packed keys that meet in a bucket.
 BUCKET_BYTES = 12 << 20
@@ -280,7 +311,7 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     round the texts of a bucket are compared with the one, then the few that share most buckets with others (edited copies have their
     original in common), which then leave it. Texts that a round has joined need no comparison, so a bucket whose texts
     are one group is done; in others more leave in each further round. Every pair that shares a bucket has then
-    been compared or joined, unless the sizes of its sets alone rule the similarity out, in rounds that grow as the
+    been compared or joined, unless sizes and parities of its sets are proof that they are less similar, in rounds that grow as the
     logarithm of the largest bucket.
     Whole shingle sets decide, however long the texts are. Texts of equal words are one class throughout.
     Texts without words are copies of each other. Rows with equal ids are one text: what is similar to one of them is
@@ -291,12 +322,14 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
 
     def digesting(batches):
         for piece in B.slices(batches, "text"):
-            _, _, digests = _shingles(piece.column(1), params)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary())], names=["id", "digest"])
+            values, counts, digests = _shingles(piece.column(1), params)
+            odd = [x.tobytes() for x in parities(values, counts)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(odd, pa.binary()), pa.array(counts, pa.int64())], names=["id", "digest", "odd", "size"])
 
-    made = settle(docs.mapInArrow(B.frugal(digesting), f"id {kind}, digest binary"), "digests")
+    made = settle(docs.mapInArrow(B.frugal(digesting), f"id {kind}, digest binary, odd binary, size bigint"), "digests")
     classes = settle(made.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    members = made.join(classes, "digest").select(F.col("id").alias(id_column), "rep")
+    prints = made.select(F.col("id").alias("rep"), "odd", "size").join(classes.select("rep"), "rep", "left_semi").distinct()
+    members = made.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_column), "rep")
     texts = settle(docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "text"), "texts")
 
     def listing(batches):
@@ -310,7 +343,7 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     words = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 6
     buckets = max(1, -(-int(words * (1 - params.similarity)) * PAIR.itemsize // BUCKET_BYTES))
     sent = texts.mapInArrow(B.frugal(_send_keys(params, frequent, often, buckets)), "bucket bigint, data binary")
-    rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, size bigint, n bigint"), "buckets")
+    held = rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, size bigint, n bigint"), "buckets")
     central = settle(rows.groupBy("rep").agg(F.sum("n").alias("central")), "central")
     rows = rows.select("key", "rep", "size").join(central, "rep")
     bucket = Window.partitionBy("key")
@@ -329,15 +362,21 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
         rank = F.row_number().over(bucket.orderBy(F.desc("central"), "rep", "size"))
         rows = rows.select("*", rank.alias("rank"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low != high")
         rows = settle(rows.select("key", "rep", "size", "central", "part", "rank"), "buckets")
+        discard(held)
+        held = rows
         if edges is not None and rows.isEmpty():
             break
         heads = rows.where(F.col("rank") <= width).select("key", F.col("rep").alias("leader"), F.col("size").alias("of"), F.col("part").alias("other"), F.col("rank").alias("before"))
         fits = F.least("size", "of") >= params.similarity * F.greatest("size", "of") - 1e-9
-        pairs = settle(rows.join(heads, "key").where("before < rank AND part != other").where(fits).select("rep", "leader").distinct(), "pairs")
+        pairs = rows.join(heads, "key").where("before < rank AND part != other").where(fits).select("rep", "leader").distinct()
+        told = pairs.join(prints.select("rep", F.col("odd").alias("a"), F.col("size").alias("m")), "rep").join(prints.select(F.col("rep").alias("leader"), F.col("odd").alias("b"), F.col("size").alias("n")), "leader")
+        told = told.select("rep", "leader", "a", "b", "m", "n").mapInArrow(B.frugal(_may_be_like(params.similarity)), f"rep {kind}, leader {kind}")
+        pairs = settle(told.distinct(), "pairs")
         needed = pairs.select("rep").union(pairs.select("leader")).distinct()
         sets = texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(listing), f"rep {kind}, whole binary")
         joined = pairs.join(sets.select("rep", F.col("whole").alias("a")), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("whole").alias("b")), "leader").select("rep", "leader", "a", "b")
         found = settle(joined.mapInArrow(B.frugal(like), f"rep {kind}, leader {kind}"), "links")
+        discard(pairs)
         edges = found if edges is None else edges.unionByName(found)
         grouped = settle(components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "groups")
         rows, width = rows.where(F.col("rank") > width).select("key", "rep", "size", "central"), width * MORE

@@ -128,3 +128,12 @@ def test_long_texts_are_decided_by_whole_sets(spark):
         docs += [(g * 10, " ".join(said)), (g * 10 + 1, " ".join(other))]
         want |= {g * 10: g * 10, g * 10 + 1: g * 10 if g % 2 else g * 10 + 1}
     assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, docs)).collect()} == want
+
+
+def test_parities_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 900, 6000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)]))
+        x, y = simhash.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
