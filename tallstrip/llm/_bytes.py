@@ -1,7 +1,7 @@
 """Vectorised work on the UTF-8 bytes of many texts at once, inside a task.
 
 Texts arrive as Arrow string arrays; the functions here see one byte buffer and the offsets of the texts in it.
-Hashes are polynomials modulo 2**64 taken from prefix sums, each passed through a non-linear mix.
+Hashes chain mixed blocks; polynomials modulo a power of two have whole families of words that collide.
 """
 
 from __future__ import annotations
@@ -13,30 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Odd multipliers without structure.
+_STEP, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
+#: Words longer than so many bytes are hashed one at a time.
+LONG_WORD = 512
 #: Texts are handled in slices of about so many bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
-#: Powers kept from one call to the next.
-KEPT_POWERS = 1 << 20
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if len(_powers["up"]) >= n:
-        return _powers["up"][:n], _powers["down"][:n]
-    made = []
-    for base in (BASE, BASE_INVERSE):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        made.append(np.multiply.accumulate(steps, out=steps))
-    if n <= KEPT_POWERS:
-        _powers["up"], _powers["down"] = made
-    return made[0], made[1]
-
 
 def give_back() -> None:
     """Return freed memory to the system: workers stay alive between tasks, and more of them than run at a time."""
@@ -85,27 +70,67 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of (values[k] + 1) * BASE**k for i <= k < j."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=out[1:])
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def chain_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each span of bytes: blocks of eight go through a mix one after another, so no spans of a certain form
+    collide. Spans of over LONG_WORD bytes are hashed one by one."""
+    eight, length = eights(raw), (ends - starts).astype(np.int64)
+    out = mix(length.astype(np.uint64) * _LEFT + np.uint64(seed))
+    long = np.flatnonzero(length > LONG_WORD)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    left = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+    at, rest = starts[left], length[left]
+    while len(left):
+        block = eight[at] & _MASKS[np.minimum(rest, 8)]
+        out[left] = mix((out[left] ^ block) * _STEP)
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return out
+
+
+def chain_values(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each run of values, taken one after another."""
+    out = mix(lengths.astype(np.uint64) * _LEFT + np.uint64(seed))
+    left = np.flatnonzero(lengths > 0)
+    at, rest = starts[left], lengths[left]
+    while len(left):
+        out[left] = mix((out[left] ^ values[at]) * _STEP)
+        more = rest > 1
+        left, at, rest = left[more], at[more] + 1, rest[more] - 1
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span, whatever its place."""
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` neighbours, from hashes of runs half as long; values must be hashes themselves."""
+    if size > len(values) or size < 1:
+        return values[:0]
+    held, reach = values, 1
+    while 2 * reach <= size:
+        held = mix(held[:-reach] * _LEFT + (held[reach:] ^ np.uint64(reach)) * _RIGHT)
+        reach *= 2
+    if reach < size:
+        rest = size - reach
+        held = mix(held[:-rest] * _RIGHT + (held[rest:] ^ np.uint64(size)) * _LEFT)
+    return held
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = KEPT_POWERS - 1) -> np.ndarray:
-    """span_hash of words in order, with prefix sums over no more than about `step` bytes at a time."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, step: int = 1 << 20) -> np.ndarray:
+    """chain_bytes of words in order, over no more than about `step` bytes at a time."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
         a = starts[i]
-        out[i:j] = span_hash(prefix_sums(raw[a : ends[j - 1]]), starts[i:j] - a, ends[i:j] - a)
+        out[i:j] = chain_bytes(raw[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a, seed)
         i = j
     return out
 

@@ -2,20 +2,26 @@
 
 Texts are dealt to groups by a hash of their identity. A kernel gives each window (so many bytes, or so many words) an
 anchor: a feature inside it that depends on the window's content alone, so equal windows have equal anchors at equal
-distances. Neighbouring windows with one anchor form a stretch. Then
-
-1. groups send their anchors' names, by buckets of names; buckets answer which names occur more than once;
-2. groups send the stretches of those; buckets sort out stretches that are equal as a whole, of which all but the first
-   go, and ask for the content of firsts whose anchor has several different stretches;
-3. groups send that content, and the kernel finds in each bucket the windows that occur earlier elsewhere;
-4. groups apply what was found to their texts.
-
-What moves is packed into arrays, one row per group and bucket. The texts' exchange is the same in all four steps, so
-Spark runs it once.
+distances. A window holds half of what an anchor leaves free before the anchor or behind it; anchor and half together are
+its name. Neighbouring windows with one anchor and half form a stretch. Then
+
+1. groups send their names with how many different stretches each has, by buckets of names; buckets answer which names
+   occur more than once, and which have very many different stretches (hot names);
+2. groups send the first of each kind of stretch under a repeated name, what repeats it in the group being decided
+   there; stretches of hot names are sent as single windows that are named by their whole content, so no bucket grows
+   with the surroundings of a frequent phrase;
+3. buckets keep the first of equal stretches and ask for the content of firsts whose name has several different ones;
+4. groups send that content, and the kernel finds in each bucket the windows that occur earlier elsewhere, comparing it
+   byte by byte or word by word;
+5. groups apply what was found to their texts.
+
+Whole stretches are equal if 128 bits of hashes are. What moves is packed into arrays, one row per group and bucket. The
+texts' exchange is the same in all steps, so Spark runs it once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,103 +32,141 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._work import bytes_of
 
-#: Bytes of text in a group, and of text whose anchors meet in a bucket.
+#: Bytes of text in a group, and of text whose names meet in a bucket.
 GROUP_BYTES = 12 << 20
-#: Bytes of text a kernel looks at together.
-LOOK_BYTES = 1 << 20
+#: Bytes of text a kernel looks at together; longer texts are looked at piece by piece.
+LOOK_BYTES, PIECE_BYTES = 1 << 20, 4 << 20
+#: Different stretches of a name from which its windows are named by their whole content. Results don't depend on it.
+HOT = 4096
+#: Groups whose equal stretches meet before they go to the bucket, where there are more groups.
+FAN = 256
 LEAST = -(1 << 63)
 
-NAME = np.dtype("u8")
-STRETCH = np.dtype([("sym", "u8"), ("seg", "u8"), ("doc", "i8"), ("tie", "i4"), ("group", "i4"), ("w0", "i8"), ("n", "i4"), ("rel", "i4")])
-FOUND = np.dtype([("doc", "i8"), ("tie", "i4"), ("n", "i4"), ("w0", "i8")])
+NAME = np.dtype([("sym", "u8"), ("kinds", "u1")])
+STRETCH = np.dtype([("sym", "u8"), ("seg", "u8"), ("seg2", "u8"), ("doc", "i8"), ("tie", "i8"), ("group", "i4"), ("w0", "i8"), ("n", "i4"), ("rel", "i4")])
+FOUND = np.dtype([("doc", "i8"), ("tie", "i8"), ("n", "i8"), ("w0", "i8")])
 
 
 @dataclass
 class Look:
     """Some texts, and the stretches of their windows: text number, first window (in the text), windows, anchor's
-    distance from the first window, anchor's name, and a hash of all that the stretch covers."""
+    distance from the first window, and name. digest(text, w0, n, seed) hashes all that n windows from w0 on cover."""
 
     text: np.ndarray
     w0: np.ndarray
     n: np.ndarray
     rel: np.ndarray
     sym: np.ndarray
-    seg: np.ndarray
-    state: object
+    digest: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def stretches(first: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray | int, window: int, digest: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Look:
+    """Stretches of the windows that begin at the units `start` (in order), whose anchors begin at `anchor` and have
+    `size` units; an anchor below zero stands for none. first: units before each text. digest: of runs of units."""
+    whole = lambda text, w0, n, seed: digest(first[text] + w0, n + (window - 1), seed)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Look(none, none, none, none, none.astype(np.uint64), whole)
+    half = (window - size) // 2
+    left = anchor - start >= half
+    new = anchor < 0
+    new[0] = True
+    new[1:] |= (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (start[1:] != start[:-1] + 1)
+    text = np.searchsorted(first, start, "right") - 1
+    new[1:] |= text[1:] != text[:-1]
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(start)))
+    start, anchor, left, text = start[at], anchor[at], left[at], text[at]
+    size, half = (x[at] if isinstance(x, np.ndarray) else np.full(len(at), x) for x in (size, half))
+    held = anchor >= 0
+    begin = np.where(held, np.where(left, anchor - half, anchor), start)
+    extent = np.where(held, np.where(left, size + half, window - half + 1), window)
+    sym = B.mix(digest(begin, np.minimum(extent, window), 1) ^ np.where(held, left.astype(np.uint64), np.uint64(2)))
+    return Look(text, start - first[text], n.astype(np.int64), np.where(held, anchor - start, 0), sym, whole)
 
 
 def _looks(kernel, table: pa.Table):
-    """(first row, rows, Look) over a group's texts, in order of identity."""
+    """(doc, tie, units before the look, Look) over a group's texts in order of identity; equal rows are looked at once."""
+    doc, tie = table.column("doc").to_numpy(), table.column("tie").to_numpy()
+    table = table.filter(pa.array(_starts(doc, tie)))
     for piece in B.slices(iter(table.combine_chunks().to_batches()), "text", LOOK_BYTES):
-        yield piece, kernel.look(*B.buffers(piece.column(piece.schema.get_field_index("text"))))
+        doc, tie = (piece.column(piece.schema.get_field_index(c)).to_numpy() for c in ("doc", "tie"))
+        raw, offsets = B.buffers(piece.column(piece.schema.get_field_index("text")))
+        for part, at, before in kernel.pieces(raw, PIECE_BYTES) if len(piece) == 1 and len(raw) > PIECE_BYTES else [(raw, offsets, 0)]:
+            yield doc, tie, before, kernel.look(part, at)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc", "ascending"), ("tie", "ascending")])
 
 
-def _names(kernel, table: pa.Table) -> np.ndarray:
-    """The group's names, sorted, and how often each occurs."""
-    found = [look.sym for _, look in _looks(kernel, table)]
-    return np.unique(np.concatenate(found) if found else np.zeros(0, NAME), return_counts=True)
+def _names(kernel, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group's names, sorted, how often each occurs, and how many different stretches it has."""
+    syms, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for _, _, _, look in _looks(kernel, table):
+        syms.append(look.sym)
+        pairs.append(B.mix(look.sym ^ B.mix(look.digest(look.text, look.w0, look.n, 2))))
+    sym, pair = np.concatenate(syms), np.concatenate(pairs)
+    names, counts = np.unique(sym, return_counts=True)
+    _, at = np.unique(pair, return_index=True)
+    return names, counts, np.unique(sym[at], return_counts=True)[1]
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Rows column after column: equal and neighbouring values lie together, which compresses."""
+    return b"".join(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names)
+
+
+def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
+    rows, at = np.empty(len(data) // dtype.itemsize, dtype), 0
+    for name in dtype.names:
+        rows[name] = np.frombuffer(data, dtype[name], len(rows), at)
+        at += len(rows) * dtype[name].itemsize
+    return rows
+
+
 def _rows(group_name: str, groups: np.ndarray, data: np.ndarray, **more) -> pa.Table:
     """One row per value of groups, with its part of data as bytes."""
     order = np.argsort(groups, kind="stable")
     groups, data = groups[order], data[order]
     values, at = np.unique(groups, return_index=True)
     parts = np.split(data, at[1:]) if len(values) else []
-    columns = {group_name: pa.array(values, pa.int64()), "data": pa.array([x.tobytes() for x in parts], pa.binary())}
+    columns = {group_name: pa.array(values, pa.int64()), "data": pa.array([packed(x) for x in parts], pa.binary())}
     return pa.table(columns | {k: pa.array([v] * len(values), pa.int64()) for k, v in more.items()})
 
 
 def _joined(column, dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x in column.to_pylist())])
+    return np.concatenate([np.zeros(0, dtype), *(unpacked(x, dtype) for x in column.to_pylist())])
 
 
 def _send_names(kernel, buckets):
     def work(key, table):
-        names, _ = _names(kernel, table)
-        return _rows("bucket", _bucket(names, buckets), names, p=key[0].as_py())
+        names, _, kinds = _names(kernel, _ordered(table))
+        rows = np.empty(len(names), NAME)
+        rows["sym"], rows["kinds"] = names, np.minimum(kinds, 255)
+        return _rows("bucket", _bucket(names, buckets), rows, p=key[0].as_py())
 
     return work
 
 
-def _answer_names(key, table):
-    table = table.sort_by("p")
-    parts = [np.frombuffer(x, NAME) for x in table.column("data").to_pylist()]
-    names, counts = np.unique(np.concatenate(parts), return_counts=True)
-    often = names[counts > 1]
-    bits = [np.packbits(np.isin(x, often, assume_unique=True)).tobytes() for x in parts]
-    return pa.table({"p": table.column("p"), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array(bits, pa.binary())})
-
+def _answer_names(hot: int):
+    """For each group's names: bits whether another group has the name, then bits whether it is hot."""
 
-def _send_stretches(kernel, buckets):
-    def work(key, table, answers):
-        group, table = key[0].as_py(), _ordered(table)
-        names, counts = _names(kernel, table)
-        often, bucket = counts > 1, _bucket(names, buckets)
-        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            own = np.flatnonzero(bucket == b)
-            often[own] |= np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)
-        wanted, out = names[often], []
-        for piece, look in _looks(kernel, table):
-            pick = np.flatnonzero(np.isin(look.sym, wanted))
-            rows = np.zeros(len(pick), STRETCH)
-            text = look.text[pick]
-            rows["doc"] = piece.column(piece.schema.get_field_index("doc")).to_numpy()[text]
-            rows["tie"] = piece.column(piece.schema.get_field_index("tie")).to_numpy()[text]
-            rows["group"] = group
-            for name in ("sym", "seg", "w0", "n", "rel"):
-                rows[name] = getattr(look, name)[pick]
-            out.append(rows)
-        rows = np.concatenate([np.zeros(0, STRETCH), *out])
-        return _rows("bucket", _bucket(rows["sym"], buckets), rows)
+    def work(key, table):
+        parts = [unpacked(x, NAME) for x in table.column("data").to_pylist()]
+        every = np.concatenate(parts)
+        names, place, counts = np.unique(every["sym"], return_inverse=True, return_counts=True)
+        many = np.bincount(place, weights=every["kinds"], minlength=len(names)) > hot
+        out, at = [], 0
+        for x in parts:
+            own = place[at : at + len(x)]
+            out.append(np.packbits(counts[own] > 1).tobytes() + np.packbits(many[own]).tobytes())
+            at += len(x)
+        return pa.table({"p": table.column("p"), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array(out, pa.binary())})
 
     return work
 
@@ -135,35 +179,119 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _runs(rows: np.ndarray) -> np.ndarray:
+    """Windows of the stretches, neighbouring ones of a text together."""
+    rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
+    ends = rows["w0"] + rows["n"]
+    new = _starts(rows["doc"], rows["tie"])
+    new[1:] |= rows["w0"][1:] != ends[:-1]
+    at = np.flatnonzero(new)
+    out = np.empty(len(at), FOUND)
+    for name in ("doc", "tie", "w0"):
+        out[name] = rows[name][at]
+    out["n"] = ends[np.append(at[1:], len(rows)) - 1] - out["w0"] if len(at) else 0
+    return out
+
+
+def _firsts(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal stretches those that nothing here repeats, in order of names, and those that go."""
+    rows = rows[np.lexsort((rows["w0"] + rows["rel"], rows["tie"], rows["doc"], rows["seg2"], rows["seg"], rows["sym"]))]
+    new = _starts(rows["sym"], rows["seg"], rows["seg2"])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rows) else np.zeros(0, np.int64)
+    gone = ~new if within else rows["doc"] > rows["doc"][first]
+    return rows[~gone], rows[gone]
+
+
+def _send_stretches(kernel, buckets, within: bool):
+    """Rows with bucket >= 0 hold stretches; the group's own finds go to the bucket of its number as p."""
+
+    def work(key, table, answers):
+        group, table = key[0].as_py(), _ordered(table)
+        names, counts, _ = _names(kernel, table)
+        often, hot, bucket = counts > 1, np.zeros(len(names), bool), _bucket(names, buckets)
+        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
+            own = np.flatnonzero(bucket == b)
+            bits = np.frombuffer(data, np.uint8)
+            often[own] |= np.unpackbits(bits[: len(bits) // 2], count=len(own)).astype(bool)
+            hot[own] = np.unpackbits(bits[len(bits) // 2 :], count=len(own)).astype(bool)
+        hot &= often
+        wanted, heated, out = names[often & ~hot], names[hot], [np.zeros(0, STRETCH)]
+        for doc, tie, before, look in _looks(kernel, table):
+            pick, split = np.flatnonzero(np.isin(look.sym, wanted)), np.flatnonzero(np.isin(look.sym, heated))
+            text = np.concatenate([look.text[pick], np.repeat(look.text[split], look.n[split])])
+            w0 = np.concatenate([look.w0[pick], B.expand(look.w0[split], look.n[split])])
+            n = np.concatenate([look.n[pick], np.ones(len(w0) - len(pick), np.int64)])
+            rows = np.zeros(len(text), STRETCH)
+            rows["doc"], rows["tie"], rows["group"], rows["w0"], rows["n"] = doc[text], tie[text], group, w0 + before, n
+            rows["seg"], rows["seg2"] = look.digest(text, w0, n, 2), look.digest(text, w0, n, 3)
+            rows["sym"], rows["rel"] = rows["seg"], 0
+            rows["sym"][: len(pick)], rows["rel"][: len(pick)] = look.sym[pick], look.rel[pick]
+            out.append(rows)
+        firsts, gone = _firsts(np.concatenate(out), within)
+        sent = _rows("bucket", _bucket(firsts["sym"], buckets), firsts, p=-1)
+        own = pa.table({"bucket": pa.array([group], pa.int64()), "data": pa.array([packed(_runs(gone))], pa.binary()), "p": pa.array([group], pa.int64())})
+        return pa.concat_tables([sent, own] if len(gone) else [sent])
+
+    return work
+
+
+def _parted(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """The stretches of a bucket, and the rows with finds that pass through."""
+    found = pa.array([x >= 0 for x in table.column("p").to_pylist()], pa.bool_())
+    rows = [unpacked(x, STRETCH) for p, x in zip(table.column("p").to_pylist(), table.column("data").to_pylist(), strict=True) if p < 0]
+    return np.concatenate([np.zeros(0, STRETCH), *rows]), table.filter(found).select(["bucket", "data", "p"])
+
+
+def _meet_early(within: bool):
+    """Equal stretches of some groups meet on their way to the bucket."""
+
+    def work(key, table):
+        rows, through = _parted(table)
+        firsts, gone = _firsts(rows, within)
+        bucket = key[0].as_py()
+        sent = pa.table({"bucket": pa.array([bucket], pa.int64()), "data": pa.array([packed(firsts)], pa.binary()), "p": pa.array([-1], pa.int64())})
+        finds = _finds(gone)
+        finds = pa.table({"bucket": finds.column("p"), "data": finds.column("data"), "p": finds.column("p")})
+        return pa.concat_tables([sent, finds, through])
+
+    return work
+
+
+def _finds(gone: np.ndarray) -> pa.Table:
+    """What goes, a row for each group, with bucket -1."""
+    parts = [gone[own] for own in _by(gone["group"])]
+    return pa.table({"p": pa.array([int(x["group"][0]) for x in parts], pa.int64()), "data": pa.array([packed(_runs(x)) for x in parts], pa.binary()), "bucket": pa.array([-1] * len(parts), pa.int64())})
+
+
+def _by(values: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(x)]
+
+
 def _sort_stretches(within: bool):
     """within: an earlier place in the same text counts too."""
 
     def work(key, table):
-        rows = _joined(table.column("data"), STRETCH)
-        rows = rows[np.lexsort((rows["w0"] + rows["rel"], rows["tie"], rows["doc"], rows["seg"], rows["sym"]))]
-        new = _starts(rows["sym"], rows["seg"])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(rows) else np.zeros(0, np.int64)
-        gone = ~new if within else rows["doc"] > rows["doc"][first]
-        left = rows[~gone]
+        rows, through = _parted(table)
+        left, gone = _firsts(rows, within)
         sym = _starts(left["sym"])
         ids = np.cumsum(sym) - 1
-        several = np.bincount(ids, weights=_starts(left["sym"], left["seg"]), minlength=1)[ids] > 1 if len(left) else np.zeros(0, bool)
+        several = np.bincount(ids, weights=_starts(left["sym"], left["seg"], left["seg2"]), minlength=1)[ids] > 1 if len(left) else np.zeros(0, bool)
         if not within and len(left):
             at = np.flatnonzero(sym)
             several &= (np.minimum.reduceat(left["doc"], at) != np.maximum.reduceat(left["doc"], at))[ids]
         asked = left[several]
-        out = np.zeros(int(gone.sum()), FOUND)
-        for name in FOUND.names:
-            out[name] = rows[gone][name]
-        done, ask = _rows("p", rows["group"][gone].astype(np.int64), out, bucket=-1), _rows("p", asked["group"].astype(np.int64), asked, bucket=key[0].as_py())
-        return pa.concat_tables([done, ask])
+        asked = asked[np.lexsort((asked["w0"], asked["tie"], asked["doc"]))]
+        ask = _rows("p", asked["group"].astype(np.int64), asked, bucket=key[0].as_py())
+        through = pa.table({"p": through.column("p"), "data": through.column("data"), "bucket": pa.array([-1] * len(through), pa.int64())})
+        return pa.concat_tables([_finds(gone), through, ask])
 
     return work
 
 
 def _send_content(kernel):
     def work(key, table, asked):
-        wanted = [(b, np.frombuffer(x, STRETCH)) for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True) if b >= 0]
+        wanted = [(b, unpacked(x, STRETCH)) for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True) if b >= 0]
         out = {"bucket": [], "data": [], "content": []}
         if wanted:
             bucket = np.repeat([b for b, _ in wanted], [len(x) for _, x in wanted])
@@ -171,20 +299,17 @@ def _send_content(kernel):
             order = np.lexsort((rows["w0"], rows["tie"], rows["doc"]))
             rows, bucket = rows[order], bucket[order]
             table = _ordered(table)
-            identity = np.zeros(len(table), [("doc", "i8"), ("tie", "i4")])
+            table = table.filter(pa.array(_starts(table.column("doc").to_numpy(), table.column("tie").to_numpy())))
+            identity = np.zeros(len(table), [("doc", "i8"), ("tie", "i8")])
             identity["doc"], identity["tie"] = table.column("doc").to_numpy(), table.column("tie").to_numpy()
-            twice = ~_starts(identity["doc"], identity["tie"])
-            place = np.searchsorted(identity[~twice], rows[["doc", "tie"]].astype(identity.dtype))
-            place = np.flatnonzero(~twice)[place]
-            row = 0
+            place, row = np.searchsorted(identity, rows[["doc", "tie"]].astype(identity.dtype)), 0
             for piece in B.slices(iter(table.combine_chunks().to_batches()), "text", LOOK_BYTES):
                 a, b = np.searchsorted(place, [row, row + len(piece)])
                 if b > a:
                     content = kernel.content(*B.buffers(piece.column(piece.schema.get_field_index("text"))), place[a:b] - row, rows[a:b])
-                    for x in np.unique(bucket[a:b]):
-                        own = np.flatnonzero(bucket[a:b] == x)
-                        out["bucket"].append(int(x))
-                        out["data"].append(rows[a:b][own].tobytes())
+                    for own in _by(bucket[a:b]):
+                        out["bucket"].append(int(bucket[a + own[0]]))
+                        out["data"].append(packed(rows[a:b][own]))
                         out["content"].append(content(own))
                 row += len(piece)
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "content": pa.array(out["content"], pa.binary())})
@@ -196,25 +321,17 @@ def _match_content(kernel):
     def work(key, table):
         rows = _joined(table.column("data"), STRETCH)
         piece, window = kernel.match(rows, b"".join(table.column("content").to_pylist()))
-        # runs of windows that go, by piece
-        order = np.lexsort((window, piece))
-        piece, window = piece[order], window[order]
-        new = np.ones(len(piece), bool)
-        if len(piece):
-            new[1:] = (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)
-        at = np.flatnonzero(new)
-        out = np.zeros(len(at), FOUND)
-        own = rows[piece[at]]
-        out["doc"], out["tie"], out["w0"] = own["doc"], own["tie"], own["w0"] + window[at]
-        out["n"] = np.diff(np.append(at, len(piece)))
-        return _rows("p", own["group"].astype(np.int64), out, bucket=-1)
+        gone = rows[piece]
+        gone["w0"] += window
+        gone["n"] = 1
+        return _finds(gone)
 
     return work
 
 
 def _apply(kernel, carry: tuple[str, ...]):
     def work(key, table, found):
-        rows = np.concatenate([np.zeros(0, FOUND), *(np.frombuffer(x, FOUND) for b, x in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True) if b < 0)])
+        rows = np.concatenate([np.zeros(0, FOUND), *(unpacked(x, FOUND) for b, x in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True) if b < 0)])
         rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
         new = _starts(rows["doc"], rows["tie"])
         at = np.append(np.flatnonzero(new), len(rows))
@@ -246,17 +363,21 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[at], reach[np.append(at[1:], len(starts)) - 1]], axis=1)
 
 
-def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """(doc_id, units, removed, spans, kept) per row: how many units (bytes or words) the text has and loses, the
-    removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too."""
+    removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too.
+    group_bytes, hot and fan change how work is dealt, never results."""
     groups = max(1, -(-bytes_of(documents, text_column) // group_bytes))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.hash(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     base = base.withColumn("p", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
     names = base.groupBy("p").applyInArrow(B.frugal(_send_names(kernel, groups)), "bucket bigint, data binary, p bigint")
-    answers = names.groupBy("bucket").applyInArrow(B.frugal(_answer_names), "p bigint, bucket bigint, data binary")
-    stretches = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(B.frugal(_send_stretches(kernel, groups)), "bucket bigint, data binary")
-    sorted_out = stretches.groupBy("bucket").applyInArrow(B.frugal(_sort_stretches(within)), "p bigint, data binary, bucket bigint")
+    answers = names.groupBy("bucket").applyInArrow(B.frugal(_answer_names(hot)), "p bigint, bucket bigint, data binary")
+    sent = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(B.frugal(_send_stretches(kernel, groups, within)), "bucket bigint, data binary, p bigint")
+    if groups > fan:
+        salted = sent.withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(-(-groups // fan))))
+        sent = salted.groupBy("bucket", "salt").applyInArrow(B.frugal(_meet_early(within)), "bucket bigint, data binary, p bigint")
+    sorted_out = sent.groupBy("bucket").applyInArrow(B.frugal(_sort_stretches(within)), "p bigint, data binary, bucket bigint")
     content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(B.frugal(_send_content(kernel)), "bucket bigint, data binary, content binary")
     matched = content.groupBy("bucket").applyInArrow(B.frugal(_match_content(kernel)), "p bigint, data binary, bucket bigint")
     found = sorted_out.unionByName(matched)

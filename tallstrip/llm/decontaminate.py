@@ -39,7 +39,7 @@ class NgramSet:
         raw, offsets = B.buffers(pa.array(texts, pa.string()))
         raw = B.LOWER[raw]
         starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
-        sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
+        names = B.word_hashes(raw, starts, ends)
         found: dict[int, dict[int, dict[tuple[str, bytes], None]]] = {}
         for i, item in enumerate(ids):
             n = int(first[i + 1] - first[i])
@@ -47,7 +47,7 @@ class NgramSet:
             if not size:
                 continue
             at = np.arange(first[i], first[i + 1] - size + 1)
-            for j, h in zip(at, B.span_hash(sums, at, at + size), strict=True):
+            for j, h in zip(at, B.run_hashes(names[first[i] : first[i + 1]], int(size)), strict=True):
                 said = b" ".join(raw[s:e].tobytes() for s, e in zip(starts[j : j + size], ends[j : j + size], strict=True))
                 found.setdefault(size, {}).setdefault(int(h), {})[(item, said)] = None
         for size, windows in found.items():
@@ -61,11 +61,10 @@ class NgramSet:
         raw, offsets = B.buffers(array)
         raw = B.LOWER[raw]
         starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
-        sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
+        names = B.word_hashes(raw, starts, ends)
         hit, items = np.zeros(len(starts) + 1, np.int32), [set() for _ in range(len(array))]
         for size, (hashes, sieve, behind) in self.lengths.items():
-            at = np.arange(max(0, len(starts) - size + 1))
-            h = B.span_hash(sums, at, at + size)
+            h = B.run_hashes(names, size)
             maybe = np.flatnonzero(sieve[h >> np.uint64(44)])
             place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
             ok = hashes[place] == h[maybe]
@@ -105,7 +104,10 @@ def _item_windows(rule: Rule):
             size = np.minimum(n, rule.words)
             spans = np.where(n > 0, n - size + 1, 0)
             at, sizes, owner = B.expand(first[:-1], spans), np.repeat(size, spans), np.repeat(np.arange(len(n)), spans)
-            h = B.span_hash(B.prefix_sums(B.word_hashes(raw, starts, ends)), at, at + sizes).view(np.int64)
+            h, names = np.empty(len(at), np.uint64), B.word_hashes(raw, starts, ends)
+            for k in np.unique(sizes).tolist():
+                h[sizes == k] = B.run_hashes(names, k)[at[sizes == k]]
+            h = h.view(np.int64)
             for i in range(0, len(at), 10_000):
                 own = slice(i, i + 10_000)
                 yield pa.RecordBatch.from_arrays([pa.array(sizes[own], pa.int32()), pa.array(h[own]), pa.array(_said(raw, starts, ends, at[own], sizes[own]), pa.binary()), piece.column(0).take(pa.array(owner[own]))], names=["size", "h", "said", "item"])
@@ -131,12 +133,12 @@ def _document_windows(rule: Rule, sizes: list[int], shared, bits: int):
             raw, offsets = B.buffers(piece.column(1))
             raw = B.LOWER[raw]
             starts, ends, first = B.words(raw, offsets, B.ALPHANUMERIC)
-            sums = B.prefix_sums(B.word_hashes(raw, starts, ends))
+            names = B.word_hashes(raw, starts, ends)
             for size in sizes:
                 n = np.diff(first)
                 spans = np.maximum(n - size + 1, 0)
                 at, owner = B.expand(first[:-1], spans), np.repeat(np.arange(len(n)), spans)
-                h = B.span_hash(sums, at, at + size)
+                h = B.run_hashes(names, size)[at]
                 slot = (h >> np.uint64(64 - bits)).astype(np.int64)
                 maybe = np.flatnonzero(shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                 for i in range(0, len(maybe), 10_000):

@@ -4,7 +4,7 @@ Rounds of naming shorten all texts at once: runs of one token get a name by toke
 the left and one of the right class (a bit of the token's hash, anew in each round) get a name by both. Names are hashes
 of what they stand for, so every task gives equal parts equal names without asking another. Each symbol carries the
 words that its making depended on; where those lie inside a window, any equal window has the same symbol at the same
-place. Texts that share such a symbol are compared there, window by window.
+place. Texts that share such a symbol are compared there, window by window and word by word.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import _bytes as B
-from ._repeats import Look, merged, remove_repeats
+from ._repeats import Look, merged, remove_repeats, stretches
 from .suffix_dedup import range_minimum
 
 _RUN, _LEFT, _RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -57,6 +57,24 @@ def recompress(names: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.nd
     return symbol[keep], low[keep], high[keep]
 
 
+def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal words, found by hashes and then compared block by block."""
+    length = ends - starts
+    _, at, number = np.unique(B.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    same = length == length[at[number]]
+    eight, done = B.eights(raw), 0
+    left = np.flatnonzero(same)
+    while len(left):
+        keep = np.uint64((1 << 64) - 1) >> (np.uint64(8) * (np.uint64(8) - np.minimum(length[left] - done, 8).astype(np.uint64)))
+        same[left] &= (eight[starts[left] + done] ^ eight[starts[at[number[left]]] + done]) & keep == 0
+        done += 8
+        left = left[same[left] & (length[left] > done)]
+    if not same.all():  # different words with one hash
+        found: dict[bytes, int] = {}
+        number = np.array([found.setdefault(raw[a:b].tobytes(), len(found)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return number.astype(np.int64)
+
+
 class WordWindows:
     """Windows of so many words; the anchor is the symbol with the least hash among those that depend on the window
     alone, or where there is none, the window itself."""
@@ -64,56 +82,62 @@ class WordWindows:
     def __init__(self, window: int = 50, rounds: int = 3):
         self.window, self.rounds = window, rounds
 
-    def _words(self, raw: np.ndarray, offsets: np.ndarray):
-        starts, ends, first = B.words(raw, offsets, B.SPACED)
-        names = B.word_hashes(raw, starts, ends)
-        return names, first, B.prefix_sums(names)
+    def pieces(self, raw: np.ndarray, size: int):
+        """A long text in pieces (bytes, offsets, words before); every window is whole in one piece."""
+        starts, ends, _ = B.words(raw, np.array([0, len(raw)]), B.SPACED)
+        step = max(1, len(starts) * size // max(1, len(raw)))
+        for a in range(0, len(starts), step):
+            part = raw[starts[a] : ends[min(a + step + self.window - 1, len(ends)) - 1]]
+            yield part, np.array([0, len(part)]), a
 
     def look(self, raw: np.ndarray, offsets: np.ndarray) -> Look:
-        names, first, sums = self._words(raw, offsets)
-        none = np.zeros(0, np.int64)
+        starts, ends, first = B.words(raw, offsets, B.SPACED)
+        names = B.word_hashes(raw, starts, ends)
+        digest = lambda start, length, seed: B.chain_values(names, start, length, seed)
         long = np.flatnonzero(np.diff(first) >= self.window)
         if not len(long):
-            return Look(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None)
+            none = np.zeros(0, np.int64)
+            return stretches(first, none, none, 0, self.window, digest)
         symbol, low, high = recompress(names, first, self.rounds)
         window = B.expand(first[long], np.diff(first)[long] - self.window + 1)
         lo, hi = np.searchsorted(low, window), np.searchsorted(high, window + self.window, "right") - 1
         bits = np.uint64(len(symbol).bit_length())
         packed = (B.mix(symbol) >> bits << bits) | np.arange(len(symbol)).astype(np.uint64)
         some = hi >= lo
-        chosen = np.full(len(window), -1)
+        chosen = np.zeros(len(window), np.int64)
         chosen[some] = (range_minimum(packed, lo[some], hi[some]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        new = np.ones(len(window), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (chosen[1:] < 0) | (window[1:] != window[:-1] + 1)
-        at = np.flatnonzero(new)
-        start, n, own = window[at], np.diff(np.append(at, len(window))), chosen[at]
-        seg = B.span_hash(sums, start, start + n + self.window - 1)
-        held = own >= 0
-        rel = np.where(held, low[np.maximum(own, 0)] - start, 0)
-        sym = np.where(held, symbol[np.maximum(own, 0)], B.mix(seg))
-        text = np.searchsorted(first, start, "right") - 1
-        return Look(text, start - first[text], n, rel, sym, seg, None)
+        return stretches(first, window, np.where(some, low[chosen], -1), np.where(some, (high - low)[chosen], 0), self.window, digest)
 
     def content(self, raw: np.ndarray, offsets: np.ndarray, text: np.ndarray, rows: np.ndarray):
-        """The hashes of the stretches' windows."""
-        _, first, sums = self._words(raw, offsets)
-        start, n = first[text] + rows["w0"], rows["n"].astype(np.int64)
+        """The words of the stretches."""
+        starts, ends, first = B.words(raw, offsets, B.SPACED)
+        at, n = first[text] + rows["w0"], rows["n"].astype(np.int64) + self.window - 1
 
-        def hashes(own):
-            at = B.expand(start[own], n[own])
-            return B.span_hash(sums, at, at + self.window).tobytes()
+        def said(own):
+            begin, length = starts[at[own]], ends[at[own] + n[own] - 1] - starts[at[own]]
+            out = np.full(int((length + 1).sum()), 0x20, np.uint8)
+            out[B.expand(np.cumsum(length + 1) - length - 1, length)] = raw[B.expand(begin, length)]
+            return out.tobytes()
 
-        return hashes
+        return said
 
     def match(self, rows: np.ndarray, content: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(stretch, window in it) of windows under the same symbol that a text with a smaller id has too."""
-        hashes, n = np.frombuffer(content, np.uint64), rows["n"].astype(np.int64)
-        piece = np.repeat(np.arange(len(rows)), n)
-        window = B.expand(np.zeros(len(rows), np.int64), n)
-        order = np.lexsort((rows["doc"][piece], hashes, rows["sym"][piece]))
-        sym, doc, hashes = rows["sym"][piece[order]], rows["doc"][piece[order]], hashes[order]
+        """(stretch, window in it) of windows under the same name that a text with a smaller id has too. Words are
+        compared by their bytes, and windows by their words: runs of twice as many words are named by pairs of names."""
+        raw, n = np.frombuffer(content, np.uint8), rows["n"].astype(np.int64)
+        starts, ends, _ = B.words(raw, np.array([0, len(raw)]), B.SPACED)
+        held, reach = word_numbers(raw, starts, ends), 1
+        pairs = lambda a, b: np.unique(a * np.int64(len(starts)) + b, return_inverse=True)[1].astype(np.int64)
+        while 2 * reach <= self.window:
+            held, reach = pairs(held[:-reach], held[reach:]), 2 * reach
+        if reach < self.window:
+            held = pairs(held[: reach - self.window], held[self.window - reach :])
+        piece, window = np.repeat(np.arange(len(rows)), n), B.expand(np.zeros(len(rows), np.int64), n)
+        number = held[B.expand(np.cumsum(n + self.window - 1) - (n + self.window - 1), n)]
+        order = np.lexsort((rows["doc"][piece], number))
+        doc, number = rows["doc"][piece[order]], number[order]
         new = np.ones(len(order), bool)
-        new[1:] = (sym[1:] != sym[:-1]) | (hashes[1:] != hashes[:-1])
+        new[1:] = number[1:] != number[:-1]
         least = doc[new][np.cumsum(new) - 1]
         gone = order[doc > least]
         return piece[gone], window[gone]

@@ -167,7 +167,7 @@ def _shingles(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarr
     size = np.minimum(n, params.shingle)
     spans = np.where(n > 0, n - size + 1, 0)
     at = B.expand(first[:-1], spans)
-    values, counts = _ragged_unique(B.span_hash(B.prefix_sums(names), at, at + np.repeat(size, spans)), spans)
+    values, counts = _ragged_unique(B.chain_values(names, at, np.repeat(size, spans)), spans)
     return values, counts, [xxhash.xxh3_128_digest(names[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import _bytes as B
-from ._repeats import Look, merged, remove_repeats
+from ._repeats import Look, merged, remove_repeats, stretches
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,14 +51,21 @@ class ByteWindows:
     def __init__(self, window: int = 100, gram: int = 24):
         self.window, self.gram = window, min(gram, window)
 
+    def pieces(self, raw: np.ndarray, size: int):
+        """A long text in pieces (bytes, offsets, bytes before); every window is whole in one piece."""
+        for a in range(0, len(raw), size):
+            part = raw[a : a + size + self.window - 1]
+            yield part, np.array([0, len(part)]), a
+
     def look(self, raw: np.ndarray, offsets: np.ndarray) -> Look:
-        size = len(raw)
-        none = np.zeros(0, np.int64)
+        size, none = len(raw), np.zeros(0, np.int64)
+        digest = lambda start, length, seed: B.chain_bytes(raw, start, start + length, seed)
         if size < self.window:
-            return Look(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None)
-        sums = B.prefix_sums(raw)
-        at = np.arange(size - self.gram + 1)
-        grams = B.span_hash(sums, at, at + self.gram)
+            return stretches(offsets, none, none, self.gram, self.window, digest)
+        eight, at, grams = B.eights(raw), np.arange(size - self.gram + 1), None
+        for i in range(0, self.gram, 8):
+            block = eight[i : i + len(at)] if i + 8 <= self.gram else eight[i : i + len(at)] & np.uint64((1 << 8 * (self.gram - i)) - 1)
+            grams = B.mix(block + np.uint64(1)) if grams is None else B.mix(grams ^ block)
         bits = np.uint64(size.bit_length())
         packed = (grams >> bits << bits) | at.astype(np.uint64)
         anchor = (sliding_minimum(packed, self.window - self.gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -66,16 +73,8 @@ class ByteWindows:
         long = np.flatnonzero(np.diff(offsets) >= self.window)
         np.add.at(inside, offsets[long], 1)
         np.add.at(inside, offsets[long + 1] - self.window + 1, -1)
-        valid = np.cumsum(inside[:-1]) > 0
-        new = valid.copy()
-        new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-        new[offsets[long]] = True
-        start = np.flatnonzero(new)
-        if not len(start):
-            return Look(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), None)
-        n = np.add.reduceat(valid, start, dtype=np.int64)
-        text = np.searchsorted(offsets, start, "right") - 1
-        return Look(text, start - offsets[text], n, anchor[start] - start, grams[anchor[start]], B.span_hash(sums, start, start + n + self.window - 1), None)
+        start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        return stretches(offsets, start, anchor[start], self.gram, self.window, digest)
 
     def content(self, raw: np.ndarray, offsets: np.ndarray, text: np.ndarray, rows: np.ndarray):
         """The bytes of the stretches."""

@@ -1,7 +1,12 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallstrip.llm.recompression import recompression_dedup
-from tallstrip.llm.suffix_dedup import suffix_dedup, whole_characters
+from tallstrip.llm import _bytes as B
+from tallstrip.llm import _repeats
+from tallstrip.llm._repeats import remove_repeats
+from tallstrip.llm.recompression import WordWindows, recompression_dedup, word_numbers
+from tallstrip.llm.suffix_dedup import ByteWindows, suffix_dedup, whole_characters
 
 from . import brute
 from .conftest import frame
@@ -17,17 +22,76 @@ def test_recompression_is_exact(spark, docs):
     assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
 
 
+@pytest.mark.parametrize("dealing", [{"group_bytes": 2000}, {"group_bytes": 2000, "hot": 0}, {"group_bytes": 1000, "hot": 2, "fan": 3}])
 @pytest.mark.parametrize("operator, kernel", [(suffix_dedup, "bytes"), (recompression_dedup, "words")])
-def test_many_groups(spark, docs, operator, kernel):
-    from tallstrip.llm._repeats import remove_repeats
-    from tallstrip.llm.recompression import WordWindows
-    from tallstrip.llm.suffix_dedup import ByteWindows
-
+def test_dealing_changes_nothing(spark, docs, operator, kernel, dealing):
     made = ByteWindows(100) if kernel == "bytes" else WordWindows(50)
-    many = remove_repeats(frame(spark, docs), made, within=kernel == "bytes", group_bytes=2000)
+    many = remove_repeats(frame(spark, docs), made, within=kernel == "bytes", **dealing)
     assert sorted(map(str, many.collect())) == sorted(map(str, operator(frame(spark, docs)).collect()))
 
 
+def morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, letters):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo a power of two, for any odd base."""
+    around = [f"w{i}" for i in range(35)]
+    docs = [(i, " ".join([*around, said, *around])) for i, said in enumerate([morse(letters), morse(letters, "b", "a"), morse(letters)])]
+    got = recompression_dedup(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
+    said = [" ".join(morse(128, "x ", "y ").split()), " ".join(morse(128, "y ", "x ").split())]
+    docs = list(enumerate([said[0], said[1], said[0] + " z"]))
+    got = recompression_dedup(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
+
+
+def test_bytes_that_polynomials_confuse(spark):
+    docs = [(1, "0" * 20 + morse(256)), (2, morse(256, "b", "a") + "1" * 20), (3, morse(130, "c", "d")), (4, "e" + morse(130, "d", "c"))]
+    got = suffix_dedup(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
+
+
+def test_a_frequent_phrase_with_many_surroundings(spark):
+    """Its windows are named by their content; nothing but real repeats goes."""
+    phrase = "the licence under which this text may be given away in any form and at any price is"
+    docs = [(i, f"{i * 7919} {phrase} {i * 104729 % 9973} " + " ".join(f"{i}.{k}" for k in range(20))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " tail") for i in range(0, 60, 9)]
+    for hot in (0, 8, 10**6):
+        got = remove_repeats(frame(spark, docs), ByteWindows(100), within=True, group_bytes=3000, hot=hot).collect()
+        assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
+
+
+def test_texts_under_one_id(spark):
+    """Different texts of one id are told apart: for bytes a window counts wherever it starts, for words one id is one place."""
+    long, other = " ".join(f"word{i}" for i in range(80)), " ".join(f"term{i}" for i in range(80))
+    rows = [(3, long), (3, other), (4, other + " end"), (4, "start " + long)]
+    for operator in (suffix_dedup, recompression_dedup):
+        got = operator(frame(spark, rows)).collect()
+        assert sorted(r.removed > 0 for r in got) == [False, False, True, True]
+        assert sorted(bytes(r.kept) for r in got if r.removed) == [b" end" if operator is suffix_dedup else b"end", b"start " if operator is suffix_dedup else b"start"]
+
+
+@pytest.mark.parametrize("kernel", [ByteWindows(100), WordWindows(50)])
+def test_pieces_of_long_texts_have_the_same_names(monkeypatch, kernel):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 500, 30_000))
+    table = pa.table({"doc": [1], "tie": [1], "text": [text]})
+    whole = _repeats._names(kernel, table)[0]
+    monkeypatch.setattr(_repeats, "PIECE_BYTES", 10_000)
+    assert sum(1 for _ in _repeats._looks(kernel, table)) > 10
+    assert np.array_equal(whole, _repeats._names(kernel, table)[0])
+
+
+def test_numbers_of_words():
+    raw = np.frombuffer(b"ab abc ab abcdefgh abcdefghi abcdefgh ab", np.uint8)
+    starts, ends, _ = B.words(raw, np.array([0, len(raw)]), B.SPACED)
+    number = word_numbers(raw, starts, ends)
+    said = raw.tobytes().split()
+    assert all((number[i] == number[j]) == (said[i] == said[j]) for i in range(7) for j in range(7))
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup, recompression_dedup])
 def test_edges(spark, operator):
     assert operator(frame(spark, [])).count() == 0
