@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ..work import discard, new_path, settle, work_folder
 
-__all__ = ["bytes_of", "discard", "new_path", "settle", "work_folder"]
+__all__ = ["bytes_of", "discard", "new_path", "settle", "slim", "work_folder"]
+
+#: Rows of a few numbers up to which a table is broadcast to a join: 16 to 32 MB.
+SLIM_ROWS = 1_000_000
+
+
+def slim(rows: DataFrame) -> DataFrame:
+    """A settled table of a few numbers a row, marked for broadcast if it has no more than SLIM_ROWS."""
+    return F.broadcast(rows) if rows.count() <= SLIM_ROWS else rows
 
 
 def bytes_of(df: DataFrame, column: str) -> int:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._graph import components
-from ._work import discard, settle
+from ._repeats import packed, unpacked
+from ._work import discard, settle, slim
 
 SEED = 42
 
@@ -140,6 +141,22 @@ def near_duplicates(documents: DataFrame, params: Params = Params(), *, id_colum
     return prints.join(labels, prints["fp"] == labels["class_fp"], "left").select(id_column, "fp", "component_id")
 
 
+#: Bits within which the covering tables find pairs of near copies.
+RADIUS = 2
+
+
+def majorities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of sets: a bit is set if it is set in over half of the set's hashes; empty sets have none."""
+    out, at = np.zeros(len(counts), np.uint64), np.concatenate([[0], np.cumsum(counts)])
+    some = np.flatnonzero(counts)
+    for i in range(0, len(some), 64):
+        own = some[i : i + 64]
+        bits = np.unpackbits(values[at[own[0]] : at[own[-1] + 1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, at[own] - at[own[0]], axis=0, dtype=np.int32)
+        out[own] = np.packbits(2 * ones > counts[own][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 @dataclass(frozen=True)
 class CopyParams:
     """shingle: words in a shingle. similarity: least Jaccard similarity of shingle sets."""
@@ -171,21 +188,21 @@ def _shingles(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, np.ndarr
     return values, counts, [xxhash.xxh3_128_digest(names[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def _sketches(texts: pa.Array, params: CopyParams) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Size of each text's set of shingles, a digest of its words, and the whole set."""
-    values, counts, digests = _shingles(texts, params)
-    end = np.cumsum(counts)
-    return counts, digests, [values[b - k : b].tobytes() for b, k in zip(end.tolist(), counts.tolist(), strict=True)]
+#: Bytes of a shingle's hash by which whole sets are compared.
+NARROW = 5
+
 
+def narrow(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NARROW].tobytes()
 
-def similarity_of(a: bytes, b: bytes, least: int | None = None) -> float:
-    """Jaccard similarity of two sets; of their `least` least hashes only, if that is given. Two empty sets are equal."""
-    x, y = np.frombuffer(a, np.uint64)[:least], np.frombuffer(b, np.uint64)[:least]
-    both = np.union1d(x, y)
-    if least and max(len(x), len(y)) >= least:
-        both = both[:least]
-    shared = np.intersect1d(x, y, assume_unique=True)
-    return np.isin(both, shared, assume_unique=True).sum() / len(both) if len(both) else 1.0
+
+def similarity_of(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two whole sets of narrow hashes. Two empty sets are equal."""
+    x, y = (np.frombuffer(d, np.uint8).reshape(-1, NARROW) for d in (a, b))
+    wide = np.zeros((len(x) + len(y), 8), np.uint8)
+    wide[: len(x), :NARROW], wide[len(x) :, :NARROW] = x, y
+    every = len(np.unique(wide.view("<u8")))
+    return (len(x) + len(y) - every) / every if every else 1.0
 
 
 #: Bits of a set's parities.
@@ -205,21 +222,24 @@ def parities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _most_apart(similarity: float, sizes):
+    """Sets that reach the similarity differ by at most this share of their sizes' sum."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
 def _may_be_like(similarity: float):
-    """Drops the pairs whose parities and sizes rule the similarity out: sets that reach it differ by at most
-    (1 - similarity) / (1 + similarity) of their sizes' sum."""
+    """Of pairs (a, b, their parities, their sizes) those whose parities don't rule the similarity out."""
 
     def work(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), PARITIES // 64) for i in (2, 3))
-            most = (1 - similarity) / (1 + similarity) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())
-            fits = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(fits))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), PARITIES // 64) for i in (2, 3))
+            fits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _most_apart(similarity, batch.column(4).to_numpy() + batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits))
 
     return work
 
 
-PAIR = np.dtype([("key", "u8"), ("rep", "i8"), ("size", "i8")])
+PAIR = np.dtype([("key", "u8"), ("rep", "i8")])
 #: Bytes of packed keys that meet in a bucket.
 BUCKET_BYTES = 12 << 20
 #: Shingles that stand last in the order of keys: those in so many texts at least, and the most frequent of them.
@@ -227,9 +247,14 @@ BUCKET_BYTES = 12 << 20
 OFTEN, LAST = 16, 100_000
 #: Shingles of a task that are counted at a time.
 COUNTED = 4 << 20
-#: Texts of a bucket that all others of it are compared with in the first round, and how many times as many in each
-#: further one.
-LEADERS, MORE = 1, 8
+#: Texts that share a key are compared in one task up to so many, in blocks of so many beyond.
+TOGETHER = 4096
+#: Nearest candidates of a text in each other group that are compared by whole sets before all others.
+NEAREST = 8
+#: Texts that many others of a large bucket are compared with first, so that few are left for the blocks.
+LEADERS = 256
+#: Rows that meet in a task of comparisons, with their parities.
+MET = 40_000
 
 
 def _repeated(params: CopyParams):
@@ -282,104 +307,205 @@ def _send_keys(params: CopyParams, frequent: np.ndarray, classes: np.ndarray, bu
             shown = prefix_sizes(counts, params.similarity)
             rows = np.empty(int(shown.sum()), PAIR)
             rows["key"] = values[B.expand(np.cumsum(counts) - counts, shown)]
-            rows["rep"], rows["size"] = np.repeat(piece.column(0).to_numpy(), shown), np.repeat(counts, shown)
+            rows["rep"] = np.repeat(piece.column(0).to_numpy(), shown)
             bucket = ((rows["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, starts = np.unique(bucket[order], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.tobytes() for x in np.split(rows[order], starts[1:])], pa.binary())], names=["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([packed(x) for x in np.split(rows[order], starts[1:])], pa.binary())], names=["bucket", "data"])
 
     return work
 
 
 def _shared(key, table):
-    """Keys that several texts have: (key, rep, size, n), n being how many."""
-    rows = np.concatenate([np.frombuffer(x, PAIR) for x in table.column("data").to_pylist()])
-    rows = rows[np.lexsort((rows["size"], rows["rep"], rows["key"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = rows["key"][1:] != rows["key"][:-1]
-    at = np.flatnonzero(new)
+    """Keys that several texts have: (key, rep, n), n being how many."""
+    rows = np.concatenate([unpacked(x, PAIR) for x in table.column("data").to_pylist()])
+    rows = rows[np.lexsort((rows["rep"], rows["key"]))]
+    rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["rep"][1:] != rows["rep"][:-1]))]
+    at = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
     n = np.repeat(np.diff(np.append(at, len(rows))), np.diff(np.append(at, len(rows))))
     rows, n = rows[n > 1], n[n > 1]
-    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "size": rows["size"], "n": n})
+    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "n": n})
+
+
+def _compare(similarity: float):
+    """Within each key and block: pairs (a, b) of different parts that sizes and parities leave open, where one of them
+    asks; first: it is among the nearest of the other's part for one of them."""
+
+    def work(key, table):
+        key, block, rep, part, size = (table.column(c).to_numpy() for c in ("key", "block", "rep", "part", "size"))
+        asks, odd = table.column("asks").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(table), PARITIES // 64)
+        order = np.lexsort((rep, block, key))
+        edges = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (block[order][1:] != block[order][:-1])))
+        left, right, apart = [], [], []
+        for own in np.split(order, edges[1:]):
+            asking = own[asks[own]]
+            step = max(1, 65_536 // len(own))
+            for i in range(0, len(asking), step):
+                some = asking[i : i + step]
+                open_ = (part[some][:, None] != part[own]) & (np.minimum(size[some][:, None], size[own]) >= similarity * np.maximum(size[some][:, None], size[own]) - 1e-9)
+                x, y = np.nonzero(open_)
+                for j in range(0, len(x), 1 << 16):
+                    p, q = some[x[j : j + (1 << 16)]], own[y[j : j + (1 << 16)]]
+                    d = np.bitwise_count(odd[p] ^ odd[q]).sum(axis=1, dtype=np.int64)
+                    ok = d <= _most_apart(similarity, size[p] + size[q])
+                    left.append(p[ok])
+                    right.append(q[ok])
+                    apart.append(d[ok] / np.maximum(1, size[p] + size[q])[ok])
+        none = np.zeros(0, np.int64)
+        left, right, apart = (np.concatenate([none, *x]) for x in (left, right, apart))
+        ids = np.stack([rep[left], rep[right]])
+        _, at = np.unique(np.sort(ids, axis=0), axis=1, return_index=True)
+        left, right, apart = left[at], right[at], apart[at]
+        first = np.zeros(len(left), bool)
+        for x, y in ((left, right), (right, left)):
+            order = np.lexsort((apart, part[y], rep[x]))
+            new = np.append(True, (rep[x[order]][1:] != rep[x[order]][:-1]) | (part[y[order]][1:] != part[y[order]][:-1]))[: len(order)]
+            rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else none
+            first[order[rank < NEAREST]] = True
+        return pa.table({"a": np.minimum(rep[left], rep[right]), "b": np.maximum(rep[left], rep[right]), "first": first})
+
+    return work
+
+
+def _like(similarity: float):
+    def work(batches):
+        for batch in batches:
+            got = [similarity_of(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(got, pa.bool_()))
+
+    return work
+
+
+def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets reach the similarity. pairs: (a, b), a settled table."""
+    ends = slim(settle(pairs.select("b").distinct(), "ends"))
+    left = sets.join(slim(pairs), sets["rep"] == pairs["a"]).select("a", "b", F.col("whole").alias("x"))
+    right = sets.join(ends, sets["rep"] == ends["b"], "left_semi").select(F.col("rep").alias("b"), F.col("whole").alias("y"))
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(B.frugal(_like(similarity)), "a bigint, b bigint").distinct()
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    return settle(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+
+
+def _dealt(rows: DataFrame, together: int, leaders: int | None) -> DataFrame:
+    """Rows (key, rep, part, odd, size) of keys with texts of several parts, dealt to blocks for `_compare`. All that a
+    key's most frequent part does not hold ask. Keys with more than `together` texts are dealt to blocks, and those that
+    ask go to each of them; with `leaders`, only such keys are taken, and each block gets so many texts of the frequent
+    part and others that ask, instead of all."""
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    met = rows.join(keys.select("key", "n", "major"), "key").withColumn("asks", F.col("part") != F.col("major"))
+    blocks = F.ceil(F.col("n") / together).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    if leaders is None:
+        to = F.when((blocks == 1) | ~F.col("asks"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    else:
+        met = met.where(blocks > 1)
+        leads = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("n") / leaders)) == 0
+        to = F.when(leads, F.sequence(F.lit(0), blocks - 1)).when(F.col("asks"), F.array(own)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    return met.select("key", "rep", "part", "odd", "size", "asks", F.explode(to).alias("block"))
 
 
-def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_column: str = "doc_id", text_column: str = "text", together: int = TOGETHER, leaders: int = LEADERS) -> DataFrame:
     """(id, component_id) per row with a non-null id: groups of texts whose shingle sets have the given similarity.
 
-    Candidates share one of the first shingles of their sets (`prefix_sizes`), in an order that has frequent ones last:
-    no pair of the similarity lacks one, wherever and however the texts differ. In each
-    round the texts of a bucket are compared with the one, then the few that share most buckets with others (edited copies have their
-    original in common), which then leave it. Texts that a round has joined need no comparison, so a bucket whose texts
-    are one group is done; in others more leave in each further round. Every pair that shares a bucket has then
-    been compared or joined, unless sizes and parities of its sets are proof that they are less similar, in rounds that grow as the
-    logarithm of the largest bucket.
+    Covering tables over 64-bit fingerprints of the shingles find pairs within the radius, but no radius covers all pairs
+    of a Jaccard similarity. So texts that share one of the first shingles of their sets (`prefix_sizes`), in an order
+    that has frequent ones last, are candidates too: no pair of the similarity lacks one, wherever and however the texts
+    differ. In the first round each text is compared with one of those it shares most keys with (edited copies have their
+    original in common) and with its neighbours in the covering tables. Texts joined by that need no comparison with each
+    other. In the second round, under each key, those outside the key's most frequent group are compared with all of
+    other groups: pairs whose sizes or parities prove that they are less similar go at once, of the others the nearest
+    come first, and then all that are still apart. So every pair that shares a key has been compared or joined. A key of
+    very many texts is dealt to blocks, after its texts were compared with some leaders.
+
     Whole shingle sets decide, however long the texts are. Texts of equal words are one class throughout.
     Texts without words are copies of each other. Rows with equal ids are one text: what is similar to one of them is
     similar to it.
     """
-    kind = "bigint"
     docs = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    held: list[DataFrame] = []
+
+    def held_back(rows: DataFrame, tag: str) -> DataFrame:
+        """A table that goes when the groups are known."""
+        held.append(settle(rows, tag))
+        return held[-1]
 
     def digesting(batches):
         for piece in B.slices(batches, "text"):
             values, counts, digests = _shingles(piece.column(1), params)
             odd = [x.tobytes() for x in parities(values, counts)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(digests, pa.binary()), pa.array(odd, pa.binary()), pa.array(counts, pa.int64())], names=["id", "digest", "odd", "size"])
+            arrays = [piece.column(0), pa.array(digests, pa.binary()), pa.array(odd, pa.binary()), pa.array(counts, pa.int64()), pa.array(majorities(values, counts).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "odd", "size", "fp"])
 
-    made = settle(docs.mapInArrow(B.frugal(digesting), f"id {kind}, digest binary, odd binary, size bigint"), "digests")
+    made = settle(docs.mapInArrow(B.frugal(digesting), "id bigint, digest binary, odd binary, size bigint, fp bigint"), "digests")
     classes = settle(made.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    prints = made.select(F.col("id").alias("rep"), "odd", "size").join(classes.select("rep"), "rep", "left_semi").distinct()
-    members = made.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_column), "rep")
-    texts = settle(docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "text"), "texts")
+    reps = slim(classes.select("rep"))
+    prints = held_back(made.join(reps, made["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "odd", "size", "fp").distinct(), "prints")
+    texts = docs.join(reps, docs["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
 
     def listing(batches):
         for piece in B.slices(batches, "text"):
-            _, _, whole = _sketches(piece.column(1), params)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(whole, pa.binary())], names=["rep", "whole"])
+            values, counts, _ = _shingles(piece.column(1), params)
+            end = np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([narrow(values[b - k : b]) for b, k in zip(end.tolist(), counts.tolist(), strict=True)], pa.binary())], names=["rep", "whole"])
 
     counted = texts.mapInArrow(B.frugal(_repeated(params)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     last = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(LAST).toPandas().sort_values("shingle", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
     frequent, often = last["shingle"].to_numpy(np.int64).view(np.uint64), np.log2(last["n"].to_numpy(np.float64)).astype(np.int8)
-    words = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 6
-    buckets = max(1, -(-int(words * (1 - params.similarity)) * PAIR.itemsize // BUCKET_BYTES))
+    sizes = prints.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-int(sizes * (1 - params.similarity)) * PAIR.itemsize // BUCKET_BYTES))
     sent = texts.mapInArrow(B.frugal(_send_keys(params, frequent, often, buckets)), "bucket bigint, data binary")
-    held = rows = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, size bigint, n bigint"), "buckets")
-    central = settle(rows.groupBy("rep").agg(F.sum("n").alias("central")), "central")
-    rows = rows.select("key", "rep", "size").join(central, "rep")
-    bucket = Window.partitionBy("key")
-
-    def like(batches):
-        for batch in batches:
-            got = [similarity_of(a, b) >= params.similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["rep", "leader"]).filter(pa.array(got, pa.bool_()))
-
-    edges, grouped, width = None, None, LEADERS
-    while True:
-        if grouped is not None:
-            rows = rows.join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "central", F.coalesce("component", "rep").alias("part"))
-        else:
-            rows = rows.withColumn("part", F.col("rep"))
-        rank = F.row_number().over(bucket.orderBy(F.desc("central"), "rep", "size"))
-        rows = rows.select("*", rank.alias("rank"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low != high")
-        rows = settle(rows.select("key", "rep", "size", "central", "part", "rank"), "buckets")
-        discard(held)
-        held = rows
-        if edges is not None and rows.isEmpty():
-            break
-        heads = rows.where(F.col("rank") <= width).select("key", F.col("rep").alias("leader"), F.col("size").alias("of"), F.col("part").alias("other"), F.col("rank").alias("before"))
-        fits = F.least("size", "of") >= params.similarity * F.greatest("size", "of") - 1e-9
-        pairs = rows.join(heads, "key").where("before < rank AND part != other").where(fits).select("rep", "leader").distinct()
-        told = pairs.join(prints.select("rep", F.col("odd").alias("a"), F.col("size").alias("m")), "rep").join(prints.select(F.col("rep").alias("leader"), F.col("odd").alias("b"), F.col("size").alias("n")), "leader")
-        told = told.select("rep", "leader", "a", "b", "m", "n").mapInArrow(B.frugal(_may_be_like(params.similarity)), f"rep {kind}, leader {kind}")
-        pairs = settle(told.distinct(), "pairs")
-        needed = pairs.select("rep").union(pairs.select("leader")).distinct()
-        sets = texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(listing), f"rep {kind}, whole binary")
-        joined = pairs.join(sets.select("rep", F.col("whole").alias("a")), "rep").join(sets.select(F.col("rep").alias("leader"), F.col("whole").alias("b")), "leader").select("rep", "leader", "a", "b")
-        found = settle(joined.mapInArrow(B.frugal(like), f"rep {kind}, leader {kind}"), "links")
-        discard(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        grouped = settle(components(edges.select(F.col("rep").alias("u"), F.col("leader").alias("v"))), "groups")
-        rows, width = rows.where(F.col("rank") > width).select("key", "rep", "size", "central"), width * MORE
+    keys = held_back(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, n bigint"), "keys")
+
+    # first round: one text of those it shares keys with, and the covering tables
+    central = keys.groupBy("rep").agg(F.sum("n").alias("central"))
+    lead = keys.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("leader"))
+    met = keys.join(lead, "key").where("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
+    stars = met.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+    alike = prints.groupBy("fp").agg(F.min("rep").alias("id"))
+    covered = links(alike, RADIUS).select(F.col("u").alias("rep"), F.col("v").alias("leader"))
+    same = prints.join(alike, "fp").where("rep != id").select("rep", F.col("id").alias("leader"))
+    pairs = held_back(stars.union(covered).union(same).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
+    fits = F.least("m", "n") >= params.similarity * F.greatest("m", "n") - 1e-9
+    told = prints.select(F.col("rep").alias("a"), F.col("odd").alias("x"), F.col("size").alias("m")).join(slim(pairs), "a").join(prints.select(F.col("rep").alias("b"), F.col("odd").alias("y"), F.col("size").alias("n")), "b").where(fits)
+    told = told.select("a", "b", "x", "y", "m", "n").mapInArrow(B.frugal(_may_be_like(params.similarity)), "a bigint, b bigint")
+    pairs = held_back(told.distinct(), "pairs")
+    needed = slim(held_back(keys.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct(), "needed"))
+    sets = held_back(texts.join(needed, "rep", "left_semi").mapInArrow(B.frugal(listing), "rep bigint, whole binary"), "sets")
+    edges = held_back(_links(pairs, sets, params.similarity), "links")
+    grouped = _grouped(edges)
+
+    # second round: what shares a key and is still apart
+    def apart(grouped: DataFrame) -> DataFrame:
+        rows = keys.select("key", "rep").join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+        return rows.join(mixed, "key", "left_semi").join(prints.select("rep", "odd", "size"), "rep").select("key", "rep", "part", "odd", "size")
+
+    def candidates(dealt: DataFrame) -> DataFrame:
+        dealt = held_back(dealt, "dealt")
+        tasks = max(1, dealt.count() // MET)
+        by = dealt.withColumn("task", F.pmod(F.xxhash64("key", "block"), F.lit(tasks)))
+        found = by.groupBy("task").applyInArrow(B.frugal(_compare(params.similarity)), "a bigint, b bigint, first boolean")
+        return held_back(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
+
+    def joined(pairs: DataFrame, edges: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = grouped.select(F.col("node").alias("a"), F.col("component").alias("ca")), grouped.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        still = held_back(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "pairs")
+        if still.isEmpty():
+            return edges, grouped
+        edges = edges.unionByName(held_back(_links(still, sets, params.similarity), "links"))
+        return edges, _grouped(edges)
+
+    if not keys.where(F.col("n") > together).isEmpty():
+        edges, grouped = joined(candidates(_dealt(apart(grouped), together, leaders)), edges, grouped)
+    found = candidates(_dealt(apart(grouped), together, None))
+    for some in (found.where("first"), found.where("NOT first")):
+        edges, grouped = joined(some, edges, grouped)
+    for done in held:
+        discard(done)
+    members = made.select("id", "digest").join(classes, "digest").select(F.col("id").alias(id_column), "rep")
     return members.join(grouped, F.col("rep") == F.col("node"), "left").select(id_column, F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from tallstrip.llm import simhash
@@ -99,10 +100,78 @@ def test_keep_one_edges(spark):
     assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "a"), (-1, "a"), (1, None), (3, "a b")] or len(got.collect()) == 4
 
 
-def test_sketch_similarity_is_exact_for_small_sets():
-    _, _, (a, b) = simhash._sketches(pa.array([" ".join(map(str, range(60))), " ".join(map(str, range(50)))]), simhash.CopyParams())
+def plain_groups(docs, least=0.8, size=5):
+    """Smallest id reachable over pairs of texts whose sets of shingles have the similarity, by comparing all pairs."""
+    sets = {}
+    for d, text in docs:
+        said = (text or "").lower().split()
+        sets[d] = {tuple(said[i : i + size]) for i in range(max(1, len(said) - size + 1))} if said else set()
+    label = {d: d for d in sets}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("dealing", [{}, {"together": 16, "leaders": 4}])
+def test_groups_are_those_of_all_pairs(spark, dealing):
+    """A large group of edited copies, many of them far from the original, beside others around the similarity."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(110)]
+    docs = []
+    for i in range(160):
+        said = list(base)
+        for _ in range(rng.randrange(5)):
+            said[rng.randrange(len(said))] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(said)))
+    line = "a line that very many of the texts here have in common and that is long".split()
+    for i in range(60):
+        said = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([3, 12, 40]))] + line
+        docs.append((1000 + 2 * i, " ".join(said)))
+        said[rng.randrange(len(said))] = "other"
+        docs.append((1001 + 2 * i, " ".join(said)))
+    docs += [(3000, docs[5][1]), (3001, ""), (3002, None), (3003, " \n"), (3004, "one"), (3005, "One")]
+    rng.shuffle(docs)
+    want = plain_groups(docs)
+    assert 3 < len({want[i] for i in range(160)}) < 100
+    got = simhash.near_copies(frame(spark, docs).repartition(3), **dealing).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_repeated_rows_and_ids(spark):
+    said = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(said)), (7, " ".join(said)), (7, "another text of the same id altogether"), (9, " ".join(said) + " end"), (8, "another text of the same id altogether")]
+    got = simhash.near_copies(frame(spark, rows)).collect()
+    assert len(got) == 5 and {r.component_id for r in got} == {7}
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert [r.doc_id for r in kept] == [7]
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(3)
+    values, counts = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, 1, 0, 199, 100, 0])
+    got, at = simhash.majorities(values, counts), 0
+    for k, fp in zip(counts.tolist(), got.tolist(), strict=True):
+        own = values[at : at + k].tolist()
+        assert fp == sum(1 << i for i in range(64) if 2 * sum(v >> i & 1 for v in own) > k)
+        at += k
+
+
+def test_similarity_of_whole_sets():
     x, y = ({tuple(range(i, i + 5)) for i in range(n - 4)} for n in (60, 50))
-    assert np.isclose(simhash.similarity_of(a, b, 256), len(x & y) / len(x | y))
+    values, counts, _ = simhash._shingles(pa.array([" ".join(map(str, range(60))), " ".join(map(str, range(50)))]), simhash.CopyParams())
+    a, b = simhash.narrow(values[: counts[0]]), simhash.narrow(values[counts[0] :])
+    assert simhash.similarity_of(a, b) == len(x & y) / len(x | y)
+    assert simhash.similarity_of(b"", b"") == 1.0
 
 
 def test_block_edits_and_appended_passages_are_found(spark):
