@@ -1,9 +1,10 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree: each container element is a path of presentation (tags and classes), and
-holds the texts that the host's pages show there. A path whose texts hardly vary although the pages do has low
-importance, and its branches are removed from each page. Elements whose presentation says what they are (menus,
-footers, adverts and the like) have none to begin with.
+holds the texts that the host's pages show there and the ways they present it (the sequences of child elements). Its
+importance combines the entropies of both over the pages. What hardly varies although the host's pages do is of low
+importance, and its branches are removed from each page. Elements whose presentation says what they are (menus, footers,
+adverts and the like) have none to begin with: what they show may vary, and a host may have too few pages for a tree.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,7 +27,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "dialog", "menu", "audio", "video", "map"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CONTAINERS = {"body", "div", "section", "main", "article", "header", "table", "ul", "ol", "dl", "center", "td", "tr", "tbody", "figure", "details"}
+CONTAINERS = {"body", "div", "section", "main", "article", "header", "footer", "nav", "aside", "form", "menu", "dialog", "fieldset", "table", "ul", "ol", "dl", "center", "td", "tr", "tbody", "figure", "details"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "advertising", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Of these, the ones that say what the element is even where an article stands inside it.
 FIRM_WORDS = {"comment", "comments", "disqus", "related", "respond"}
@@ -35,18 +37,24 @@ CLOSED_BY = {"p": {"p", "div", "ul", "ol", "dl", "table", "section", "article",
 #: Paths of low importance up to which the trees are broadcast; more are joined by host and salt.
 BROADCAST_PATHS, SALTS = 200_000, 64
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: What an opening tag may end by itself.
+CLOSERS = set().union(*CLOSED_BY.values())
+
+_name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_stop = re.compile(r"[>\"']")
 _attribute = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _word = re.compile(r"[a-z]+|[0-9]+")
 
 
 @dataclass(frozen=True)
 class Params:
-    """pages: a path is judged if so many of a host's pages have it. importance: a path is removed below it; it is the
-    entropy of the path's texts over that of the whole pages."""
+    """pages: a path is judged if so many of a host's pages have it. importance: a path is removed below it. damping: the
+    weight of what the texts say beside the presentation, to the power of how many presentations there are; the more
+    there are, the more these alone show that the place varies."""
 
     pages: int = 8
     importance: float = 0.1
+    damping: float = 0.9
 
 
 #: How surely an element's presentation says boilerplate: not at all; unless an article stands inside; in any case.
@@ -73,76 +81,143 @@ def _prior(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
 
 
 class Path:
-    """A container's place in its page. The key is its tag and a hash chained over its own and its ancestors' names, as
-    short at any depth."""
+    """A container in its page. The key is its tag and a hash chained over its own and its ancestors' names, as short at
+    any depth. Of what it shows and of its child elements it keeps running hashes."""
 
-    __slots__ = ("above", "key")
+    __slots__ = ("above", "key", "said", "shown")
 
     def __init__(self, above: Path | None, tag: str, name: str):
         self.above = above
         self.key = f"{tag}:{hashlib.blake2b(f'{above.key if above else ""}/{name}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
+        self.said = self.shown = None
+
+    def say(self, data: bytes) -> None:
+        self.said = self.said or hashlib.blake2b(digest_size=8)
+        self.said.update(data + b"\0")
+
+    def show(self, name: str) -> None:
+        self.shown = self.shown or hashlib.blake2b(digest_size=8)
+        self.shown.update(name.encode("utf-8", "replace") + b"\0")
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag; comments and declarations have no name. A "<" that
+    no tag follows is text. Each character is looked at a bounded number of times, however the mark-up is broken."""
+    at, size, last, plain = 0, len(page), page.rfind(">"), False
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, False, "", ""
+            continue
+        if start > last:
+            return
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            yield start, at, False, "", ""
+            continue
+        m = _name.match(page, start)
+        if m is None:
+            continue
+        end = m.end()
+        while not plain:
+            stop = _stop.search(page, end)
+            if stop is None:
+                end = -1
+            elif stop[0] != ">":
+                end = page.find(stop[0], stop.end()) + 1 or -1
+                if end > 0:
+                    continue
+            else:
+                end = stop.start()
+            break
+        if plain:
+            end = page.find(">", end)
+        if end < 0:  # a quote that nothing closes; from here on tags end at the next ">", quoted or not
+            plain = True
+            continue
+        at = end + 1
+        yield start, at, page[start + 1] == "/", m[1].lower(), page[m.end() : end]
 
 
-def walk(page: str) -> Iterator[tuple[Path | None, bool, bool, str]]:
+def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tuple[Path | None, bool, bool, str]]:
     """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's start and
-    end give a text of one space."""
+    end give a text of one space. closed: told of each container when it ends, inner ones first."""
     stack: list[tuple[str, Path | None, int, bool]] = []  # tag, path, boilerplate, in article
-    path, bad, inside, at, size = None, OPEN, False, 0, len(page)
-    while at < size:
-        m = _tag.search(page, at)
-        if m is None:
-            yield path, bad > OPEN, inside, page[at:]
-            break
-        if m.start() > at:
-            yield path, bad > OPEN, inside, page[at : m.start()]
-        at = m.end()
-        tag = (m[2] or "").lower()
+    open_, path, bad, inside, at, skip = Counter(), None, OPEN, False, 0, 0
+
+    def cut(i: int) -> None:
+        for k in range(len(stack) - 1, i - 1, -1):
+            tag, own = stack[k][:2]
+            open_[tag] -= 1
+            if closed and own and tag in CONTAINERS:
+                closed(own)
+        del stack[i:]
+
+    for start, end, closes, tag, attributes in tags(page):
+        if start < skip:
+            continue
+        if start > at:
+            yield path, bad > OPEN, inside, page[at:start]
+        at = end
         if not tag:
             continue
         if tag in BLOCKS:
             yield path, bad > OPEN, inside, " "
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closes:
+            if open_[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                cut(i)
             _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
             continue
-        if tag in BLOCKS:  # an unclosed inline element doesn't keep a paragraph or item open
+        if tag in CLOSERS and any(open_[x] > 0 for x in CLOSED_BY):  # an unclosed inline element doesn't keep a paragraph or item open
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSED_BY:
                     if tag in CLOSED_BY[stack[i][0]]:
-                        del stack[i:]
+                        cut(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
+            m = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            at = skip = m.end() if m else len(page)
             continue
-        mark, name = _prior(tag, m[3], inside)
+        mark, name = _prior(tag, attributes, inside)
+        if path and tag in BLOCKS:
+            path.show(name)
         path = Path(path, tag, name) if tag in CONTAINERS else path
         if tag in ("article", "main"):
             inside, bad = True, OPEN if bad == SOFT else bad
         bad = max(bad, mark)
         stack.append((tag, path, bad, inside))
+        open_[tag] += 1
+    if at < len(page):
+        yield path, bad > OPEN, inside, page[at:]
+    cut(0)
+
 
+def nodes(page: str) -> dict[str, tuple[str, str]]:
+    """By container path: digests of the text under it and of its child elements. A container's text is its own and the
+    digests of those inside it, so each text is hashed once at any depth."""
+    found: dict[str, tuple] = {}
 
-def nodes(page: str) -> dict[str, str]:
-    """Digest of the text under each container path that the presentation leaves open."""
-    digests: dict[str, hashlib.blake2b] = {}
-    for path, bad, _, text in walk(page):
-        if path and not bad and not text.isspace():
-            said = " ".join(text.split()).encode("utf-8", "replace")
-            while path:
-                if path.key not in digests:
-                    digests[path.key] = hashlib.blake2b(digest_size=8)
-                digests[path.key].update(said)
-                path = path.above
-    return {p: d.hexdigest() for p, d in digests.items()}
+    def closed(path: Path) -> None:
+        said, shown = (x.digest() if x else b"" for x in (path.said, path.shown))
+        if path.above and said:
+            path.above.say(said)
+        for own, data in zip(found.setdefault(path.key, (hashlib.blake2b(digest_size=8), hashlib.blake2b(digest_size=8))), (said, shown), strict=True):
+            own.update(data + b"\0")
+
+    for path, _, _, text in walk(page, closed):
+        if path and not text.isspace():
+            path.say(" ".join(text.split()).encode("utf-8", "replace"))
+    return {key: (said.hexdigest(), shown.hexdigest()) for key, (said, shown) in found.items()}
 
 
 def _under(path: Path | None, low: frozenset[str], known: dict[Path, bool]) -> bool:
@@ -174,24 +249,37 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
-    """(host, low): the container paths of low importance in each host that has any.
+def importances(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """(host, path, importance) of the paths that enough pages have; rows: (host, path, said, shown) per page.
 
-    Texts under a path are counted by digest, so a host of any size is summed up before rows meet.
+    The entropies of what the pages show at a path and of how they present it are taken over the logarithm of the pages,
+    so they lie between 0 (all alike) and 1 (all different). With l presentations the importance is
+    (1 - damping ** l) * H(presentations) + damping ** l * H(texts). Equal rows are counted before they meet, so a host
+    of any size is summed up first.
     """
+    each = rows.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("said").alias("digest")), F.struct(F.lit(1).alias("kind"), F.col("shown").alias("digest")))).alias("x"))
+    each = each.groupBy("host", "path", "x.kind", "x.digest").agg(F.count("*").alias("n"))
+    sums = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("l")).where(F.col("m") >= params.pages)
+    entropy = sums.withColumn("h", F.when(F.col("l") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("m") * F.log("m")))).otherwise(0.0))
+    both = entropy.groupBy("host", "path").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(a) for k, c, a in ((0, "h", "texts"), (1, "h", "shown"), (1, "l", "l"))])
+    weight = F.pow(F.lit(params.damping), F.col("l"))
+    return both.select("host", "path", ((1 - weight) * F.col("shown") + weight * F.col("texts")).alias("importance"))
+
+
+def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
+    """(host, low): the container paths of low importance in each host that has any. Importance is compared with the
+    greatest of the host: where pages are copies of each other, nothing is removed for that. Body, article and main stay."""
 
     def work(frames):
         for frame in frames:
-            rows = [(host, path, digest) for host, page in frame.itertuples(index=False) for path, digest in nodes(page if isinstance(page, str) else "").items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "digest"])
-
-    seen = pages.select("host", "html").mapInPandas(work, "host string, path string, digest string")
-    each = seen.groupBy("host", "path", "digest").agg(F.count("*").alias("n"))
-    sums = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = sums.where(F.col("m") >= params.pages).withColumn("entropy", F.log("m") - F.col("s") / F.col("m"))
-    whole = entropy.withColumn("whole", F.max("entropy").over(Window.partitionBy("host")))
+            rows = [(host, path, *digests) for host, page in frame.itertuples(index=False) for path, digests in nodes(page if isinstance(page, str) else "").items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "said", "shown"])
+
+    seen = pages.select("host", "html").mapInPandas(work, "host string, path string, said string, shown string")
+    found = importances(seen, params)
+    whole = found.withColumn("whole", F.max("importance").over(Window.partitionBy("host")))
     tag = F.regexp_extract("path", r"^([a-z0-9]+)", 1)
-    low = whole.where((F.col("whole") > 0) & (F.col("entropy") < params.importance * F.col("whole")) & ~tag.isin("body", "article", "main"))
+    low = whole.where((F.col("whole") > 0) & (F.col("importance") < params.importance * F.col("whole")) & ~tag.isin("body", "article", "main"))
     return low.groupBy("host").agg(F.collect_list("path").alias("low"))
 
 

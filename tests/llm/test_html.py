@@ -1,4 +1,10 @@
-from tallstrip.llm.html import extract, main_text
+import math
+import random
+import time
+
+import pytest
+
+from tallstrip.llm.html import Params, extract, host_of, importances, main_text, nodes, style_tree
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>top</header><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">buy</div><div id="cookie-notice">ok?</div>
@@ -45,3 +51,56 @@ def test_a_repeated_branch_goes_at_any_depth(spark):
     rows = [(i, f"http://h.example/{i}", f"<html><body>{deep(f'<div class=q1>Same on all pages</div><div class=q2>Story {i} tells {i * i}.</div>', 15)}</body></html>") for i in range(12)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: f"Story {i} tells {i * i}." for i in range(12)}
+
+
+def plain_importances(rows, params):
+    """{(host, path): importance} from the definition, row by row."""
+    out = {}
+    for host, path in {(h, p) for h, p, _, _ in rows}:
+        texts, shown = ([r[k] for r in rows if r[:2] == (host, path)] for k in (2, 3))
+        m = len(texts)
+        if m >= params.pages:
+            entropy = lambda x: -sum(x.count(v) / m * math.log(x.count(v) / m, m) for v in set(x))  # noqa: E731, B023
+            weight = params.damping ** len(set(shown))
+            out[host, path] = (1 - weight) * entropy(shown) + weight * entropy(texts)
+    return out
+
+
+def test_importances_are_those_of_the_definition(spark):
+    rng = random.Random(6)
+    rows = [(f"h{rng.randrange(3)}", f"div:{rng.randrange(6)}", f"t{rng.choice([0, 0, rng.randrange(40)])}", f"s{rng.choice([0, rng.randrange(4)])}") for _ in range(500)]
+    rows += [("one", "div:1", "same", "same")] * 9 + [("few", "div:1", f"t{i}", "s") for i in range(7)]
+    params = Params(pages=8)
+    got = {(r.host, r.path): r.importance for r in importances(spark.createDataFrame(rows, "host string, path string, said string, shown string"), params).collect()}
+    want = plain_importances(rows, params)
+    assert got.keys() == want.keys() and ("one", "div:1") in got and ("few", "div:1") not in got
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_host_with_several_templates_and_wordless_classes(spark):
+    """Nothing in tags or classes says what is what; each template's fixed branches go, varying ones stay."""
+    fixed = "<div class=k{t}><div class=a>Start | Help | Team {t}</div><div class=b><div>{body}</div></div><div class=c><ul><li>legal {t}</li><li>contact</li></ul></div></div>"
+    rows = [(i, f"https://h.example/{i}?q", f"<body>{fixed.format(t=i % 3, body=f'<p>Story {i}</p>' * (1 + i % 4) + f'<ul><li>end {i}</li></ul>' * (i % 2))}</body>") for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in main_text(table).collect()}
+    assert got == {i: " ".join([f"Story {i}"] * (1 + i % 4) + [f"end {i}"] * (i % 2)) for i in range(60)}
+    assert sum(len(r.low) for r in style_tree(table.withColumn("host", host_of(table["url"]))).collect()) == 9
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a '" * 250_000, '<a "" ' * 160_000 + '">"', "<b>" * 90_000 + "</i>" * 90_000, "<p>" + "<a>" * 90_000 + "<br>" * 90_000, "<!--" * 250_000, "</div" * 200_000, "<script>" * 120_000])
+def test_broken_mark_up_is_read_in_linear_time(page):
+    began = time.process_time()
+    extract(page)
+    whole = time.process_time() - began
+    began = time.process_time()
+    extract(page[: len(page) // 8])
+    assert whole < 1 or whole < 40 * (time.process_time() - began)
+
+
+def test_deep_nesting_is_linear_and_digests_follow_the_text():
+    deep = lambda word, n: "<div>x" * n + word + "</div>" * n
+    began = time.process_time()
+    assert len(nodes(deep("a", 40_000))) == 40_000
+    assert time.process_time() - began < 20
+    one, other, same = nodes(deep("a", 5)), nodes(deep("b", 5)), nodes(deep("a", 5))
+    assert one == same and all(one[k][0] != other[k][0] and one[k][1] == other[k][1] for k in one)
