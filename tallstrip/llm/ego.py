@@ -2,7 +2,8 @@
 
 Vectors of length one are sorted by their grid cells on the leading principal dimensions. Intervals of the sorted
 sequence form a tree; pairs of intervals are joined recursively from the top, and a pair whose bounding boxes are further
-apart than epsilon is dropped with all below it. What is left at the leaves is compared in double precision.
+apart than epsilon is dropped with all below it. Spark joins down to tiles of neighbouring partitions; of a pair of these each is
+sent once, and the recursion goes on inside the task. What is left at the leaves is compared in double precision.
 """
 
 from __future__ import annotations
@@ -140,9 +141,14 @@ def _near(limit: float):
     return F.expr(f"aggregate(arrays_zip(al, ah, bl, bh), 0D, (s, x) -> s + {gap} * {gap}) <= {limit!r}")
 
 
-def leaf_pairs(boxes: DataFrame, parts: int, params: Params) -> DataFrame:
-    """(a, b) of leaves, a <= b, that may hold links; boxes holds (part, leaf, low, high)."""
-    limit = (2 - 2 * params.cosine) * (1 + 1e-9) + 1e-12
+def limit_of(params: Params) -> float:
+    """Squared distance within which vectors of length one may be linked, with a margin for rounding."""
+    return (2 - 2 * params.cosine) * (1 + 1e-9) + 1e-12
+
+
+def tile_pairs(boxes: DataFrame, tiles: int, params: Params) -> DataFrame:
+    """(a, b) of tiles, a <= b, that may hold links; boxes holds (tile, low, high) of leaves."""
+    limit = limit_of(params)
     width = len(boxes.select("low").first()["low"])
 
     def over(rows: DataFrame, node) -> DataFrame:
@@ -150,8 +156,7 @@ def leaf_pairs(boxes: DataFrame, parts: int, params: Params) -> DataFrame:
         got = rows.groupBy(node.alias("node")).agg(*ends)
         return got.select("node", F.array(*[f"l{i}" for i in range(width)]).alias("low"), F.array(*[f"h{i}" for i in range(width)]).alias("high"))
 
-    levels = [boxes.select(F.col("leaf").alias("node"), F.col("part").alias("up"), "low", "high")]
-    rows, span = over(boxes, F.col("part")), parts
+    levels, rows, span = [], over(boxes, F.col("tile")), tiles
     while True:
         levels.append(rows.withColumn("up", F.floor(F.col("node") / params.fan)))
         if span <= 1:
@@ -166,36 +171,56 @@ def leaf_pairs(boxes: DataFrame, parts: int, params: Params) -> DataFrame:
     return pairs
 
 
-def _compare(params: Params):
-    """Links between two leaves: what each class gains in linked vectors, and edges that connect what they connect."""
+class Leaf:
+    """A leaf interval, with its vectors brought to length one."""
+
+    def __init__(self, row: dict):
+        self.low, self.high = np.array(row["low"]), np.array(row["high"])
+        self.reps, self.counts, self.sizes = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["sizes"], np.int32)
+        self.vectors = _unit(np.frombuffer(row["vectors"], np.float32 if row["narrow"] else np.float64).reshape(row["rows"], -1).astype(np.float64))
+
+    def near(self, other: Leaf, limit: float) -> bool:
+        gap = np.maximum(np.maximum(self.low - other.high, other.low - self.high), 0)
+        return float((gap * gap).sum()) <= limit
+
+    def links(self, other: Leaf, params: Params) -> tuple[np.ndarray, np.ndarray]:
+        """What each class gains in linked vectors, and edges that connect what the links connect."""
+        shared = min(self.vectors.shape[1], other.vectors.shape[1])
+        link = self.vectors[:, :shared] @ other.vectors[:, :shared].T >= params.cosine
+        if len(np.unique(np.concatenate([self.sizes, other.sizes]))) > 1:
+            link &= self.sizes[:, None] == other.sizes[None, :]
+        if self is other:
+            np.fill_diagonal(link, False)
+        p, q = np.nonzero(link)
+        if not len(p):
+            return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+        gained = np.stack([self.reps, link @ other.counts], axis=1)
+        if self is other:
+            edges = _forest(p, q, self.reps)
+        else:
+            gained = np.concatenate([gained, np.stack([other.reps, link.T @ self.counts], axis=1)])
+            edges = _forest(p, q + len(self.reps), np.concatenate([self.reps, other.reps]))
+        return gained[gained[:, 1] > 0], edges
 
-    def read(batch, i, side):
-        get = lambda name: batch.column(batch.schema.get_field_index(f"{side}_{name}"))[i].as_py()
-        n, kind = get("rows"), np.float32 if get("narrow") else np.float64
-        vectors = np.frombuffer(get("vectors"), kind).reshape(n, -1).astype(np.float64)
-        return np.frombuffer(get("reps"), np.int64), np.frombuffer(get("counts"), np.int64), np.frombuffer(get("sizes"), np.int32), _unit(vectors)
 
-    def work(batches):
-        for batch in batches:
-            for i in range(len(batch)):
-                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
-                reps, counts, sizes, x = read(batch, i, "a")
-                reps2, counts2, sizes2, y = (reps, counts, sizes, x) if same else read(batch, i, "b")
-                shared = min(x.shape[1], y.shape[1])
-                link = x[:, :shared] @ y[:, :shared].T >= params.cosine
-                if len(np.unique(np.concatenate([sizes, sizes2]))) > 1:
-                    link &= sizes[:, None] == sizes2[None, :]
-                if same:
-                    np.fill_diagonal(link, False)
-                p, q = np.nonzero(link)
-                if not len(p):
-                    continue
-                gained = [np.stack([reps, link @ counts2], axis=1)] if same else [np.stack([reps, link @ counts2], axis=1), np.stack([reps2, link.T @ counts], axis=1)]
-                gained = np.concatenate(gained)
-                gained = gained[gained[:, 1] > 0]
-                edges = _forest(p, q, reps) if same else _forest(p, q + len(reps), np.concatenate([reps, reps2]))
-                u, v = np.concatenate([gained[:, 0], edges[:, 0]]), np.concatenate([gained[:, 1], edges[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [len(gained), len(edges)])), pa.array(u), pa.array(v)], names=["edge", "u", "v"])
+def _compare(params: Params):
+    """Links between two tiles, or within one: leaves whose boxes are near are compared."""
+
+    def work(key, table):
+        a, b = (x.as_py() for x in key)
+        rows = table.to_pylist()
+        left = [Leaf(r) for r in rows if r["tile"] == a]
+        right = left if a == b else [Leaf(r) for r in rows if r["tile"] == b]
+        found = [x.links(y, params) for i, x in enumerate(left) for y in (left[i:] if a == b else right) if x.near(y, limit_of(params))]
+        none = np.zeros((0, 2), np.int64)
+        gained, edges = (np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1))
+        if len(gained):
+            reps, place = np.unique(gained[:, 0], return_inverse=True)
+            sums = np.zeros(len(reps), np.int64)
+            np.add.at(sums, place, gained[:, 1])
+            gained = np.stack([reps, sums], axis=1)
+        u, v = np.concatenate([gained[:, 0], edges[:, 0]]), np.concatenate([gained[:, 1], edges[:, 1]])
+        return pa.table({"edge": np.repeat([False, True], [len(gained), len(edges)]), "u": u, "v": v})
 
     return work
 
@@ -208,6 +233,7 @@ def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_c
     its smallest id and its size; links are counted in vectors, so copies are never spelled out in pairs. An id that
     repeats counts once for each of its rows. No rows give no rows; other columns are not read.
     """
+    spark = embeddings.sparkSession
     rows = embeddings.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -232,13 +258,15 @@ def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_c
     parts = max(1, -(-total // params.interval))
     sequence = celled.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("embedding", "rep", "n")
     blocks = settle(sequence.mapInArrow(B.frugal(_blocks(params, mean, axes)), _BLOCK), "blocks")
-    top = blocks.agg(F.max("part")).first()[0] + 1
-    pairs = leaf_pairs(blocks.select("part", "leaf", "low", "high"), top, params)
-    held = ["reps", "counts", "sizes", "vectors", "rows", "narrow"]
-    left = blocks.select(F.col("leaf").alias("a"), *[F.col(c).alias(f"a_{c}") for c in held])
-    right = blocks.select(F.col("leaf").alias("b"), *[F.col(c).alias(f"b_{c}") for c in held])
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", *[f"a_{c}" for c in held], *[f"b_{c}" for c in held])
-    found = settle(met.mapInArrow(B.frugal(_compare(params)), "edge boolean, u bigint, v bigint"), "links")
+    # neighbouring partitions make tiles of about an interval; a row for each partition comes to the driver
+    tile = blocks.groupBy("part").agg(F.sum("rows").alias("n")).toPandas().sort_values("part")
+    tile["tile"] = (tile["n"].cumsum() - tile["n"]) // params.interval
+    tile["tile"] = tile["tile"].rank(method="dense").astype("int64") - 1
+    blocks = blocks.join(F.broadcast(spark.createDataFrame(tile[["part", "tile"]].astype("int64"))), "part").drop("part")
+    tiles = int(tile["tile"].max()) + 1
+    pairs = tile_pairs(blocks.select("tile", "low", "high"), tiles, params)
+    sent = blocks.join(pairs, blocks["tile"] == pairs["a"]).unionByName(blocks.join(pairs.where("a != b"), blocks["tile"] == pairs["b"]))
+    found = settle(sent.groupBy("a", "b").applyInArrow(B.frugal(_compare(params)), "edge boolean, u bigint, v bigint"), "links")
     gained = found.where("NOT edge").groupBy("u").agg(F.sum("v").alias("gained"))
     grouped = components(found.where("edge").select("u", "v"))
     labels = classes.join(gained, F.col("rep") == F.col("u"), "left").join(grouped, F.col("rep") == F.col("node"), "left")
