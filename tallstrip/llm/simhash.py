@@ -317,14 +317,14 @@ def _send_keys(params: CopyParams, frequent: np.ndarray, classes: np.ndarray, bu
 
 
 def _shared(key, table):
-    """Keys that several texts have: (key, rep, n), n being how many."""
+    """Keys that several texts have: (key, rep)."""
     rows = np.concatenate([unpacked(x, PAIR) for x in table.column("data").to_pylist()])
     rows = rows[np.lexsort((rows["rep"], rows["key"]))]
     rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["rep"][1:] != rows["rep"][:-1]))]
     at = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
     n = np.repeat(np.diff(np.append(at, len(rows))), np.diff(np.append(at, len(rows))))
-    rows, n = rows[n > 1], n[n > 1]
-    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"], "n": n})
+    rows = rows[n > 1]
+    return pa.table({"key": rows["key"].view(np.int64), "rep": rows["rep"]})
 
 
 def _compare(similarity: float):
@@ -413,7 +413,7 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     Covering tables over 64-bit fingerprints of the shingles find pairs within the radius, but no radius covers all pairs
     of a Jaccard similarity. So texts that share one of the first shingles of their sets (`prefix_sizes`), in an order
     that has frequent ones last, are candidates too: no pair of the similarity lacks one, wherever and however the texts
-    differ. In the first round each text is compared with one of those it shares most keys with (edited copies have their
+    differ. Keys that the same texts have count as one. In the first round each text is compared with one of those it shares most keys with (edited copies have their
     original in common) and with its neighbours in the covering tables. Texts joined by that need no comparison with each
     other. In the second round, under each key, those outside the key's most frequent group are compared with all of
     other groups: pairs whose sizes or parities prove that they are less similar go at once, of the others the nearest
@@ -457,12 +457,17 @@ def near_copies(documents: DataFrame, params: CopyParams = CopyParams(), *, id_c
     sizes = prints.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-int(sizes * (1 - params.similarity)) * PAIR.itemsize // BUCKET_BYTES))
     sent = texts.mapInArrow(B.frugal(_send_keys(params, frequent, often, buckets)), "bucket bigint, data binary")
-    keys = held_back(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint, n bigint"), "keys")
+    shared = settle(sent.groupBy("bucket").applyInArrow(B.frugal(_shared), "key bigint, rep bigint"), "shared")
+    # of the keys that the same texts have, one is enough: they would all ask for the same comparisons
+    marks = [F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")]
+    once = shared.groupBy("key").agg(*marks).groupBy("n", "s", "x").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    keys = held_back(shared.join(once.select("key", "n", "times"), "key"), "keys")
+    discard(shared)
 
     # first round: one text of those it shares keys with, and the covering tables
-    central = keys.groupBy("rep").agg(F.sum("n").alias("central"))
+    central = keys.groupBy("rep").agg(F.sum(F.col("n") * F.col("times")).alias("central"))
     lead = keys.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("leader"))
-    met = keys.join(lead, "key").where("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
+    met = keys.join(lead, "key").where("rep != leader").groupBy("rep", "leader").agg(F.sum("times").alias("n"))
     stars = met.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     alike = prints.groupBy("fp").agg(F.min("rep").alias("id"))
     covered = links(alike, RADIUS).select(F.col("u").alias("rep"), F.col("v").alias("leader"))
