@@ -26,9 +26,12 @@ def stem(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A string whose order is the natural one: digit runs padded, the rest in lower case."""
+    """A string whose order is the natural one: digit runs padded, the rest in lower case. A number of over twenty digits
+    follows all shorter ones: it is led by a colon, which comes after the digits, and by its length."""
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    number = lambda p: F.when(F.length(digits(p)) <= 20, F.lpad(digits(p), 20, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p)))
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(F.lower(p))), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(F.lower(p))), "")
 
 
 def _last_number(name: Column) -> Column:

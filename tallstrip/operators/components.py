@@ -21,10 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v), component being the smallest node it is connected to.
 
     Each round writes its edges to a table in the shared folder and compares them with the round before; the rounds
-    end when every edge points at a component's smallest node. Loops and repeated edges are allowed; an edge with a
+    end when every edge points at a component's smallest node. Nodes may be of any type with an order, structs too. Loops and repeated edges are allowed; an edge with a
     null end is ignored; no edges give no rows.
     """
-    edges = settle(edges.where("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
+    edges = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .ranking import numbered
 
 
 def selected(requested: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,8 +59,7 @@ def exported_pages(variants: DataFrame, left: DataFrame, right: DataFrame) -> Da
 def compare_images(found: DataFrame) -> DataFrame:
     """(path, ord): files of several ordered patterns (source, path), each once where it was first seen."""
     first = found.groupBy("path").agg(F.min("source").alias("source"))
-    order = Window.orderBy("source", names.preview_key(F.col("path")), "path")
-    return first.select("path", (F.row_number().over(order) - 1).alias("ord"))
+    return numbered(first, "ord", "source", names.preview_key(F.col("path")), "path", start=0).select("path", "ord")
 
 
 def labelled(items: DataFrame, labels: DataFrame, chapter: str) -> DataFrame:

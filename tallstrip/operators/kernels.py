@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..work import settle
 from .stencil import ellipse
 
 
-def in_bands(pixels: DataFrame, column: str, out: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int, rows: int = 1024, kind: str = "double") -> DataFrame:
-    """(img, y, x, out): kernel applied to column as an array, band by band. Rows within the halo of two bands go to both."""
+def in_bands(pixels: DataFrame, column: str, out: str | tuple[str, ...], kernel: Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, ...]], halo: int, rows: int = 1024, kind: str = "double") -> DataFrame:
+    """(img, y, x, out): kernel applied to column as an array, band by band. Rows within the halo of two bands go to both.
+    With several names in out, the kernel returns as many arrays."""
+    outs = (out,) if isinstance(out, str) else out
     banded = pixels.select("img", "y", "x", column, F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - halo) / rows)), F.floor((F.col("y") + halo) / rows))).alias("band"))
     img = pixels.schema["img"].dataType.simpleString()
 
@@ -26,12 +29,14 @@ def in_bands(pixels: DataFrame, column: str, out: str, kernel: Callable[[np.ndar
         top, left = y.min(), x.min()
         grid = np.zeros((y.max() - top + 1, x.max() - left + 1), np.float64)
         grid[y - top, x - left] = v
-        value = kernel(grid)[y - top, x - left]
+        got = kernel(grid)
+        values = [v[y - top, x - left] for v in ((got,) if isinstance(out, str) else got)]
         band = key[1].as_py()
         own = y // rows == band
-        return pa.table({"img": table.column("img").filter(pa.array(own)), "y": y[own].astype(np.int32), "x": x[own].astype(np.int32), out: value[own].astype(np.float64)})
+        return pa.table({"img": table.column("img").filter(pa.array(own)), "y": y[own].astype(np.int32), "x": x[own].astype(np.int32)} | {k: v[own].astype(np.float64) for k, v in zip(outs, values, strict=True)})
 
-    return banded.groupBy("img", "band").applyInArrow(work, f"img {img}, y int, x int, {out} double").withColumn(out, F.col(out).cast(kind))
+    made = banded.groupBy("img", "band").applyInArrow(work, "img " + img + ", y int, x int, " + ", ".join(f"{k} double" for k in outs))
+    return made.withColumns({k: F.col(k).cast(kind) for k in outs})
 
 
 def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
@@ -66,10 +71,10 @@ def edges(pixels: DataFrame, column: str, low: float, high: float, rows: int = 1
     from .topology import label
 
     found = in_bands(pixels, column, "strength", edge_candidates, 2, rows).where(F.col("strength") > low)
-    labelled = label(runs(found, F.lit(True)), 8, rows)
-    strong = pixels_of(labelled.select("img", "y", "x0", "x1")).join(found.where(F.col("strength") > high).select("img", "y", "x"), ["img", "y", "x"])
-    marks = strong.withColumnRenamed("x", "sx").join(labelled, ["img", "y"]).where((F.col("sx") >= F.col("x0")) & (F.col("sx") < F.col("x1"))).select("img", "comp").distinct()
-    return pixels_of(labelled.join(marks, ["img", "comp"], "left_semi"))
+    measured = settle(runs(found, F.lit(True), F.max("strength").alias("most")), "edges")
+    labelled = label(measured.drop("most"), 8, rows).join(measured, ["img", "y", "x0", "x1"])
+    strong = labelled.groupBy("img", "comp").agg(F.max("most").alias("most")).where(F.col("most") > high)
+    return pixels_of(labelled.join(strong, ["img", "comp"], "left_semi"))
 
 
 def signed_distance(radius: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -97,21 +102,11 @@ def guidance(pixels: DataFrame, column: str, limit: float = 30.0, radius: int =
     """(img, y, x, thr, closed, opened): local contrast of at least limit, and that closed and opened; the fourth guide
     is edges()."""
 
-    def kernel(step: str):
-        def work(a: np.ndarray) -> np.ndarray:
-            mask = ((_spread(a, 3, np.maximum) - _spread(a, 3, np.minimum)) >= limit).astype(np.float64)
-            if step == "closed":
-                return _spread(_spread(mask, radius, np.maximum), radius, np.minimum)
-            if step == "opened":
-                return _spread(_spread(mask, radius, np.minimum), radius, np.maximum)
-            return mask
+    def kernel(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        mask = ((_spread(a, 3, np.maximum) - _spread(a, 3, np.minimum)) >= limit).astype(np.float64)
+        return mask, _spread(_spread(mask, radius, np.maximum), radius, np.minimum), _spread(_spread(mask, radius, np.minimum), radius, np.maximum)
 
-        return work
-
-    out = in_bands(pixels, column, "thr", kernel("thr"), 3, kind="int")
-    for step in ("closed", "opened"):
-        out = out.join(in_bands(pixels, column, step, kernel(step), 3 + 2 * radius, kind="int"), ["img", "y", "x"])
-    return out
+    return in_bands(pixels, column, ("thr", "closed", "opened"), kernel, 3 + 2 * radius, kind="int")
 
 
 def overlap_add(scored: DataFrame, tile: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import guarded_percent, percent, priority, success
+from .ranking import numbered
 from .masks import damaged, deleted_in_result, gray, leftover_line, saturation
 
 
@@ -27,8 +28,8 @@ def score(pixels: DataFrame, *keys: str, edge: Column | None = None) -> DataFram
 
 
 def ranked(scores: DataFrame, *ties: str) -> DataFrame:
-    """Scores with their rank by priority, from 1. The ranking is one sort over a row per strip."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), *ties)))
+    """Scores with their rank by priority, from 1."""
+    return numbered(scores, "rank", F.desc("priority_score"), *ties)
 
 
 def report(scores: DataFrame) -> DataFrame:

@@ -138,7 +138,10 @@ def post_merge(segments: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def forced_split(segments: DataFrame, max_height: int = 900, overlap: int = 160, min_height: int = 40) -> DataFrame:
-    """Segments above max_height cut into overlapping ones; the last ends where the segment does, short tails go."""
+    """Segments above max_height cut into overlapping ones; the last ends where the segment does, short tails go. A
+    max_height of zero or less leaves them as they are."""
+    if max_height <= 0:
+        return segments
     step = max(1, max_height - overlap)
     starts = F.when(F.col("y1") - F.col("y0") <= max_height, F.array(F.col("y0"))).otherwise(F.filter(F.sequence(F.col("y0"), F.col("y1") - 1, F.lit(step)), lambda a: (a == F.col("y0")) | (a - step + max_height < F.col("y1"))))
     cut = segments.withColumn("a", F.explode(starts)).withColumn("whole", F.col("y1") - F.col("y0") <= max_height)

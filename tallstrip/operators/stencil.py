@@ -97,5 +97,32 @@ def nearest(pixels: DataFrame, width: int, height: int, new_width: int, new_heig
     return grid.join(pixels, ["img", "y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
 
 
+def _shares(size: int, new_size: int, how: str) -> Column:
+    """For each new place (0 to new_size - 1) the old places it is made of, with their weights, as rows (n, p, w)."""
+    scale, n = size / new_size, F.col("n")
+    if how == "area":
+        low, high = n * scale, F.least((n + 1) * scale, F.lit(float(size)))
+        old = F.sequence(F.floor(low).cast("int"), F.least(F.ceil(high - 1e-9), F.lit(size)).cast("int") - 1)
+        return F.transform(old, lambda p: F.struct(p.alias("p"), ((F.least(high, p + 1) - F.greatest(low, p)) / (high - low)).alias("w")))
+    centre = (n + 0.5) * scale - 0.5
+    below, part = F.floor(centre).cast("int"), centre - F.floor(centre)
+    inside = lambda p: F.least(F.greatest(p, F.lit(0)), F.lit(size - 1))
+    return F.array(F.struct(inside(below).alias("p"), (1 - part).alias("w")), F.struct(inside(below + 1).alias("p"), part.alias("w")))
+
+
+def resampled(pixels: DataFrame, value: str, width: int, height: int, new_width: int, new_height: int, how: str = "linear") -> DataFrame:
+    """(img, y, x, value): resized along rows, then along columns. "linear" weighs the two nearest pixel centres, which
+    lie at halves; "area" averages what a new pixel covers, for smaller sizes. The weights are small tables of their own
+    size, whatever the images are."""
+    if how not in ("linear", "area"):
+        raise ValueError(how)
+    out = pixels.select("img", "y", "x", F.col(value).cast("double").alias("v"))
+    for axis, size, new in (("x", width, new_width), ("y", height, new_height)):
+        weights = pixels.sparkSession.range(new).select(F.col("id").cast("int").alias("n")).select("n", F.explode(_shares(size, new, how)).alias("s")).select("n", F.col("s.p").alias(axis), "s.w")
+        other = "y" if axis == "x" else "x"
+        out = out.join(F.broadcast(weights), axis).groupBy("img", other, F.col("n").alias("_new")).agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumnRenamed("_new", axis)
+    return out.select("img", "y", "x", F.col("v").alias(value))
+
+
 def crossfade(a: Column, b: Column, t: Column) -> Column:
     return a * (1 - t) + b * t

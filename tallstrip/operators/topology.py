@@ -21,16 +21,16 @@ from .components import components as connected
 BAND_ROWS = 4096
 
 
-def run_ids(runs: DataFrame, *keys: str) -> DataFrame:
-    """Runs with an id: a hash of raster, row and first pixel."""
-    return runs.withColumn("id", F.xxhash64(*keys, "y", "x0"))
+def run_ids(runs: DataFrame) -> DataFrame:
+    """Runs with an id that no other run of their raster has: row and first pixel in one number."""
+    return runs.withColumn("id", F.shiftleft(F.col("y").cast("long"), 31) + F.col("x0"))
 
 
 def adjacency(runs: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("img",)) -> DataFrame:
     """(u, v): runs of neighbouring rows that touch, diagonally too for connectivity 8."""
     c = 1 if connectivity == 8 else 0
-    upper = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("u"))
-    return upper.join(runs, [*keys, "y"]).where((F.col("x0") < F.col("a1") + c) & (F.col("x1") > F.col("a0") - c)).select("u", F.col("id").alias("v"))
+    upper = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.struct(*keys, "id").alias("u"))
+    return upper.join(runs, [*keys, "y"]).where((F.col("x0") < F.col("a1") + c) & (F.col("x1") > F.col("a0") - c)).select("u", F.struct(*keys, "id").alias("v"))
 
 
 def _labels_in_band(connectivity: int):
@@ -64,13 +64,13 @@ def _labels_in_band(connectivity: int):
 def label(runs: DataFrame, connectivity: int = 8, band_rows: int = BAND_ROWS, keys: tuple[str, ...] = ("img",), out: str = "comp") -> DataFrame:
     """The runs (keys, y, x0, x1) with `out`, the same for runs of one component; each combination of keys is a raster of
     its own, and the result doesn't depend on the bands."""
-    own = run_ids(runs.select(*keys, *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")]), *keys).withColumn("band", F.floor(F.col("y") / band_rows))
+    own = run_ids(runs.select(*keys, *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")])).withColumn("band", F.floor(F.col("y") / band_rows))
     kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
     local = settle(own.groupBy(*keys, "band").applyInArrow(_labels_in_band(connectivity), f"{kinds}, y int, x0 int, x1 int, id bigint, band bigint, local bigint"), "bands")
     seam = local.where((F.col("y") % band_rows == 0) | (F.col("y") % band_rows == band_rows - 1))
     edges = adjacency(seam.withColumn("id", F.col("local")), connectivity, keys).where("u != v").distinct()
-    joined = connected(edges)
-    return local.join(joined, F.col("local") == F.col("node"), "left").select(*keys, "y", "x0", "x1", F.coalesce("component", "local").alias(out))
+    joined = connected(edges).select(F.col("node.id").alias("local"), F.col("component.id").alias("whole"), *[F.col(f"node.{k}").alias(k) for k in keys])
+    return local.join(joined, [*keys, "local"], "left").select(*keys, "y", "x0", "x1", F.coalesce("whole", "local").alias(out))
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -87,7 +87,11 @@ def landlocked(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def reclaim_islands(pixels: DataFrame, delete: Column, sizes: DataFrame, connectivity: int = 8) -> DataFrame:
     """The runs of deleted pixels that stay deleted: landlocked components are kept instead."""
-    labelled = label(runs_of(pixels, delete), connectivity)
+    return without_islands(label(runs_of(pixels, delete), connectivity), sizes)
+
+
+def without_islands(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The labelled runs without landlocked components."""
     return labelled.join(landlocked(labelled, sizes).select("img", "comp"), ["img", "comp"], "left_anti").select("img", "y", "x0", "x1")
 
 

@@ -50,7 +50,7 @@ px1 AS (SELECT img, y, x, {_V.format("e[x + 1]")} AS r, {_V.format("e[(x + 1) %
 fine AS (SELECT img, y, x, r, g, b, (r * 7 + y * 3 + x * 5) % 256 AS a FROM px1),
 feat AS (SELECT *, (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 AS gray, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE CAST(floor((greatest(r, g, b) - least(r, g, b)) * 255.0::DOUBLE / greatest(r, g, b) + 0.5) AS BIGINT) END AS sat, greatest(r, g, b) - least(r, g, b) AS spread FROM fine)"""
 BLOCK = f"""bx0 AS (SELECT vec_id // 64 AS img, vec_id % 64 AS y, embedding AS e, unnest(range(0, 16)) AS x FROM embeddings),
-bx1 AS (SELECT img, y, x, {_V.format("e[x + 1]")} AS r FROM bx0),
+bx1 AS (SELECT img, y, x, {_V.format("(CAST(e[4 * x + 1] AS DOUBLE) + CAST(e[4 * x + 2] AS DOUBLE) + CAST(e[4 * x + 3] AS DOUBLE) + CAST(e[4 * x + 4] AS DOUBLE)) / 2")} AS r FROM bx0),
 block AS (SELECT img, y * 4 + dy AS y, x * 4 + dx AS x, r FROM bx1, range(0, 4) AS a(dx), range(0, 4) AS b(dy))"""
 RUNS = BLOCK + """,
 active AS (SELECT img, y, sum(CASE WHEN r >= 160 THEN 1 ELSE 0 END)::BIGINT AS n FROM block GROUP BY img, y),
@@ -229,9 +229,15 @@ def segment_reasons(spark, d):
     return segment.reason_counts(post_merge(spark, d))
 
 
-@_query(None)
+_CUT = _POST.replace(RUNS, _MERGED).replace("FROM runs r JOIN heights", "FROM merged r JOIN heights").replace("o.y0 - pm.y1 <= 6 AND", "o.y0 - pm.y1 <= 120 AND").replace("<= 70 AND", "<= 1800 AND").replace("pm.y1 - pm.y0 < 30 OR o.y1 - o.y0 < 30", "pm.y1 - pm.y0 < 650 OR o.y1 - o.y0 < 650")
+
+
+@_query(f"""WITH RECURSIVE {_CUT}, po AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY y0, y1, reason) AS k FROM post),
+un AS (SELECT img, k, y0, y1, reason, y0 AS l0, y1 AS l1, TRUE AS kept FROM po WHERE k = 1
+UNION ALL SELECT img, k, y0, y1, reason, CASE WHEN same THEN l0 ELSE y0 END, CASE WHEN same THEN l1 ELSE y1 END, NOT same FROM (SELECT po.*, l0, l1, abs(po.y0 - l0) < 16 AND abs(po.y1 - l1) < 16 AS same FROM un JOIN po ON po.img = un.img AND po.k = un.k + 1))
+SELECT img, row_number() OVER (PARTITION BY img ORDER BY k) - 1 AS idx, y0, y1, y1 - y0 AS height, reason FROM un WHERE kept""")
 def cut_samples(spark, d):
-    """G8, 3.3: strips to segments with the default parameters, on rasters ten times as coherent; tested by hand."""
+    """G8, 3.3: strips to segments."""
     return pipelines.cut_samples(raster.block(spark, d), segment.Params(row_pixels=20, min_height=4, target_height=40, pad_top=6, pad_bottom=6), F.col("r") >= 160)
 
 
@@ -349,9 +355,9 @@ def overlap_add(spark, d):
     return kernels.overlap_add(tiled.withColumn("s", (F.col("r") + F.col("ty") % 7).cast("double")), 32)
 
 
-@_query(None)
+@_query(f"WITH {BLOCK} SELECT img, y, x, round(1 / (1 + exp(-(r - 128) / 16.0::DOUBLE)), 6) AS p FROM block")
 def tiled_scores(spark, d):
-    """M1 and M2 with the stand-in scorer: every pixel's score from overlapping tiles; tested against the scorer itself."""
+    """M1 and M2 with the stand-in scorer: every pixel's score from overlapping tiles, which all say the same of it."""
     px = raster.block(spark, d)
     sizes = px.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     return kernels.predict(px, "r", sizes, kernels.ThresholdScorer(), 64, 16)
@@ -586,6 +592,34 @@ def nearest_resize(spark, d):
     return stencil.nearest(raster.block(spark, d), 64, 256, 40, 100)
 
 
+def _resize_sql(how: str, width: int, height: int) -> str:
+    """block (64 x 256) resized along rows, then along columns."""
+
+    def axis(source: str, at: str, other: str, size: int, new: int) -> str:
+        if how == "area":
+            weights = f"SELECT n, p, (least((n + 1) * {size / new!r}::DOUBLE, {size}, p + 1) - greatest(n * {size / new!r}::DOUBLE, p)) / (least((n + 1) * {size / new!r}::DOUBLE, {size}) - n * {size / new!r}::DOUBLE) AS w FROM range(0, {new}) a(n), range(0, {size}) b(p) WHERE p + 1 > n * {size / new!r}::DOUBLE AND p < (n + 1) * {size / new!r}::DOUBLE - 1e-9::DOUBLE"
+        else:
+            centre = f"((n + 0.5::DOUBLE) * {size / new!r}::DOUBLE - 0.5::DOUBLE)"
+            weights = f"SELECT n, least(greatest(CAST(floor({centre}) AS BIGINT), 0), {size - 1}) AS p, 1 - ({centre} - floor({centre})) AS w FROM range(0, {new}) a(n) UNION ALL SELECT n, least(greatest(CAST(floor({centre}) AS BIGINT) + 1, 0), {size - 1}), {centre} - floor({centre}) FROM range(0, {new}) a(n)"
+        return f"SELECT s.img, s.{other}, k.n AS {at}, sum(s.v * k.w) AS v FROM {source} s JOIN ({weights}) k ON k.p = s.{at} GROUP BY 1, 2, 3"
+
+    return f"WITH {BLOCK}, src AS (SELECT img, y, x, CAST(r AS DOUBLE) AS v FROM block), wide AS ({axis('src', 'x', 'y', 64, width)}) SELECT img, y, x, round(v + 1e-7::DOUBLE, 4) AS v FROM ({axis('wide', 'y', 'x', 256, height)})"
+
+
+@_query(_resize_sql("linear", 90, 100))
+def linear_resize(spark, d):
+    """J11's bilinear filter, wider and lower than before."""
+    got = stencil.resampled(raster.block(spark, d).withColumnRenamed("r", "v"), "v", 64, 256, 90, 100)
+    return got.withColumn("v", F.round(F.col("v") + 1e-7, 4))  # values halfway between two are common here
+
+
+@_query(_resize_sql("area", 40, 100))
+def area_resize(spark, d):
+    """J11's area filter."""
+    got = stencil.resampled(raster.block(spark, d).withColumnRenamed("r", "v"), "v", 64, 256, 40, 100, "area")
+    return got.withColumn("v", F.round(F.col("v") + 1e-7, 4))  # values halfway between two are common here
+
+
 @_query(f"WITH {BLOCK} SELECT p.img, round(avg(p.r * 0.75::DOUBLE + q.r * 0.25::DOUBLE), 6) AS blended FROM block p JOIN block q ON q.img = p.img + 1 AND q.y = p.y AND q.x = p.x GROUP BY p.img")
 def crossfaded(spark, d):
     """J12."""
@@ -622,7 +656,7 @@ def islands(spark, d):
     runs = raster.runs(px, F.col("r") >= 150)
     labelled = topology.label(runs, 8, 64)
     inner = topology.landlocked(labelled, sizes).groupBy("img").agg(F.count("*").alias("islands"))
-    left = topology.reclaim_islands(px, F.col("r") >= 150, sizes)
+    left = topology.without_islands(labelled, sizes)
     total = lambda rows, name: rows.groupBy("img").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias(name))
     got = total(runs, "deleted").join(total(left, "still_deleted"), "img", "left").join(inner, "img", "left")
     return got.select("img", F.coalesce("islands", F.lit(0)).alias("islands"), F.coalesce("still_deleted", F.lit(0)).alias("still_deleted"), "deleted")
@@ -648,16 +682,23 @@ def edge_pixels(spark, d):
     return kernels.edges(raster.block(spark, d), "r", 120, 240, 64)
 
 
-@_query(None)
+_NEAR = ", ".join(f"({dy}, {dx})" for dy in range(-6, 7) for dx in range(-6, 7) if 0 < dy * dy + dx * dx <= 36)
+
+
+@_query(f"""WITH {_MASK}, {HEIGHTS}, near_ AS MATERIALIZED (SELECT s.img, s.y, s.x, s.v, least(greatest(s.y + k.dy, 0), h.height - 1) AS ny, least(greatest(s.x + k.dx, 0), 63) AS nx, sqrt(CAST(k.dy * k.dy + k.dx * k.dx AS DOUBLE)) AS d FROM src s JOIN heights h ON h.img = s.img CROSS JOIN (VALUES {_NEAR}) AS k(dy, dx)),
+o AS (SELECT n.img, n.y, n.x, n.v, min(n.d) FILTER (q.v <> n.v) AS d FROM near_ n JOIN src q ON q.img = n.img AND q.y = n.ny AND q.x = n.nx GROUP BY 1, 2, 3, 4)
+SELECT img, y, x, round(CASE WHEN v = 1 THEN -1 ELSE 1 END * coalesce(d, 6.0::DOUBLE) / 6, 6) AS sdt FROM o""")
 def signed_distances(spark, d):
-    """J7, M8's target; tested against brute force."""
+    """J7, M8's target."""
     px = raster.block(spark, d).withColumn("m", F.when(F.col("r") >= 150, 1).otherwise(0))
     return kernels.in_bands(px, "m", "sdt", kernels.signed_distance(6), 6, 64)
 
 
-@_query(None)
+@_query(f"""WITH {_GRAYS}, hi AS ({_kernel_sql(stencil.ellipse(3), "max", "v", "src")}), lo AS ({_kernel_sql(stencil.ellipse(3), "min", "v", "src")}), thr AS (SELECT img, y, x, CASE WHEN hi.v - lo.v >= 30 THEN 1 ELSE 0 END AS v FROM hi JOIN lo USING (img, y, x)),
+c1 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "thr")}), c2 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "c1")}), o1 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "thr")}), o2 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "o1")})
+SELECT img, y, x, CAST(thr.v AS BIGINT) AS thr, CAST(c2.v AS BIGINT) AS closed, CAST(o2.v AS BIGINT) AS opened FROM thr JOIN c2 USING (img, y, x) JOIN o2 USING (img, y, x)""")
 def guidance_channels(spark, d):
-    """J8, C15's guides; tested against the window forms."""
+    """J8, C15's guides."""
     return kernels.guidance(raster.block(spark, d), "r")
 
 
@@ -835,9 +876,13 @@ def outputs_to_write(spark, d):
     return sinks.missing_outputs(wanted, done).select(F.col("name").alias("item_id"))
 
 
-@_query(None)
+_TONE = "CASE WHEN chg < 0.6::DOUBLE THEN CAST(greatest(0, least(255, round(({0} - 127.5::DOUBLE) * con + 127.5::DOUBLE + bri))) AS BIGINT) ELSE {0} END AS {0}"
+
+
+@_query(f"""WITH {FINE}, i AS (SELECT img, {_DRAW.format("img", 7)} AS flip, {_DRAW.format("img", 8)} AS chg, 0.92::DOUBLE + 0.16::DOUBLE * ({_DRAW.format("img", 9)}) AS con, (({_DRAW.format("img", 10)}) - 0.5::DOUBLE) * 0.08::DOUBLE * 255 AS bri FROM (SELECT DISTINCT img FROM fine))
+SELECT img, y, CASE WHEN flip < 0.5::DOUBLE THEN 63 - x ELSE x END AS x, {_TONE.format("r")}, {_TONE.format("g")}, {_TONE.format("b")}, a FROM fine JOIN i USING (img)""")
 def augmented(spark, d):
-    """Mirrored and toned images; tested for range and for which images change."""
+    """Mirrored and toned images."""
     return sampling.augment(raster.fine(spark, d))
 
 

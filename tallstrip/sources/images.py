@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 
+#: Bytes of a file's head, in which its size is looked for first.
+HEAD = 65_536
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified) of image files under a folder, whatever the case of their suffixes; nothing is decoded."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -43,7 +47,8 @@ def cleaned_parts(found: DataFrame, prefix: str) -> DataFrame:
 
 
 def image_size(data: bytes) -> tuple[int, int, int] | None:
-    """Width, height and channels from the first bytes of a PNG or JPEG file; None for others."""
+    """Width, height and channels from the first bytes of a PNG, JPEG or WebP file; None for others, and for a JPEG whose
+    frame header lies further on."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
         width, height, _, colour = struct.unpack(">IIBB", data[16:26])
         return width, height, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 3)
@@ -57,11 +62,21 @@ def image_size(data: bytes) -> tuple[int, int, int] | None:
                 height, width, channels = struct.unpack(">HHB", data[at + 5 : at + 10])
                 return width, height, channels
             at += 2 + size
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8 ":
+            width, height = struct.unpack("<HH", data[26:30])
+            return width & 0x3FFF, height & 0x3FFF, 3
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 4 if bits >> 28 & 1 else 3
+        if data[12:16] == b"VP8X":
+            return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1, 4 if data[20] & 0x10 else 3
     return None
 
 
 def sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height, channels) from headers; the images aren't decoded."""
+    """(path, width, height, channels) from headers; the images aren't decoded. Where the head of a file doesn't say, all
+    of it is looked at; sizes of files that are no images in spite of their names are null."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(names.is_image(F.col("path")))
 
     def work(frames):
@@ -69,15 +84,28 @@ def sizes(spark: SparkSession, folder: str) -> DataFrame:
             got = [image_size(bytes(x)) or (None, None, None) for x in frame["head"]]
             yield pd.DataFrame({"path": frame["path"], "width": [x[0] for x in got], "height": [x[1] for x in got], "channels": [x[2] for x in got]}).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
 
-    return found.select("path", F.substring("content", 1, 65536).alias("head")).mapInPandas(work, "path string, width int, height int, channels int")
+    schema = "path string, width int, height int, channels int"
+    heads = found.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(work, schema)
+    whole = F.udf(lambda x: image_size(bytes(x)), "struct<width int, height int, channels int>")
+    late = found.join(heads.where("width IS NULL").select("path"), "path", "left_semi").where(F.length("content") > HEAD)
+    late = late.select("path", whole("content").alias("size")).select("path", "size.*")
+    known = heads.join(late.select("path"), "path", "left_anti")
+    return known.unionByName(late)
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height, n_channels, data): rows top down, channels as blue, green, red and, if there is one, alpha."""
-    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder)
+    """(path, width, height, n_channels, data): rows top down, channels as blue, green, red and, if there is one, alpha.
+    Files that can't be decoded (WebP ones can't) are those of `undecodable`."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).where("image.height > 0")
     return rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("n_channels"), "image.data")
 
 
+def undecodable(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of files with an image's name that Spark's image source can't decode."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).where("image.height <= 0")
+    return rows.select(F.col("image.origin").alias("path")).where(names.is_image(F.col("path")))
+
+
 def bands(images: DataFrame, rows: int = 1024) -> DataFrame:
     """(path, band, y0, width, n_channels, data): decoded images cut into bands of rows, inside the JVM."""
     cut = images.withColumn("band", F.explode(F.expr(f"sequence(0, CAST((height - 1) / {rows} AS INT))")))

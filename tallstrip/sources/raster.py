@@ -1,7 +1,7 @@
 """Rasters derived from tables of vectors, and conversions between pixels, row profiles and runs.
 
-A vector is an image row: 64 rows make an image. `fine` has a pixel per component; `block` repeats its left quarter four
-times in both directions, which gives coherent areas.
+A vector is an image row: 64 rows make an image. `fine` has a pixel per component; `block` sums up four
+neighbouring components and repeats the sum four times in both directions, which gives coherent areas.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ def fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, y, x, r): the first 16 components of each vector, four times in each direction."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 64).alias("img"), (F.col("vec_id") % 64).cast("int").alias("y"), F.posexplode(F.slice("embedding", 1, 16)).alias("x", "v"))
+    """(img, y, x, r): half the sum of each four components of a vector, four times in each direction."""
+    part = lambda i, k: F.element_at("embedding", 4 * i + k).cast("double")
+    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (part(i, 1) + part(i, 2) + part(i, 3) + part(i, 4)) / 2)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 64).alias("img"), (F.col("vec_id") % 64).cast("int").alias("y"), F.posexplode(sums).alias("x", "v"))
     wide = rows.withColumn("r", _value(F.col("v"))).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return wide.select("img", (F.col("y") * 4 + F.col("dy")).cast("int").alias("y"), (F.col("x") * 4 + F.col("dx")).cast("int").alias("x"), "r")
 
@@ -35,11 +37,11 @@ def row_profile(pixels: DataFrame, predicate: Column) -> DataFrame:
     return pixels.groupBy("img", "y").agg(F.sum(F.when(predicate, 1).otherwise(0)).cast("long").alias("n"))
 
 
-def runs(pixels: DataFrame, predicate: Column) -> DataFrame:
-    """(img, y, x0, x1): maximal horizontal runs [x0, x1) of pixels for which the predicate holds."""
+def runs(pixels: DataFrame, predicate: Column, *more: Column) -> DataFrame:
+    """(img, y, x0, x1): maximal horizontal runs [x0, x1) of pixels for which the predicate holds, and more aggregates."""
     order = Window.partitionBy("img", "y").orderBy("x")
-    on = pixels.where(predicate).select("img", "y", "x", (F.col("x") - F.row_number().over(order)).alias("island"))
-    return on.groupBy("img", "y", "island").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("island")
+    on = pixels.where(predicate).withColumn("_island", F.col("x") - F.row_number().over(order))
+    return on.groupBy("img", "y", "_island").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), *more).drop("_island")
 
 
 def pixels_of(runs: DataFrame) -> DataFrame:

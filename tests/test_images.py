@@ -62,3 +62,20 @@ def test_streams(spark, tmp_path):
     stream = chapters.arriving(spark, f"{tmp_path}/in", rows.schema)
     chapters.run_batches(stream, lambda df: chapters.sessions(df, "30 minutes", "1 hour", "u"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_sizes_of_webp_and_of_long_heads(spark, tmp_path):
+    from tallstrip.sources.images import image_size, sizes, undecodable
+
+    riff = lambda kind, data: b"RIFF" + (len(data) + 12).to_bytes(4, "little") + b"WEBP" + kind + len(data).to_bytes(4, "little") + data
+    lossy = riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + (640).to_bytes(2, "little") + (480).to_bytes(2, "little") + b"\0" * 8)
+    lossless = riff(b"VP8L", b"\x2f" + ((300 - 1) | (200 - 1) << 14 | 1 << 28).to_bytes(4, "little") + b"\0" * 12)
+    extended = riff(b"VP8X", b"\x10\0\0\0" + (1000 - 1).to_bytes(3, "little") + (70_000 - 1).to_bytes(3, "little"))
+    assert [image_size(x) for x in (lossy, lossless, extended, b"RIFF")] == [(640, 480, 3), (300, 200, 4), (1000, 70_000, 4), None]
+    meta = b"".join(b"\xff\xe1" + (60_000).to_bytes(2, "big") + b"m" * 59_998 for _ in range(3))
+    frame = b"\xff\xc0" + (17).to_bytes(2, "big") + b"\x08" + (33).to_bytes(2, "big") + (44).to_bytes(2, "big") + b"\x03" + b"\0" * 20
+    for name, data in (("a.webp", lossy), ("b.JPG", b"\xff\xd8" + meta + frame), ("c.png", b"no image"), ("d.jpeg", b"\xff\xd8" + frame)):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path[-6:].strip("/"): (r.width, r.height, r.channels) for r in sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a.webp": (640, 480, 3), "b.JPG": (44, 33, 3), "c.png": (None, None, None), "d.jpeg": (44, 33, 3)}
+    assert undecodable(spark, str(tmp_path)).count() == 4

@@ -181,3 +181,45 @@ def test_no_deletion_is_no_damage(spark):
     px = table(spark, np.full((2, 2), 250), "r").withColumns({"g": F.col("r"), "b": F.col("r"), "a": F.lit(255)})
     row = metrics.ranked(metrics.score(px, "img"), "img").first()
     assert (row.damage_percent_deleted, row.estimated_success_percent, row["rank"]) == (0.0, 100.0, 1)
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from tallstrip.operators.ranking import numbered
+
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 1000).alias("v"), "id")
+    got = numbered(rows, "rank", F.desc("v"), "id").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001))
+    assert [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+    assert numbered(rows.where("id < 0"), "rank", "v").count() == 0
+
+
+def test_numbers_of_any_length_in_names(spark):
+    from pyspark.sql import functions as F
+
+    from tallstrip.functions.names import natural_key
+
+    names = ["p2", "p10", "p" + "9" * 20, "p1" + "0" * 20, "p2" + "0" * 20, "p1" + "0" * 40, "p007"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n"))).collect()
+    assert [r.n for r in got] == sorted(names, key=lambda n: int(n[1:]))
+
+
+def test_no_forced_split_without_a_height(spark):
+    from tallstrip.operators import segment
+
+    rows = spark.createDataFrame([(1, 0, 0, 5000, 5000, "safe")], "img bigint, idx int, y0 int, y1 int, height int, reason string")
+    assert segment.forced_split(rows, 0).collect() == rows.collect()
+
+
+def test_the_work_folder_is_shared_or_local():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tallstrip.work import work_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_folder(cluster)
