@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ego, html, packing, quality, recompression, simhash, suffix_dedup, warc
+from . import chat, decontaminate, ego, html, packing, quality, recompression, resampling, sharding, simhash, suffix_dedup, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +91,22 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("units").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.histogram_shards(_table(spark, sf_dir, "documents"), sharding.Params(shards=40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_packing, op4_decontaminate, op5_ego, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_packing, op4_decontaminate, op5_ego, op6_warc, op7_chat, op8_suffix_dedup, op9_html, op10_recompression, op11_histogram_sort, op12_whitening, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_histogram_sort": sharding.SQL}
