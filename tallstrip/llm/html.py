@@ -31,6 +31,8 @@ CONTAINERS = {"body", "div", "section", "main", "article", "header", "footer", "
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "advertising", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Of these, the ones that say what the element is even where an article stands inside it.
 FIRM_WORDS = {"comment", "comments", "disqus", "related", "respond"}
+#: Parts of names that say where or in what shape something stands, not what it is.
+PLAIN_WORDS = {"area", "articles", "aside", "bar", "block", "body", "bottom", "box", "buttons", "col", "column", "container", "content", "count", "desktop", "fixed", "form", "global", "group", "holder", "inline", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "small", "stories", "text", "thread", "top", "unit", "wrap", "wrapper"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "dialog", "menu", "menubar", "toolbar", "form"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "address", "fieldset", "details"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
@@ -42,8 +44,10 @@ CLOSERS = set().union(*CLOSED_BY.values())
 
 _name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _stop = re.compile(r"[>\"']")
+#: Where an element without mark-up inside ends.
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in RAW}
 _attribute = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_word = re.compile(r"[a-z]+|[0-9]+")
+_word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass(frozen=True)
@@ -61,21 +65,33 @@ class Params:
 OPEN, SOFT, FIRM = 0, 1, 2
 
 
+def _said(names: str, in_article: bool) -> set[str]:
+    """The boilerplate words among an element's names. A name counts as a whole: all its parts are such words, or say no
+    more than place and shape. So "site-footer" is a footer, and neither "social-history" nor "banner-story" anything."""
+    found = set()
+    for name in names.split():
+        parts = {m.lower() for m in _word.findall(name)}
+        kinds = parts & (BOILERPLATE_WORDS if in_article else BOILERPLATE_WORDS | {"header"})
+        if kinds and parts <= kinds | PLAIN_WORDS:
+            found |= kinds
+    return found
+
+
 def _prior(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
     """How surely the presentation alone says boilerplate, and the element's name in paths."""
     if tag in NEVER:
         return FIRM, tag
     mark, name = SOFT if tag == "header" and not in_article else OPEN, tag
     if attributes and not attributes.isspace():
-        values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes)}
-        name = f"{tag}.{values['class']}" if values.get("class") else f"{tag}#{values['id']}" if values.get("id") else tag
-        if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
+        values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)}
+        name = f"{tag}.{values['class'].lower()}" if values.get("class") else f"{tag}#{values['id'].lower()}" if values.get("id") else tag
+        if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").lower().replace(" ", ""):
             return FIRM, name
-        said = set(_word.findall(f"{values.get('class', '')} {values.get('id', '')}"))
+        said = _said(f"{values.get('class', '')} {values.get('id', '')}", in_article)
         if tag not in ("html", "body"):
             if FIRM_WORDS & said and (tag not in ("article", "main") or said & {"comment", "comments"}):
                 return FIRM, name
-            if values.get("role") in ROLES or tag not in ("article", "main") and (BOILERPLATE_WORDS & said or "header" in said and not in_article):
+            if values.get("role", "").lower() in ROLES or tag not in ("article", "main") and said:
                 return max(mark, SOFT), name
     return mark, name
 
@@ -101,13 +117,14 @@ class Path:
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
-    """(start, end, whether it closes, name, attributes) of each tag; comments and declarations have no name. A "<" that
-    no tag follows is text. Each character is looked at a bounded number of times, however the mark-up is broken."""
+    """(start, end, whether it closes, name, attributes) of each tag; comments and declarations have no name. A raw
+    element (a script, a style sheet) is one item up to the end of its closing tag, whatever it holds. A "<" that no tag
+    follows is text. Each character is looked at a bounded number of times, however the mark-up is broken."""
     at, size, last, plain = 0, len(page), page.rfind(">"), False
     while (start := page.find("<", at)) >= 0:
         at = start + 1
         if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
+            end = page.find("-->", start + 2)
             at = size if end < 0 else end + 3
             yield start, at, False, "", ""
             continue
@@ -125,27 +142,33 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             stop = _stop.search(page, end)
             if stop is None:
                 end = -1
-            elif stop[0] != ">":
+            elif stop[0] == ">":
+                end = stop.start()
+            else:
+                if page[end : stop.start()].rstrip()[-1:] != "=":  # only a value may be quoted
+                    end = stop.end()
+                    continue
                 end = page.find(stop[0], stop.end()) + 1 or -1
                 if end > 0:
                     continue
-            else:
-                end = stop.start()
             break
         if plain:
             end = page.find(">", end)
         if end < 0:  # a quote that nothing closes; from here on tags end at the next ">", quoted or not
             plain = True
             continue
-        at = end + 1
-        yield start, at, page[start + 1] == "/", m[1].lower(), page[m.end() : end]
+        at, name, closes = end + 1, m[1].lower(), page[start + 1] == "/"
+        if name in RAW and not closes:
+            behind = _raw_end[name].search(page, at)
+            at = behind.end() if behind else size
+        yield start, at, closes, name, page[m.end() : end]
 
 
 def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tuple[Path | None, bool, bool, str]]:
     """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's start and
     end give a text of one space. closed: told of each container when it ends, inner ones first."""
     stack: list[tuple[str, Path | None, int, bool]] = []  # tag, path, boilerplate, in article
-    open_, path, bad, inside, at, skip = Counter(), None, OPEN, False, 0, 0
+    open_, path, bad, inside, at = Counter(), None, OPEN, False, 0
 
     def cut(i: int) -> None:
         for k in range(len(stack) - 1, i - 1, -1):
@@ -156,8 +179,6 @@ def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tu
         del stack[i:]
 
     for start, end, closes, tag, attributes in tags(page):
-        if start < skip:
-            continue
         if start > at:
             yield path, bad > OPEN, inside, page[at:start]
         at = end
@@ -182,11 +203,7 @@ def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tu
                 if stack[i][0] in BLOCKS:
                     break
         _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
-            continue
-        if tag in RAW:
-            m = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = skip = m.end() if m else len(page)
+        if tag in VOID or tag in RAW or attributes.endswith("/") and tag not in BLOCKS:
             continue
         mark, name = _prior(tag, attributes, inside)
         if path and tag in BLOCKS:

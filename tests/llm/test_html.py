@@ -26,6 +26,56 @@ def test_a_wrapper_s_name_does_not_hide_its_article():
     assert extract("<header><h1>Site</h1></header><main><header><h1>Title</h1></header>body</main>") == "Title body"
 
 
+RAW_CONTENT = ["for(i=0;i<n;i++){ // don't", 'x="<!--";', "a<b it's", 'if(a<b&&c>d){s="</p>"+\'<div class="ad">\'}', "<", "'", '"', "<!", "<b", "</", "<!-- <x '"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"])
+@pytest.mark.parametrize("content", RAW_CONTENT)
+def test_what_a_raw_element_holds_is_no_mark_up(tag, content):
+    inside = f"<article><{tag}>{content}</{tag.upper()} ><p>Hello</p><p>Don't go</p><p>End</p></article><footer>f</footer>"
+    assert extract(inside) == "Hello Don't go End"
+    before = f"<head><{tag} x='>'>{content}</{tag}></head><body><p>b</p><nav>n</nav><footer>f</footer></body>"
+    assert extract(before) == "b"
+    assert extract(f"<p>a</p><{tag}>{content}") == "a"
+
+
+def test_only_values_are_quoted_and_short_comments_end():
+    assert extract("<p title=don't>a</p><p class=it's>b</p><footer>f</footer>") == "a b"
+    assert extract("a<!-->b<!--->c<!-- > -->d") == "abcd"
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-work", "banner-story", "notice-of-terms", "share-price", "adsorption", "menu-planning-tips", "navigational-skills", "commentary"])
+def test_a_part_of_a_name_says_nothing(name):
+    for attribute in (f'id="{name}"', f'class="x {name}"'):
+        assert extract(f"<article><p>a</p><section {attribute}><p>b</p></section></article>") == "a b"
+        assert extract(f"<body><div {attribute}>b</div></body>") == "b"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "site-footer", "cookie-notice", "mainNav", "comment_list", "left-sidebar", "related-posts", "newsletterBox"])
+def test_a_whole_name_says_what_an_element_is(name):
+    assert extract(f"<body><div class='{name}'>b</div><p>a</p></body>") == "a"
+    assert extract(f"<article><p>a</p><div id='{name}'>b</div></article>") == "a"
+
+
+MARK = [("<p>{}</p>", True), ("<b>{}</b><br>", True), ("<ul><li>{}</li></ul>", True), ("<section id='related-work'><p>{}</p></section>", True), ("<nav>{}</nav>", False), ("<div class='ad'>{}</div>", False), ("<script>{} < '\"<!--</script>", False), ("<style>/* {} it's a<b */</style>", False), ("<!-- {} -->", False), ("<form><p>{}</p></form>", False), ("<aside><div><p>{}</p></div></aside>", False), ("<section class='comments'><p>{}</p></section>", False)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_drawn_pages_give_the_texts_of_their_articles(spark, seed):
+    """Pages put together from parts that are known to be text or not, read by the query's operator."""
+    rng, rows, want = random.Random(seed), [], {}
+    for i in range(5):
+        said, page_ = [], ""
+        for inside in (False, True, False):
+            parts = [(*rng.choice(MARK), f"w{i} &amp; {rng.randrange(1000)}") for _ in range(rng.randrange(8))]
+            page_ += ("<article>" if inside else "<div>") + "\n".join(m.format(w) for m, _, w in parts) + ("</article>" if inside else "</div>")
+            said.append([w.replace("&amp;", "&") for _, is_text, w in parts if is_text])
+        want[i] = " ".join(said[1] or said[0] + said[2])
+        rows.append((i, f"http://h{i}.example/", f"<html><body>{page_}</body></html>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} if seed < 3 else {i: extract(h) for i, _, h in rows}
+    assert got == want
+
+
 def page(i):
     return f"<html><body><div class='x1'>Same on all pages</div><div class='x2'><p>Story {i} tells {i * i}.</p></div><div class='x3'>Call us</div></body></html>"
 
