@@ -26,13 +26,15 @@ from ._work import settle
 
 @dataclass(frozen=True)
 class Params:
-    """capacity: tokens in a sequence. vocabulary: file of the byte-level BPE in ranks form, special: its text of a
+    """capacity: tokens in a sequence. vocabulary: file of the byte-level BPE in ranks form, whole: the same as a
+    tokeniser's file, special: its text of a
     special token and that token's id; end: id put after each document. fan: groups that meet in a round of the tree.
     open_bins: emptiest sequences a group hands on there, after rounds of all underfull ones have stopped saving any.
     dealt: pieces of a group in those rounds."""
 
     capacity: int = 2048
     vocabulary: str | None = None
+    whole: str | None = None
     special: tuple[str, int] = ("<|endoftext|>", 50256)
     end: int = 0
     fan: int = 8
@@ -41,14 +43,26 @@ class Params:
 
 
 def _encoder(params: Params):
-    """Ids of a text. The vocabulary has the same ids in both forms; the ranks form is several times faster to apply."""
+    """Ids of a text. The vocabulary has the same ids in both forms; the ranks form is several times faster to apply, but
+    its expressions give up on very long runs of white space, which the other form then takes."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(params.vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([params.special]))
-    return lambda text: coder.encode(text, allowed_special="all")
+    whole: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coder.encode(text, allowed_special="all")
+        except ValueError:
+            if not whole:
+                whole.append(Tokenizer.from_file(params.whole or public_tokenizers.path("byte_bpe_50k.json")))
+            return whole[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 class BestFit:
