@@ -15,12 +15,15 @@ its name. Neighbouring windows with one anchor and half form a stretch. Then
    byte by byte or word by word;
 5. groups apply what was found to their texts.
 
-Whole stretches are equal if 128 bits of hashes are. What moves is packed into arrays, one row per group and bucket. The
-texts' exchange is the same in all steps, so Spark runs it once.
+Whole stretches are equal if 128 bits of BLAKE2b of their bytes are, salted anew in each run, so nobody can write texts
+that differ and agree there. All other hashes only bring together what is then compared. What moves is packed into
+arrays, one row per group and bucket. The texts' exchange is the same in all steps, so Spark runs it once.
 """
 
 from __future__ import annotations
 
+import copy
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -50,23 +53,27 @@ FOUND = np.dtype([("doc", "i8"), ("tie", "i8"), ("n", "i8"), ("w0", "i8")])
 @dataclass
 class Look:
     """Some texts, and the stretches of their windows: text number, first window (in the text), windows, anchor's
-    distance from the first window, and name. digest(text, w0, n, seed) hashes all that n windows from w0 on cover."""
+    distance from the first window, and name. digest(text, w0, n) hashes all that n windows from w0 on cover; contents(...)
+    has it in bytes: a buffer, and where in it each begins and ends."""
 
     text: np.ndarray
     w0: np.ndarray
     n: np.ndarray
     rel: np.ndarray
     sym: np.ndarray
-    digest: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+    digest: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    contents: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def stretches(first: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray | int, window: int, digest: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Look:
+def stretches(first: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray | int, window: int, digest: Callable[[np.ndarray, np.ndarray, int], np.ndarray], contents: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Look:
     """Stretches of the windows that begin at the units `start` (in order), whose anchors begin at `anchor` and have
-    `size` units; an anchor below zero stands for none. first: units before each text. digest: of runs of units."""
-    whole = lambda text, w0, n, seed: digest(first[text] + w0, n + (window - 1), seed)
+    `size` units; an anchor below zero stands for none. first: units before each text. digest and contents: of runs of
+    units."""
+    whole = lambda text, w0, n: digest(first[text] + w0, n + (window - 1), 2)
+    said = lambda text, w0, n: contents(first[text] + w0, n + (window - 1))
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Look(none, none, none, none, none.astype(np.uint64), whole)
+        return Look(none, none, none, none, none.astype(np.uint64), whole, said)
     half = (window - size) // 2
     left = anchor - start >= half
     new = anchor < 0
@@ -82,7 +89,7 @@ def stretches(first: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np
     begin = np.where(held, np.where(left, anchor - half, anchor), start)
     extent = np.where(held, np.where(left, size + half, window - half + 1), window)
     sym = B.mix(digest(begin, np.minimum(extent, window), 1) ^ np.where(held, left.astype(np.uint64), np.uint64(2)))
-    return Look(text, start - first[text], n.astype(np.int64), np.where(held, anchor - start, 0), sym, whole)
+    return Look(text, start - first[text], n.astype(np.int64), np.where(held, anchor - start, 0), sym, whole, said)
 
 
 def _looks(kernel, table: pa.Table):
@@ -105,7 +112,7 @@ def _names(kernel, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     syms, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for _, _, _, look in _looks(kernel, table):
         syms.append(look.sym)
-        pairs.append(B.mix(look.sym ^ B.mix(look.digest(look.text, look.w0, look.n, 2))))
+        pairs.append(B.mix(look.sym ^ B.mix(look.digest(look.text, look.w0, look.n))))
     sym, pair = np.concatenate(syms), np.concatenate(pairs)
     names, counts = np.unique(sym, return_counts=True)
     _, at = np.unique(pair, return_index=True)
@@ -223,7 +230,7 @@ def _send_stretches(kernel, buckets, within: bool):
             n = np.concatenate([look.n[pick], np.ones(len(w0) - len(pick), np.int64)])
             rows = np.zeros(len(text), STRETCH)
             rows["doc"], rows["tie"], rows["group"], rows["w0"], rows["n"] = doc[text], tie[text], group, w0 + before, n
-            rows["seg"], rows["seg2"] = look.digest(text, w0, n, 2), look.digest(text, w0, n, 3)
+            rows["seg"], rows["seg2"] = B.identities(*look.contents(text, w0, n), kernel.salt)
             rows["sym"], rows["rel"] = rows["seg"], 0
             rows["sym"][: len(pick)], rows["rel"][: len(pick)] = look.sym[pick], look.rel[pick]
             out.append(rows)
@@ -367,6 +374,8 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     """(doc_id, units, removed, spans, kept) per row: how many units (bytes or words) the text has and loses, the
     removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too.
     group_bytes, hot and fan change how work is dealt, never results."""
+    kernel = copy.copy(kernel)
+    kernel.salt = secrets.token_bytes(16)
     groups = max(1, -(-bytes_of(documents, text_column) // group_bytes))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])

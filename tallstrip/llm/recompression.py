@@ -9,6 +9,8 @@ place. Texts that share such a symbol are compared there, window by window and w
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -75,12 +77,21 @@ def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return number.astype(np.int64)
 
 
+def spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space behind each, and where in that the runs of `count` words from `first` on begin and end."""
+    length = ends - starts
+    at = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(at[-1], 0x20, np.uint8)
+    out[B.expand(at[:-1], length)] = raw[B.expand(starts, length)]
+    return out, at[first], at[first + count]
+
+
 class WordWindows:
     """Windows of so many words; the anchor is the symbol with the least hash among those that depend on the window
-    alone, or where there is none, the window itself."""
+    alone, or where there is none, the window itself. Words are hashed under a seed of each instance's own."""
 
     def __init__(self, window: int = 50, rounds: int = 3):
-        self.window, self.rounds = window, rounds
+        self.window, self.rounds, self.seed = window, rounds, secrets.randbits(63)
 
     def pieces(self, raw: np.ndarray, size: int):
         """A long text in pieces (bytes, offsets, words before); every window is whole in one piece."""
@@ -92,12 +103,13 @@ class WordWindows:
 
     def look(self, raw: np.ndarray, offsets: np.ndarray) -> Look:
         starts, ends, first = B.words(raw, offsets, B.SPACED)
-        names = B.word_hashes(raw, starts, ends)
+        names = B.word_hashes(raw, starts, ends, self.seed)
         digest = lambda start, length, seed: B.chain_values(names, start, length, seed)
+        contents = lambda start, length: spaced(raw, starts, ends, start, length)
         long = np.flatnonzero(np.diff(first) >= self.window)
         if not len(long):
             none = np.zeros(0, np.int64)
-            return stretches(first, none, none, 0, self.window, digest)
+            return stretches(first, none, none, 0, self.window, digest, contents)
         symbol, low, high = recompress(names, first, self.rounds)
         window = B.expand(first[long], np.diff(first)[long] - self.window + 1)
         lo, hi = np.searchsorted(low, window), np.searchsorted(high, window + self.window, "right") - 1
@@ -106,7 +118,7 @@ class WordWindows:
         some = hi >= lo
         chosen = np.zeros(len(window), np.int64)
         chosen[some] = (range_minimum(packed, lo[some], hi[some]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        return stretches(first, window, np.where(some, low[chosen], -1), np.where(some, (high - low)[chosen], 0), self.window, digest)
+        return stretches(first, window, np.where(some, low[chosen], -1), np.where(some, (high - low)[chosen], 0), self.window, digest, contents)
 
     def content(self, raw: np.ndarray, offsets: np.ndarray, text: np.ndarray, rows: np.ndarray):
         """The words of the stretches."""

@@ -60,8 +60,9 @@ class ByteWindows:
     def look(self, raw: np.ndarray, offsets: np.ndarray) -> Look:
         size, none = len(raw), np.zeros(0, np.int64)
         digest = lambda start, length, seed: B.chain_bytes(raw, start, start + length, seed)
+        contents = lambda start, length: (raw, start, start + length)
         if size < self.window:
-            return stretches(offsets, none, none, self.gram, self.window, digest)
+            return stretches(offsets, none, none, self.gram, self.window, digest, contents)
         eight, at, grams = B.eights(raw), np.arange(size - self.gram + 1), None
         for i in range(0, self.gram, 8):
             block = eight[i : i + len(at)] if i + 8 <= self.gram else eight[i : i + len(at)] & np.uint64((1 << 8 * (self.gram - i)) - 1)
@@ -74,7 +75,7 @@ class ByteWindows:
         np.add.at(inside, offsets[long], 1)
         np.add.at(inside, offsets[long + 1] - self.window + 1, -1)
         start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        return stretches(offsets, start, anchor[start], self.gram, self.window, digest)
+        return stretches(offsets, start, anchor[start], self.gram, self.window, digest, contents)
 
     def content(self, raw: np.ndarray, offsets: np.ndarray, text: np.ndarray, rows: np.ndarray):
         """The bytes of the stretches."""

@@ -53,6 +53,74 @@ def test_bytes_that_polynomials_confuse(spark):
     assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
 
 
+INVERSE = pow(int(B._STEP), -1, 1 << 64)
+
+
+def unmixed(h):
+    """The number that mix() makes h of."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        x = h
+        for _ in range(3):
+            x = h ^ (x >> shift)
+        h = x * pow(factor, -1, 1 << 64) % (1 << 64)
+    return h
+
+
+def twin(word, seed, alphabet):
+    """Another word of 16 bytes with the same chain of blocks: any first block has one second block that ends alike."""
+    chain = lambda b, s: int(B.chain_bytes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), s)[0])
+    start = int(B.mix(np.array([16], np.uint64) * B._LEFT + np.uint64(seed))[0])
+    before_last = unmixed(chain(word, seed)) * INVERSE % (1 << 64)
+    rng = np.random.default_rng(4)
+    while True:
+        first = bytes(rng.choice(alphabet, 8).tolist())
+        held = int(B.mix((np.array([start], np.uint64) ^ np.frombuffer(first, np.uint64)) * B._STEP)[0])
+        second = (held ^ before_last).to_bytes(8, "little")
+        if first != word[:8] and all(33 <= c < 127 for c in second):
+            assert chain(first + second, seed) == chain(word, seed)
+            return first + second
+
+
+def test_words_made_to_collide(spark):
+    """Words whose hashes are equal under the very seed in use, alone and inside whole stretches."""
+    kernel, word = WordWindows(50), b"abcdefghijklmnop"
+    other = twin(word, kernel.seed, np.arange(33, 127, dtype=np.uint8))
+    assert len(set(B.word_hashes(np.frombuffer(word + other, np.uint8), np.array([0, 16]), np.array([16, 32]), kernel.seed).tolist())) == 1
+    around = [f"w{i}" for i in range(35)]
+    docs = [(i, " ".join([*around, said.decode(), *around])) for i, said in enumerate([word, other, word, other])]
+    docs += [(9, " ".join([other.decode()] * 60)), (10, " ".join([word.decode()] * 60)), (11, " ".join([word.decode()] * 55))]
+    for dealing in ({}, {"group_bytes": 200}, {"group_bytes": 200, "hot": 0, "fan": 2}):
+        got = remove_repeats(frame(spark, docs), kernel, within=False, **dealing).collect()
+        assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
+
+
+@pytest.mark.parametrize("operator, kernel", [("bytes", ByteWindows(100)), ("words", WordWindows(50))])
+def test_hashes_without_any_use(spark, docs, monkeypatch, operator, kernel):
+    """All chains of a task's own digests the same: what brings together decides nothing."""
+    kernel = type("Same", (type(kernel),), {"look": lambda self, raw, offsets: same(super(type(self), self).look(raw, offsets))})(*(kernel.window,))
+
+    def same(look):
+        look.sym = look.sym & np.uint64(0x300000003)
+        return look
+
+    got = remove_repeats(frame(spark, docs), kernel, within=operator == "bytes", group_bytes=3000, hot=10**9).collect()
+    if operator == "bytes":
+        assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
+    else:
+        assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
+
+
+def test_bytes_made_to_collide(spark):
+    """Blocks of a stretch whose chains are equal under the seeds that are known."""
+    word = b"abcdefghijklmnop"
+    docs = []
+    for k, seed in enumerate((0, 1, 2, 3)):
+        other = twin(word, seed, np.arange(33, 127, dtype=np.uint8))
+        docs += [(10 * k, "x" * 90 + word.decode() + "y" * 90), (10 * k + 1, "x" * 90 + other.decode() + "y" * 90)]
+    got = suffix_dedup(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
+
+
 def test_a_frequent_phrase_with_many_surroundings(spark):
     """Its windows are named by their content; nothing but real repeats goes."""
     phrase = "the licence under which this text may be given away in any form and at any price is"
