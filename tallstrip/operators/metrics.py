@@ -19,7 +19,11 @@ def score(pixels: DataFrame, *keys: str, edge: Column | None = None) -> DataFram
     g, s = gray(), saturation()
     gone = deleted_in_result(F.col("a"), result, g, s)
     marked = pixels.select(*keys, gone.alias("d"), damaged(gone, g, s, edge).alias("m"), leftover_line(gone, g, s, edge).alias("l"))
-    sums = marked.groupBy(*keys).agg(F.count("*").alias("total_pixels"), F.count_if("d").alias("deleted_pixels"), F.count_if("m").alias("damaged_pixels"), F.count_if("l").alias("leftover_grayline_pixels"))
+    return of_counts(marked.groupBy(*keys).agg(F.count("*").alias("total_pixels"), F.count_if("d").alias("deleted_pixels"), F.count_if("m").alias("damaged_pixels"), F.count_if("l").alias("leftover_grayline_pixels")))
+
+
+def of_counts(sums: DataFrame) -> DataFrame:
+    """Percentages and scores of counted pixels."""
     dd, dt = guarded_percent(F.col("damaged_pixels"), F.col("deleted_pixels")), guarded_percent(F.col("damaged_pixels"), F.col("total_pixels"))
     lt, tt = guarded_percent(F.col("leftover_grayline_pixels"), F.col("total_pixels")), guarded_percent(F.col("deleted_pixels"), F.col("total_pixels"))
     named = sums.withColumns({"damage_percent_deleted": dd, "damage_percent_total": dt, "delete_percent_total": tt, "leftover_grayline_percent_total": lt})

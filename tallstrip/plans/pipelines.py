@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import layout, metrics, segment, stencil, topology
+from ..operators import bands, layout, metrics, segment, stencil, topology
+from ..operators.bands import Bands
 from ..operators.kernels import Scorer, ThresholdScorer, edges, predict
 from ..operators.masks import gray
 from ..sources.raster import pixels_of, row_profile, runs
@@ -42,6 +43,43 @@ def evaluate(pixels: DataFrame, *keys: str, with_edges: bool = False) -> DataFra
     return metrics.ranked(metrics.score(pixels, *keys, edge=edge), *keys)
 
 
+def evaluate_bands(strips: Bands, with_edges: bool = False) -> DataFrame:
+    """Ranked scores of strips (r, g, b of the original, a of the result) from packed bands: four counts leave a band, and
+    with edges a gray plane's halo rows and the runs of edge candidates move."""
+    if with_edges:
+        marked = bands.mapped(strips, {"gray": "uint8"}, lambda p: {"gray": bands.gray_of(p)}, ("r", "g", "b"), ("r", "g", "b", "a"))
+        lined = bands.edges(marked, "gray", 50, 150)
+        return metrics.ranked(metrics.of_counts(bands.score_counts(lined, "edge")), "img")
+    return metrics.ranked(metrics.of_counts(bands.score_counts(strips)), "img")
+
+
+def clean_bands(strips: Bands, config_threshold: float = 0.5, p: CleanParams = CleanParams()) -> Bands:
+    """The same steps as clean() on packed bands (r, g, b): bands with planes gray and delete.
+
+    Bands move for tiles, for the halo of closing and opening, and for that of borders and strokes; islands and frames
+    move as runs. Two tables of packed bands are written, so that runs and bands are made of the same pixels once.
+    """
+    threshold = config_threshold if p.threshold is None else p.threshold
+    px = bands.mapped(strips, {"gray": "uint8"}, lambda q: {"gray": bands.gray_of(q)}, ("r", "g", "b"), ())
+    px = bands.predict(px, "gray", p.scorer, {"delete": "uint8"}, lambda s: {"delete": s >= threshold}, p.tile, p.overlap)
+    px = bands.postprocess(px, "delete", p.close_radius, p.open_radius).settled("scored")
+    if p.islands:
+        labelled = topology.label(bands.runs(px, lambda q: q["delete"] == 1, ("delete",)), 8, px.rows)
+        px = bands.paint(px, topology.without_islands(labelled, bands.sizes(px)), "delete", keep=("gray",))
+    band, darkness = max(0, p.border_band), p.darkness
+
+    def borders(q):
+        delete = bands._protected(q["delete"], q["gray"], band, darkness) if band else q["delete"]
+        return {"delete": delete, "stroke": bands.closed((q["gray"] <= darkness).astype("uint8"), stencil.ellipse(2))} if p.frames else {"delete": delete}
+
+    if not p.frames:
+        return bands.over(px, band, {"delete": "uint8"}, borders, ("delete", "gray"))
+    px = bands.over(px, max(band, 4), {"delete": "uint8", "stroke": "uint8"}, borders, ("delete", "gray")).settled("strokes")
+    holes = topology.frame_interiors(bands.runs(px, lambda q: q["stroke"] == 1, ("stroke",)), p.least_interior, px.rows)
+    inside = bands.eroded_runs(holes, stencil.ellipse(p.inset), "img", "comp") if p.inset > 0 else holes
+    return bands.paint(px, inside.select("img", "y", "x0", "x1"), "delete", lambda on, q: q["delete"] * ~on, ("delete",), ("gray",))
+
+
 def repair_frames(pixels: DataFrame, delete: str, p: CleanParams = CleanParams()) -> DataFrame:
     """Keeps the insides of closed dark frames: deleted pixels there turn back."""
     dark = pixels.withColumn("_dark", F.when(F.col("gray") <= p.darkness, 1).otherwise(0))
