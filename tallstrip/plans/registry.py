@@ -355,14 +355,6 @@ def overlap_add(spark, d):
     return kernels.overlap_add(tiled.withColumn("s", (F.col("r") + F.col("ty") % 7).cast("double")), 32)
 
 
-@_query(f"WITH {BLOCK} SELECT img, y, x, round(1 / (1 + exp(-(r - 128) / 16.0::DOUBLE)), 6) AS p FROM block")
-def tiled_scores(spark, d):
-    """M1 and M2 with the stand-in scorer: every pixel's score from overlapping tiles, which all say the same of it."""
-    px = raster.block(spark, d)
-    sizes = px.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    return kernels.predict(px, "r", sizes, kernels.ThresholdScorer(), 64, 16)
-
-
 @_query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_brand || ' ' || p_name, '\\d+|\\D+'), lambda s: CASE WHEN regexp_matches(s, '^\\d') THEN lpad(CASE WHEN ltrim(s, '0') = '' THEN '0' ELSE ltrim(s, '0') END, 20, '0') ELSE lower(s) END), '') AS key FROM part""")
 def natural_keys(spark, d):
     """C1, H1."""
@@ -669,19 +661,6 @@ def low_texture_regions(spark, d):
     return topology.low_texture(labelled, 100)
 
 
-@_query(None)
-def hole_repair(spark, d):
-    """Insides of closed outlines of 4-pixel strokes; tested on the four cases of frames."""
-    px = raster.block(spark, d)
-    return topology.frame_interiors(raster.runs(px, F.col("r") <= 110), 16, 64)
-
-
-@_query(None)
-def edge_pixels(spark, d):
-    """J6, J8's edges, D4 and D5 with edges; tested on drawn lines and for independence of bands."""
-    return kernels.edges(raster.block(spark, d), "r", 120, 240, 64)
-
-
 _NEAR = ", ".join(f"({dy}, {dx})" for dy in range(-6, 7) for dx in range(-6, 7) if 0 < dy * dy + dx * dx <= 36)
 
 
@@ -901,18 +880,12 @@ def same_size(spark, d):
     return masks.require_one_size(rows, "chapter")
 
 
-@_query(None)
-def cleaned_strips(spark, d):
-    """3.1: strips scored, closed, islands reclaimed, borders protected and frames repaired; tested for its invariants."""
-    px = raster.fine(spark, d).select("img", "y", "x", "r", "g", "b")
-    sizes = px.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    p = pipelines.CleanParams(tile=48, overlap=16, least_interior=16)
-    return pipelines.clean(px, sizes, 0.5, p).groupBy("img").agg(F.sum("delete").alias("deleted"), F.count("*").alias("total"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, d, f=f: _plain(f(spark, d))) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+from . import band_queries  # noqa: E402, F401  registers what runs on packed bands
