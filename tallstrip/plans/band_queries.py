@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bands, kernels, stencil, topology
+from ..operators import bands, contours, kernels, stencil, topology
 from ..operators.bands import Bands
 from ..sources import raster
 from . import pipelines
@@ -151,3 +151,62 @@ def banded_boundaries(spark, d):
     guarded = bands.protect_borders(b.pick("m", "gray"), "m", "gray", 3, 20)
     total = lambda x, out, p, kind: bands.each(x.pick(p), f"{out} {kind}", lambda y0, q: {out: [float(q[p].sum()) if kind == "double" else int(q[p].sum())]}).groupBy("img").agg(F.sum(out).alias(out))
     return total(made, "w", "w", "double").join(total(made, "fused", "m", "bigint"), "img").join(total(guarded, "guarded", "m", "bigint"), "img")
+
+
+_LOOPS = f"""{BLOCK}, on_ AS (SELECT img, y, x FROM block WHERE r >= 150),
+side AS (SELECT o.img, o.y, o.x, k.side, k.dy, k.dx, k.ty, k.tx FROM on_ o, (VALUES (0, -1, 0, 0, 1), (1, 0, 1, 1, 0), (2, 1, 0, 0, -1), (3, 0, -1, -1, 0)) AS k(side, dy, dx, ty, tx) WHERE (o.img, o.y + k.dy, o.x + k.dx) NOT IN (SELECT (img, y, x) FROM on_)),
+ahead AS (SELECT s.*, q.x IS NOT NULL AS q, r.x IS NOT NULL AS r FROM side s LEFT JOIN on_ q ON q.img = s.img AND q.y = s.y + s.dy + s.ty AND q.x = s.x + s.dx + s.tx LEFT JOIN on_ r ON r.img = s.img AND r.y = s.y + s.ty AND r.x = s.x + s.tx),
+link AS (SELECT img, y, x, side, (y * 2147483648 + x) * 4 + side AS id, side % 2 = 1 AS up, y * 100000 + x + CASE WHEN side = 1 THEN 1 ELSE 0 END AS place, q OR r AS turns,
+  CASE WHEN q THEN ((y + dy + ty) * 2147483648 + x + dx + tx) * 4 + (side + 3) % 4 WHEN r THEN ((y + ty) * 2147483648 + x + tx) * 4 + side ELSE (y * 2147483648 + x) * 4 + (side + 1) % 4 END AS nxt FROM ahead),
+walk AS (SELECT img, id AS root, place AS start, y AS sy, x AS sx, id, nxt, y, x, turns, 0 AS step FROM link WHERE up UNION ALL SELECT w.img, w.root, w.start, w.sy, w.sx, l.id, l.nxt, l.y, l.x, l.turns, w.step + 1 FROM walk w JOIN link l ON l.img = w.img AND l.id = w.nxt WHERE l.id <> w.root AND NOT (l.up AND l.place < w.start)),
+loop_ AS (SELECT w.*, n.n, CASE WHEN step = 0 THEN 0 ELSE n.n - step END AS r FROM walk w JOIN (SELECT img, root, max(step) + 1 AS n FROM walk GROUP BY img, root HAVING bool_or(nxt = root)) n USING (img, root)),
+kept AS (SELECT img, root, sy, sx, y, x, r FROM loop_ WHERE r = 0 OR turns),
+outline AS (SELECT img, root, r, y, x FROM (SELECT *, lead(r) OVER (PARTITION BY img, root ORDER BY r) AS after FROM kept) WHERE r = 0 OR after IS NOT NULL OR y <> sy OR x <> sx)"""
+
+
+@_query(f"WITH RECURSIVE {_LOOPS} SELECT img, root % 4 = 1 AS hole, root AS outline, row_number() OVER (PARTITION BY img, root ORDER BY r) - 1 AS ord, y, x FROM outline")
+def traced_outlines(spark, d):
+    """K5: outlines as closed chains of points, in order, around parts and inside holes."""
+    from pyspark.sql import Window
+
+    b = bands.mapped(_block(spark, d), {"m": "uint8"}, lambda p: {"m": p["r"] >= 150}, ("r",), ())
+    points = contours.outlines(b, "m")
+    return points.withColumn("ord", F.row_number().over(Window.partitionBy("img", "outline").orderBy("ord")) - 1)
+
+
+_POINTS = f"""{_LOOPS}, p AS (SELECT *, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx FROM outline WINDOW w AS (PARTITION BY img, root ORDER BY r)),
+st AS (SELECT *, CASE WHEN ny <> y AND nx <> x THEN 1 ELSE 0 END AS slant, CASE WHEN (ny <> y) <> (nx <> x) THEN 1 ELSE 0 END AS straight FROM p),
+cm AS (SELECT *, coalesce(sum(straight) OVER u, 0) + coalesce(sum(slant) OVER u, 0) * sqrt(2.0::DOUBLE) AS cum, sum(straight) OVER a + sum(slant) OVER a * sqrt(2.0::DOUBLE) AS total, count(*) OVER a AS size FROM st WINDOW a AS (PARTITION BY img, root), u AS (PARTITION BY img, root ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT DISTINCT img, root, total, greatest(1, CAST(floor(total / 40.0::DOUBLE) AS BIGINT)) AS n FROM cm WHERE size >= 2 AND total >= 1),
+tk AS (SELECT img, root, k, k * (total / n) AS target FROM (SELECT *, unnest(range(0, n)) AS k FROM tg)),
+pk AS (SELECT t.img, t.root, t.k, coalesce(min(c.r) FILTER (c.cum >= t.target), max(c.r)) AS r FROM tk t JOIN cm c USING (img, root) GROUP BY 1, 2, 3),
+boundary AS (SELECT k.img, k.root AS outline, k.k, c.y, c.x FROM pk k JOIN cm c USING (img, root, r))"""
+
+
+def _boundary(spark: SparkSession, d: str) -> DataFrame:
+    b = bands.mapped(_block(spark, d), {"m": "uint8"}, lambda p: {"m": p["r"] >= 150}, ("r",), ())
+    return contours.resampled(contours.outlines(b, "m"), 40.0)
+
+
+@_query(f"WITH RECURSIVE {_POINTS} SELECT * FROM boundary")
+def boundary_points(spark, d):
+    """Points 40 pixels of length apart on every outline."""
+    return _boundary(spark, d)
+
+
+_SIDECAR = f"""{_POINTS}, {runs_sql("t", "block", "r >= 150")}, {labels_sql("t", "trn")},
+flat AS (SELECT img, CAST(round_even(cx, 0) AS BIGINT) AS x, CAST(round_even(cy, 0) AS BIGINT) AS y FROM (SELECT img, comp, sum((x0 + x1 - 1) / 2.0::DOUBLE * (x1 - x0)) / sum(x1 - x0) AS cx, sum(y * (x1 - x0)) / sum(x1 - x0) AS cy FROM trn JOIN tlab USING (img, id) GROUP BY img, comp HAVING sum(x1 - x0) >= 100))"""
+
+
+@_query(f"""WITH RECURSIVE {_SIDECAR} SELECT b.img, max(b.x) + 1 AS w, max(b.y) + 1 AS h, coalesce(any_value(f.points), '') AS low_texture, coalesce(any_value(o.points), '') AS boundary FROM block b
+LEFT JOIN (SELECT img, string_agg('[' || x || ',' || y || ']', ',' ORDER BY x, y) AS points FROM flat GROUP BY img) f ON f.img = b.img
+LEFT JOIN (SELECT img, string_agg('[' || x || ',' || y || ']', ',' ORDER BY outline, k) AS points FROM boundary GROUP BY img) o ON o.img = b.img GROUP BY b.img""")
+def strata_sidecar(spark, d):
+    """The strata of an image as its sidecar lists them, flat regions and boundaries."""
+    b = _block(spark, d)
+    labelled = topology.label(bands.runs(b, lambda p: p["r"] >= 150, ("r",)), 8, 64)
+    shown = lambda c: F.array_join(F.transform(c, lambda q: F.concat(F.lit("["), q["x"].cast("string"), F.lit(","), q["y"].cast("string"), F.lit("]"))), ",")
+    low = topology.low_texture(labelled, 100).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    edge = _boundary(spark, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("outline", "k", "x", "y"))).alias("q"))
+    got = bands.sizes(b).join(low, "img", "left").join(edge, "img", "left")
+    return got.select("img", F.col("width").alias("w"), F.col("height").alias("h"), F.coalesce(shown("p"), F.lit("")).alias("low_texture"), F.coalesce(shown("q"), F.lit("")).alias("boundary"))

@@ -832,15 +832,6 @@ def written_pixels(spark, d):
     return sinks.cleaned(px, gone).groupBy("img").agg(F.sum("a").alias("alpha")).join(red, "img")
 
 
-@_query(f"WITH RECURSIVE {_LABELS} SELECT b.img, max(b.x) + 1 AS w, max(b.y) + 1 AS h, coalesce(any_value(p.points), '') AS low_texture FROM block b LEFT JOIN (SELECT img, string_agg('[' || x || ',' || y || ']', ',' ORDER BY x, y) AS points FROM (SELECT img, CAST(round_even(cx, 0) AS BIGINT) AS x, CAST(round_even(cy, 0) AS BIGINT) AS y FROM cc WHERE area >= 100) GROUP BY img) p ON p.img = b.img GROUP BY b.img")
-def strata_sidecar(spark, d):
-    """The strata of an image as its sidecar lists them."""
-    sizes = raster.block(spark, d).groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    points = low_texture_regions(spark, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda q: F.concat(F.lit("["), q["x"].cast("string"), F.lit(","), q["y"].cast("string"), F.lit("]"))), ",")
-    return sizes.join(points, "img", "left").select("img", "w", "h", F.coalesce(text, F.lit("")).alias("low_texture"))
-
-
 @_query(f"WITH {_FILES} SELECT min(chapter) AS chapter FROM ordered")
 def first_chapter(spark, d):
     """H5."""
