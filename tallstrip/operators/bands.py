@@ -409,6 +409,20 @@ def edges(b: Bands, plane: str, low: float, high: float, out: str = "edge") -> B
     return paint(b, labelled.join(kept, ["img", "comp"], "left_semi").select("img", "y", "x0", "x1"), out)
 
 
+def guided(b: Bands, limit: int = 30, radius: int = 2, low: float = 40, high: float = 120) -> Bands:
+    """Bands with the guides of a network's input beside r, g and b: local contrast of at least limit, that closed, the
+    closed one opened, and edges; all 0 or 1."""
+    gray = mapped(b, {"gray": "uint8"}, lambda p: {"gray": gray_of(p)}, ("r", "g", "b"), ("r", "g", "b"))
+
+    def work(p: Planes) -> Planes:
+        thr = (dilated(p["gray"], ellipse(3)) - eroded(p["gray"], ellipse(3)) >= limit).astype(np.uint8)
+        shut = closed(thr, ellipse(radius)) if radius > 0 else thr
+        return {"thr": thr, "closed": shut, "opened": opened(shut, ellipse(radius)) if radius > 0 else thr}
+
+    marks = over(gray, 3 + 4 * max(0, radius), {"thr": "uint8", "closed": "uint8", "opened": "uint8"}, work, ("gray",))
+    return edges(marks, "gray", low, high)
+
+
 COUNTS = "total_pixels bigint, deleted_pixels bigint, damaged_pixels bigint, leftover_grayline_pixels bigint"
 
 

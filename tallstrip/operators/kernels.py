@@ -99,14 +99,15 @@ def _spread(a: np.ndarray, radius: int, pick) -> np.ndarray:
 
 
 def guidance(pixels: DataFrame, column: str, limit: float = 30.0, radius: int = 2) -> DataFrame:
-    """(img, y, x, thr, closed, opened): local contrast of at least limit, and that closed and opened; the fourth guide
-    is edges()."""
+    """(img, y, x, thr, closed, opened): local contrast of at least limit, that closed, and the closed one opened; the
+    fourth guide is edges()."""
 
     def kernel(a: np.ndarray) -> tuple[np.ndarray, ...]:
         mask = ((_spread(a, 3, np.maximum) - _spread(a, 3, np.minimum)) >= limit).astype(np.float64)
-        return mask, _spread(_spread(mask, radius, np.maximum), radius, np.minimum), _spread(_spread(mask, radius, np.minimum), radius, np.maximum)
+        shut = _spread(_spread(mask, radius, np.maximum), radius, np.minimum)
+        return mask, shut, _spread(_spread(shut, radius, np.minimum), radius, np.maximum)
 
-    return in_bands(pixels, column, ("thr", "closed", "opened"), kernel, 3 + 2 * radius, kind="int")
+    return in_bands(pixels, column, ("thr", "closed", "opened"), kernel, 3 + 4 * radius, kind="int")
 
 
 def overlap_add(scored: DataFrame, tile: int) -> DataFrame:

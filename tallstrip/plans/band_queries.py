@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bands, contours, kernels, stencil, topology
+from ..operators import bands, contours, kernels, patches, stencil, topology
 from ..operators.bands import Bands
 from ..sources import raster
 from . import pipelines
@@ -210,3 +210,61 @@ def strata_sidecar(spark, d):
     edge = _boundary(spark, d).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("outline", "k", "x", "y"))).alias("q"))
     got = bands.sizes(b).join(low, "img", "left").join(edge, "img", "left")
     return got.select("img", F.col("width").alias("w"), F.col("height").alias("h"), F.coalesce(shown("p"), F.lit("")).alias("low_texture"), F.coalesce(shown("q"), F.lit("")).alias("boundary"))
+
+
+_U = "(CAST('0x' || substr(md5('7:' || patch || ':' || attempt || ':{}'), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+_SAMPLE = f"""{FINE}, {HEIGHTS.replace("block", "fine")}, mk AS (SELECT img, y, x, CASE WHEN a < 100 AND x < 40 THEN 1 ELSE 0 END AS v FROM fine),
+hi AS ({_kernel_sql(stencil.square(1), "max", "v", "mk")}), lo AS ({_kernel_sql(stencil.square(1), "min", "v", "mk")}),
+pos AS (SELECT img, y, x, row_number() OVER (PARTITION BY img ORDER BY y, x) - 1 AS k FROM mk WHERE v = 1),
+bnd AS (SELECT img, y, x, row_number() OVER (PARTITION BY img ORDER BY y, x) - 1 AS k FROM hi JOIN lo USING (img, y, x) WHERE hi.v > lo.v),
+im AS (SELECT img, height, row_number() OVER (ORDER BY img) - 1 AS number, (SELECT count(*) FROM pos p WHERE p.img = h.img) AS np, (SELECT count(*) FROM bnd b WHERE b.img = h.img) AS nb FROM heights h),
+tr AS (SELECT patch, attempt, CAST(floor({_U.format("image")} * (SELECT count(*) FROM im)) AS BIGINT) AS number, {_U.format("kind")} < 0.7 AND attempt < 12 AS wanted FROM range(0, 60) AS s(patch), range(0, 13) AS t(attempt)),
+mt AS (SELECT tr.*, im.img, height, np, nb, wanted AND np > 0 AS around FROM tr JOIN im USING (number)),
+me AS (SELECT *, around AND nb > 0 AND {_U.format("boundary")} < 0.5 AS edges FROM mt),
+mr AS (SELECT *, CAST(floor({_U.format("pixel")} * CASE WHEN edges THEN nb ELSE np END) AS BIGINT) AS k, CAST(floor({_U.format("y")} * CASE WHEN around THEN 20 ELSE greatest(0, height - 20) + 1 END) AS BIGINT) AS dy, CAST(floor({_U.format("x")} * CASE WHEN around THEN 20 ELSE 45 END) AS BIGINT) AS dx FROM me),
+pl AS (SELECT m.patch, m.attempt, m.wanted, m.img, CASE WHEN around THEN greatest(0, least(coalesce(b.y, p.y) - dy, greatest(0, height - 20))) ELSE dy END AS y0, CASE WHEN around THEN greatest(0, least(coalesce(b.x, p.x) - dx, 44)) ELSE dx END AS x0 FROM mr m LEFT JOIN pos p ON NOT edges AND around AND p.img = m.img AND p.k = m.k LEFT JOIN bnd b ON edges AND b.img = m.img AND b.k = m.k),
+ct AS (SELECT l.*, coalesce((SELECT CAST(sum(v) AS BIGINT) FROM mk WHERE mk.img = l.img AND mk.y >= l.y0 AND mk.y < l.y0 + 20 AND mk.x >= l.x0 AND mk.x < l.x0 + 20), 0) AS positives FROM pl l),
+picked AS (SELECT patch, img, y0, x0, CAST(attempt AS BIGINT) AS attempt, wanted, positives FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY attempt) AS first FROM ct WHERE NOT wanted OR positives >= 160) WHERE first = 1)"""
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    px = raster.fine(spark, d).withColumn("m", F.when((F.col("a") < 100) & (F.col("x") < 40), 1).otherwise(0))
+    b = bands.pack(px, {"m": "uint8"}, 24)
+    return patches.sample(b, "m", 60, 20, 0.7, 0.5, 160, 12)
+
+
+@_query(f"WITH {_SAMPLE} SELECT * FROM picked")
+def sampled_patches(spark, d):
+    """Windows around positives and boundaries with random offsets, redrawn until they hold enough."""
+    return _sampled(spark, d)
+
+
+@_query(f"""WITH RECURSIVE {_SAMPLE}, gray_ AS (SELECT img, y, x, gray AS v FROM feat), {edges_sql("gray_", 40, 120)},
+ch AS ({_kernel_sql(stencil.ellipse(3), "max", "v", "gray_")}), cl AS ({_kernel_sql(stencil.ellipse(3), "min", "v", "gray_")}), thr AS (SELECT img, y, x, CASE WHEN ch.v - cl.v >= 200 THEN 1 ELSE 0 END AS v FROM ch JOIN cl USING (img, y, x)),
+c1 AS ({_kernel_sql(stencil.ellipse(1), "max", "v", "thr")}), c2 AS ({_kernel_sql(stencil.ellipse(1), "min", "v", "c1")}), o1 AS ({_kernel_sql(stencil.ellipse(1), "min", "v", "c2")}), o2 AS ({_kernel_sql(stencil.ellipse(1), "max", "v", "o1")}),
+chan AS (SELECT f.img, f.y, f.x, f.r, f.g, f.b, thr.v AS t, c2.v AS c, o2.v AS o, CASE WHEN e.x IS NULL THEN 0 ELSE 1 END AS e, mk.v AS m FROM feat f JOIN thr USING (img, y, x) JOIN c2 USING (img, y, x) JOIN o2 USING (img, y, x) JOIN mk USING (img, y, x) LEFT JOIN edge e USING (img, y, x)),
+grid AS (SELECT patch, img, y0 + 8 + dy AS y, x0 + 8 + dx AS x, (dy * 3 + dx) % 5 + 1 AS k FROM picked, range(0, 24) AS a(dy), range(0, 24) AS c(dx))
+SELECT patch, g.img, CAST(sum(k * coalesce(r, 255)) AS BIGINT) AS red, CAST(sum(k * coalesce(g, 255)) AS BIGINT) AS green, CAST(sum(k * coalesce(b, 255)) AS BIGINT) AS blue, CAST(sum(k * coalesce(t, 0)) AS BIGINT) AS thr, CAST(sum(k * coalesce(c, 0)) AS BIGINT) AS closed, CAST(sum(k * coalesce(o, 0)) AS BIGINT) AS opened, CAST(sum(k * coalesce(e, 0)) AS BIGINT) AS edge, CAST(sum(k * coalesce(m, 0)) AS BIGINT) AS mask FROM grid g LEFT JOIN chan USING (img, y, x) GROUP BY 1, 2""")
+def patch_tensors(spark, d):
+    """Seven input channels and the mask of sampled patches as packed rows; beyond the image white, no guides,
+    kept."""
+    import numpy as np
+    import pyarrow as pa
+
+    px = raster.fine(spark, d).withColumn("m", F.when((F.col("a") < 100) & (F.col("x") < 40), 1).otherwise(0))
+    b = bands.pack(px, {"r": "uint8", "g": "uint8", "b": "uint8", "m": "uint8"}, 24)
+    guided = bands.guided(b.pick("r", "g", "b"), 200, 1)
+    whole = Bands(guided.df.join(b.df.select("img", "band", "m"), ["img", "band"]).select("img", "band", "y0", "n", "width", *guided.planes, "m"), guided.planes | {"m": "uint8"}, b.rows)
+    windows = _sampled(spark, d).select("patch", "img", (F.col("y0") + 8).alias("y0"), (F.col("x0") + 8).alias("x0"))
+    fill = {"r": 1.0, "g": 1.0, "b": 1.0, "thr": 0.0, "closed": 0.0, "opened": 0.0, "edge": 0.0, "m": 0.0}
+    made = patches.tensors(windows, whole, 24, fill, {"r": 255.0, "g": 255.0, "b": 255.0})
+    names, dy, dx = ["red", "green", "blue", "thr", "closed", "opened", "edge", "mask"], *np.indices((24, 24))
+    weight = ((dy * 3 + dx) % 5 + 1).astype(np.float64)
+
+    def sums(batches):
+        for batch in batches:
+            data = [np.frombuffer(x.as_buffer(), np.float32).reshape(8, 24, 24) for x in batch.column(2)]
+            total = np.array([(x * weight).sum(axis=(1, 2)) for x in data]).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.rint(total[:, k] * (255 if k < 3 else 1)).astype(np.int64)) for k in range(8)]], names=["patch", "img", *names])
+
+    return made.select("patch", "img", "data").mapInArrow(sums, "patch bigint, img bigint, " + ", ".join(f"{n} bigint" for n in names))

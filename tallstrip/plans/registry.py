@@ -674,7 +674,7 @@ def signed_distances(spark, d):
 
 
 @_query(f"""WITH {_GRAYS}, hi AS ({_kernel_sql(stencil.ellipse(3), "max", "v", "src")}), lo AS ({_kernel_sql(stencil.ellipse(3), "min", "v", "src")}), thr AS (SELECT img, y, x, CASE WHEN hi.v - lo.v >= 30 THEN 1 ELSE 0 END AS v FROM hi JOIN lo USING (img, y, x)),
-c1 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "thr")}), c2 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "c1")}), o1 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "thr")}), o2 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "o1")})
+c1 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "thr")}), c2 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "c1")}), o1 AS ({_kernel_sql(stencil.ellipse(2), "min", "v", "c2")}), o2 AS ({_kernel_sql(stencil.ellipse(2), "max", "v", "o1")})
 SELECT img, y, x, CAST(thr.v AS BIGINT) AS thr, CAST(c2.v AS BIGINT) AS closed, CAST(o2.v AS BIGINT) AS opened FROM thr JOIN c2 USING (img, y, x) JOIN o2 USING (img, y, x)""")
 def guidance_channels(spark, d):
     """J8, C15's guides."""
