@@ -23,6 +23,8 @@ _STEP, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD
 LONG_WORD = 512
 #: Texts are handled in slices of about so many bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Digests held as objects at a time.
+DIGESTS = 1 << 13
 
 
 def give_back() -> None:
@@ -103,8 +105,11 @@ def chain_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 def identities(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of a salted BLAKE2b digest of each span of bytes."""
     held, take = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
-    said = b"".join([take(held[a:b], digest_size=16, salt=salt).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    both = np.frombuffer(said, np.uint64).reshape(-1, 2)
+    both = np.empty((len(starts), 2), np.uint64)
+    for at in range(0, len(starts), DIGESTS):
+        spans = zip(starts[at : at + DIGESTS].tolist(), ends[at : at + DIGESTS].tolist(), strict=True)
+        said = b"".join([take(held[a:b], digest_size=16, salt=salt).digest() for a, b in spans])
+        both[at : at + DIGESTS] = np.frombuffer(said, np.uint64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
