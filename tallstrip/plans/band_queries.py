@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bands, contours, kernels, patches, stencil, topology
+from ..operators import bands, contours, kernels, layout, patches, stencil, strips, topology
 from ..operators.bands import Bands
 from ..sources import raster
 from . import pipelines
@@ -268,3 +268,79 @@ def patch_tensors(spark, d):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.rint(total[:, k] * (255 if k < 3 else 1)).astype(np.int64)) for k in range(8)]], names=["patch", "img", *names])
 
     return made.select("patch", "img", "data").mapInArrow(sums, "patch bigint, img bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+_PAGED = f"""{BLOCK}, page AS (SELECT img, img // 3 AS chapter, img % 3 AS page, y, x, r FROM block WHERE x < 64 - 8 * (img % 3 % 2) AND y < 200 - 30 * (img % 4)),
+psize AS (SELECT img, chapter, page, max(x) + 1 AS width, max(y) + 1 AS height FROM page GROUP BY 1, 2, 3),
+goal AS (SELECT chapter, width AS target FROM (SELECT chapter, width, row_number() OVER (PARTITION BY chapter ORDER BY count(*) DESC, min(page)) AS k FROM psize GROUP BY 1, 2) WHERE k = 1),
+plan AS (SELECT p.*, target, CASE WHEN width = target THEN height ELSE greatest(1, CAST(round_even(height * (target / width), 0) AS BIGINT)) END AS nh FROM psize p JOIN goal USING (chapter)),
+laid AS (SELECT *, coalesce(sum(nh) OVER (PARTITION BY chapter ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM plan)"""
+
+
+def _weights_sql(name: str, size: str, new: str) -> str:
+    """CTEs up to {name} (img, o, p, k): whole-number weights of old places p for new places o."""
+    return f"""{name}0 AS (SELECT img, {size} AS s, {new} AS n, {size} / CAST({new} AS DOUBLE) AS scale, greatest({size} / CAST({new} AS DOUBLE), 1.0::DOUBLE) AS wide, unnest(range(0, {new})) AS o FROM laid),
+{name}1 AS (SELECT *, (o + 0.5::DOUBLE) * scale AS c FROM {name}0),
+{name}2 AS (SELECT *, unnest(range(greatest(0, CAST(trunc(c - 3 * wide + 0.5::DOUBLE) AS BIGINT)), least(s, CAST(trunc(c + 3 * wide + 0.5::DOUBLE) AS BIGINT)))) AS p FROM {name}1),
+{name}3 AS (SELECT *, (p - c + 0.5::DOUBLE) * (1 / wide) AS f FROM {name}2),
+{name}4 AS (SELECT *, CASE WHEN f >= -3 AND f < 3 THEN CASE WHEN f = 0 THEN 1 ELSE sin(pi() * f) / (pi() * f) * sin(pi() * f / 3) / (pi() * f / 3) END ELSE 0 END AS w FROM {name}3),
+{name} AS (SELECT img, o, p, CASE WHEN s = n THEN CASE WHEN o = p THEN 4194304 ELSE 0 END ELSE CAST(trunc(w / sum(w) OVER (PARTITION BY img, o) * 4194304 + CASE WHEN w < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END) AS BIGINT) END AS k FROM {name}4)"""
+
+
+_STRIP = f"""{_PAGED}, {_weights_sql("wx", "width", "target")}, {_weights_sql("wy", "height", "nh")},
+hz AS (SELECT p.img, p.y, w.o AS x, greatest(0, least(255, CAST(floor((2097152 + sum(p.r * w.k)) / 4194304.0::DOUBLE) AS BIGINT))) AS v FROM page p JOIN wx w ON w.img = p.img AND w.p = p.x GROUP BY 1, 2, 3),
+vt AS (SELECT h.img, w.o AS y, h.x, greatest(0, least(255, CAST(floor((2097152 + sum(h.v * w.k)) / 4194304.0::DOUBLE) AS BIGINT))) AS v FROM hz h JOIN wy w ON w.img = h.img AND w.p = h.y GROUP BY 1, 2, 3),
+strip AS (SELECT l.chapter, CAST(l.top + v.y AS BIGINT) AS y, v.x, v.v FROM vt v JOIN laid l USING (img))"""
+
+
+def _strips(spark: SparkSession, d: str) -> Bands:
+    px = raster.block(spark, d).where((F.col("x") < 64 - 8 * (F.col("img") % 3 % 2)) & (F.col("y") < 200 - 30 * (F.col("img") % 4)))
+    b = bands.pack(px, {"r": "uint8"}, 48)
+    pages = bands.sizes(b).select("img", F.floor(F.col("img") / 3).alias("chapter"), (F.col("img") % 3).alias("page"), "width", "height")
+    plan = layout.stack(pages.drop("img"), layout.target_widths(pages)).withColumn("img", F.col("chapter") * 3 + F.col("page"))
+    return strips.stacked(b, plan, 100)
+
+
+def _row_sums(b: Bands, plane: str, name: str) -> DataFrame:
+    import numpy as np
+
+    got = bands.each(b.pick(plane), "y bigint, w bigint, total bigint", lambda y0, p: {"y": y0 + np.arange(len(p[plane])), "w": np.full(len(p[plane]), p[plane].shape[1]), "total": (p[plane].astype(np.int64) * (np.arange(p[plane].shape[1]) + 1)).sum(axis=1)})
+    return got.withColumnRenamed("img", name)
+
+
+@_query(f"WITH {_STRIP} SELECT chapter, y, count(*) AS w, CAST(sum(v * (x + 1)) AS BIGINT) AS total FROM strip GROUP BY 1, 2")
+def stacked_strips(spark, d):
+    """L1, J11's LANCZOS, 3.3: pages resized and stacked, row by row of the strips."""
+    return _row_sums(_strips(spark, d), "r", "chapter")
+
+
+@_query(f"WITH {_STRIP}, part AS (SELECT chapter, CAST(y // 130 AS BIGINT) AS part, y % 130 AS y, x, v FROM strip) SELECT chapter, part, count(*) AS pixels, CAST(sum(v * (x + 1) * (y + 1)) AS BIGINT) AS total FROM part GROUP BY 1, 2")
+def strip_parts(spark, d):
+    """Strips cut into parts of a fixed height, with their pixels."""
+    import numpy as np
+
+    b = _strips(spark, d)
+    tall = bands.sizes(b)
+    cut = layout.chunks(tall, 130, "img", "width", start=0)
+    number = F.col("img") * 1000 + F.col("part")
+    moves = cut.select("img", number.alias("target"), F.col("y0").alias("from"), F.col("y1").alias("to"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("x"))
+    parts = strips.moved(b, moves, cut.select(number.alias("target"), "width", (F.col("y1") - F.col("y0")).alias("height")), {"r": 0}, 64)
+
+    def work(y0, p):
+        y, x = np.indices(p["r"].shape)
+        return {"n": [p["r"].size], "t": [int((p["r"].astype(np.int64) * (x + 1) * (y + y0 + 1)).sum())]}
+
+    got = bands.each(parts, "n bigint, t bigint", work).groupBy("img").agg(F.sum("n").alias("pixels"), F.sum("t").alias("total"))
+    return got.select(F.floor(F.col("img") / 1000).alias("chapter"), (F.col("img") % 1000).alias("part"), "pixels", "total")
+
+
+@_query(f"WITH {_PAGED}, t AS (SELECT *, coalesce(sum(height) OVER (PARTITION BY chapter ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, max(width) OVER (PARTITION BY chapter) AS widest FROM psize) SELECT t.chapter, CAST(t.at + p.y AS BIGINT) AS y, any_value(widest) AS w, CAST(sum((p.r - 255) * (p.x + 1 + (widest - width) // 2)) + any_value(255 * widest * (widest + 1) // 2) AS BIGINT) AS total FROM page p JOIN t USING (img) GROUP BY 1, 2")
+def merged_parts(spark, d):
+    """Parts of different widths centred in one strip, white beside them."""
+    px = raster.block(spark, d).where((F.col("x") < 64 - 8 * (F.col("img") % 3 % 2)) & (F.col("y") < 200 - 30 * (F.col("img") % 4)))
+    b = bands.pack(px, {"r": "uint8"}, 48)
+    pages = bands.sizes(b).select(F.floor(F.col("img") / 3).alias("chapter"), (F.col("img") % 3).alias("page"), "width", "height")
+    placed = layout.stack_centred(pages).join(pages, ["chapter", "page"])
+    moves = placed.select((F.col("chapter") * 3 + F.col("page")).alias("img"), F.col("chapter").alias("target"), F.lit(0).cast("long").alias("from"), F.col("height").cast("long").alias("to"), F.col("y").alias("at"), "x")
+    whole = pages.groupBy(F.col("chapter").alias("target")).agg(F.max("width").alias("width"), F.sum("height").alias("height"))
+    return _row_sums(strips.moved(b, moves, whole, {"r": 255}, 90), "r", "chapter")
