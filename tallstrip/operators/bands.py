@@ -467,3 +467,113 @@ def unpack(b: Bands) -> DataFrame:
         return {"y": (y.ravel() + y0).astype(np.int32), "x": x.ravel().astype(np.int32)} | {c: a.ravel().astype(np.int32 if a.dtype == np.uint8 else a.dtype) for c, a in p.items()}
 
     return each(b, "y int, x int" + "".join(f", {p} {kinds[k]}" for p, k in b.planes.items()), work)
+
+
+# ---- distances
+
+
+def columns_down(on: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each pixel the distance along its column to the next set pixel of on; above and below: how far the next one is
+    from the first row upwards and from the last row downwards (inf: there is none)."""
+    steps = np.arange(len(on), dtype=np.float64)[:, None]
+    up = steps - np.maximum.accumulate(np.where(on, steps, -1 - above), axis=0)
+    down = np.minimum.accumulate(np.where(on, steps, len(on) + below)[::-1], axis=0)[::-1] - steps
+    return np.minimum(up, down)
+
+
+def envelopes(squares: np.ndarray) -> np.ndarray:
+    """For each place x of each row the least (x - u)**2 + squares[u] over all u: the lower envelope of parabolas, built
+    from left to right for all rows at once, then read off; the time does not depend on how far the least one is."""
+    rows, width = squares.shape
+    at = np.zeros((rows, width), np.int64)
+    edge = np.full((rows, width + 1), np.inf)
+    count, lines = np.zeros(rows, np.int64), np.arange(rows)
+    for q in range(width):
+        going = np.isfinite(squares[:, q])
+        while True:
+            asked = lines[going & (count > 0)]
+            if not len(asked):
+                break
+            v = at[asked, count[asked] - 1]
+            meet = ((squares[asked, q] + q * q) - (squares[asked, v] + v * v)) / (2.0 * (q - v))
+            gone = (meet <= edge[asked, count[asked] - 1]) & (count[asked] > 1)
+            stay = asked[~gone]
+            at[stay, count[stay]], edge[stay, count[stay]] = q, meet[~gone]
+            count[stay] += 1
+            going[stay] = False
+            count[asked[gone]] -= 1
+        first = lines[going & (count == 0)]
+        at[first, 0], edge[first, 0] = q, -np.inf
+        count[first] = 1
+    out, k = np.full((rows, width), np.inf), np.zeros(rows, np.int64)
+    some = lines[count > 0]
+    for q in range(width):
+        while True:
+            on = some[(k[some] + 1 < count[some])]
+            on = on[edge[on, k[on] + 1] < q]
+            if not len(on):
+                break
+            k[on] += 1
+        v = at[some, k[some]]
+        out[some, q] = (q - v) ** 2 + squares[some, v]
+    return out
+
+
+def signed_distances(b: Bands, mask: str, radius: float | None = None, out: str = "sdt") -> Bands:
+    """Bands with the distance to the nearest pixel of the other kind, negative where the mask is set; with a radius
+    clamped to it and divided by it. Exact at any distance: for each column a band tells how far its own nearest pixels of
+    either kind are from its two ends, what lies beyond is carried over all bands of an image from these few numbers, and
+    distances along rows come from lower envelopes. In an image of one kind only, distances are infinite (or the radius)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key, kind = b.key, to_arrow_type(b.df.schema["img"].dataType)
+    need = b.pick(mask)
+    sent = need.planes
+    names = ("up1", "up0", "down1", "down0")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                on = _arrays(batch, i, sent)[mask] > 0
+                n = len(on)
+                found = [np.where(m.any(axis=0), (m if up else m[::-1]).argmax(axis=0), np.inf) for up in (True, False) for m in (on, ~on)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], kind), batch.column(1).slice(i, 1), pa.array([n], pa.int32()), *[pa.array([f.astype(np.float64).tobytes()], pa.binary()) for f in found]], names=["img", "band", "n", *names])
+
+    told = need.df.mapInArrow(ends, f"img {key}, band bigint, n int, " + ", ".join(f"{c} binary" for c in names))
+
+    def carry(group, table):
+        table = table.sort_by("band")
+        n = table.column("n").to_pylist()
+        first = {c: [np.frombuffer(x.as_buffer()) for x in table.column(c)] for c in names}
+        found = {c: [None] * len(n) for c in names}
+        for k in ("1", "0"):  # how far the next one is beyond a band's end, from band to band
+            far = np.full(len(first["up1"][0]), np.inf)
+            for i in range(len(n)):
+                found["up" + k][i] = far.tobytes()
+                far = np.minimum(first["down" + k][i], far + n[i])
+            far = np.full(len(first["up1"][0]), np.inf)
+            for i in range(len(n) - 1, -1, -1):
+                found["down" + k][i] = far.tobytes()
+                far = np.minimum(first["up" + k][i], far + n[i])
+        return pa.table({"img": table.column("img"), "band": table.column("band")} | {c: pa.array(found[c], pa.binary()) for c in names})
+
+    beyond = told.groupBy("img").applyInArrow(carry, f"img {key}, band bigint, " + ", ".join(f"{c} binary" for c in names))
+    planes = b.planes | {out: "float32"}
+    met = b.df.join(beyond, ["img", "band"])
+    every = b.planes
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for i in range(len(batch)):
+                on = _arrays(batch, i, sent)[mask] > 0
+                far = {c: np.frombuffer(column[c][i].as_buffer()) for c in names}
+                to = {k: np.sqrt(envelopes(columns_down(m, far["up" + k], far["down" + k]) ** 2)) for k, m in (("1", on), ("0", ~on))}
+                d = np.where(on, -to["0"], to["1"])
+                if radius is not None:
+                    d = np.clip(d, -radius, radius) / radius
+                band, y0, n, width = (column[c][i].as_py() for c in ("band", "y0", "n", "width"))
+                yield from _row(column["img"][i], band, y0, n, width, {p: column[p][i].as_py() for p in every} | {out: d.astype(np.float32).tobytes()}).to_batches()
+
+    ordered = met.select("img", "band", "y0", "n", "width", *b.planes, *names)
+    return Bands(ordered.mapInArrow(work, _schema(key, planes)), planes, b.rows)

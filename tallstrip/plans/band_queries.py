@@ -344,3 +344,23 @@ def merged_parts(spark, d):
     moves = placed.select((F.col("chapter") * 3 + F.col("page")).alias("img"), F.col("chapter").alias("target"), F.lit(0).cast("long").alias("from"), F.col("height").cast("long").alias("to"), F.col("y").alias("at"), "x")
     whole = pages.groupBy(F.col("chapter").alias("target")).agg(F.max("width").alias("width"), F.sum("height").alias("height"))
     return _row_sums(strips.moved(b, moves, whole, {"r": 255}, 90), "r", "chapter")
+
+
+@_query(f"""WITH {FINE}, mk AS (SELECT img, y, x, CASE WHEN a < 8 THEN 1 ELSE 0 END AS v FROM fine),
+col AS (SELECT p.img, p.y, p.x, q.v AS kind, min(abs(p.y - q.y)) AS g FROM mk p JOIN mk q ON q.img = p.img AND q.x = p.x GROUP BY 1, 2, 3, 4),
+d2 AS (SELECT p.img, p.y, p.x, p.v, min((p.x - c.x) * (p.x - c.x) + c.g * c.g) AS d FROM mk p JOIN col c ON c.img = p.img AND c.y = p.y AND c.kind <> p.v GROUP BY 1, 2, 3, 4)
+SELECT img, v, count(*) AS n, CAST(sum(d * (x + y + 1)) AS BIGINT) AS total, CAST(max(d) AS BIGINT) AS farthest FROM d2 GROUP BY 1, 2""")
+def far_distances(spark, d):
+    """J7 without a radius: squared distances to the other kind, however far it is."""
+    import numpy as np
+
+    b = bands.pack(raster.fine(spark, d).withColumn("m", F.when(F.col("a") < 8, 1).otherwise(0)), {"m": "uint8"}, 24)
+
+    def work(y0, p):
+        square, (y, x) = np.rint(p["sdt"].astype(np.float64) ** 2).astype(np.int64), np.indices(p["m"].shape)
+        sums = [(v, square[p["m"] == v], (x + y + y0 + 1)[p["m"] == v]) for v in (0, 1)]
+        sums = [s for s in sums if len(s[1])]
+        return {"v": np.array([v for v, _, _ in sums]), "n": np.array([len(q) for _, q, _ in sums]), "t": np.array([int((q * w).sum()) for _, q, w in sums]), "m": np.array([int(q.max()) for _, q, _ in sums])}
+
+    parts = bands.each(bands.signed_distances(b, "m").pick("m", "sdt"), "v bigint, n bigint, t bigint, m bigint", work)
+    return parts.groupBy("img", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("total"), F.max("m").alias("farthest"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 
 from ..functions import names, scalars
-from ..operators import discovery, kernels, layout, masks, metrics, sampling, segment, stencil, topology
+from ..operators import bands, discovery, kernels, layout, masks, metrics, sampling, segment, stencil, topology
 from ..sources import raster, sinks
 from . import pipelines
 
@@ -670,7 +670,7 @@ SELECT img, y, x, round(CASE WHEN v = 1 THEN -1 ELSE 1 END * coalesce(d, 6.0::DO
 def signed_distances(spark, d):
     """J7, M8's target."""
     px = raster.block(spark, d).withColumn("m", F.when(F.col("r") >= 150, 1).otherwise(0))
-    return kernels.in_bands(px, "m", "sdt", kernels.signed_distance(6), 6, 64)
+    return bands.unpack(bands.signed_distances(bands.pack(px, {"m": "uint8"}, 64), "m", 6.0).pick("sdt"))
 
 
 @_query(f"""WITH {_GRAYS}, hi AS ({_kernel_sql(stencil.ellipse(3), "max", "v", "src")}), lo AS ({_kernel_sql(stencil.ellipse(3), "min", "v", "src")}), thr AS (SELECT img, y, x, CASE WHEN hi.v - lo.v >= 30 THEN 1 ELSE 0 END AS v FROM hi JOIN lo USING (img, y, x)),

@@ -27,10 +27,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def settle(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write df to a Parquet table in the shared folder and read it back: lineage ends here, and survives lost executors."""
+    """Write df to a Parquet table in the shared folder and read it back: lineage ends here, and survives lost executors.
+    The table goes with discard(), or when the driver's JVM ends."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    jvm_path, files = _file_system(spark, path)
+    files.deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tallstrip_path = path
     return out
@@ -40,5 +48,5 @@ def discard(df: DataFrame | None) -> None:
     """Delete the table behind a settled frame that nothing needs any more."""
     path = getattr(df, "tallstrip_path", None)
     if path:
-        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        jvm_path, files = _file_system(df.sparkSession, path)
+        files.delete(jvm_path, True)

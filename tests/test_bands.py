@@ -123,3 +123,33 @@ def test_no_pixel_moves(spark):
     closed = bands.postprocess(bands.mapped(stored, {"m": "uint8"}, lambda p: {"m": p["r"] > 99}, ("r",), ()), "m", 3, 2)
     assert closed.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert topology.label(bands.runs(stored, lambda p: p["r"] > 99, ("r",)), 8, 8).count() > 0
+
+
+def test_envelopes_are_least_parabolas():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 400, (30, 25)).astype(float)
+    a[rng.random(a.shape) < 0.6] = np.inf
+    a[4] = np.inf
+    x = np.arange(25)
+    want = np.min((x[None, :, None] - x[None, None, :]) ** 2 + a[:, None, :], axis=2)
+    assert (bands.envelopes(a) == want).all()
+
+
+@pytest.mark.parametrize("rows", [1, 4, 9, 64])
+def test_distances_at_any_radius(spark, rows):
+    shapes = [(33, 12), (6, 20), (8, 8)]
+    px, arrays = several(spark, shapes, 8, ("v",), 100)
+    masks = [(a["v"] < 3).astype(int) for a in arrays]
+    masks[2][:] = 1
+    data = [(k, y, x, int(m[y, x])) for k, m in enumerate(masks) for y in range(m.shape[0]) for x in range(m.shape[1])]
+    b = pack(spark.createDataFrame(data, "img bigint, y int, x int, m int"), {"m": "uint8"}, rows)
+    whole, clamped = bands.signed_distances(b, "m"), bands.signed_distances(b, "m", 3.0)
+    for k, m in enumerate(masks):
+        want = np.full(m.shape, np.inf)
+        for y, x in np.ndindex(m.shape):
+            other = np.argwhere(m != m[y, x])
+            if len(other):
+                want[y, x] = np.hypot(*(other - (y, x)).T).min()
+        want = np.where(m > 0, -want, want)
+        assert np.allclose(plane(whole, "sdt", k, m.shape), want)
+        assert np.allclose(plane(clamped, "sdt", k, m.shape), np.clip(want, -3, 3) / 3)

@@ -188,10 +188,11 @@ def test_numbers_follow_the_order_over_partitions(spark):
 
     from tallstrip.operators.ranking import numbered
 
-    rows = spark.range(5000).select(((F.col("id") * 7919) % 1000).alias("v"), "id")
-    got = numbered(rows, "rank", F.desc("v"), "id").orderBy("rank").collect()
-    assert [r["rank"] for r in got] == list(range(1, 5001))
-    assert [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
+    for size in (5000, 12_000):
+        rows = spark.range(size).select(((F.col("id") * 7919) % 1000).alias("v"), "id")
+        got = numbered(rows, "rank", F.desc("v"), "id").orderBy("rank").collect()
+        assert [r["rank"] for r in got] == list(range(1, size + 1))
+        assert [(r.v, r.id) for r in got] == sorted(((r.v, r.id) for r in got), key=lambda x: (-x[0], x[1]))
     assert numbered(rows.where("id < 0"), "rank", "v").count() == 0
 
 
