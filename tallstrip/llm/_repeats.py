@@ -336,7 +336,7 @@ def _match_content(kernel):
     return work
 
 
-def _apply(kernel, carry: tuple[str, ...]):
+def _apply(kernel, carry: tuple[str, ...], characters: bool):
     def work(key, table, found):
         rows = np.concatenate([np.zeros(0, FOUND), *(unpacked(x, FOUND) for b, x in zip(found.column("bucket").to_pylist(), found.column("data").to_pylist(), strict=True) if b < 0)])
         rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
@@ -353,6 +353,8 @@ def _apply(kernel, carry: tuple[str, ...]):
             out["spans"].append(cuts.tolist())
             out["kept"].append(kept)
         more = {c: table.column(f"carry_{c}") for c in carry}
+        if characters:
+            more = {"characters": pa.array([x.decode("utf-8", "ignore") for x in out["kept"]], pa.string())} | more
         ids = [None if d == LEAST else d for d in table.column("doc").to_pylist()]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "units": pa.array(out["units"], pa.int64()), "removed": pa.array(out["removed"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(out["kept"], pa.binary())} | more)
 
@@ -370,9 +372,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[at], reach[np.append(at[1:], len(starts)) - 1]], axis=1)
 
 
-def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, hot: int = HOT, fan: int = FAN) -> DataFrame:
+def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), characters: bool = False, group_bytes: int = GROUP_BYTES, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """(doc_id, units, removed, spans, kept) per row: how many units (bytes or words) the text has and loses, the
     removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too.
+    characters: a column of that name has what stays as text, without the rest of a character that was cut in two.
     group_bytes, hot and fan change how work is dealt, never results."""
     kernel = copy.copy(kernel)
     kernel.salt = secrets.token_bytes(16)
@@ -390,4 +393,4 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(B.frugal(_send_content(kernel)), "bucket bigint, data binary, content binary")
     matched = content.groupBy("bucket").applyInArrow(B.frugal(_match_content(kernel)), "p bigint, data binary, bucket bigint")
     found = sorted_out.unionByName(matched)
-    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(B.frugal(_apply(kernel, carry)), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))
+    return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(B.frugal(_apply(kernel, carry, characters)), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *["characters string"] * characters, *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))

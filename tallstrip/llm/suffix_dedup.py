@@ -10,10 +10,7 @@ whole window are repeats.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import DataFrame
 
 from . import _bytes as B
 from ._repeats import Look, merged, remove_repeats, stretches
@@ -133,22 +130,14 @@ class ByteWindows:
         return len(text), cuts, b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
-def suffix_dedup(documents: DataFrame, window: int = 100, *, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(documents: DataFrame, window: int = 100, *, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """(doc_id, units, removed, spans, kept) per row: bytes, removed bytes, removed runs [start, end) and what stays.
 
     A byte goes if a string of `window` bytes that covers it also starts earlier, in a text with a smaller id or further
     up in the same text. Strings are judged on the input and never cross texts. A null text is an empty one; a null id
     comes before all others. Different texts under one id are ordered by a hash of the text; identical rows are one text
     and have one result each. Texts shorter than the window lose nothing; no documents give no rows; other columns are not
-    read, except that those in carry are returned as they are.
+    read, except that those in carry are returned as they are. characters: adds a column of that name, what stays as text;
+    of a character that a removed run cut in two, the remaining bytes go as well.
     """
-    return remove_repeats(documents, ByteWindows(window), within=True, id_column=id_column, text_column=text_column, carry=carry)
-
-
-def whole_characters(kept: str) -> Column:
-    """Text of a column of UTF-8 bytes; of a character that a removed run cut in two, the remaining bytes go as well."""
-
-    def work(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return F.pandas_udf(work, StringType())(kept)
+    return remove_repeats(documents, ByteWindows(window), within=True, id_column=id_column, text_column=text_column, carry=carry, characters=characters)

@@ -6,7 +6,7 @@ from tallstrip.llm import _bytes as B
 from tallstrip.llm import _repeats
 from tallstrip.llm._repeats import remove_repeats
 from tallstrip.llm.recompression import WordWindows, recompression_dedup, word_numbers
-from tallstrip.llm.suffix_dedup import ByteWindows, suffix_dedup, whole_characters
+from tallstrip.llm.suffix_dedup import ByteWindows, suffix_dedup
 
 from . import brute
 from .conftest import frame
@@ -180,5 +180,8 @@ def test_a_long_text_repeats_itself(spark):
 
 
 def test_cut_characters_go(spark):
-    got = spark.createDataFrame([(b"ab\xc3",), (b"\xa9cd",), ("é".encode(),), (None,)], "b binary").select(whole_characters("b").alias("t")).collect()
-    assert [r.t for r in got] == ["ab", "cd", "é", None]
+    same = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(150))
+    docs = [(1, "\u00e9" + same), (2, "\u00a9" + same), (3, None), (4, "\u00a8" + same + "\u65e5"), (5, "\u0fa9" + same)]  # 2 and 5 end their first character like 1
+    got = suffix_dedup(frame(spark, docs), characters=True, carry=("lang",)).collect()
+    assert {r.doc_id: (r.characters, r.lang) for r in got} == {d: (k.decode("utf-8", "ignore"), "en") for d, (*_, k) in brute.suffix(docs).items()}
+    assert any(r.characters.encode() != bytes(r.kept) for r in got)
