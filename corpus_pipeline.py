@@ -10,7 +10,7 @@ from tallstrip.llm.decontaminate import keep_clean
 from tallstrip.llm.packing import pack
 from tallstrip.llm.quality import keep_accepted
 from tallstrip.llm.simhash import keep_one
-from tallstrip.llm.suffix_dedup import suffix_dedup, whole_characters
+from tallstrip.llm.suffix_dedup import suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without the strings of 100 bytes that start earlier in the corpus; characters cut in two go. No row goes;
     a null text becomes an empty one."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup(docs, carry=rest)
-    return found.withColumn("text", whole_characters("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = suffix_dedup(docs, carry=rest, characters=True)
+    return found.withColumnRenamed("characters", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
