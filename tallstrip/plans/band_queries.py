@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bands, contours, kernels, layout, patches, stencil, strips, topology
 from ..operators.bands import Bands
-from ..sources import raster
+from ..schema import MODEL_CONFIG
+from ..sources import images, raster, sinks
+from ..work import new_path
 from . import pipelines
 from .registry import _GRAYS, _MASK, _SUMS, _kernel_sql, _query, _sums, BLOCK, FINE, HEIGHTS
 
@@ -364,3 +366,39 @@ def far_distances(spark, d):
 
     parts = bands.each(bands.signed_distances(b, "m").pick("m", "sdt"), "v bigint, n bigint, t bigint, m bigint", work)
     return parts.groupBy("img", "v").agg(F.sum("n").alias("n"), F.sum("t").alias("total"), F.max("m").alias("farthest"))
+
+
+@_query(f"""WITH {FINE} SELECT img, max(x) + 1 AS width, max(y) + 1 AS height, CASE WHEN img % 2 = 0 THEN 4 ELSE 3 END AS channels, CAST(sum(CASE WHEN img % 2 = 0 AND a < 128 THEN 255 ELSE r END * (x + 1)) AS BIGINT) AS red, CAST(sum(CASE WHEN img % 2 = 0 AND a < 128 THEN 0 ELSE g + 2 * b END * (y + 1)) AS BIGINT) AS rest, CAST(sum(CASE WHEN img % 2 = 0 THEN a ELSE 255 END) AS BIGINT) AS alpha FROM fine GROUP BY img""")
+def stored_pictures(spark, d):
+    """Rasters written as PNG files, with alpha and without, found again by name, sized
+    by their heads, and decoded band by band; deleted pixels red."""
+    import numpy as np
+
+    b, folder = _fine(spark, d, "r", "g", "b", "a"), new_path(spark, "pictures")
+    folder = folder if "://" in folder else f"file://{folder}"
+    tall = bands.sizes(b)
+    for left, planes in ((0, "rgba"), (1, "rgb")):
+        some = Bands(b.df.where(F.col("img") % 2 == left), b.planes, b.rows)
+        sinks.write_png(sinks.interleaved(some, tall, *planes), f"{folder}/{left}").collect()
+    number = F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long")
+    sized = images.sizes(spark, folder).select(number.alias("img"), "width", "height", "channels")
+
+    def work(y0, p):
+        gone, (y, x) = p["a"] < 128, np.indices(p["a"].shape)
+        red, rest = np.where(gone, 255, p["r"]).astype(np.int64), np.where(gone, 0, p["g"].astype(np.int64) + 2 * p["b"].astype(np.int64))
+        return {"red": [int((red * (x + 1)).sum())], "rest": [int((rest * (y + y0 + 1)).sum())], "alpha": [int(p["a"].astype(np.int64).sum())]}
+
+    sums = bands.each(images.png_bands(spark, folder, 20), "red bigint, rest bigint, alpha bigint", work).withColumnRenamed("img", "path")
+    sums = sums.groupBy(number.alias("img")).agg(*[F.sum(c).alias(c) for c in ("red", "rest", "alpha")])
+    return sized.join(sums, "img")
+
+
+@_query("SELECT label, 'unet' AS model_type, count(*) / 1000.0::DOUBLE AS threshold, CASE WHEN label % 2 = 0 THEN 4 ELSE 0 END AS sdt_clamp_radius, label % 2 = 0 AS sdt_head FROM embeddings GROUP BY label")
+def model_configs(spark, d):
+    """A configuration file for each label, read back with defaults for what the older form lacks."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg((F.count("*") / 1000).alias("threshold"))
+    new = F.col("label") % 2 == 0
+    said = F.to_json(F.struct(F.col("label").alias("patch_size"), F.lit("unet").alias("model_type"), "threshold", F.when(new, True).alias("sdt_head"), F.when(new, 4).alias("sdt_clamp_radius")))
+    folder = new_path(spark, "configs")
+    rows.select(said.alias("value")).repartition("value").write.text(folder)
+    return images.model_configs(spark, folder, MODEL_CONFIG, False).select(F.col("patch_size").alias("label"), "model_type", "threshold", "sdt_clamp_radius", "sdt_head")

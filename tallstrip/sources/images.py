@@ -74,23 +74,120 @@ def image_size(data: bytes) -> tuple[int, int, int] | None:
     return None
 
 
+def read_size(file) -> tuple[int, int, int] | None:
+    """Width, height and channels of an open file, from ranges of its head: a JPEG's segments are jumped over."""
+    head = file.read(HEAD)
+    found = image_size(head)
+    if found or head[:2] != b"\xff\xd8":
+        return found
+    at = 2
+    while True:
+        file.seek(at)
+        part = file.read(10)
+        if len(part) < 10 or part[0] != 0xFF:
+            return None
+        if (found := image_size(b"\xff\xd8" + part)) is not None:
+            return found
+        at += 2 + struct.unpack(">H", part[2:4])[0]
+
+
+def _opened(path: str):
+    """The file system and path for what Spark calls a file."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
 def sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height, channels) from headers; the images aren't decoded. Where the head of a file doesn't say, all
-    of it is looked at; sizes of files that are no images in spite of their names are null."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(names.is_image(F.col("path")))
+    """(path, width, height, channels) from headers; no file is read beyond its head, nor decoded. Sizes of files that are
+    no images in spite of their names are null."""
 
     def work(frames):
         for frame in frames:
-            got = [image_size(bytes(x)) or (None, None, None) for x in frame["head"]]
+            got = []
+            for path in frame["path"]:
+                system, place = _opened(path)
+                with system.open_input_file(place) as file:
+                    got.append(read_size(file) or (None, None, None))
             yield pd.DataFrame({"path": frame["path"], "width": [x[0] for x in got], "height": [x[1] for x in got], "channels": [x[2] for x in got]}).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
 
-    schema = "path string, width int, height int, channels int"
-    heads = found.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(work, schema)
-    whole = F.udf(lambda x: image_size(bytes(x)), "struct<width int, height int, channels int>")
-    late = found.join(heads.where("width IS NULL").select("path"), "path", "left_semi").where(F.length("content") > HEAD)
-    late = late.select("path", whole("content").alias("size")).select("path", "size.*")
-    known = heads.join(late.select("path"), "path", "left_anti")
-    return known.unionByName(late)
+    return files(spark, folder).select("path").mapInPandas(work, "path string, width int, height int, channels int")
+
+
+def _unfiltered(lines: np.ndarray, before: np.ndarray, step: int) -> np.ndarray:
+    """Pixels of filtered rows (a byte that tells how, then the row); before: the row above, step: bytes of a pixel."""
+    out, above = np.empty((len(lines), lines.shape[1] - 1), np.uint8), before
+    for k, (how, line) in enumerate(zip(lines[:, 0].tolist(), lines[:, 1:], strict=True)):
+        if how == 1:
+            line = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif how == 2:
+            line = line + above
+        elif how in (3, 4):
+            own, up = line.tolist(), above.tolist()
+            for i in range(len(own)):
+                a, b, c = (own[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+                if how == 3:
+                    near = (a + b) >> 1
+                else:
+                    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    near = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+                own[i] = (own[i] + near) & 255
+            line = np.array(own, np.uint8)
+        out[k] = above = line
+    return out
+
+
+def png_rows(file, rows: int):
+    """(width, height, channels, first row, pixels) of a PNG file with 8 bits a channel, `rows` rows at a time: the file is
+    read, inflated and unfiltered as a stream."""
+    import zlib
+
+    head = file.read(33)
+    width, height, bits, colour, _, _, laced = struct.unpack(">IIBBBBB", head[16:29])
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if head[:8] != b"\x89PNG\r\n\x1a\n" or bits != 8 or laced or channels is None:
+        raise ValueError("no plain PNG of 8 bits a channel")
+    size, inflate, held, y = 1 + width * channels, zlib.decompressobj(), bytearray(), 0
+    above = np.zeros(width * channels, np.uint8)
+    while y < height:
+        while len(held) < min(rows, height - y) * size:
+            if inflate.unconsumed_tail:
+                held += inflate.decompress(inflate.unconsumed_tail, rows * size)
+                continue
+            length, kind = struct.unpack(">I4s", file.read(8))
+            data = file.read(length)
+            file.read(4)
+            if kind == b"IDAT":
+                held += inflate.decompress(data, rows * size)
+            elif kind == b"IEND":
+                raise ValueError("the file ends before its rows do")
+        n = min(rows, height - y)
+        lines = np.frombuffer(bytes(held[: n * size]), np.uint8).reshape(n, size)
+        del held[: n * size]
+        pixels = _unfiltered(lines, above, channels)
+        above = pixels[-1]
+        yield width, height, channels, y, pixels.reshape(n, width, channels)
+        y += n
+
+
+def png_bands(spark: SparkSession, folder: str, rows: int = 1024):
+    """Packed bands (img: the path) of the PNG files under a folder, planes r, g, b and a (255 where there is none). A task
+    holds one band of one file at a time, whatever the file's height; files that aren't plain PNGs fail."""
+    from ..operators.bands import Bands
+
+    def work(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = _opened(path)
+                with system.open_input_stream(place) as file:
+                    for width, _, channels, y, px in png_rows(file, rows):
+                        shown = px if channels >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
+                        alpha = px[:, :, -1] if channels in (2, 4) else np.full(px.shape[:2], 255, np.uint8)
+                        planes = [*(np.ascontiguousarray(shown[:, :, k]).tobytes() for k in range(3)), alpha.tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([y // rows]), pa.array([y]), pa.array([len(px)], pa.int32()), pa.array([width], pa.int32()), *[pa.array([p], pa.binary()) for p in planes]], names=["img", "band", "y0", "n", "width", *"rgba"])
+
+    found = files(spark, folder).where(F.lower("path").endswith(".png")).select("path")
+    return Bands(found.mapInArrow(work, "img string, band bigint, y0 bigint, n int, width int, r binary, g binary, b binary, a binary"), dict.fromkeys("rgba", "uint8"), rows)
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +236,7 @@ def with_red_overlay(px: DataFrame, limit: int = 128) -> DataFrame:
     return px.withColumns({"r": F.when(gone, 255).otherwise(F.col("r")), "g": F.when(gone, 0).otherwise(F.col("g")), "b": F.when(gone, 0).otherwise(F.col("b"))})
 
 
-def model_configs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Model configurations, one JSON file each, with defaults for what older ones lack."""
-    rows = spark.read.schema(schema).option("multiLine", "true").json(folder)
+def model_configs(spark: SparkSession, folder: str, schema: str, one_a_file: bool = True) -> DataFrame:
+    """Model configurations, one JSON file each (or one a line), with defaults for what older ones lack."""
+    rows = spark.read.schema(schema).option("multiLine", str(one_a_file).lower()).json(folder)
     return rows.withColumns({"sdt_head": F.coalesce("sdt_head", F.lit(False)), "sdt_clamp_radius": F.coalesce("sdt_clamp_radius", F.lit(0))})

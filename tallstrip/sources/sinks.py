@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,34 +20,59 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def png(rows: Iterator[np.ndarray], width: int, height: int, channels: int) -> Iterator[bytes]:
-    """A PNG file in pieces, from arrays of rows (rows x width x channels), so a strip of any height streams through."""
-    yield b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0))
-    packer = zlib.compressobj(6)
-    for part in rows:
-        lines = np.zeros((len(part), 1 + width * channels), np.uint8)
-        lines[:, 1:] = part.reshape(len(part), -1)
-        if data := packer.compress(lines.tobytes()):
-            yield _chunk(b"IDAT", data)
-    yield _chunk(b"IDAT", packer.flush()) + _chunk(b"IEND", b"")
+def png_head(width: int, height: int, channels: int) -> bytes:
+    """A PNG file up to where its bands begin: sizes, and the two bytes before compressed data."""
+    header = _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + header + _chunk(b"IDAT", b"\x78\x9c")
+
+
+def png_band(data: bytes, width: int, channels: int) -> tuple[bytes, int, int]:
+    """A band's rows compressed by themselves as one chunk, the checksum of what was compressed, and its length. The
+    stream is flushed so that nothing in it refers to another band: bands are compressed in any order and put together."""
+    part = np.frombuffer(data, np.uint8).reshape(-1, width * channels)
+    lines = np.zeros((len(part), 1 + part.shape[1]), np.uint8)
+    lines[:, 1:] = part
+    raw, packer = lines.tobytes(), zlib.compressobj(6, zlib.DEFLATED, -15)
+    return _chunk(b"IDAT", packer.compress(raw) + packer.flush(zlib.Z_FULL_FLUSH)), zlib.adler32(raw), len(raw)
+
+
+def joined_checksum(first: int, second: int, length: int) -> int:
+    """The checksum of two parts put together, of each one's and the second's length: both halves are sums, and the lower
+    half's start at one is counted once for each byte behind it in the upper half."""
+    a, b = (first & 0xFFFF) + (second & 0xFFFF) - 1, (first >> 16) + (second >> 16) + length * ((first & 0xFFFF) - 1)
+    return b % 65521 << 16 | a % 65521
+
+
+def png_tail(checksum: int) -> bytes:
+    return _chunk(b"IDAT", b"\x03\x00" + struct.pack(">I", checksum)) + _chunk(b"IEND", b"")
 
 
 def write_png(bands: DataFrame, folder: str, *, overwrite: bool = True) -> DataFrame:
     """Write an image per name from bands (name, y0, width, height, n_channels, data), data in red, green, blue[, alpha].
 
-    Bands of an image are sorted in one task and streamed into its file; without overwrite an existing file fails.
-    Returns (name, path) as the files are written.
+    Bands are compressed where they are; what one task does for an image is to write compressed bands one behind the
+    other, under a name of its own that becomes the file's at the end, so a task that is lost leaves no part of a file.
+    Without overwrite an existing file fails. Returns (name, path) as the files are written.
     """
 
+    def compress(frames):
+        for frame in frames:
+            made = [png_band(*x) for x in zip(frame["data"], frame["width"], frame["n_channels"], strict=True)]
+            frame["data"], frame["sum"], frame["length"] = ([x[k] for x in made] for k in range(3))
+            yield frame
+
     def work(frames):
+        import uuid
+
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder)
-        name, out, packer = None, None, None
+        name, out, part, total = None, None, "", 1
 
         def close():
-            out.write(_chunk(b"IDAT", packer.flush()) + _chunk(b"IEND", b""))
+            out.write(png_tail(total))
             out.close()
+            system.move(part, f"{base}/{name}.png")
             return pd.DataFrame({"name": [name], "path": [f"{folder}/{name}.png"]})
 
         for frame in frames:
@@ -57,25 +80,43 @@ def write_png(bands: DataFrame, folder: str, *, overwrite: bool = True) -> DataF
                 if row.name != name:
                     if out is not None:
                         yield close()
-                    name, packer = row.name, zlib.compressobj(6)
-                    path = f"{base}/{name}.png"
-                    if not overwrite and system.get_file_info(path).type != fs.FileType.NotFound:
-                        raise FileExistsError(path)
+                    name, total, part = row.name, 1, f"{base}/.{row.name}-{uuid.uuid4().hex}"
+                    if not overwrite and system.get_file_info(f"{base}/{name}.png").type != fs.FileType.NotFound:
+                        raise FileExistsError(f"{base}/{name}.png")
                     system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(path)
-                    out.write(next(png(iter(()), row.width, row.height, row.n_channels)))
-                part = np.frombuffer(row.data, np.uint8).reshape(-1, row.width * row.n_channels)
-                lines = np.zeros((len(part), 1 + part.shape[1]), np.uint8)
-                lines[:, 1:] = part
-                if data := packer.compress(lines.tobytes()):
-                    out.write(_chunk(b"IDAT", data))
+                    out = system.open_output_stream(part)
+                    out.write(png_head(row.width, row.height, row.n_channels))
+                out.write(row.data)
+                total = joined_checksum(total, row.sum, row.length)
         if out is not None:
             yield close()
 
-    ordered = bands.select("name", "y0", "width", "height", "n_channels", "data").repartition("name").sortWithinPartitions("name", "y0")
+    rows = bands.select("name", "y0", "width", "height", "n_channels", "data")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    packed = rows.mapInPandas(compress, f"{kinds}, sum bigint, length bigint")
+    ordered = packed.repartition("name").sortWithinPartitions("name", "y0")
     return ordered.mapInPandas(work, "name string, path string")
 
 
+def interleaved(b, sizes: DataFrame, *planes: str) -> DataFrame:
+    """Packed bands as bands that write_png takes, named by img."""
+    names, key = list(planes), b.key
+
+    def work(batches):
+        import pyarrow as pa
+
+        from ..operators.bands import _arrays
+
+        for batch in batches:
+            for i in range(len(batch)):
+                arrays = _arrays(batch, i, dict.fromkeys(names, "uint8"))
+                data = np.stack([arrays[p] for p in names], axis=2).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([len(names)], pa.int32()), pa.array([data], pa.binary())], names=["img", "y0", "width", "n_channels", "data"])
+
+    made = b.df.select("img", "y0", "width", *names).mapInArrow(work, f"img {key}, y0 bigint, width int, n_channels int, data binary")
+    return made.join(sizes.select("img", "height"), "img").select(F.col("img").cast("string").alias("name"), "y0", "width", "height", "n_channels", "data")
+
+
 def cleaned(px: DataFrame, delete) -> DataFrame:
     """Alpha 0 where deleted, else 255."""
     return px.withColumn("a", F.when(delete, 0).otherwise(255))

@@ -79,3 +79,62 @@ def test_sizes_of_webp_and_of_long_heads(spark, tmp_path):
     got = {r.path[-6:].strip("/"): (r.width, r.height, r.channels) for r in sizes(spark, str(tmp_path)).collect()}
     assert got == {"a.webp": (640, 480, 3), "b.JPG": (44, 33, 3), "c.png": (None, None, None), "d.jpeg": (44, 33, 3)}
     assert undecodable(spark, str(tmp_path)).count() == 4
+
+
+def filtered(px, kinds):
+    """Rows of a PNG with the given filters, from their definitions."""
+    h, w, n = px.shape
+    flat, out = px.reshape(h, -1).astype(int), []
+    for y in range(h):
+        up = flat[y - 1] if y else np.zeros(w * n, int)
+        left = np.concatenate([np.zeros(n, int), flat[y][:-n]])
+        corner = np.concatenate([np.zeros(n, int), up[:-n]])
+        guess = left + up - corner
+        d = np.abs(np.stack([guess - left, guess - up, guess - corner]))
+        best = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        near = (0, left, up, (left + up) // 2, best)[kinds[y]]
+        out.append(bytes([kinds[y]]) + ((flat[y] - near) % 256).astype(np.uint8).tobytes())
+    return b"".join(out)
+
+
+def test_png_files_of_others_are_read_as_streams(spark, tmp_path):
+    import zlib
+
+    from tallstrip.operators.bands import unpack
+    from tallstrip.sources.sinks import _chunk
+
+    rng, want = np.random.default_rng(4), {}
+    for name, n, colour in (("rgb", 3, 2), ("rgba", 4, 6), ("gray", 1, 0), ("soft", 2, 4)):
+        px = rng.integers(0, 256, (29, 7, n)).astype(np.uint8)
+        want[name] = px
+        data = zlib.compress(filtered(px, rng.integers(0, 5, 29).tolist()))
+        head = (7).to_bytes(4, "big") + (29).to_bytes(4, "big") + bytes([8, colour, 0, 0, 0])
+        parts = b"".join(_chunk(b"IDAT", data[k : k + 50]) for k in range(0, len(data), 50))
+        (tmp_path / f"{name}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"k\0v") + parts + _chunk(b"IEND", b""))
+    for rows in (4, 64):
+        got = {k: np.zeros((29, 7, 4), int) for k in want}
+        for r in unpack(images.png_bands(spark, f"file://{tmp_path}", rows)).collect():
+            got[r.img.rsplit("/", 1)[1][:-4]][r.y, r.x] = r.r, r.g, r.b, r.a
+        for k, px in want.items():
+            colours = px[:, :, :3] if px.shape[2] >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
+            assert (got[k][:, :, :3] == colours).all() and (got[k][:, :, 3] == (px[:, :, -1] if px.shape[2] in (2, 4) else 255)).all()
+
+
+def test_checksums_of_parts_join():
+    import zlib
+
+    data, at, total = bytes(range(256)) * 900, 0, 1
+    for size in (0, 1, 5000, 70_000, 155_399):
+        total = sinks.joined_checksum(total, zlib.adler32(data[at : at + size]), size)
+        at += size
+    assert total == zlib.adler32(data[:at]) and at == len(data)
+
+
+def test_a_tall_strip_is_compressed_in_many_tasks(spark, tmp_path):
+    px = np.random.default_rng(5).integers(0, 256, (200, 6, 3)).astype(np.uint8)
+    rows = [("tall", y, 6, 200, 3, px[y : y + 10].tobytes()) for y in range(0, 200, 10)]
+    bands = spark.createDataFrame(rows, "name string, y0 bigint, width int, height int, n_channels int, data binary").repartition(8)
+    sinks.write_png(bands, f"file://{tmp_path}/t").collect()
+    assert [p.name for p in (tmp_path / "t").iterdir() if not p.name.endswith(".crc")] == ["tall.png"]
+    (row,) = images.decoded(spark, f"file://{tmp_path}/t").collect()
+    assert (np.frombuffer(row.data, np.uint8).reshape(200, 6, 3)[:, :, ::-1] == px).all()
