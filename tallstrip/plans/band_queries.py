@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bands, contours, kernels, layout, patches, stencil, strips, topology
+from ..operators import bands, contours, kernels, layout, patches, stencil, stored, strips, topology
 from ..operators.bands import Bands
 from ..schema import MODEL_CONFIG
 from ..sources import images, raster, sinks
@@ -402,3 +402,17 @@ def model_configs(spark, d):
     folder = new_path(spark, "configs")
     rows.select(said.alias("value")).repartition("value").write.text(folder)
     return images.model_configs(spark, folder, MODEL_CONFIG, False).select(F.col("patch_size").alias("label"), "model_type", "threshold", "sdt_clamp_radius", "sdt_head")
+
+
+@_query(f"""WITH {FINE}, m AS (SELECT img, a < 16 AS d, a < 16 AND (gray < 180 OR sat > 45) AS dm, NOT (a < 16) AND gray >= 120 AND gray <= 245 AND sat <= 35 AS l FROM feat WHERE x < 61 AND y < 57),
+s AS (SELECT img, count(*) AS total_pixels, count(*) FILTER (d) AS deleted_pixels, count(*) FILTER (dm) AS damaged_pixels, count(*) FILTER (l) AS leftover_grayline_pixels FROM m GROUP BY img),
+p AS (SELECT *, CASE WHEN deleted_pixels > 0 THEN damaged_pixels / deleted_pixels * 100.0::DOUBLE ELSE 0 END AS dd, damaged_pixels / total_pixels * 100.0::DOUBLE AS dt, leftover_grayline_pixels / total_pixels * 100.0::DOUBLE AS lt FROM s)
+SELECT img, row_number() OVER (ORDER BY dd + dt * 0.5 + lt * 5 DESC, img) AS rank, total_pixels, deleted_pixels, damaged_pixels, leftover_grayline_pixels, round(dd + dt * 0.5 + lt * 5, 6) AS priority_score FROM p""")
+def stored_pairs(spark, d):
+    """Originals and smaller results stored bucketed by image and band, met without an exchange and scored."""
+    px, name = raster.fine(spark, d), new_path(spark, "pairs")
+    tag = "t" + name.rsplit("-", 1)[1]
+    stored.store(bands.pack(px, dict.fromkeys("rgb", "uint8"), 24), f"{tag}_originals", 8, f"{name}/originals")
+    stored.store(bands.pack(px.where("x < 61 AND y < 57"), {"a": "uint8"}, 24), f"{tag}_results", 8, f"{name}/results")
+    got = stored.scored_pairs(stored.stored(spark, f"{tag}_originals", dict.fromkeys("rgb", "uint8"), 24), stored.stored(spark, f"{tag}_results", {"a": "uint8"}, 24))
+    return got.select("img", "rank", "total_pixels", "deleted_pixels", "damaged_pixels", "leftover_grayline_pixels", "priority_score")

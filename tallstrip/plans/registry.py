@@ -740,20 +740,19 @@ def frame_schedule(spark, d):
     return layout.schedule(rows, 10, 2.0, 0.6, 1.0, "n_regionkey")
 
 
-@_query("""WITH r AS (SELECT l.doc_id, least(greatest(e.embedding[1]::DOUBLE + 0.5, 1e-7), 1 - 1e-7) AS q, e.embedding[1]::DOUBLE + 0.5 AS p, CAST(l.quality AS DOUBLE) AS t, e.label AS s FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id),
-g AS (SELECT s, sum(p * t) AS pt, sum(p) AS p, sum(t) AS t, sum(-(t * ln(q) + (1 - t) * ln(1 - q))) AS e, count(*) AS n FROM r GROUP BY s),
+@_query(f"""WITH {FINE}, r AS (SELECT img, r / 255.0::DOUBLE AS p, least(greatest(r / 255.0::DOUBLE, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS q, CASE WHEN a < 128 THEN 1.0::DOUBLE ELSE 0 END AS t FROM fine),
+g AS (SELECT img, sum(p * t) AS pt, sum(p) AS p, sum(t) AS t, sum(-(t * ln(q) + (1 - t) * ln(1 - q))) AS e, count(*) AS n FROM r GROUP BY img),
 b AS (SELECT sum(e) / sum(n) AS bce, 1 - avg((2 * pt + 1) / (p + t + 1)) AS dice FROM g) SELECT round(bce, 6) AS bce, round(dice, 6) AS dice, round(bce * 0.35::DOUBLE + dice * 0.65::DOUBLE, 6) AS loss FROM b""")
 def dice_bce(spark, d):
-    """M3."""
-    rows = _table(spark, d, "labels").join(_table(spark, d, "embeddings"), F.col("vec_id") == F.col("doc_id"))
-    rows = rows.select((F.element_at("embedding", 1).cast("double") + 0.5).alias("p"), F.col("quality").cast("double").alias("t"), "label")
-    return metrics.dice_bce(rows, F.col("p"), F.col("t"), "label")
+    """M3: every pixel's prediction against its target, by image."""
+    return metrics.dice_bce(raster.fine(spark, d), F.col("r") / 255.0, F.when(F.col("a") < 128, 1.0).otherwise(0.0), "img")
 
 
-@_query("SELECT CAST(label AS BIGINT) AS label, round(avg(CASE WHEN abs(v) < 1 THEN 0.5 * v * v ELSE abs(v) - 0.5 END), 6) AS loss FROM (SELECT label, CAST(embedding[1] AS DOUBLE) * 10 AS v FROM embeddings) GROUP BY label")
+@_query("SELECT CAST(label AS BIGINT) AS label, round(avg(CASE WHEN abs(v) < 1 THEN 0.5::DOUBLE * v * v ELSE abs(v) - 0.5::DOUBLE END), 6) AS loss FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) * 10 AS v FROM embeddings) GROUP BY label")
 def smooth_l1(spark, d):
-    """M8."""
-    return _table(spark, d, "embeddings").withColumn("v", F.element_at("embedding", 1).cast("double") * 10).groupBy("label").agg(F.avg(metrics.smooth_l1(F.col("v"))).alias("loss"))
+    """M8: over all components of all vectors."""
+    rows = _table(spark, d, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double") * 10)
+    return rows.groupBy("label").agg(F.avg(metrics.smooth_l1(F.col("v"))).alias("loss"))
 
 
 @_query("SELECT user_id, epoch, round(loss, 6) AS loss FROM (SELECT user_id, event_id AS epoch, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events) WHERE k = 1")

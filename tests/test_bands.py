@@ -153,3 +153,26 @@ def test_distances_at_any_radius(spark, rows):
         want = np.where(m > 0, -want, want)
         assert np.allclose(plane(whole, "sdt", k, m.shape), want)
         assert np.allclose(plane(clamped, "sdt", k, m.shape), np.clip(want, -3, 3) / 3)
+
+
+def test_stored_pairs_meet_where_they_lie(spark, tmp_path):
+    from tallstrip.operators import stored
+
+    px, _ = several(spark, [(30, 17), (9, 40)], 9, ("r", "g", "b", "a"))
+    kinds = {"o": dict.fromkeys("rgb", "uint8"), "r": {"a": "uint8"}}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, rows in (("o", px), ("r", px.where("y < 25 AND x < 33"))):
+            stored.store(pack(rows, kinds[name], 8), f"pairs_{name}", 4, f"file://{tmp_path}/{name}")
+        originals, results = (stored.stored(spark, f"pairs_{n}", kinds[n], 8) for n in "or")
+        joined = originals.df.join(results.df.select("img", "band", "a"), ["img", "band"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        got = stored.scored_pairs(originals, results).orderBy("img").collect()
+        want = pipelines.evaluate(px.where("y < 25 AND x < 33"), "img").orderBy("img").collect()
+        assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in "or":
+            spark.sql(f"DROP TABLE IF EXISTS pairs_{n}")
