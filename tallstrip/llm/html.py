@@ -1,10 +1,12 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree: each container element is a path of presentation (tags and classes), and
-holds the texts that the host's pages show there and the ways they present it (the sequences of child elements). Its
-importance combines the entropies of both over the pages. What hardly varies although the host's pages do is of low
-importance, and its branches are removed from each page. Elements whose presentation says what they are (menus, footers,
-adverts and the like) have none to begin with: what they show may vary, and a host may have too few pages for a tree.
+The pages of a host are merged into one tree: each container element is a path of presentation (tags and classes). How it
+is presented (the sequences of child elements) has an entropy over the pages that have it, and so has each single feature
+of its own content (a block's text, a link's or picture's target). A leaf's importance says how unevenly its features are
+spread over the pages; an inner element's combines the entropy of its presentations with the importance of what it is made
+of, up the tree. What hardly varies although the host's pages do is of low importance, and its branches are removed from
+each page. Elements whose presentation says what they are (menus, footers, adverts and the like) have none to begin with:
+what they show may vary, and a host may have too few pages for a tree.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import settle
+from ._work import discard, settle
 
 #: Element names and class words, as HTML and common style sheets use them.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,6 +38,9 @@ PLAIN_WORDS = {"area", "articles", "aside", "bar", "block", "body", "bottom", "b
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "dialog", "menu", "menubar", "toolbar", "form"}
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "address", "fieldset", "details"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
+#: Attributes that say where a link leads or a picture comes from.
+TARGETS = {"a": "href", "img": "src"}
+
 #: Paths of low importance up to which the trees are broadcast; more are joined by host and salt.
 BROADCAST_PATHS, SALTS = 200_000, 64
 
@@ -52,9 +57,9 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass(frozen=True)
 class Params:
-    """pages: a path is judged if so many of a host's pages have it. importance: a path is removed below it. damping: the
-    weight of what the texts say beside the presentation, to the power of how many presentations there are; the more
-    there are, the more these alone show that the place varies."""
+    """pages: a path is judged if so many of a host's pages have it. importance: a path is removed below this share of the
+    host's greatest. damping: the weight of what content says beside the presentation, to the power of how many
+    presentations there are; the more there are, the more these alone show that the place varies."""
 
     pages: int = 8
     importance: float = 0.1
@@ -98,18 +103,14 @@ def _prior(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
 
 class Path:
     """A container in its page. The key is its tag and a hash chained over its own and its ancestors' names, as short at
-    any depth. Of what it shows and of its child elements it keeps running hashes."""
+    any depth. Of its child elements it keeps a running hash."""
 
-    __slots__ = ("above", "key", "said", "shown")
+    __slots__ = ("above", "key", "shown")
 
     def __init__(self, above: Path | None, tag: str, name: str):
         self.above = above
         self.key = f"{tag}:{hashlib.blake2b(f'{above.key if above else ""}/{name}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
-        self.said = self.shown = None
-
-    def say(self, data: bytes) -> None:
-        self.said = self.said or hashlib.blake2b(digest_size=8)
-        self.said.update(data + b"\0")
+        self.shown = None
 
     def show(self, name: str) -> None:
         self.shown = self.shown or hashlib.blake2b(digest_size=8)
@@ -164,9 +165,10 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         yield start, at, closes, name, page[m.end() : end]
 
 
-def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tuple[Path | None, bool, bool, str]]:
+def walk(page: str, closed: Callable[[Path], None] | None = None, linked: Callable[[Path | None, str], None] | None = None) -> Iterator[tuple[Path | None, bool, bool, str]]:
     """(container path, boilerplate by presentation, inside article or main, text) of each text; a block's start and
-    end give a text of one space. closed: told of each container when it ends, inner ones first."""
+    end give a text of one space. closed: told of each container when it ends, inner ones first; linked: of the targets of
+    links and pictures."""
     stack: list[tuple[str, Path | None, int, bool]] = []  # tag, path, boilerplate, in article
     open_, path, bad, inside, at = Counter(), None, OPEN, False, 0
 
@@ -203,6 +205,11 @@ def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tu
                 if stack[i][0] in BLOCKS:
                     break
         _, path, bad, inside = stack[-1] if stack else ("", None, OPEN, False)
+        if linked and tag in TARGETS:
+            for m in _attribute.finditer(attributes):
+                if m[1].lower() == TARGETS[tag]:
+                    linked(path, m[2] or m[3] or m[4] or "")
+                    break
         if tag in VOID or tag in RAW or attributes.endswith("/") and tag not in BLOCKS:
             continue
         mark, name = _prior(tag, attributes, inside)
@@ -219,22 +226,37 @@ def walk(page: str, closed: Callable[[Path], None] | None = None) -> Iterator[tu
     cut(0)
 
 
-def nodes(page: str) -> dict[str, tuple[str, str]]:
-    """By container path: digests of the text under it and of its child elements. A container's text is its own and the
-    digests of those inside it, so each text is hashed once at any depth."""
+def _digest(data: str) -> str:
+    return hashlib.blake2b(data.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def nodes(page: str) -> dict[str, tuple[str, str, Counter]]:
+    """By container path: the path above it, a digest of its child elements, and how often it has each feature of its own,
+    which are the texts of its blocks and the targets of its links. What containers inside it hold is theirs."""
     found: dict[str, tuple] = {}
+    held: dict[str, Counter] = {}
+
+    def has(path: Path | None, feature: str) -> None:
+        if path:
+            held.setdefault(path.key, Counter())[_digest(feature)] += 1
 
     def closed(path: Path) -> None:
-        said, shown = (x.digest() if x else b"" for x in (path.said, path.shown))
-        if path.above and said:
-            path.above.say(said)
-        for own, data in zip(found.setdefault(path.key, (hashlib.blake2b(digest_size=8), hashlib.blake2b(digest_size=8))), (said, shown), strict=True):
-            own.update(data + b"\0")
+        found.setdefault(path.key, (path.above.key if path.above else "", hashlib.blake2b(digest_size=8)))[1].update((path.shown.digest() if path.shown else b"") + b"\0")
 
-    for path, _, _, text in walk(page, closed):
-        if path and not text.isspace():
-            path.say(" ".join(text.split()).encode("utf-8", "replace"))
-    return {key: (said.hexdigest(), shown.hexdigest()) for key, (said, shown) in found.items()}
+    at, said = None, []
+
+    def flush() -> None:
+        if at and (text := " ".join("".join(said).split())):
+            has(at, "t" + text)
+        said.clear()
+
+    for path, _, _, text in walk(page, closed, lambda path, target: has(path, "l" + target)):
+        if path is not at or text == " ":
+            flush()
+            at = path
+        said.append(text)
+    flush()
+    return {key: (above, shown.hexdigest(), held.get(key, Counter())) for key, (above, shown) in found.items()}
 
 
 def _under(path: Path | None, low: frozenset[str], known: dict[Path, bool]) -> bool:
@@ -266,21 +288,48 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def importances(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """(host, path, importance) of the paths that enough pages have; rows: (host, path, said, shown) per page.
+_ROWS = "host string, path string, above string, own boolean, digest string, n bigint"
 
-    The entropies of what the pages show at a path and of how they present it are taken over the logarithm of the pages,
-    so they lie between 0 (all alike) and 1 (all different). With l presentations the importance is
-    (1 - damping ** l) * H(presentations) + damping ** l * H(texts). Equal rows are counted before they meet, so a host
-    of any size is summed up first.
+
+def importances(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """(host, path, importance) of the paths that enough pages have. rows: for each page and path one of (host, path, the
+    path above, whether it has features of its own, digest of its presentation, null), and for each of its features one of
+    (host, path, null, null, digest, how often).
+
+    A presentation's or feature's entropy is taken over the m pages that have the path, to the base m, so it lies between 0
+    and 1. Content's importance is one less the mean entropy of its features, each counted as often as it occurs: 0 if all
+    stand on all pages alike, 1 if each stands on one page alone. With l presentations of entropy N, and the importance I of content and of the paths below,
+    averaged by how many pages have each, a path's importance is (1 - damping ** l) * N + damping ** l * I; paths below
+    that too few pages have count as 1. Importances are added up the tree in as many rounds as its depth has binary digits.
+    Equal rows are counted before they meet, so a host of any size is summed up first.
     """
-    each = rows.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("said").alias("digest")), F.struct(F.lit(1).alias("kind"), F.col("shown").alias("digest")))).alias("x"))
-    each = each.groupBy("host", "path", "x.kind", "x.digest").agg(F.count("*").alias("n"))
-    sums = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("l")).where(F.col("m") >= params.pages)
-    entropy = sums.withColumn("h", F.when(F.col("l") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("m") * F.log("m")))).otherwise(0.0))
-    both = entropy.groupBy("host", "path").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(a) for k, c, a in ((0, "h", "texts"), (1, "h", "shown"), (1, "l", "l"))])
+    each = rows.groupBy("host", "path", "digest", F.col("n").isNull().alias("shape")).agg(F.count("*").alias("pages"), F.count_if("own").alias("own"), F.max("above").alias("above"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    shape = F.col("shape")
+    spread = F.col("n") * F.log("n") - F.col("nlogn")  # a feature's entropy, to the natural base, as often as it occurs
+    sums = each.groupBy("host", "path").agg(
+        F.sum(F.when(shape, F.col("pages"))).alias("m"), F.sum(F.when(shape, F.col("own"))).alias("own"), F.max("above").alias("above"), F.count_if(shape).alias("l"),
+        F.sum(F.when(shape, F.col("pages") * F.log("pages"))).alias("shapes"), F.coalesce(F.sum(F.when(~shape, F.col("n"))), F.lit(0)).alias("features"), F.sum(F.when(~shape, spread)).alias("spread"),
+    )
+    sums = settle(sums, "paths")
+    below = sums.groupBy("host", F.col("above").alias("path")).agg(F.sum("m").alias("below"), F.sum(F.when(F.col("m") < params.pages, F.col("m")).otherwise(0)).alias("few"))
+    enough = sums.where(F.col("m") >= params.pages).join(below, ["host", "path"], "left").withColumns({"below": F.coalesce("below", F.lit(0)), "few": F.coalesce("few", F.lit(0))})
     weight = F.pow(F.lit(params.damping), F.col("l"))
-    return both.select("host", "path", ((1 - weight) * F.col("shown") + weight * F.col("texts")).alias("importance"))
+    whole = F.greatest(F.col("own") + F.col("below"), F.lit(1))
+    shown = F.when(F.col("l") > 1, F.greatest(F.lit(0.0), 1 - F.col("shapes") / (F.col("m") * F.log("m")))).otherwise(0.0)
+    content = F.when(F.col("features") > 0, F.greatest(F.lit(0.0), 1 - F.col("spread") / (F.col("features") * F.log("m")))).otherwise(0.0)
+    state = enough.select("host", "path", F.col("above").alias("up"), F.col("m"), (weight / whole).alias("share"), ((1 - weight) * shown + weight * (F.col("own") * content + F.col("few")) / whole).alias("importance"))
+    parents = state.select("host", F.col("path").alias("up"), F.col("share").alias("of"))
+    joined = state.join(parents, ["host", "up"], "left").select("host", "path", F.when(F.col("of").isNotNull(), F.col("up")).alias("up"), (F.col("m") * F.col("of")).alias("w"), "importance")
+    state = settle(joined, "importances")
+    while not state.where("up IS NOT NULL").isEmpty():
+        given = state.where("up IS NOT NULL").groupBy("host", F.col("up").alias("path")).agg(F.sum(F.col("w") * F.col("importance")).alias("more"))
+        ahead = state.select("host", F.col("path").alias("up"), F.col("up").alias("up2"), F.col("w").alias("w2"))
+        after = state.join(given, ["host", "path"], "left").join(ahead, ["host", "up"], "left")
+        after = settle(after.select("host", "path", F.col("up2").alias("up"), (F.col("w") * F.col("w2")).alias("w"), (F.col("importance") + F.coalesce("more", F.lit(0.0))).alias("importance")), "importances")
+        discard(state)
+        state = after
+    discard(sums)
+    return state.select("host", "path", "importance")
 
 
 def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
@@ -289,11 +338,14 @@ def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
 
     def work(frames):
         for frame in frames:
-            rows = [(host, path, *digests) for host, page in frame.itertuples(index=False) for path, digests in nodes(page if isinstance(page, str) else "").items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "said", "shown"])
-
-    seen = pages.select("host", "html").mapInPandas(work, "host string, path string, said string, shown string")
-    found = importances(seen, params)
+            rows = []
+            for host, page in frame.itertuples(index=False):
+                for path, (above, shown, features) in nodes(page if isinstance(page, str) else "").items():
+                    rows.append((host, path, above, bool(features), shown, None))
+                    rows += [(host, path, None, None, digest, n) for digest, n in features.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "above", "own", "digest", "n"]).astype({"n": "Int64", "own": "boolean"})
+
+    found = importances(pages.select("host", "html").mapInPandas(work, _ROWS), params)
     whole = found.withColumn("whole", F.max("importance").over(Window.partitionBy("host")))
     tag = F.regexp_extract("path", r"^([a-z0-9]+)", 1)
     low = whole.where((F.col("whole") > 0) & (F.col("importance") < params.importance * F.col("whole")) & ~tag.isin("body", "article", "main"))

@@ -1,6 +1,7 @@
 import math
 import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -103,30 +104,67 @@ def test_a_repeated_branch_goes_at_any_depth(spark):
     assert got == {i: f"Story {i} tells {i * i}." for i in range(12)}
 
 
-def plain_importances(rows, params):
-    """{(host, path): importance} from the definition, row by row."""
+def plain_importances(pages, params):
+    """{(host, path): importance} from the definition: pages are (host, {path: (above, shown, features)})."""
     out = {}
-    for host, path in {(h, p) for h, p, _, _ in rows}:
-        texts, shown = ([r[k] for r in rows if r[:2] == (host, path)] for k in (2, 3))
-        m = len(texts)
-        if m >= params.pages:
-            entropy = lambda x: -sum(x.count(v) / m * math.log(x.count(v) / m, m) for v in set(x))  # noqa: E731, B023
-            weight = params.damping ** len(set(shown))
-            out[host, path] = (1 - weight) * entropy(shown) + weight * entropy(texts)
+    for host in {h for h, _ in pages}:
+        own = [p for h, p in pages if h == host]
+        every = {k for p in own for k in p}
+        count = {k: sum(k in p for p in own) for k in every}
+        above = {k: next(p[k][0] for p in own if k in p) for k in every}
+
+        def importance(key):
+            held = [p[key] for p in own if key in p]
+            m, shown = len(held), [x[1] for x in held]
+            entropy = lambda values: -sum(v / sum(values) * math.log(v / sum(values), m) for v in values if v)  # noqa: E731, B023
+            l = len(set(shown))
+            names = {a for x in held for a in x[2]}
+            content = 1 - sum(entropy([x[2][a] for x in held]) * sum(x[2][a] for x in held) for a in names) / sum(x[2].total() for x in held) if names else 0.0
+            parts = [(sum(1 for x in held if x[2]), content)] + [(count[k], importance(k) if count[k] >= params.pages else 1.0) for k in every if above[k] == key]
+            whole = sum(n for n, _ in parts)
+            inner = sum(n * v for n, v in parts) / whole if whole else 0.0
+            return (1 - params.damping**l) * entropy([shown.count(v) for v in set(shown)]) + params.damping**l * inner
+
+        out |= {(host, k): importance(k) for k in every if count[k] >= params.pages}
     return out
 
 
+def as_rows(pages):
+    for host, page in pages:
+        for path, (above, shown, features) in page.items():
+            yield host, path, above, bool(features), shown, None
+            yield from ((host, path, None, None, a, n) for a, n in features.items())
+
+
 def test_importances_are_those_of_the_definition(spark):
     rng = random.Random(6)
-    rows = [(f"h{rng.randrange(3)}", f"div:{rng.randrange(6)}", f"t{rng.choice([0, 0, rng.randrange(40)])}", f"s{rng.choice([0, rng.randrange(4)])}") for _ in range(500)]
-    rows += [("one", "div:1", "same", "same")] * 9 + [("few", "div:1", f"t{i}", "s") for i in range(7)]
+    pages = []
+    for _ in range(150):
+        page, names = {}, [""]
+        for k in range(rng.randrange(1, 14)):
+            above = rng.choice(names[-2:])
+            name = f"{above}/div:{rng.choice([0, 0, 0, 1, k])}"
+            if name not in page:
+                features = Counter({f"t{rng.choice([0, 0, 1, rng.randrange(40)])}": rng.randrange(1, 4) for _ in range(rng.randrange(4))})
+                page[name] = (above, f"s{rng.choice([0, rng.randrange(4)])}", features)
+                names.append(name)
+        pages.append((f"h{rng.randrange(3)}", page))
+    pages += [("one", {"div:1": ("", "same", Counter({"same": 1}))})] * 9 + [("few", {"div:1": ("", "s", Counter({f"t{i}": 1}))}) for i in range(7)]
     params = Params(pages=8)
-    got = {(r.host, r.path): r.importance for r in importances(spark.createDataFrame(rows, "host string, path string, said string, shown string"), params).collect()}
-    want = plain_importances(rows, params)
+    got = {(r.host, r.path): r.importance for r in importances(spark.createDataFrame(list(as_rows(pages)), "host string, path string, above string, own boolean, digest string, n bigint"), params).collect()}
+    want = plain_importances(pages, params)
     assert got.keys() == want.keys() and ("one", "div:1") in got and ("few", "div:1") not in got
+    assert max(p.count("/") for _, p in got) >= 3
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_a_varying_year_does_not_save_a_footer(spark):
+    """Single features decide: a block that differs on every page leaves the blocks beside it as unimportant as they are."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=q1><p>All rights reserved</p><p>Imprint</p><p>Contact</p><p>Terms</p><p>Privacy</p><p>Jobs</p><p>Press</p><p>Help</p><p>About</p><p>Site map</p><p>Cookies</p><p>Seen {i}</p></div><div class=q2><p>Story {i}</p></div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(12)}
+
+
 def test_a_host_with_several_templates_and_wordless_classes(spark):
     """Nothing in tags or classes says what is what; each template's fixed branches go, varying ones stay."""
     fixed = "<div class=k{t}><div class=a>Start | Help | Team {t}</div><div class=b><div>{body}</div></div><div class=c><ul><li>legal {t}</li><li>contact</li></ul></div></div>"
@@ -153,4 +191,7 @@ def test_deep_nesting_is_linear_and_digests_follow_the_text():
     assert len(nodes(deep("a", 40_000))) == 40_000
     assert time.process_time() - began < 20
     one, other, same = nodes(deep("a", 5)), nodes(deep("b", 5)), nodes(deep("a", 5))
-    assert one == same and all(one[k][0] != other[k][0] and one[k][1] == other[k][1] for k in one)
+    assert one == same and all(one[k][:2] == other[k][:2] for k in one)
+    assert sum(one[k][2] != other[k][2] for k in one) == 1
+    linked = nodes("<div><a href='/x'>y</a><img src=z></div>")
+    assert sum(v.total() for *_, v in linked.values()) == 3
