@@ -2,8 +2,9 @@
 
 Vectors of length one are sorted by their grid cells on the leading principal dimensions. Intervals of the sorted
 sequence form a tree; pairs of intervals are joined recursively from the top, and a pair whose bounding boxes are further
-apart than epsilon is dropped with all below it. Spark joins down to tiles of neighbouring partitions; of a pair of these each is
-sent once, and the recursion goes on inside the task. What is left at the leaves is compared in double precision.
+apart than epsilon is dropped with all below it. Spark joins down to tiles of neighbouring partitions; to a pair of these go the leaf
+intervals of each whose own box is near the other's, and the recursion goes on inside the task. What is left at the leaves
+is compared in double precision.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._graph import components
-from ._work import settle
+from ._work import discard, settle
 
 
 @dataclass(frozen=True)
@@ -146,31 +147,47 @@ def limit_of(params: Params) -> float:
     return (2 - 2 * params.cosine) * (1 + 1e-9) + 1e-12
 
 
+def _boxes(rows: DataFrame, node, width: int) -> DataFrame:
+    """(node, low, high): the boxes around the rows' boxes, by node."""
+    ends = [F.min(F.col("low")[i]).alias(f"l{i}") for i in range(width)] + [F.max(F.col("high")[i]).alias(f"h{i}") for i in range(width)]
+    got = rows.groupBy(node.alias("node")).agg(*ends)
+    return got.select("node", F.array(*[f"l{i}" for i in range(width)]).alias("low"), F.array(*[f"h{i}" for i in range(width)]).alias("high"))
+
+
 def tile_pairs(boxes: DataFrame, tiles: int, params: Params) -> DataFrame:
-    """(a, b) of tiles, a <= b, that may hold links; boxes holds (tile, low, high) of leaves."""
+    """(a, b, al, ah, bl, bh) of tiles, a <= b, that may hold links, with their boxes; boxes holds (tile, low, high) of
+    leaves."""
     limit = limit_of(params)
     width = len(boxes.select("low").first()["low"])
-
-    def over(rows: DataFrame, node) -> DataFrame:
-        ends = [F.min(F.col("low")[i]).alias(f"l{i}") for i in range(width)] + [F.max(F.col("high")[i]).alias(f"h{i}") for i in range(width)]
-        got = rows.groupBy(node.alias("node")).agg(*ends)
-        return got.select("node", F.array(*[f"l{i}" for i in range(width)]).alias("low"), F.array(*[f"h{i}" for i in range(width)]).alias("high"))
-
-    levels, rows, span = [], over(boxes, F.col("tile")), tiles
+    levels, rows, span = [], _boxes(boxes, F.col("tile"), width), tiles
     while True:
         levels.append(rows.withColumn("up", F.floor(F.col("node") / params.fan)))
         if span <= 1:
             break
-        rows, span = over(rows, F.floor(F.col("node") / params.fan)), -(-span // params.fan)
-    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+        rows, span = _boxes(rows, F.floor(F.col("node") / params.fan), width), -(-span // params.fan)
+    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("low").alias("al"), F.col("high").alias("ah"), F.col("low").alias("bl"), F.col("high").alias("bh"))
+    above = None
     for level in reversed(levels[:-1]):
         left = level.select(F.col("up").alias("a"), F.col("node").alias("ca"), F.col("low").alias("al"), F.col("high").alias("ah"))
         right = level.select(F.col("up").alias("b"), F.col("node").alias("cb"), F.col("low").alias("bl"), F.col("high").alias("bh"))
-        joined = pairs.join(left, "a").join(right, "b").where("ca <= cb").where(_near(limit))
-        pairs = settle(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "pairs")
+        joined = pairs.select("a", "b").join(left, "a").join(right, "b").where("ca <= cb").where(_near(limit))
+        pairs = settle(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "al", "ah", "bl", "bh"), "pairs")
+        discard(above)
+        above = pairs
     return pairs
 
 
+def sent_leaves(blocks: DataFrame, tiles: int, params: Params, *columns: str) -> DataFrame:
+    """(a, b, tile, leaf, columns): the leaf intervals that a pair of tiles needs. A leaf goes to a pair only if its own box
+    is near the other tile's."""
+    pairs, limit = tile_pairs(blocks.select("tile", "low", "high"), tiles, params), limit_of(params)
+    kept = ["a", "b", "tile", "leaf", "low", "high", *columns]
+    own = blocks.select("tile", "leaf", "low", "high", *columns)
+    first = own.join(pairs.select("a", "b", "bl", "bh"), own["tile"] == F.col("a")).withColumns({"al": F.col("low"), "ah": F.col("high")}).where(_near(limit)).select(*kept)
+    second = own.join(pairs.where("a != b").select("a", "b", "al", "ah"), own["tile"] == F.col("b")).withColumns({"bl": F.col("low"), "bh": F.col("high")}).where(_near(limit)).select(*kept)
+    return first.unionByName(second)
+
+
 class Leaf:
     """A leaf interval, with its vectors brought to length one."""
 
@@ -225,23 +242,22 @@ def _compare(params: Params):
     return work
 
 
-def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(id, n_links, component_id) per row: other vectors with cosine >= params.cosine, and the smallest id reachable.
-
-    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, and neither do
-    vectors of different lengths, nor rows with a null id (whose component is null). Equal vectors are one class, with
-    its smallest id and its size; links are counted in vectors, so copies are never spelled out in pairs. An id that
-    repeats counts once for each of its rows. No rows give no rows; other columns are not read.
-    """
-    spark = embeddings.sparkSession
+def _usable(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, embedding, usable) of each row."""
     rows = embeddings.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("usable", usable)
-    classes = settle(rows.where("usable").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    total = classes.count()
-    if not total:
-        return rows.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return rows.withColumn("usable", usable)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(embedding, rep, n) of each distinct usable vector."""
+    return rows.where("usable").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+
+
+def leaf_intervals(classes: DataFrame, total: int, params: Params) -> tuple[DataFrame, int]:
+    """The settled leaf intervals of the sorted sequence with their tiles, and how many tiles there are."""
+    spark = classes.sparkSession
     mean, axes = principal(classes)
     side, grid = math.sqrt(2 - 2 * params.cosine), min(params.grid, len(mean))
 
@@ -257,16 +273,47 @@ def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_c
     celled = classes.mapInArrow(B.frugal(cells), "embedding array<double>, rep bigint, n bigint, " + ", ".join(f"c{i} bigint" for i in range(grid)))
     parts = max(1, -(-total // params.interval))
     sequence = celled.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("embedding", "rep", "n")
-    blocks = settle(sequence.mapInArrow(B.frugal(_blocks(params, mean, axes)), _BLOCK), "blocks")
+    made = settle(sequence.mapInArrow(B.frugal(_blocks(params, mean, axes)), _BLOCK), "blocks")
     # neighbouring partitions make tiles of about an interval; a row for each partition comes to the driver
-    tile = blocks.groupBy("part").agg(F.sum("rows").alias("n")).toPandas().sort_values("part")
+    tile = made.groupBy("part").agg(F.sum("rows").alias("n")).toPandas().sort_values("part")
     tile["tile"] = (tile["n"].cumsum() - tile["n"]) // params.interval
     tile["tile"] = tile["tile"].rank(method="dense").astype("int64") - 1
-    blocks = blocks.join(F.broadcast(spark.createDataFrame(tile[["part", "tile"]].astype("int64"))), "part").drop("part")
+    blocks = made.join(F.broadcast(spark.createDataFrame(tile[["part", "tile"]].astype("int64"))), "part").drop("part")
     tiles = int(tile["tile"].max()) + 1
-    pairs = tile_pairs(blocks.select("tile", "low", "high"), tiles, params)
-    sent = blocks.join(pairs, blocks["tile"] == pairs["a"]).unionByName(blocks.join(pairs.where("a != b"), blocks["tile"] == pairs["b"]))
+    blocks.tallstrip_path = made.tallstrip_path
+    return blocks, tiles
+
+
+def skipping(embeddings: DataFrame, params: Params = Params(), *, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(leaves, tiles, possible, sent): leaf intervals, tiles, leaves that pairs of tiles would be sent if nothing were
+    skipped, and leaves that are sent. One row; nothing is compared."""
+    classes = settle(_classes(_usable(embeddings, id_column, vector_column)), "classes")
+    total = classes.count()
+    if not total:
+        return embeddings.sparkSession.createDataFrame([(0, 0, 0, 0)], "leaves bigint, tiles bigint, possible bigint, sent bigint")
+    blocks, tiles = leaf_intervals(classes, total, params)
+    each = sent_leaves(blocks, tiles, params).select(F.lit(1).alias("sent"), F.lit(0).alias("leaf")).unionByName(blocks.select(F.lit(0).alias("sent"), F.lit(1).alias("leaf")))
+    sums = each.agg(F.sum("leaf").alias("leaves"), F.sum("sent").alias("sent"))
+    return sums.select("leaves", F.lit(tiles).cast("bigint").alias("tiles"), (F.col("leaves") * tiles).alias("possible"), "sent")
+
+
+def similarity_classes(embeddings: DataFrame, params: Params = Params(), *, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(id, n_links, component_id) per row: other vectors with cosine >= params.cosine, and the smallest id reachable.
+
+    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, and neither do
+    vectors of different lengths, nor rows with a null id (whose component is null). Equal vectors are one class, with
+    its smallest id and its size; links are counted in vectors, so copies are never spelled out in pairs. An id that
+    repeats counts once for each of its rows. No rows give no rows; other columns are not read.
+    """
+    rows = _usable(embeddings, id_column, vector_column)
+    classes = settle(_classes(rows), "classes")
+    total = classes.count()
+    if not total:
+        return rows.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    blocks, tiles = leaf_intervals(classes, total, params)
+    sent = sent_leaves(blocks, tiles, params, "reps", "counts", "sizes", "vectors", "rows", "narrow")
     found = settle(sent.groupBy("a", "b").applyInArrow(B.frugal(_compare(params)), "edge boolean, u bigint, v bigint"), "links")
+    discard(blocks)
     gained = found.where("NOT edge").groupBy("u").agg(F.sum("v").alias("gained"))
     grouped = components(found.where("edge").select("u", "v"))
     labels = classes.join(gained, F.col("rep") == F.col("u"), "left").join(grouped, F.col("rep") == F.col("node"), "left")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from tallstrip.llm.ego import Params, similarity_classes
+from tallstrip.llm.ego import Params, similarity_classes, skipping
 
 
 def plain(rows, limit=0.95):
@@ -36,3 +36,21 @@ def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert similarity_classes(table).count() == 0
     assert similarity_classes(spark.createDataFrame([(3, None)], "vec_id bigint, embedding array<float>")).collect()[0][1:] == (0, 3)
+
+
+def test_leaves_that_are_far_are_not_sent(spark):
+    """Of clustered vectors few leaves go to a pair of tiles; of vectors without any directions nearly all do."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 16))
+    p = Params(leaf=16, interval=64, fan=2)
+    close = [(i, (centres[i % 24] + rng.normal(size=16) * 0.01).tolist()) for i in range(960)]
+    loose = [(i, rng.normal(size=16).tolist()) for i in range(960)]
+    share = {}
+    for name, rows in (("close", close), ("loose", loose)):
+        (r,) = skipping(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), p).collect()
+        assert r.leaves >= 60 and r.tiles >= 8 and r.sent <= r.possible
+        share[name] = r.sent / r.possible
+    assert share["close"] < 0.35 and share["close"] < share["loose"]
+    table = spark.createDataFrame(close, "vec_id bigint, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in similarity_classes(table, p).collect()} == plain(close)
+    assert skipping(table.where("vec_id < 0")).collect()[0].sent == 0
