@@ -458,6 +458,21 @@ def mapped(b: Bands, out: dict[str, str], work: Callable[[Planes], Planes], read
     return Bands(need.df.mapInArrow(run, _schema(b.key, planes)), planes, b.rows)
 
 
+def placed(b: Bands, out: dict[str, str], work: Callable[[int, Planes], Planes]) -> Bands:
+    """Bands with planes that depend on where a band is: work(first row, planes)."""
+    planes, sent = b.planes | out, b.planes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                band, y0, n, width = (batch.column(k)[i].as_py() for k in range(1, 5))
+                made = work(y0, _arrays(batch, i, sent))
+                held = {p: batch.column(batch.schema.get_field_index(p))[i].as_py() for p in sent}
+                yield from _row(batch.column(0)[i], band, y0, n, width, held | {p: np.ascontiguousarray(made[p], dtype=kind).tobytes() for p, kind in out.items()}).to_batches()
+
+    return Bands(b.df.select("img", "band", "y0", "n", "width", *sent).mapInArrow(run, _schema(b.key, planes)), planes, b.rows)
+
+
 def unpack(b: Bands) -> DataFrame:
     """(img, y, x, planes) pixel by pixel, for small images and checks."""
     kinds = {"uint8": "int", "int32": "int", "float32": "float", "float64": "double"}

@@ -15,11 +15,11 @@ from .registry import _GRAYS, _MASK, _SUMS, _kernel_sql, _query, _sums, BLOCK, F
 
 
 def _fine(spark: SparkSession, d: str, *planes: str) -> Bands:
-    return bands.pack(raster.fine(spark, d), {p: "uint8" for p in planes}, 48)
+    return raster.fine_bands(spark, d, *planes)
 
 
 def _block(spark: SparkSession, d: str) -> Bands:
-    return bands.pack(raster.block(spark, d), {"r": "uint8"}, 100)
+    return raster.block_bands(spark, d)
 
 
 def edges_sql(source: str, low: float, high: float) -> str:
@@ -229,9 +229,14 @@ ct AS (SELECT l.*, coalesce((SELECT CAST(sum(v) AS BIGINT) FROM mk WHERE mk.img
 picked AS (SELECT patch, img, y0, x0, CAST(attempt AS BIGINT) AS attempt, wanted, positives FROM (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY attempt) AS first FROM ct WHERE NOT wanted OR positives >= 160) WHERE first = 1)"""
 
 
+def _positive(p):
+    import numpy as np
+
+    return {"m": (p["a"] < 100) & (np.arange(p["a"].shape[1]) < 40)}
+
+
 def _sampled(spark: SparkSession, d: str) -> DataFrame:
-    px = raster.fine(spark, d).withColumn("m", F.when((F.col("a") < 100) & (F.col("x") < 40), 1).otherwise(0))
-    b = bands.pack(px, {"m": "uint8"}, 24)
+    b = bands.mapped(raster.fine_bands(spark, d, "a", rows=24), {"m": "uint8"}, _positive, ("a",), ())
     return patches.sample(b, "m", 60, 20, 0.7, 0.5, 160, 12)
 
 
@@ -253,8 +258,7 @@ def patch_tensors(spark, d):
     import numpy as np
     import pyarrow as pa
 
-    px = raster.fine(spark, d).withColumn("m", F.when((F.col("a") < 100) & (F.col("x") < 40), 1).otherwise(0))
-    b = bands.pack(px, {"r": "uint8", "g": "uint8", "b": "uint8", "m": "uint8"}, 24)
+    b = bands.mapped(raster.fine_bands(spark, d, "r", "g", "b", "a", rows=24), {"m": "uint8"}, _positive, ("a",), ("r", "g", "b"))
     guided = bands.guided(b.pick("r", "g", "b"), 200, 1)
     whole = Bands(guided.df.join(b.df.select("img", "band", "m"), ["img", "band"]).select("img", "band", "y0", "n", "width", *guided.planes, "m"), guided.planes | {"m": "uint8"}, b.rows)
     windows = _sampled(spark, d).select("patch", "img", (F.col("y0") + 8).alias("y0"), (F.col("x0") + 8).alias("x0"))
@@ -356,7 +360,7 @@ def far_distances(spark, d):
     """J7 without a radius: squared distances to the other kind, however far it is."""
     import numpy as np
 
-    b = bands.pack(raster.fine(spark, d).withColumn("m", F.when(F.col("a") < 8, 1).otherwise(0)), {"m": "uint8"}, 24)
+    b = bands.mapped(raster.fine_bands(spark, d, "a", rows=24), {"m": "uint8"}, lambda p: {"m": p["a"] < 8}, ("a",), ())
 
     def work(y0, p):
         square, (y, x) = np.rint(p["sdt"].astype(np.float64) ** 2).astype(np.int64), np.indices(p["m"].shape)
@@ -412,7 +416,7 @@ def stored_pairs(spark, d):
     """Originals and smaller results stored bucketed by image and band, met without an exchange and scored."""
     px, name = raster.fine(spark, d), new_path(spark, "pairs")
     tag = "t" + name.rsplit("-", 1)[1]
-    stored.store(bands.pack(px, dict.fromkeys("rgb", "uint8"), 24), f"{tag}_originals", 8, f"{name}/originals")
+    stored.store(raster.fine_bands(spark, d, "r", "g", "b", rows=24), f"{tag}_originals", 8, f"{name}/originals")
     stored.store(bands.pack(px.where("x < 61 AND y < 57"), {"a": "uint8"}, 24), f"{tag}_results", 8, f"{name}/results")
     got = stored.scored_pairs(stored.stored(spark, f"{tag}_originals", dict.fromkeys("rgb", "uint8"), 24), stored.stored(spark, f"{tag}_results", {"a": "uint8"}, 24))
     return got.select("img", "rank", "total_pixels", "deleted_pixels", "damaged_pixels", "leftover_grayline_pixels", "priority_score")

@@ -78,7 +78,7 @@ q AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - (dd +
 @_query(f"WITH {_SCORED} SELECT img, row_number() OVER (ORDER BY priority DESC, img) AS rank, total_pixels, deleted_pixels, damaged_pixels, leftover_grayline_pixels, round(dd, 6) AS damage_percent_deleted, round(success, 6) AS estimated_success_percent, round(priority, 6) AS priority_score FROM q")
 def score_rank(spark, d):
     """Flagship: strips by review priority. F1, C12, C13, C17, C18, D2, D4 and D5 without edges, G12, H1."""
-    got = pipelines.evaluate(raster.fine(spark, d), "img")
+    got = pipelines.evaluate_bands(raster.fine_bands(spark, d, "r", "g", "b", "a"))
     return got.select("img", "rank", "total_pixels", "deleted_pixels", "damaged_pixels", "leftover_grayline_pixels", "damage_percent_deleted", "estimated_success_percent", "priority_score")
 
 
@@ -532,6 +532,30 @@ def _sums(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy("img").agg(F.sum(F.col(value) * (F.col("x") + 1)).cast("long").alias("sx"), F.sum(F.col(value) * (F.col("y") + 1)).cast("long").alias("sy"), F.count("*").alias("n"))
 
 
+def _band_sums(b: bands.Bands, plane: str) -> DataFrame:
+    """_sums of a plane, three numbers a band."""
+
+    def work(y0, p):
+        import numpy as np
+
+        v, (y, x) = p[plane].astype(np.int64), np.indices(p[plane].shape)
+        return {"sx": [int((v * (x + 1)).sum())], "sy": [int((v * (y + y0 + 1)).sum())], "n": [v.size]}
+
+    return bands.each(b.pick(plane), "sx bigint, sy bigint, n bigint", work).groupBy("img").agg(*[F.sum(c).alias(c) for c in ("sx", "sy", "n")])
+
+
+def _block_mask(spark: SparkSession, d: str) -> bands.Bands:
+    return bands.mapped(raster.block_bands(spark, d), {"m": "uint8"}, lambda p: {"m": p["r"] >= 150}, ("r",), ())
+
+
+def _thirds(y0: int, shape: tuple[int, int]):
+    """-1 at every third diagonal, 1 elsewhere."""
+    import numpy as np
+
+    y, x = np.indices(shape)
+    return np.where((y + y0 + x) % 3 == 0, -1, 1)
+
+
 _GRAYS = BLOCK + ", src AS (SELECT img, y, x, r AS v FROM block)"
 _MASK = BLOCK + ", src AS (SELECT img, y, x, CASE WHEN r >= 150 THEN 1 ELSE 0 END AS v FROM block)"
 
@@ -539,43 +563,44 @@ _MASK = BLOCK + ", src AS (SELECT img, y, x, CASE WHEN r >= 150 THEN 1 ELSE 0 EN
 @_query(f"WITH {_GRAYS} " + _SUMS.format(_kernel_sql(stencil.ellipse(3), "max", "v", "src")))
 def dilate(spark, d):
     """J1, J13, E11."""
-    return _sums(stencil.dilate(raster.block(spark, d), "r", "v", stencil.ellipse(3)), "v")
+    return _band_sums(bands.dilate(raster.block_bands(spark, d), "r", "v", stencil.ellipse(3)), "v")
 
 
 @_query(f"WITH {_GRAYS} " + _SUMS.format(_kernel_sql(stencil.ellipse(2), "min", "v", "src")))
 def erode(spark, d):
     """J2."""
-    return _sums(stencil.erode(raster.block(spark, d), "r", "v", stencil.ellipse(2)), "v")
+    return _band_sums(bands.erode(raster.block_bands(spark, d), "r", "v", stencil.ellipse(2)), "v")
 
 
 @_query(f"WITH {_GRAYS}, hi AS ({_kernel_sql(stencil.ellipse(3), 'max', 'v', 'src')}), lo AS ({_kernel_sql(stencil.ellipse(3), 'min', 'v', 'src')}) SELECT img, count(*) FILTER (c >= 30) AS contrast, CAST(sum(c) AS BIGINT) AS total, count(*) FILTER (c < 30 AND r >= 128) AS flat FROM (SELECT hi.img, hi.v - lo.v AS c, s.v AS r FROM hi JOIN lo USING (img, y, x) JOIN src s USING (img, y, x)) GROUP BY img")
 def gradient(spark, d):
     """J3, D9, D10."""
-    got = stencil.gradient(raster.block(spark, d), "r", "c", stencil.ellipse(3))
-    return got.groupBy("img").agg(F.count_if(F.col("c") >= 30).alias("contrast"), F.sum("c").cast("long").alias("total"), F.count_if((F.col("c") < 30) & (F.col("r") >= 128)).alias("flat"))
+    got = bands.gradient(raster.block_bands(spark, d), "r", "c", stencil.ellipse(3))
+    counts = bands.each(got, "contrast bigint, total bigint, flat bigint", lambda y0, p: {"contrast": [int((p["c"] >= 30).sum())], "total": [int(p["c"].sum(dtype="int64"))], "flat": [int(((p["c"] < 30) & (p["r"] >= 128)).sum())]})
+    return counts.groupBy("img").agg(*[F.sum(c).alias(c) for c in ("contrast", "total", "flat")])
 
 
 @_query(f"WITH {_MASK}, a AS ({_kernel_sql(stencil.ellipse(2), 'max', 'v', 'src')}), b AS ({_kernel_sql(stencil.ellipse(2), 'min', 'v', 'a')}), c AS ({_kernel_sql(stencil.ellipse(1), 'min', 'v', 'b')}), e AS ({_kernel_sql(stencil.ellipse(1), 'max', 'v', 'c')}) " + _SUMS.format("SELECT * FROM e"))
 def open_close(spark, d):
     """Closed, then opened."""
-    px = raster.block(spark, d).withColumn("m", F.when(F.col("r") >= 150, 1).otherwise(0))
-    return _sums(stencil.postprocess(px, "m", 2, 1), "m")
+    return _band_sums(bands.postprocess(_block_mask(spark, d), "m", 2, 1), "m")
 
 
 @_query(f"WITH {_MASK}, hi AS ({_kernel_sql(stencil.square(1), 'max', 'v', 'src')}), lo AS ({_kernel_sql(stencil.square(1), 'min', 'v', 'src')}), edge AS (SELECT img, y, x, hi.v - lo.v AS v FROM hi JOIN lo USING (img, y, x)), near AS ({_kernel_sql(stencil.ellipse(4), 'max', 'v', 'edge')}) SELECT img, round(sum(CASE WHEN near.v > 0 THEN 4.0::DOUBLE ELSE 1 END), 6) AS w, count(*) FILTER (CASE WHEN near.v > 0 THEN (y + x) % 3 = 0 ELSE src.v = 1 END) AS fused FROM near JOIN src USING (img, y, x) GROUP BY img")
 def boundary_band(spark, d):
     """J4, J9, K7."""
-    px = raster.block(spark, d).withColumn("m", F.when(F.col("r") >= 150, 1).otherwise(0)).withColumn("dist", F.when((F.col("y") + F.col("x")) % 3 == 0, -1).otherwise(1))
-    weighted = stencil.boundary_weight(px, "m", 4, 4.0)
-    return stencil.signed_fusion(weighted, "m", "dist", 4).groupBy("img").agg(F.sum("w").alias("w"), F.sum("m").cast("long").alias("fused"))
+    weighted = bands.boundary_weight(_block_mask(spark, d), "m", 4, 4.0)
+    third = bands.each(weighted.pick("w"), "w double", lambda y0, p: {"w": [float(p["w"].sum(dtype="float64"))]}).groupBy("img").agg(F.sum("w").alias("w"))
+    fused = bands.signed_fusion(bands.placed(weighted.pick("m"), {"dist": "float32"}, lambda y0, p: {"dist": _thirds(y0, p["m"].shape)}), "m", "dist", 4)
+    return third.join(bands.each(fused.pick("m"), "fused bigint", lambda y0, p: {"fused": [int(p["m"].sum(dtype="int64"))]}).groupBy("img").agg(F.sum("fused").alias("fused")), "img")
 
 
 @_query(f"WITH {BLOCK}, src AS (SELECT img, y, x, CASE WHEN r >= 150 THEN 0 ELSE 1 END AS v FROM block), near AS ({_kernel_sql(stencil.ellipse(3), 'max', 'v', 'src')}) SELECT img, count(*) FILTER (r >= 150) AS before, count(*) FILTER (r >= 150 AND NOT (r % 50 <= 20 AND near.v = 1)) AS after FROM near JOIN block USING (img, y, x) GROUP BY img")
 def protect_borders(spark, d):
     """K3."""
-    px = raster.block(spark, d).withColumn("d", F.when(F.col("r") >= 150, 1).otherwise(0)).withColumn("gray", F.col("r") % 50)
-    got = stencil.protect_borders(px, "d", "gray", 3, 20)
-    return got.groupBy("img").agg(F.count_if(F.col("r") >= 150).alias("before"), F.sum("d").cast("long").alias("after"))
+    b = bands.mapped(raster.block_bands(spark, d), {"d": "uint8", "gray": "uint8"}, lambda p: {"d": p["r"] >= 150, "gray": p["r"] % 50}, ("r",), ("r",))
+    counts = bands.each(bands.protect_borders(b, "d", "gray", 3, 20), "before bigint, after bigint", lambda y0, p: {"before": [int((p["r"] >= 150).sum())], "after": [int(p["d"].sum(dtype="int64"))]})
+    return counts.groupBy("img").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
 
 
 @_query(f"WITH {BLOCK} SELECT img, ny AS y, nx AS x, r FROM (SELECT img, ny, nx, least(ny * 256 // 100, 255) AS y, least(nx * 64 // 40, 63) AS x FROM (SELECT DISTINCT img FROM block), range(0, 100) AS a(ny), range(0, 40) AS b(nx)) JOIN block USING (img, y, x)")
@@ -630,8 +655,12 @@ lab AS (SELECT id, min(root) AS comp FROM reach GROUP BY id),
 cc AS (SELECT img, comp, min(x0) AS x, min(y) AS y, max(x1) - min(x0) AS w, max(y) + 1 - min(y) AS h, CAST(sum(x1 - x0) AS BIGINT) AS area, sum((x0 + x1 - 1) / 2.0::DOUBLE * (x1 - x0)) / sum(x1 - x0) AS cx, sum(y * (x1 - x0)) / sum(x1 - x0) AS cy FROM rid JOIN lab USING (id) GROUP BY img, comp)"""
 
 
+def _dark_runs(spark: SparkSession, d: str) -> DataFrame:
+    return bands.runs(raster.block_bands(spark, d), lambda p: p["r"] >= 150, ("r",))
+
+
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return topology.component_stats(topology.label(raster.runs(raster.block(spark, d), F.col("r") >= 150), 8, 64))
+    return topology.component_stats(topology.label(_dark_runs(spark, d), 8, 64))
 
 
 @_query(f"WITH RECURSIVE {_LABELS} SELECT img, x, y, w, h, area, round(cx, 6) AS cx, round(cy, 6) AS cy FROM cc")
@@ -643,22 +672,19 @@ def components(spark, d):
 @_query(f"WITH RECURSIVE {_LABELS}, {HEIGHTS} SELECT img, count(*) FILTER (x > 0 AND y > 0 AND x + w < 64 AND y + h < height) AS islands, CAST(coalesce(sum(area) FILTER (NOT (x > 0 AND y > 0 AND x + w < 64 AND y + h < height)), 0) AS BIGINT) AS still_deleted, CAST(sum(area) AS BIGINT) AS deleted FROM cc JOIN heights USING (img) GROUP BY img")
 def islands(spark, d):
     """K2, C22, E6."""
-    px = raster.block(spark, d)
-    sizes = px.groupBy("img").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    runs = raster.runs(px, F.col("r") >= 150)
-    labelled = topology.label(runs, 8, 64)
+    sizes = bands.sizes(raster.block_bands(spark, d))
+    labelled = topology.label(_dark_runs(spark, d), 8, 64)
     inner = topology.landlocked(labelled, sizes).groupBy("img").agg(F.count("*").alias("islands"))
     left = topology.without_islands(labelled, sizes)
     total = lambda rows, name: rows.groupBy("img").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias(name))
-    got = total(runs, "deleted").join(total(left, "still_deleted"), "img", "left").join(inner, "img", "left")
+    got = total(labelled, "deleted").join(total(left, "still_deleted"), "img", "left").join(inner, "img", "left")
     return got.select("img", F.coalesce("islands", F.lit(0)).alias("islands"), F.coalesce("still_deleted", F.lit(0)).alias("still_deleted"), "deleted")
 
 
 @_query(f"WITH RECURSIVE {_LABELS} SELECT img, CAST(round_even(cx, 0) AS BIGINT) AS x, CAST(round_even(cy, 0) AS BIGINT) AS y FROM cc WHERE area >= 100")
 def low_texture_regions(spark, d):
     """K6, D15, A18's points."""
-    labelled = topology.label(raster.runs(raster.block(spark, d), F.col("r") >= 150), 8, 64)
-    return topology.low_texture(labelled, 100)
+    return topology.low_texture(topology.label(_dark_runs(spark, d), 8, 64), 100)
 
 
 _NEAR = ", ".join(f"({dy}, {dx})" for dy in range(-6, 7) for dx in range(-6, 7) if 0 < dy * dy + dx * dx <= 36)
@@ -669,8 +695,7 @@ o AS (SELECT n.img, n.y, n.x, n.v, min(n.d) FILTER (q.v <> n.v) AS d FROM near_
 SELECT img, y, x, round(CASE WHEN v = 1 THEN -1 ELSE 1 END * coalesce(d, 6.0::DOUBLE) / 6, 6) AS sdt FROM o""")
 def signed_distances(spark, d):
     """J7, M8's target."""
-    px = raster.block(spark, d).withColumn("m", F.when(F.col("r") >= 150, 1).otherwise(0))
-    return bands.unpack(bands.signed_distances(bands.pack(px, {"m": "uint8"}, 64), "m", 6.0).pick("sdt"))
+    return bands.unpack(bands.signed_distances(_block_mask(spark, d), "m", 6.0).pick("sdt"))
 
 
 @_query(f"""WITH {_GRAYS}, hi AS ({_kernel_sql(stencil.ellipse(3), "max", "v", "src")}), lo AS ({_kernel_sql(stencil.ellipse(3), "min", "v", "src")}), thr AS (SELECT img, y, x, CASE WHEN hi.v - lo.v >= 30 THEN 1 ELSE 0 END AS v FROM hi JOIN lo USING (img, y, x)),
