@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._work import bytes_of
+from ._work import bytes_of, settle
 
 #: Bytes of text in a group, and of text whose names meet in a bucket.
 GROUP_BYTES = 12 << 20
@@ -376,7 +376,21 @@ def remove_repeats(documents: DataFrame, kernel, *, within: bool, id_column: str
     """(doc_id, units, removed, spans, kept) per row: how many units (bytes or words) the text has and loses, the
     removed runs as [start, end) of units, and the UTF-8 bytes that stay. carry: columns of the input to return too.
     characters: a column of that name has what stays as text, without the rest of a character that was cut in two.
-    group_bytes, hot and fan change how work is dealt, never results."""
+    group_bytes, hot and fan change how work is dealt, never results. Rows that repeat id and text are worked on once, so
+    however many there are, they are no group of their own."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    if rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _removed(documents, kernel, within=within, id_column=id_column, text_column=text_column, carry=carry, characters=characters, group_bytes=group_bytes, hot=hot, fan=fan)
+    once = settle(rows.groupBy("doc", "tie").agg(F.first("text").alias("text")), "once")
+    found = _removed(once, kernel, within=within, id_column="doc", text_column="text", carry=("tie",), characters=characters, group_bytes=group_bytes, hot=hot, fan=fan)
+    back = rows.select(F.when(F.col("doc") != LEAST, F.col("doc")).alias("_doc"), F.col("tie").alias("_tie"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+    found = found.withColumnRenamed("tie", "_found")
+    return back.join(found, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("_found"))).select("doc_id", "units", "removed", "spans", "kept", *["characters"] * characters, *carry)
+
+
+def _removed(documents: DataFrame, kernel, *, within: bool, id_column: str, text_column: str, carry: tuple[str, ...], characters: bool, group_bytes: int, hot: int, fan: int) -> DataFrame:
+    """What remove_repeats gives, for documents that each have an id and text of their own."""
     kernel = copy.copy(kernel)
     kernel.salt = secrets.token_bytes(16)
     groups = max(1, -(-bytes_of(documents, text_column) // group_bytes))

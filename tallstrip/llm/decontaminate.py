@@ -163,8 +163,11 @@ def _joined(docs: DataFrame, items: DataFrame, rule: Rule, remove: str) -> DataF
         sieve[r["piece"] << PIECE_BITS - 3 : r["piece"] + 1 << PIECE_BITS - 3] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(sieve)
     asked = keyed.select("row", "text").mapInArrow(B.frugal(_document_windows(rule, sorted(sizes), shared, bits)), "row bigint, at bigint, size int, h bigint, said binary")
-    hits = asked.join(windows, ["size", "h", "said"]).select("row", "at", "size", "items")
-    hits = hits.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # windows that the same items share go by one number: a prompt of very many items costs a number an occurrence
+    shared_by = settle(windows.select("items").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+    numbered = windows.join(shared_by, "items").select("size", "h", "said", "set")
+    hits = settle(asked.join(numbered, ["size", "h", "said"]).groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"), F.collect_set("set").alias("sets")), "hits")
+    named = hits.select("row", F.explode("sets").alias("set")).join(shared_by, "set").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
     def judge(batches):
         for piece in B.slices(batches, "text"):
@@ -178,7 +181,7 @@ def _joined(docs: DataFrame, items: DataFrame, rule: Rule, remove: str) -> DataF
                 kept.append(_kept(text[i], raw, offsets[i : i + 2], starts[first[i] :], ends[first[i] :], own, n[i], rule, remove))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in hit], pa.int64()), piece.column(4), pa.array(kept, pa.string())], names=[id_column, "n_words", "n_hit", "item_ids", "kept_text"])
 
-    met = keyed.join(hits, "row", "left").select("id", "text", "at", "size", F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
+    met = keyed.join(hits, "row", "left").join(named, "row", "left").select("id", "text", "at", "size", F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
     return met.mapInArrow(B.frugal(judge), f"`{id_column}` {kind}, n_words bigint, n_hit bigint, item_ids array<string>, kept_text string")
 
 

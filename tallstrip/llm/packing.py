@@ -47,18 +47,19 @@ def _encoder(params: Params):
     its expressions give up on very long runs of white space, which the other form then takes."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(params.vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([params.special]))
-    whole: list[Tokenizer] = []
+    whole: list = []
 
     def encode(text: str) -> list[int]:
         try:
             return coder.encode(text, allowed_special="all")
         except ValueError:
             if not whole:
+                from tokenizers import Tokenizer
+
                 whole.append(Tokenizer.from_file(params.whole or public_tokenizers.path("byte_bpe_50k.json")))
             return whole[0].encode(text, add_special_tokens=False).ids
 

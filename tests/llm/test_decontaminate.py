@@ -63,3 +63,15 @@ def test_rows_and_removal_do_not_depend_on_the_benchmark_s_size(spark):
     for remove in ("none", "spans", "documents"):
         small, large = (sorted(map(repr, decontaminate(frame(spark, docs), bench, remove=remove, block_bytes=n).collect())) for n in (1 << 20, 10))
         assert small == large and len(small) == len(docs)
+
+
+def test_a_prompt_that_many_items_share_and_a_very_long_text(spark):
+    prompt = "answer the following question with one word only please and give no reason for it"
+    items = [(i, f"{prompt} number {i}") for i in range(300)]
+    docs = [(1, f"{prompt} number 7"), (2, "x " + prompt), (3, "filler " * 200_000 + prompt + " number 9"), (4, "y" * 1_000_000)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1 << 20, 10):
+        got = {r.doc_id: r for r in decontaminate(frame(spark, docs), bench, block_bytes=block).collect()}
+        every = sorted(str(i) for i in range(300))
+        assert got[1].item_ids == got[2].item_ids == got[3].item_ids == every and got[4].item_ids == []
+        assert (got[1].n_words, got[1].n_hit, got[3].n_words, got[3].n_hit, got[3].contaminated) == (17, 17, 200_017, 17, False)

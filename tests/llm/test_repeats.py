@@ -141,6 +141,18 @@ def test_texts_under_one_id(spark):
         assert sorted(bytes(r.kept) for r in got if r.removed) == [b" end" if operator is suffix_dedup else b"end", b"start " if operator is suffix_dedup else b"start"]
 
 
+@pytest.mark.parametrize("operator", [suffix_dedup, recompression_dedup])
+def test_rows_that_repeat_are_one_text(spark, operator):
+    """A row that is there many times, with an id and without, has the result that it has alone, each time."""
+    long, other = " ".join(f"word{i}" for i in range(80)), " ".join(f"term{i}" for i in range(80))
+    rows = [(None, long)] + [(4, long + " end")] + [(5, other)] * 2 + [(6, "x " + other)]
+    many = rows + [(None, long)] * 40 + [(5, other)] * 40
+    alone = {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in operator(frame(spark, list(dict.fromkeys(rows)))).collect()}
+    got = [(r.doc_id, (r.units, r.removed, bytes(r.kept))) for r in operator(frame(spark, many)).collect()]
+    assert len(got) == len(many) and all(v == alone[d] for d, v in got)
+    assert alone[4][1] > 0 and alone[6][1] > 0 and not alone[5][1] and not alone[None][1]
+
+
 @pytest.mark.parametrize("kernel", [ByteWindows(100), WordWindows(50)])
 def test_pieces_of_long_texts_have_the_same_names(monkeypatch, kernel):
     rng = np.random.default_rng(5)
