@@ -11,7 +11,7 @@ from ..schema import MODEL_CONFIG
 from ..sources import images, raster, sinks
 from ..work import new_path
 from . import pipelines
-from .registry import _GRAYS, _MASK, _SUMS, _kernel_sql, _query, _sums, BLOCK, FINE, HEIGHTS
+from .registry import _GRAYS, _MASK, _POST, _SUMS, _band_sums, _block_mask, _kernel_sql, _query, BLOCK, FINE, HEIGHTS, post_merge
 
 
 def _fine(spark: SparkSession, d: str, *planes: str) -> Bands:
@@ -139,9 +139,8 @@ def cleaned_strips(spark, d):
 @_query(f"WITH {_MASK}, a AS ({_kernel_sql(stencil.ellipse(5), 'max', 'v', 'src')}), b AS ({_kernel_sql(stencil.ellipse(5), 'min', 'v', 'a')}), c AS ({_kernel_sql(stencil.square(4), 'min', 'v', 'b')}), e AS ({_kernel_sql(stencil.square(4), 'max', 'v', 'c')}) " + _SUMS.format("SELECT * FROM e"))
 def banded_open_close(spark, d):
     """J1, J2, J5, J13 on packed bands: one pass for four kernels of larger radius."""
-    b = bands.mapped(_block(spark, d), {"m": "uint8"}, lambda p: {"m": p["r"] >= 150}, ("r",), ())
-    made = bands.over(b, 18, {"v": "uint8"}, lambda p: {"v": bands.opened(bands.closed(p["m"], stencil.ellipse(5)), stencil.square(4))}, ("m",), ())
-    return _sums(bands.unpack(made), "v")
+    made = bands.over(_block_mask(spark, d), 18, {"v": "uint8"}, lambda p: {"v": bands.opened(bands.closed(p["m"], stencil.ellipse(5)), stencil.square(4))}, ("m",), ())
+    return _band_sums(made, "v")
 
 
 @_query(f"WITH {_MASK}, hi AS ({_kernel_sql(stencil.square(1), 'max', 'v', 'src')}), lo AS ({_kernel_sql(stencil.square(1), 'min', 'v', 'src')}), edge AS (SELECT img, y, x, hi.v - lo.v AS v FROM hi JOIN lo USING (img, y, x)), near AS ({_kernel_sql(stencil.ellipse(4), 'max', 'v', 'edge')}), keep AS (SELECT img, y, x, 1 - v AS v FROM src), by_ AS ({_kernel_sql(stencil.ellipse(3), 'max', 'v', 'keep')}) SELECT img, round(sum(CASE WHEN near.v > 0 THEN 4.0::DOUBLE ELSE 1 END), 6) AS w, count(*) FILTER (CASE WHEN near.v > 0 THEN (y + x) % 3 = 0 ELSE src.v = 1 END) AS fused, count(*) FILTER (src.v = 1 AND NOT (r % 50 <= 20 AND by_.v = 1)) AS guarded FROM near JOIN src USING (img, y, x) JOIN by_ USING (img, y, x) JOIN block USING (img, y, x) GROUP BY img")
@@ -420,3 +419,32 @@ def stored_pairs(spark, d):
     stored.store(bands.pack(px.where("x < 61 AND y < 57"), {"a": "uint8"}, 24), f"{tag}_results", 8, f"{name}/results")
     got = stored.scored_pairs(stored.stored(spark, f"{tag}_originals", dict.fromkeys("rgb", "uint8"), 24), stored.stored(spark, f"{tag}_results", {"a": "uint8"}, 24))
     return got.select("img", "rank", "total_pixels", "deleted_pixels", "damaged_pixels", "leftover_grayline_pixels", "priority_score")
+
+
+@_query(f"""WITH RECURSIVE {_POST}, c AS (SELECT p.img, p.idx, b.x, b.y - p.y0 AS y, b.r FROM post p JOIN block b ON b.img = p.img AND b.y >= p.y0 AND b.y < p.y1)
+SELECT img || '-' || lpad(CAST(idx AS VARCHAR), 3, '0') || CASE WHEN cleaned THEN '_cleaned' ELSE '' END AS name, max(x) + 1 AS width, max(y) + 1 AS height, CASE WHEN cleaned THEN 4 ELSE 3 END AS channels, CAST(sum(r * (x + 1) + r // 2 * (y + 1)) AS BIGINT) AS total, CAST(sum(CASE WHEN NOT cleaned OR r >= 150 THEN 255 ELSE 0 END) AS BIGINT) AS alpha FROM c, (VALUES (false), (true)) AS k(cleaned) GROUP BY img, idx, cleaned""")
+def written_crops(spark, d):
+    """What each segment cuts out of a strip and of its cleaned form, written as pairs of pictures and
+    found again by name."""
+    import numpy as np
+
+    folder = new_path(spark, "crops")
+    folder = folder if "://" in folder else f"file://{folder}"
+    b = bands.mapped(_block(spark, d), dict.fromkeys("gba", "uint8"), lambda p: {"g": p["r"] // 2, "b": p["r"], "a": np.where(p["r"] >= 150, 255, 0)}, ("r",), ("r",))
+    found = post_merge(spark, d).select("img", "y0", "y1", F.concat(F.col("img").cast("string"), F.lit("-"), F.lpad(F.col("idx").cast("string"), 3, "0")).alias("target"))
+    moves = found.select("img", "target", F.col("y0").alias("from"), F.col("y1").alias("to"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("x"))
+    sized = found.join(bands.sizes(b).select("img", "width"), "img").select("target", "width", (F.col("y1") - F.col("y0")).alias("height"))
+    crops = strips.moved(b, moves, sized, dict.fromkeys("rgba", 0), 48).settled("crops")
+    tall = bands.sizes(crops)
+    sinks.write_png(sinks.interleaved(crops, tall, *"rgb"), folder).collect()
+    cleaned = sinks.interleaved(crops, tall, *"rgba").withColumn("name", F.concat("name", F.lit("_cleaned")))
+    sinks.write_png(cleaned, folder).collect()
+
+    def work(y0, p):
+        y, x = np.indices(p["r"].shape)
+        r, g = p["r"].astype(np.int64), p["g"].astype(np.int64)
+        return {"total": [int((r * (x + 1) + g * (y + y0 + 1)).sum())], "alpha": [int(p["a"].astype(np.int64).sum())]}
+
+    name = F.regexp_extract("path", r"([^/]*)\.png$", 1).alias("name")
+    sums = bands.each(images.png_bands(spark, folder, 40), "total bigint, alpha bigint", work).withColumnRenamed("img", "path").groupBy(name).agg(F.sum("total").alias("total"), F.sum("alpha").alias("alpha"))
+    return images.sizes(spark, folder).select(name, "width", "height", "channels").join(sums, "name")

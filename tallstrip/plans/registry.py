@@ -528,12 +528,8 @@ def _kernel_sql(kernel: dict[int, int], agg: str, value: str, source: str) -> st
 _SUMS = "SELECT img, CAST(sum(v * (x + 1)) AS BIGINT) AS sx, CAST(sum(v * (y + 1)) AS BIGINT) AS sy, count(*) AS n FROM ({}) GROUP BY img"
 
 
-def _sums(df: DataFrame, value: str) -> DataFrame:
-    return df.groupBy("img").agg(F.sum(F.col(value) * (F.col("x") + 1)).cast("long").alias("sx"), F.sum(F.col(value) * (F.col("y") + 1)).cast("long").alias("sy"), F.count("*").alias("n"))
-
-
 def _band_sums(b: bands.Bands, plane: str) -> DataFrame:
-    """_sums of a plane, three numbers a band."""
+    """Sums of a plane's values weighed by place, three numbers a band."""
 
     def work(y0, p):
         import numpy as np

@@ -7,7 +7,6 @@ neighbouring components and repeats the sum four times in both directions, which
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 

@@ -31,6 +31,8 @@ def test_pictures_come_back(spark, tmp_path):
     found = images.files(spark, folder)
     assert [r.path.rsplit("/", 1)[1] for r in images.chapter_pages(found).orderBy("page_no").collect()] == ["p2.png", "p10.png"]
     assert [(r.chapter, r.pages) for r in images.chapter_folders(found).collect()] == [("ch1", 2)]
+    named = spark.createDataFrame([(f"/x/{n}",) for n in ("7-10_cleaned.png", "7-2_cleaned.png", "7-3.png", "77-1_cleaned.png", "7-1_cleaned.jpg")], "path string")
+    assert [r.path[3:] for r in images.cleaned_parts(named, "7").orderBy("ord").collect()] == ["7-2_cleaned.png", "7-10_cleaned.png"]
     done = spark.createDataFrame([("p2",)], "name string")
     assert sinks.missing_outputs(done.union(spark.createDataFrame([("p3",)], "name string")), done).collect()[0].name == "p3"
 
