@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import gzip
-import hashlib
 import json
 import struct
 import uuid
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import new_path, settle
+from ._work import new_path, settle, slim
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A task begins another package once one has so many bytes.
@@ -147,9 +146,10 @@ def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 1000, pa
     response and the others revisit it; rows that share that page_id are all responses, as is a row with a null id.
     Packages get names of their own, so a task that runs twice leaves one that no row names. No pages: no packages.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     heads = rows.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    decided = rows.join(heads, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("head"), F.col("head")).alias("refers_to"))
+    heads = slim(settle(heads, "heads"))  # payloads only move if very many of them repeat
+    decided = rows.join(heads, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("head"), F.col("head")).alias("refers_to")).withColumn("digest", F.lower(F.hex("digest")))
     ids = decided.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
 
     def work(frames):
