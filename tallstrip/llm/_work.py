@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..work import discard, new_path, settle, work_folder
 
-__all__ = ["bytes_of", "discard", "new_path", "settle", "slim", "work_folder"]
+__all__ = ["bytes_of", "discard", "new_path", "settle", "slim", "steady", "work_folder"]
 
 #: Rows of a few numbers up to which a table is broadcast to a join: 16 to 32 MB.
 SLIM_ROWS = 1_000_000
@@ -21,3 +21,10 @@ def slim(rows: DataFrame) -> DataFrame:
 def bytes_of(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a text column: one aggregate row."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
+
+
+def steady(df: DataFrame, tag: str = "steady") -> DataFrame:
+    """df itself if it deals its rows the same way whenever it is run, as files do; settled where there is an exchange in
+    it, after which a lost executor's rows may come back in another order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return settle(df, tag) if "Exchange" in plan else df

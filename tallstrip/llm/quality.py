@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._work import bytes_of, settle
+from ._work import bytes_of, settle, steady
 
 #: Bytes that stand before and behind each text.
 BEFORE, BEHIND, SPACE = 0x02, 0x03, 0x20
@@ -68,19 +68,31 @@ class Grams:
         stream = np.full(int((length + 1).sum()) + len(some), SPACE, np.uint8)
         owner = np.searchsorted(first, np.arange(len(starts)), "right") - 1
         place = np.cumsum(length + 1) - length + np.searchsorted(some, owner)  # a text's first byte stands before its words
-        stream[B.expand(place, length)] = raw[B.expand(starts, length)]
         begin = place[first[some]] - 1
+        inside = np.ones(len(stream), bool)
+        inside[place + length] = inside[begin] = False
+        stream[inside] = raw[B.SPACED[raw]]
         stream[begin], stream[(place + length)[first[some + 1] - 1]] = BEFORE, BEHIND
+        held = np.diff(np.append(begin, len(stream))) - 1
         sizes = np.zeros(len(n), np.int64)
-        sizes[some] = np.diff(np.append(begin, len(stream))) - 1
+        sizes[some] = held
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        index = (np.arange(len(stream)) - np.repeat(begin, sizes[some] + 1)).astype(np.int32)
-        packed, top = stream.astype(np.int64), np.zeros(len(stream), np.int64)
+        packed, short = stream.astype(np.int64), []
         for n in range(2, order + 1):
-            packed[n - 1 :] |= stream[: len(stream) - n + 1].astype(np.int64) << np.int64(8 * (n - 1))
-            own = index == n - 1 if n < order else index >= n - 1
-            top[own] = packed[own] & np.int64((1 << 8 * n) - 1) | np.int64(n << 56)
-        self.top = top[index >= 1]
+            shifted = stream[: max(0, len(stream) - n + 1)].astype(np.int64)
+            shifted <<= np.int64(8 * (n - 1))
+            packed[n - 1 :] |= shifted
+            del shifted
+            if n < order:
+                own = begin[held >= n - 1] + n - 1
+                short.append((own, packed[own] & np.int64((1 << 8 * n) - 1) | np.int64(n << 56)))
+        packed &= np.int64((1 << 8 * order) - 1)
+        packed |= np.int64(order << 56)
+        for own, grams in short:
+            packed[own] = grams
+        inside[:] = True
+        inside[begin] = False
+        self.top = packed[inside]
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -333,9 +345,10 @@ def _ids(table, row: int) -> pa.RecordBatch:
 
 
 def score(documents: DataFrame, trusted: DataFrame, params: Params = Params(), *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(doc, lang, n_bytes, log_p) per document; trusted holds the ids (id_column) of documents to learn from."""
+    """(doc, lang, n_bytes, log_p) per document; trusted holds the ids (id_column) of documents to learn from. Chunks are
+    numbered by where their texts lie, so documents that come out of an exchange are settled first."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    docs = steady(docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "texts")
     size, order = bytes_of(docs, "text"), params.order
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, size // SHARD_BYTES))
     ids = trusted.select(F.col(id_column).cast("long").alias("doc")).where("doc is not null").distinct()

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tallstrip.llm._work import steady
 from tallstrip.llm.quality import Params, classify, keep_accepted, score
 
 from .conftest import frame
@@ -129,3 +130,20 @@ def test_a_very_long_text(spark):
     docs = frame(spark, [*enumerate(GOOD), (50, " ".join(GOOD) * 80_000), (51, "x" * 3_000_000)]).withColumn("lang", F.lit(None).cast("string"))
     got = {r.doc_id: r for r in classify(docs, labels, Params(quantile=1.0)).collect()}
     assert got[50].accepted and not got[51].accepted and got[50].lang == ""
+
+
+@pytest.mark.parametrize("text", ["a", "ab", " a ", "a b"])
+def test_texts_shorter_than_a_gram_alone(spark, text):
+    docs = spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string")
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    (got,) = score(docs, trusted).collect()
+    assert got.n_bytes == len(stream(text)) - 1 and got.log_p < 0
+
+
+def test_documents_out_of_an_exchange_are_dealt_once(spark):
+    rows = spark.createDataFrame([(i, "en", f"word {i} and {i * i} more") for i in range(60)], "doc_id long, lang string, text string")
+    trusted, moved = rows.select("doc_id"), rows.repartition(5)
+    assert steady(rows) is rows
+    assert "Exchange" not in steady(moved)._jdf.queryExecution().executedPlan().toString()
+    want = {r.doc: r.log_p for r in score(rows, trusted).collect()}
+    assert {r.doc: pytest.approx(r.log_p, rel=1e-5) for r in score(moved, trusted).collect()} == want
