@@ -18,11 +18,17 @@ its name. Neighbouring windows with one anchor and half form a stretch. Then
 Whole stretches are equal if 128 bits of BLAKE2b of their bytes are, salted anew in each run, so nobody can write texts
 that differ and agree there. All other hashes only bring together what is then compared. What moves is packed into
 arrays, one row per group and bucket. The texts' exchange is the same in all steps, so Spark runs it once.
+
+Of more than FAN groups each message passes a station: as many neighbouring groups form a block, and buckets a shelf, as
+there are blocks and shelves. A group sends a row to each shelf; a station, which is a shelf as one block sees it, merges
+what its block says and sends a row to each bucket; answers come back the same way. So rows are groups to the power of
+one and a half instead of two, and a station holds as much as a group.
 """
 
 from __future__ import annotations
 
 import copy
+import math
 import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -41,13 +47,19 @@ GROUP_BYTES = 12 << 20
 LOOK_BYTES, PIECE_BYTES = 1 << 20, 4 << 20
 #: Different stretches of a name from which its windows are named by their whole content. Results don't depend on it.
 HOT = 4096
-#: Groups whose equal stretches meet before they go to the bucket, where there are more groups.
+#: Groups up to which groups and buckets send to each other directly.
 FAN = 256
 LEAST = -(1 << 63)
 
 NAME = np.dtype([("sym", "u8"), ("kinds", "u1")])
 STRETCH = np.dtype([("sym", "u8"), ("seg", "u8"), ("seg2", "u8"), ("doc", "i8"), ("tie", "i8"), ("group", "i4"), ("w0", "i8"), ("n", "i4"), ("rel", "i4")])
 FOUND = np.dtype([("doc", "i8"), ("tie", "i8"), ("n", "i8"), ("w0", "i8")])
+#: A block's names: stretches of all its groups, and whether several of these have the name.
+MET = np.dtype([("sym", "u8"), ("kinds", "u4"), ("many", "u1")])
+#: Finds of several groups.
+SPREAD = np.dtype([*FOUND.descr, ("group", "i4")])
+#: In place of a group's number: stretches that are asked for, and finds of several groups.
+ASKED, GONE = -1, -2
 
 
 @dataclass
@@ -150,30 +162,83 @@ def _joined(column, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *(unpacked(x, dtype) for x in column.to_pylist())])
 
 
-def _send_names(kernel, buckets):
+def _send_names(kernel, buckets, span):
     def work(key, table):
         names, _, kinds = _names(kernel, _ordered(table))
         rows = np.empty(len(names), NAME)
         rows["sym"], rows["kinds"] = names, np.minimum(kinds, 255)
-        return _rows("bucket", _bucket(names, buckets), rows, p=key[0].as_py())
+        return _rows("bucket", _bucket(names, buckets) // span, rows, p=key[0].as_py())
 
     return work
 
 
-def _answer_names(hot: int):
-    """For each group's names: bits whether another group has the name, then bits whether it is hot."""
+def _gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The names that each group of a block sent to a station, all of them once, and where each group's are."""
+    parts = [unpacked(x, NAME) for x in table.column("data").to_pylist()]
+    rows = np.concatenate([np.zeros(0, NAME), *parts])
+    names, place = np.unique(rows["sym"], return_inverse=True)
+    met = np.zeros(len(names), MET)
+    met["sym"] = names
+    met["kinds"] = np.minimum(np.bincount(place, weights=rows["kinds"], minlength=len(names)), 1 << 31)
+    met["many"] = np.bincount(place, minlength=len(names)) > 1
+    return parts, met, place
+
 
+def _meet_names(buckets: int):
     def work(key, table):
-        parts = [unpacked(x, NAME) for x in table.column("data").to_pylist()]
+        met = _gathered(table)[1]
+        return _rows("bucket", _bucket(met["sym"], buckets), met, block=key[1].as_py())
+
+    return work
+
+
+def _bits(often: np.ndarray, hot: np.ndarray) -> bytes:
+    return np.packbits(often).tobytes() + np.packbits(hot).tobytes()
+
+
+def _told(answers: pa.Table, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of names that were sent to `bucket` in this order: which occur in several groups, and which are hot."""
+    often, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
+    order = np.argsort(bucket, kind="stable")
+    values, at = np.unique(bucket[order], return_index=True)
+    sent = dict(zip(values.tolist(), np.split(order, at[1:]), strict=True)) if len(values) else {}
+    for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
+        own, bits = sent[b], np.frombuffer(data, np.uint8)
+        often[own] = np.unpackbits(bits[: len(bits) // 2], count=len(own)).astype(bool)
+        hot[own] = np.unpackbits(bits[len(bits) // 2 :], count=len(own)).astype(bool)
+    return often, hot
+
+
+def _answer_names(hot: int, kind: np.dtype, sender: str):
+    """For each sender's names: bits whether another group has the name, then bits whether it is hot."""
+
+    def work(key, table):
+        parts = [unpacked(x, kind) for x in table.column("data").to_pylist()]
         every = np.concatenate(parts)
         names, place, counts = np.unique(every["sym"], return_inverse=True, return_counts=True)
+        often = counts > 1
+        if kind is MET:
+            often |= np.bincount(place, weights=every["many"], minlength=len(names)) > 0
         many = np.bincount(place, weights=every["kinds"], minlength=len(names)) > hot
         out, at = [], 0
         for x in parts:
             own = place[at : at + len(x)]
-            out.append(np.packbits(counts[own] > 1).tobytes() + np.packbits(many[own]).tobytes())
+            out.append(_bits(often[own], many[own]))
             at += len(x)
-        return pa.table({"p": table.column("p"), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array(out, pa.binary())})
+        return pa.table({sender: table.column(sender), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array(out, pa.binary())})
+
+    return work
+
+
+def _hand_answers(buckets: int):
+    """A station tells each group of its block what the buckets of its shelf say."""
+
+    def work(key, table, answers):
+        parts, met, place = _gathered(table)
+        often, hot = _told(answers, _bucket(met["sym"], buckets))
+        ends = np.cumsum([len(x) for x in parts])
+        out = [_bits(often[own], hot[own]) for own in np.split(place, ends[:-1])] if parts else []
+        return pa.table({"p": table.column("p"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
 
     return work
 
@@ -186,15 +251,15 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _runs(rows: np.ndarray) -> np.ndarray:
+def _runs(rows: np.ndarray, kind: np.dtype = FOUND) -> np.ndarray:
     """Windows of the stretches, neighbouring ones of a text together."""
     rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
     ends = rows["w0"] + rows["n"]
     new = _starts(rows["doc"], rows["tie"])
     new[1:] |= rows["w0"][1:] != ends[:-1]
     at = np.flatnonzero(new)
-    out = np.empty(len(at), FOUND)
-    for name in ("doc", "tie", "w0"):
+    out = np.empty(len(at), kind)
+    for name in kind.names:
         out[name] = rows[name][at]
     out["n"] = ends[np.append(at[1:], len(rows)) - 1] - out["w0"] if len(at) else 0
     return out
@@ -209,18 +274,14 @@ def _firsts(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
     return rows[~gone], rows[gone]
 
 
-def _send_stretches(kernel, buckets, within: bool):
-    """Rows with bucket >= 0 hold stretches; the group's own finds go to the bucket of its number as p."""
+def _send_stretches(kernel, buckets, within: bool, span: int):
+    """Rows with p < 0 hold stretches; the group's own finds go to the bucket of its number as p."""
 
     def work(key, table, answers):
         group, table = key[0].as_py(), _ordered(table)
         names, counts, _ = _names(kernel, table)
-        often, hot, bucket = counts > 1, np.zeros(len(names), bool), _bucket(names, buckets)
-        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            own = np.flatnonzero(bucket == b)
-            bits = np.frombuffer(data, np.uint8)
-            often[own] |= np.unpackbits(bits[: len(bits) // 2], count=len(own)).astype(bool)
-            hot[own] = np.unpackbits(bits[len(bits) // 2 :], count=len(own)).astype(bool)
+        often, hot = _told(answers, _bucket(names, buckets) // span)
+        often |= counts > 1
         hot &= often
         wanted, heated, out = names[often & ~hot], names[hot], [np.zeros(0, STRETCH)]
         for doc, tie, before, look in _looks(kernel, table):
@@ -235,8 +296,8 @@ def _send_stretches(kernel, buckets, within: bool):
             rows["sym"][: len(pick)], rows["rel"][: len(pick)] = look.sym[pick], look.rel[pick]
             out.append(rows)
         firsts, gone = _firsts(np.concatenate(out), within)
-        sent = _rows("bucket", _bucket(firsts["sym"], buckets), firsts, p=-1)
-        own = pa.table({"bucket": pa.array([group], pa.int64()), "data": pa.array([packed(_runs(gone))], pa.binary()), "p": pa.array([group], pa.int64())})
+        sent = _rows("bucket", _bucket(firsts["sym"], buckets) // span, firsts, p=-1, block=group // span)
+        own = pa.table({"bucket": pa.array([group // span], pa.int64()), "data": pa.array([packed(_runs(gone))], pa.binary()), "p": pa.array([group], pa.int64()), "block": pa.array([group // span], pa.int64())})
         return pa.concat_tables([sent, own] if len(gone) else [sent])
 
     return work
@@ -249,17 +310,16 @@ def _parted(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
     return np.concatenate([np.zeros(0, STRETCH), *rows]), table.filter(found).select(["bucket", "data", "p"])
 
 
-def _meet_early(within: bool):
-    """Equal stretches of some groups meet on their way to the bucket."""
+def _meet_early(within: bool, buckets: int):
+    """Equal stretches of a block meet at a station on their way to the buckets of its shelf."""
 
     def work(key, table):
         rows, through = _parted(table)
         firsts, gone = _firsts(rows, within)
-        bucket = key[0].as_py()
-        sent = pa.table({"bucket": pa.array([bucket], pa.int64()), "data": pa.array([packed(firsts)], pa.binary()), "p": pa.array([-1], pa.int64())})
         finds = _finds(gone)
         finds = pa.table({"bucket": finds.column("p"), "data": finds.column("data"), "p": finds.column("p")})
-        return pa.concat_tables([sent, finds, through])
+        through = pa.table({"bucket": through.column("p"), "data": through.column("data"), "p": through.column("p")})
+        return pa.concat_tables([_rows("bucket", _bucket(firsts["sym"], buckets), firsts, p=-1), finds, through])
 
     return work
 
@@ -270,13 +330,30 @@ def _finds(gone: np.ndarray) -> pa.Table:
     return pa.table({"p": pa.array([int(x["group"][0]) for x in parts], pa.int64()), "data": pa.array([packed(_runs(x)) for x in parts], pa.binary()), "bucket": pa.array([-1] * len(parts), pa.int64())})
 
 
+def _spread(gone: np.ndarray, span: int, bucket: int) -> pa.Table:
+    """What goes, a row for each block, by way of the bucket's shelf."""
+    runs = _runs(gone, SPREAD)
+    return _rows("block", runs["group"].astype(np.int64) // span, runs, p=GONE, bucket=bucket // span)
+
+
+def _hand_on():
+    """A station gives each group of its block what buckets found and ask for."""
+
+    def work(key, table):
+        whose = np.array(table.column("p").to_pylist())
+        asked, gone = (_joined(table.column("data").filter(pa.array(whose == p)), kind) for p, kind in ((ASKED, STRETCH), (GONE, SPREAD)))
+        return pa.concat_tables([_finds(gone), _rows("p", asked["group"].astype(np.int64), asked, bucket=key[1].as_py())])
+
+    return work
+
+
 def _by(values: np.ndarray) -> list[np.ndarray]:
     order = np.argsort(values, kind="stable")
     return [x for x in np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(x)]
 
 
-def _sort_stretches(within: bool):
-    """within: an earlier place in the same text counts too."""
+def _sort_stretches(within: bool, span: int):
+    """within: an earlier place in the same text counts too. With blocks, rows for a station have its block."""
 
     def work(key, table):
         rows, through = _parted(table)
@@ -289,22 +366,26 @@ def _sort_stretches(within: bool):
             several &= (np.minimum.reduceat(left["doc"], at) != np.maximum.reduceat(left["doc"], at))[ids]
         asked = left[several]
         asked = asked[np.lexsort((asked["w0"], asked["tie"], asked["doc"]))]
-        ask = _rows("p", asked["group"].astype(np.int64), asked, bucket=key[0].as_py())
         through = pa.table({"p": through.column("p"), "data": through.column("data"), "bucket": pa.array([-1] * len(through), pa.int64())})
-        return pa.concat_tables([_finds(gone), through, ask])
+        if span == 1:
+            return pa.concat_tables([_finds(gone), through, _rows("p", asked["group"].astype(np.int64), asked, bucket=key[0].as_py())])
+        ask = _rows("block", asked["group"].astype(np.int64) // span, asked, p=ASKED, bucket=key[0].as_py() // span)
+        parts = [x.select(["p", "data", "bucket", "block"]) for x in (_spread(gone, span, key[0].as_py()), ask)]
+        return pa.concat_tables([*parts, through.append_column("block", pa.array([-1] * len(through), pa.int64()))])
 
     return work
 
 
-def _send_content(kernel):
+def _send_content(kernel, buckets: int, span: int):
+    """sizes: bytes of content for each bucket of the shelf, in order."""
+
     def work(key, table, asked):
-        wanted = [(b, unpacked(x, STRETCH)) for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True) if b >= 0]
-        out = {"bucket": [], "data": [], "content": []}
+        wanted = [unpacked(x, STRETCH) for b, x in zip(asked.column("bucket").to_pylist(), asked.column("data").to_pylist(), strict=True) if b >= 0]
+        out = {"bucket": [], "data": [], "content": [], "sizes": []}
         if wanted:
-            bucket = np.repeat([b for b, _ in wanted], [len(x) for _, x in wanted])
-            rows = np.concatenate([x for _, x in wanted])
-            order = np.lexsort((rows["w0"], rows["tie"], rows["doc"]))
-            rows, bucket = rows[order], bucket[order]
+            rows = np.concatenate(wanted)
+            rows = rows[np.lexsort((rows["w0"], rows["tie"], rows["doc"]))]
+            bucket = _bucket(rows["sym"], buckets)
             table = _ordered(table)
             table = table.filter(pa.array(_starts(table.column("doc").to_numpy(), table.column("tie").to_numpy())))
             identity = np.zeros(len(table), [("doc", "i8"), ("tie", "i8")])
@@ -314,24 +395,46 @@ def _send_content(kernel):
                 a, b = np.searchsorted(place, [row, row + len(piece)])
                 if b > a:
                     content = kernel.content(*B.buffers(piece.column(piece.schema.get_field_index("text"))), place[a:b] - row, rows[a:b])
-                    for own in _by(bucket[a:b]):
-                        out["bucket"].append(int(bucket[a + own[0]]))
-                        out["data"].append(packed(rows[a:b][own]))
-                        out["content"].append(content(own))
+                    for shelf in _by(bucket[a:b] // span):
+                        parts = [shelf[x] for x in _by(bucket[a:b][shelf])]
+                        said = [content(own) for own in parts]
+                        out["bucket"].append(int(bucket[a + shelf[0]] // span))
+                        out["data"].append(packed(rows[a:b][np.concatenate(parts)]))
+                        out["content"].append(b"".join(said))
+                        out["sizes"].append(np.array([len(x) for x in said], np.int64).tobytes())
                 row += len(piece)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "content": pa.array(out["content"], pa.binary())})
+        table = {"bucket": pa.array(out["bucket"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("data", "content", "sizes")}
+        return pa.table(table | {"block": pa.array([key[0].as_py() // span] * len(out["bucket"]), pa.int64())})
+
+    return work
+
+
+def _meet_content(buckets: int):
+    """A station puts together what its block says to each bucket."""
+
+    def work(key, table):
+        held: dict[int, tuple[list, list]] = {}
+        for data, content, sizes in zip(*(table.column(c).to_pylist() for c in ("data", "content", "sizes")), strict=True):
+            rows, ends = unpacked(data, STRETCH), np.cumsum(np.frombuffer(sizes, np.int64))
+            bucket = _bucket(rows["sym"], buckets)
+            for own, a, b in zip(_by(bucket), [0, *ends[:-1]], ends, strict=True):
+                stretches, said = held.setdefault(int(bucket[own[0]]), ([], []))
+                stretches.append(rows[own])
+                said.append(content[a:b])
+        data, content = [packed(np.concatenate(x)) for x, _ in held.values()], [b"".join(x) for _, x in held.values()]
+        return pa.table({"bucket": pa.array(list(held), pa.int64()), "data": pa.array(data, pa.binary()), "content": pa.array(content, pa.binary())})
 
     return work
 
 
-def _match_content(kernel):
+def _match_content(kernel, span: int):
     def work(key, table):
         rows = _joined(table.column("data"), STRETCH)
         piece, window = kernel.match(rows, b"".join(table.column("content").to_pylist()))
         gone = rows[piece]
         gone["w0"] += window
         gone["n"] = 1
-        return _finds(gone)
+        return _finds(gone) if span == 1 else _spread(gone, span, key[0].as_py())
 
     return work
 
@@ -397,14 +500,29 @@ def _removed(documents: DataFrame, kernel, *, within: bool, id_column: str, text
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     base = base.withColumn("p", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
-    names = base.groupBy("p").applyInArrow(B.frugal(_send_names(kernel, groups)), "bucket bigint, data binary, p bigint")
-    answers = names.groupBy("bucket").applyInArrow(B.frugal(_answer_names(hot)), "p bigint, bucket bigint, data binary")
-    sent = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(B.frugal(_send_stretches(kernel, groups, within)), "bucket bigint, data binary, p bigint")
-    if groups > fan:
-        salted = sent.withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(-(-groups // fan))))
-        sent = salted.groupBy("bucket", "salt").applyInArrow(B.frugal(_meet_early(within)), "bucket bigint, data binary, p bigint")
-    sorted_out = sent.groupBy("bucket").applyInArrow(B.frugal(_sort_stretches(within)), "p bigint, data binary, bucket bigint")
-    content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(B.frugal(_send_content(kernel)), "bucket bigint, data binary, content binary")
-    matched = content.groupBy("bucket").applyInArrow(B.frugal(_match_content(kernel)), "p bigint, data binary, bucket bigint")
+    span = 1 if groups <= fan else math.isqrt(groups - 1) + 1
+    over = lambda c: F.floor(F.col(c) / span).cast("long")
+    answer, row = "p bigint, bucket bigint, data binary", "bucket bigint, data binary, p bigint"
+    names = base.groupBy("p").applyInArrow(B.frugal(_send_names(kernel, groups, span)), row)
+    if span == 1:
+        answers = names.groupBy("bucket").applyInArrow(B.frugal(_answer_names(hot, NAME, "p")), answer)
+    else:
+        station = names.withColumn("block", over("p")).groupBy("bucket", "block")
+        met = station.applyInArrow(B.frugal(_meet_names(groups)), "bucket bigint, data binary, block bigint")
+        said = met.groupBy("bucket").applyInArrow(B.frugal(_answer_names(hot, MET, "block")), "block bigint, bucket bigint, data binary")
+        answers = station.cogroup(said.groupBy(over("bucket"), "block")).applyInArrow(B.frugal(_hand_answers(groups)), answer)
+    sent = base.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(B.frugal(_send_stretches(kernel, groups, within, span)), f"{row}, block bigint")
+    sent = sent.drop("block") if span == 1 else sent.groupBy("bucket", "block").applyInArrow(B.frugal(_meet_early(within, groups)), row)
+    ruled = "p bigint, data binary, bucket bigint"
+    sorted_out = sent.groupBy("bucket").applyInArrow(B.frugal(_sort_stretches(within, span)), ruled if span == 1 else f"{ruled}, block bigint")
+    if span > 1:
+        handed = sorted_out.where("block >= 0").groupBy("block", "bucket").applyInArrow(B.frugal(_hand_on()), ruled)
+        sorted_out = sorted_out.where("block < 0").drop("block").unionByName(handed)
+    content = base.groupBy("p").cogroup(sorted_out.groupBy("p")).applyInArrow(B.frugal(_send_content(kernel, groups, span)), "bucket bigint, data binary, content binary, sizes binary, block bigint")
+    if span > 1:
+        content = content.groupBy("bucket", "block").applyInArrow(B.frugal(_meet_content(groups)), "bucket bigint, data binary, content binary")
+    matched = content.groupBy("bucket").applyInArrow(B.frugal(_match_content(kernel, span)), ruled if span == 1 else "block bigint, data binary, p bigint, bucket bigint")
+    if span > 1:
+        matched = matched.groupBy("block", "bucket").applyInArrow(B.frugal(_hand_on()), ruled)
     found = sorted_out.unionByName(matched)
     return base.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(B.frugal(_apply(kernel, carry, characters)), ", ".join(["doc_id bigint, units bigint, removed bigint, spans array<array<bigint>>, kept binary", *["characters string"] * characters, *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]]))

@@ -22,7 +22,7 @@ def test_recompression_is_exact(spark, docs):
     assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
 
 
-@pytest.mark.parametrize("dealing", [{"group_bytes": 2000}, {"group_bytes": 2000, "hot": 0}, {"group_bytes": 1000, "hot": 2, "fan": 3}])
+@pytest.mark.parametrize("dealing", [{"group_bytes": 2000}, {"group_bytes": 2000, "hot": 0}, {"group_bytes": 1000, "hot": 2, "fan": 3}, {"group_bytes": 700, "fan": 1}, {"group_bytes": 900, "hot": 0, "fan": 1}])
 @pytest.mark.parametrize("operator, kernel", [(suffix_dedup, "bytes"), (recompression_dedup, "words")])
 def test_dealing_changes_nothing(spark, docs, operator, kernel, dealing):
     made = ByteWindows(100) if kernel == "bytes" else WordWindows(50)
@@ -94,8 +94,9 @@ def test_words_made_to_collide(spark):
         assert {r.doc_id: (r.units, r.removed, bytes(r.kept)) for r in got} == brute.repeats(docs)
 
 
+@pytest.mark.parametrize("fan", [256, 1])
 @pytest.mark.parametrize("operator, kernel", [("bytes", ByteWindows(100)), ("words", WordWindows(50))])
-def test_hashes_without_any_use(spark, docs, monkeypatch, operator, kernel):
+def test_hashes_without_any_use(spark, docs, monkeypatch, operator, kernel, fan):
     """All chains of a task's own digests the same: what brings together decides nothing."""
     kernel = type("Same", (type(kernel),), {"look": lambda self, raw, offsets: same(super(type(self), self).look(raw, offsets))})(*(kernel.window,))
 
@@ -103,7 +104,7 @@ def test_hashes_without_any_use(spark, docs, monkeypatch, operator, kernel):
         look.sym = look.sym & np.uint64(0x300000003)
         return look
 
-    got = remove_repeats(frame(spark, docs), kernel, within=operator == "bytes", group_bytes=3000, hot=10**9).collect()
+    got = remove_repeats(frame(spark, docs), kernel, within=operator == "bytes", group_bytes=3000, hot=10**9, fan=fan).collect()
     if operator == "bytes":
         assert {r.doc_id: (r.units, r.removed, len(r.spans), bytes(r.kept)) for r in got} == brute.suffix(docs)
     else:
@@ -197,3 +198,23 @@ def test_cut_characters_go(spark):
     got = suffix_dedup(frame(spark, docs), characters=True, carry=("lang",)).collect()
     assert {r.doc_id: (r.characters, r.lang) for r in got} == {d: (k.decode("utf-8", "ignore"), "en") for d, (*_, k) in brute.suffix(docs).items()}
     assert any(r.characters.encode() != bytes(r.kept) for r in got)
+
+
+def test_groups_send_to_shelves_and_stations_to_buckets():
+    """With 10,000 groups a group has no more rows than there are shelves, and a station no more than a shelf has buckets."""
+    said = " ".join(f"word{i}" for i in range(20_000)).encode()
+    table = pa.table({"doc": pa.array([1], pa.int64()), "tie": pa.array([1], pa.int64()), "text": pa.array([said.decode()])})
+    kernel, groups, span = ByteWindows(100), 10_000, 100
+    sent = [_repeats._send_names(kernel, groups, span)((pa.scalar(p),), table) for p in (0, 1)]
+    assert all(len(x) <= groups // span for x in sent)
+    shelf = sent[0].column("bucket")[0].as_py()
+    station = pa.concat_tables([x.slice(0, 1) for x in sent])
+    met = _repeats._meet_names(groups)((pa.scalar(shelf), pa.scalar(0)), station)
+    assert len(met) <= span and all(b // span == shelf for b in met.column("bucket").to_pylist())
+    told = _repeats._answer_names(4096, _repeats.MET, "block")
+    answers = pa.concat_tables([told((b,), met.slice(i, 1)) for i, b in enumerate(met.column("bucket"))])
+    for row in _repeats._hand_answers(groups)((pa.scalar(shelf), pa.scalar(0)), station, answers).column("data").to_pylist():
+        names = _repeats.unpacked(station.column("data")[0].as_py(), _repeats.NAME)
+        bits = np.frombuffer(row, np.uint8)
+        assert np.unpackbits(bits[: len(bits) // 2], count=len(names)).all()
+        assert not np.unpackbits(bits[len(bits) // 2 :], count=len(names)).any()
