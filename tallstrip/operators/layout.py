@@ -125,11 +125,12 @@ def resampled(points: DataFrame, stride: float, *keys: str) -> DataFrame:
     along = along.where("size >= 2 AND total >= 1").withColumn("n", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / stride)))
     gap = F.col("total") / F.col("n")
     is_last = F.lead("ord").over(order).isNull()
-    high = F.when(is_last, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.floor(F.col("cum") / gap)))
-    # a target that falls on the point before belongs to that point
-    low = F.when(F.col("last") < 0, F.lit(0)).otherwise(F.floor(F.col("last") / gap) + 1)
-    got = along.withColumns({"low": low.cast("long"), "high": high.cast("long")}).where("low <= high")
-    return got.select(*keys, F.explode(F.sequence("low", "high")).alias("k"), "x", "y")
+    # quotients may round across a whole number, so one more target is tried at either end, and products decide
+    low = F.greatest(F.lit(0).cast("long"), F.floor(F.col("last") / gap))
+    high = F.when(is_last, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.floor(F.col("cum") / gap) + 1))
+    tried = along.withColumns({"gap": gap, "end": is_last, "low": low, "high": high}).where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
+    target = F.col("k") * F.col("gap")
+    return tried.where((target > F.col("last")) & (F.col("end") | (target <= F.col("cum")))).select(*keys, "k", "x", "y")
 
 
 def crops(pixels: DataFrame, segments: DataFrame) -> DataFrame:

@@ -224,3 +224,10 @@ def test_the_work_folder_is_shared_or_local():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError):
         work_folder(cluster)
+
+
+def test_targets_on_a_point_belong_to_it(spark):
+    """Seven strides of 562 / 14 are 281, but 281 / (562 / 14) is below 7."""
+    points = spark.createDataFrame([(1, i, float(x), 0.0) for i, x in enumerate((0, 281, 100))], "id bigint, ord bigint, x double, y double")
+    got = {r.k: r.x for r in layout.resampled(points, 40.0, "id").collect()}
+    assert got == {0: 0.0} | dict.fromkeys(range(1, 8), 281.0) | dict.fromkeys(range(8, 14), 100.0)
