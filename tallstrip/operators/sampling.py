@@ -57,12 +57,15 @@ def augment(pixels: DataFrame, seed: int = 7, width: int = 64) -> DataFrame:
 
 
 def zoomed(pixels: DataFrame, width: int, height: int, most: float = 1.5, seed: int = 7) -> DataFrame:
-    """Each image enlarged about its centre by a factor from 1 to `most`, to its own size, by nearest neighbours."""
-    grid = pixels.select("img").distinct().withColumn("factor", 1 + (most - 1) * draw(F.col("img"), seed))
-    grid = grid.withColumn("ny", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("nx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    back = lambda c, n: F.floor((F.col(c) + 0.5 - n / 2) / F.col("factor") + n / 2).cast("int")
-    grid = grid.select("img", "ny", "nx", back("ny", height).alias("y"), back("nx", width).alias("x"))
-    return grid.join(pixels, ["img", "y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
+    """Each image enlarged about its centre by a factor from 1 to `most`, to its own size, by nearest neighbours. Each pixel
+    goes to the places that show it, so images neither move nor meet a grid."""
+    out = pixels.where("img IS NOT NULL").withColumn("_factor", 1 + (most - 1) * draw(F.col("img"), seed))
+    for c, n in (("y", height), ("x", width)):
+        shown = F.floor((F.col(f"_{c}") + 0.5 - n / 2) / F.col("_factor") + n / 2)
+        start = lambda p, n=n: (p - n / 2) * F.col("_factor") + n / 2 - 0.5
+        low, high = F.greatest(F.lit(0), F.floor(start(F.col(c))).cast("int") - 1), F.least(F.lit(n - 1), F.ceil(start(F.col(c) + 1)).cast("int") + 1)
+        out = out.withColumn(f"_{c}", F.explode(F.when(low <= high, F.sequence(low, high)))).where(shown == F.col(c))
+    return out.select("img", F.col("_y").alias("y"), F.col("_x").alias("x"), *[c for c in pixels.columns if c not in ("img", "y", "x")])
 
 
 def accepted(positives: Column, wanted: Column, least: int = 256) -> Column:

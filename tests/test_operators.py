@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +233,27 @@ def test_targets_on_a_point_belong_to_it(spark):
     points = spark.createDataFrame([(1, i, float(x), 0.0) for i, x in enumerate((0, 281, 100))], "id bigint, ord bigint, x double, y double")
     got = {r.k: r.x for r in layout.resampled(points, 40.0, "id").collect()}
     assert got == {0: 0.0} | dict.fromkeys(range(1, 8), 281.0) | dict.fromkeys(range(8, 14), 100.0)
+
+
+def stays(frame):
+    """Whether nothing moves or is looked up."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" not in plan and "Join" not in plan
+
+
+def holed(images, height, width):
+    """Pixels (img, y, x, r), every seventh missing."""
+    return [(i, y, x, (i * 31 + y * width + x) % 251) for i in range(images) for y in range(height) for x in range(width) if (i + y * width + x) % 7]
+
+
+@pytest.mark.parametrize("most", [1.0, 1.5, 4.0])
+def test_images_are_enlarged_where_they_are(spark, most):
+    rows = holed(6, 9, 14)
+    got = sampling.zoomed(spark.createDataFrame([*rows, (None, 0, 0, 1)], "img bigint, y int, x int, r int"), 14, 9, most)
+    want, old = [], {r[:3]: r[3] for r in rows}
+    for img in range(6):
+        d = (((img + 7) % 2147483647 * 48271 + 11) % 2147483647 * 48271 + 7) % 2147483647 / 2147483647
+        back = lambda n, size, factor=1 + (most - 1) * d: math.floor((n + 0.5 - size / 2) / factor + size / 2)
+        want += [(img, y, x, old[img, back(y, 9), back(x, 14)]) for y in range(9) for x in range(14) if (img, back(y, 9), back(x, 14)) in old]
+    assert sorted(tuple(r) for r in got.select("img", "y", "x", "r").collect()) == want
+    assert stays(got)
