@@ -91,10 +91,15 @@ def hann_weight(i: Column, size: int, least: float = 0.05) -> Column:
 
 
 def nearest(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Nearest-neighbour resize by index arithmetic; the target grid is built per image, then looked up."""
-    grid = pixels.select("img").distinct().withColumn("ny", F.explode(F.sequence(F.lit(0), F.lit(new_height - 1)))).withColumn("nx", F.explode(F.sequence(F.lit(0), F.lit(new_width - 1))))
-    grid = grid.withColumns({"y": F.least(F.floor(F.col("ny") * height / new_height), F.lit(height - 1)).cast("int"), "x": F.least(F.floor(F.col("nx") * width / new_width), F.lit(width - 1)).cast("int")})
-    return grid.join(pixels, ["img", "y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
+    """Nearest-neighbour resize by index arithmetic: a new place n shows the old one floor(n * size / new size), so each pixel
+    goes to the places that show it, one run of them along either axis, and images neither move nor meet a grid."""
+    out = pixels.where("img IS NOT NULL")
+    for c, size, new in (("y", height, new_height), ("x", width, new_width)):
+        first = lambda p, size=size, new=new: F.ceil(p.cast("long") * new / size)
+        low, high = F.greatest(first(F.col(c)), F.lit(0)).cast("int"), (first(F.col(c) + 1) - 1).cast("int")
+        shown = (F.col(c) < size) & (low <= high)
+        out = out.withColumn(f"_{c}", F.explode(F.when(shown, F.sequence(low, high))))
+    return out.select("img", F.col("_y").alias("y"), F.col("_x").alias("x"), *[c for c in pixels.columns if c not in ("img", "y", "x")])
 
 
 def _shares(size: int, new_size: int, how: str) -> Column:

@@ -257,3 +257,13 @@ def test_images_are_enlarged_where_they_are(spark, most):
         want += [(img, y, x, old[img, back(y, 9), back(x, 14)]) for y in range(9) for x in range(14) if (img, back(y, 9), back(x, 14)) in old]
     assert sorted(tuple(r) for r in got.select("img", "y", "x", "r").collect()) == want
     assert stays(got)
+
+
+@pytest.mark.parametrize("height, width", [(9, 14), (4, 3), (1, 1), (23, 40), (18, 14)])
+def test_images_are_resized_where_they_are(spark, height, width):
+    rows = holed(3, 9, 14)
+    got = stencil.nearest(spark.createDataFrame([*rows, (None, 0, 0, 1), (0, 9, 0, 1), (0, 0, 14, 1)], "img bigint, y int, x int, r int"), 14, 9, width, height)
+    old = {r[:3]: r[3] for r in rows}
+    want = [(i, y, x, old[i, y * 9 // height, x * 14 // width]) for i in range(3) for y in range(height) for x in range(width) if (i, y * 9 // height, x * 14 // width) in old]
+    assert sorted(tuple(r) for r in got.select("img", "y", "x", "r").collect()) == want
+    assert stays(got)
