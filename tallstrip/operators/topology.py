@@ -33,30 +33,33 @@ def adjacency(runs: DataFrame, connectivity: int = 8, keys: tuple[str, ...] = ("
     return upper.join(runs, [*keys, "y"]).where((F.col("x0") < F.col("a1") + c) & (F.col("x1") > F.col("a0") - c)).select("u", F.struct(*keys, "id").alias("v"))
 
 
-def _labels_in_band(connectivity: int):
+def joined_up(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each run, in order of rows and pixels, the place of one run of its component."""
     c = 1 if connectivity == 8 else 0
+    # y and x0 as one number: a run's neighbours below are a slice
+    scale = int(x1.max()) + 3
+    first = np.searchsorted((y.astype(np.int64)) * scale + x1, (y.astype(np.int64) + 1) * scale + x0 - c, "right")
+    last = np.searchsorted((y.astype(np.int64)) * scale + x0, (y.astype(np.int64) + 1) * scale + x1 + c, "left")
+    count = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(y)), count)
+    b = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+    label = np.arange(len(y))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
 
+def _labels_in_band(connectivity: int):
     def work(key, table):
         table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
         y, x0, x1, ids = (table.column(n).to_numpy() for n in ("y", "x0", "x1", "id"))
-        # y and x0 as one number: a run's neighbours below are a slice
-        scale = int(x1.max()) + 3
-        first = np.searchsorted((y.astype(np.int64)) * scale + x1, (y.astype(np.int64) + 1) * scale + x0 - c, "right")
-        last = np.searchsorted((y.astype(np.int64)) * scale + x0, (y.astype(np.int64) + 1) * scale + x1 + c, "left")
-        count = np.maximum(last - first, 0)
-        a = np.repeat(np.arange(len(y)), count)
-        b = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
-        label = np.arange(len(y))
-        while True:
-            least = np.minimum(label[a], label[b])
-            after = label.copy()
-            np.minimum.at(after, a, least)
-            np.minimum.at(after, b, least)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-        return table.append_column("local", pa.array(ids[label]))
+        return table.append_column("local", pa.array(ids[joined_up(y, x0, x1, connectivity)]))
 
     return work
 

@@ -85,7 +85,7 @@ def score_with_edges(spark, d):
 @_query(f"WITH RECURSIVE {_GRAYS}, {edges_sql('src', 120, 240)} SELECT img, y, x FROM edge")
 def edge_pixels(spark, d):
     """J6, J8's edges."""
-    marked = bands.edges(_block(spark, d), "r", 120, 240)
+    marked = bands.edge_plane(_block(spark, d), "r", 120, 240)
     return raster.pixels_of(bands.runs(marked, lambda p: p["edge"] > 0, ("edge",)))
 
 

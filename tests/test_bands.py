@@ -6,6 +6,7 @@ from tallstrip.operators import bands, kernels, stencil, topology
 from tallstrip.operators.bands import pack, running, spread, unpack
 from tallstrip.plans import pipelines
 from tallstrip.sources import raster
+from tallstrip.work import settle
 
 from .test_operators import array, brute_spread, frames, table
 
@@ -176,3 +177,41 @@ def test_stored_pairs_meet_where_they_lie(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for n in "or":
             spark.sql(f"DROP TABLE IF EXISTS pairs_{n}")
+
+
+def flooded(a, low, high):
+    """Edge pixels of a picture by walking from the strong candidates."""
+    strength = kernels.edge_candidates(a.astype(np.float64))
+    seen = {(int(y), int(x)) for y, x in np.argwhere(strength > high)}
+    todo = list(seen)
+    while todo:
+        y, x = todo.pop()
+        near = {(v, u) for v in range(max(0, y - 1), min(len(a), y + 2)) for u in range(max(0, x - 1), min(a.shape[1], x + 2)) if strength[v, u] > low}
+        todo += near - seen
+        seen |= near
+    return seen
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 64])
+def test_edges_leave_bands_by_their_rims_only(spark, monkeypatch, rows):
+    shapes, low, high = [(31, 23), (1, 9), (14, 1), (28, 17)], 250, 760
+    px, images = several(spark, shapes, 3)
+    px = px.unionByName(spark.createDataFrame([(9, y, x, 5) for y in range(9) for x in range(4)], px.schema))  # no edges at all
+    written = []
+
+    def kept(df, tag="step"):
+        out = settle(df, tag)
+        written.extend(out.select("img", "y", "x0", "x1").distinct().collect() if "x0" in out.columns else [])
+        return out
+
+    for module in (bands, topology):
+        monkeypatch.setattr(module, "settle", kept)
+    b = pack(px, {"v": "uint8"}, rows)
+    marked = unpack(bands.edges(b, "v", low, high)).where("edge = 1").select("img", "y", "x").collect()
+    want = {(i, y, x) for i, a in enumerate(images) for y, x in flooded(a["v"], low, high)}
+    strong = {(i, int(y), int(x)) for i, a in enumerate(images) for y, x in np.argwhere(kernels.edge_candidates(a["v"].astype(np.float64)) > high)}
+    assert sorted((r.img, r.y, r.x) for r in marked) == sorted(want) and strong < want
+    heights = [shape[0] for shape in shapes]
+    assert written and all(r.y % rows in (0, rows - 1) or r.y == heights[r.img] - 1 for r in written)
+    alone = bands.edge_plane(b, "v", low, high)
+    assert list(alone.planes) == ["edge"] and {(r.img, r.y, r.x) for r in raster.pixels_of(bands.runs(alone, lambda p: p["edge"] > 0, ("edge",))).collect()} == want
