@@ -45,7 +45,8 @@ def evaluate(pixels: DataFrame, *keys: str, with_edges: bool = False) -> DataFra
 
 def evaluate_bands(strips: Bands, with_edges: bool = False) -> DataFrame:
     """Ranked scores of strips (r, g, b of the original, a of the result) from packed bands: four counts leave a band, and
-    with edges a gray plane's halo rows, the runs of edge candidates on bands' first and last rows, and the edge plane move."""
+    with edges a gray plane's halo rows, the runs of edge candidates on bands' first and last rows, and the edge plane
+    move."""
     if with_edges:
         marked = bands.mapped(strips, {"gray": "uint8"}, lambda p: {"gray": bands.gray_of(p)}, ("r", "g", "b"), ("r", "g", "b", "a"))
         lined = bands.edges(marked, "gray", 50, 150)
